@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from vicinal.llm import exact_dedup
+from vicinal.llm import bpe, exact_dedup
 
 QUERIES = {
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op9_bpe": bpe.op9_bpe,
 }
 
 ORACLE_SQL = {
