@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from vicinal.llm import bpe, exact_dedup, language_id
+from vicinal.llm import bpe, exact_dedup, language_id, simhash
 
 QUERIES = {
+    "op6_simhash": simhash.op6_simhash,
     "op4_language_id": language_id.op4_language_id,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op9_bpe": bpe.op9_bpe,
