@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from vicinal.llm import bpe, exact_dedup, language_id, simhash
+from vicinal.llm import bpe, exact_dedup, language_id, mixing, simhash
 
 QUERIES = {
+    "op2_mixing": mixing.op2_mixing,
     "op6_simhash": simhash.op6_simhash,
     "op4_language_id": language_id.op4_language_id,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
