@@ -1,8 +1,57 @@
-"""Cleaning a corpus: five stages over documents, each written as Parquet and read again."""
+"""Cleaning a corpus: five stages over documents, each written as Parquet and read again.
 
-STAGES: list = []
+Every stage but the last takes and returns rows with the columns of documents.
+
+1. language_id: texts without an identified language go; a missing language is filled in.
+2. exact_dedup: of equal texts (white space aside) the row with the least id stays.
+3. near_dedup: of each component of near duplicates (five-word shingles, similarity 0.8) the row with
+   the least id stays.
+4. mixing: all rows, in the order of a Pfair schedule of their sources.
+5. bpe: the token ids of each text, with digests that show that decoding gives the text back.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from vicinal.llm import bpe, exact_dedup, language_id, mixing, simhash
+from vicinal.plans.shared import materialize
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language_id.keep_identified(docs)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.keep_first(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.keep_one(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.in_mixed_order(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.bpe_round_trip(docs, bpe.default_vocabulary(), keep=("ids",))
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("exact_dedup", drop_exact_copies),
+    ("near_dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("bpe", encode),
+]
+
+#: Context trees, SimHash components and byte-pair encoding have no SQL form; the tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
