@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from vicinal.llm import bpe, exact_dedup, language_id, merkle, mixing, simhash, warc
+from vicinal.llm import bpe, exact_dedup, language_id, merkle, mixing, pii, simhash, warc
 
 QUERIES = {
+    "op5_pii": pii.op5_pii,
     "op8_warc": warc.op8_warc,
     "op3_merkle": merkle.op3_merkle,
     "op2_mixing": mixing.op2_mixing,
