@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from vicinal.llm import bpe, exact_dedup, language_id, line_dedup, merkle, mixing, pii, simhash, warc
+from vicinal.llm import bpe, exact_dedup, language_id, line_dedup, merkle, mixing, pii, repeats, simhash, warc
 
 QUERIES = {
+    "op10_repeats": repeats.op10_repeats,
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op5_pii": pii.op5_pii,
     "op8_warc": warc.op8_warc,
