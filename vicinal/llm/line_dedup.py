@@ -17,7 +17,7 @@ from vicinal.plans.shared import materialize
 
 #: Most edits between near-equal lines; code points from which a line is compared at all.
 THRESHOLD, MIN_CHARS = 2, 20
-#: Lines of candidate pairs whose 8-byte keys are broadcast at most (32 MB); beyond it they are shuffled.
+#: 8-byte keys of segments or lines that met others that are broadcast at most (32 MB); beyond it they are shuffled.
 BROADCAST_LINES = 2_000_000
 
 
@@ -63,12 +63,37 @@ def probe_keys(line: Column, threshold: int) -> list[Column]:
     return out
 
 
-def candidates(distinct: DataFrame, threshold: int, min_chars: int) -> DataFrame:
-    """(a, b), a < b: h1 of lines that share a segment."""
+def meeting(distinct: DataFrame, threshold: int, broadcast_lines: int) -> tuple[DataFrame, DataFrame]:
+    """(key, y) of probes and (key, x) of index entries that meet another line; semi-joins, so a key that
+    many lines share gives a row for each line and never one for each pair."""
     compared = distinct.where(F.col("line").isNotNull())
     index = compared.select(F.col("h1").alias("x"), F.explode(F.array(*index_keys(F.col("line"), threshold))).alias("key"))
     probe = compared.select(F.col("h1").alias("y"), F.explode(F.array(*probe_keys(F.col("line"), threshold))).alias("key"))
-    met = probe.join(index.hint("shuffle_hash"), "key").where("x <> y")
+    other = index.hint("shuffle_hash")
+    probes = materialize(probe.join(other, (probe["key"] == other["key"]) & (probe["y"] != other["x"]), "left_semi"), "meeting-probes")
+    keys = materialize(probes.select("key").distinct(), "meeting-keys")
+    if keys.count() <= broadcast_lines:
+        keys = F.broadcast(keys)
+    return probes, materialize(index.join(keys, "key", "left_semi"), "meeting-entries")
+
+
+def sketch(line: str) -> Column:
+    """128 parities: each pair of neighbouring characters flips one of them. An edit changes four pairs at
+    most, so lines within the threshold differ in no more than 4 * threshold bits."""
+    return F.expr(f"""
+      transform(array(split({line}, '')), c -> aggregate(sequence(0, size(c) - 2), named_struct('lo', 0L, 'hi', 0L),
+        (s, i) -> transform(array(xxhash64(c[i], c[i + 1]) & 127L), h -> named_struct(
+          'lo', IF(h < 64L, s.lo ^ shiftleft(1L, CAST(h AS INT)), s.lo),
+          'hi', IF(h < 64L, s.hi, s.hi ^ shiftleft(1L, CAST(h - 64L AS INT)))))[0]))[0]""")
+
+
+def candidates(probes: DataFrame, entries: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """(a, b), a < b: h1 of lines that share a segment and whose sketches allow the threshold. The sketches
+    are compared inside the join, which is how lines of a common template fall away before they are pairs."""
+    marked = lambda df, c: df.join(texts.select(F.col("h1").alias(c), F.col("sketch").alias(f"{c}_s")), c)
+    flips = F.bit_count(F.col("x_s.lo").bitwiseXOR(F.col("y_s.lo"))) + F.bit_count(F.col("x_s.hi").bitwiseXOR(F.col("y_s.hi")))
+    left, right = marked(probes, "y").withColumnRenamed("key", "k"), marked(entries, "x")
+    met = left.join(right, (F.col("k") == F.col("key")) & (F.col("x") != F.col("y")) & (flips <= 4 * threshold))
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -102,15 +127,17 @@ def banded_distance(long: str, short: str, threshold: int) -> Column:
         s0 -> s0.score))[0]""")
 
 
-def near_lines(distinct: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
+def near_lines(distinct: DataFrame, threshold: int = THRESHOLD, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """(h1, h2, n_links, n_earlier) of distinct lines with links: lines within threshold edits, and those of
     them whose first occurrence is earlier."""
-    pairs = materialize(candidates(distinct, threshold, min_chars), "line-pairs")
-    wanted = pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct()
-    wanted = materialize(wanted, "line-keys")
+    probes, entries = meeting(distinct, threshold, broadcast_lines)
+    wanted = probes.select(F.col("y").alias("h1")).union(entries.select("x")).distinct()
+    wanted = materialize(wanted, "meeting-lines")
     if wanted.count() <= broadcast_lines:
         wanted = F.broadcast(wanted)
     texts = distinct.where(F.col("line").isNotNull()).join(wanted, "h1", "left_semi")
+    texts = materialize(texts.withColumn("sketch", sketch("line")), "meeting-texts")
+    pairs = materialize(candidates(probes, entries, texts, threshold), "line-pairs")
     side = lambda c: texts.select(F.col("h1").alias(c), F.struct("h1", "h2", "first").alias(f"{c}_key"), F.col("line").alias(f"{c}_line"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     longer = F.char_length("a_line") >= F.char_length("b_line")
@@ -141,7 +168,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         raise ValueError("lines must have three code points for each segment")
     found = lines(docs, id_col, text_col)
     distinct = materialize(distinct_lines(found, min_chars), "distinct-lines")
-    near = materialize(near_lines(distinct, threshold, min_chars), "near-lines")
+    near = materialize(near_lines(distinct, threshold), "near-lines")
     marks = distinct.drop("line").join(near, ["h1", "h2"], "left")
     placed = found.select("id", "line_no", "h1", "h2").join(marks, ["h1", "h2"])
     is_first = F.struct("id", "line_no").eqNullSafe(F.col("first"))
