@@ -25,14 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vicinal.plans.shared import materialize
+from vicinal.plans.shared import discard, materialize
 
 #: Bytes of a repeat; of the strings whose hashes are compared.
 LENGTH, GRAM = 50, 16
 #: Bytes of text to a bucket and to a group of documents, on average; positions of a shard (its ranks take
 #: 20 bits of a sort key) and of the shards merged at once, unless one hash alone has more.
-BUCKET_BYTES, GROUP_BYTES, SHARD, MERGED = 4 << 20, 32 << 20, 1 << 20, 4 << 20
-_CHUNK = 4 << 20
+BUCKET_BYTES, GROUP_BYTES, SHARD, MERGED = 4 << 20, 32 << 20, 1 << 19, 1 << 21
+#: Bytes whose hashes are made at a time; the arrays should fit a core's cache.
+_CHUNK = 1 << 18
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _LAST = (1 << 63) - 1
 
@@ -104,12 +105,42 @@ def _moved(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _MOVED, strict=True)], schema=_MOVED)
 
 
-def _texts(batch: pa.RecordBatch, name: str) -> list[bytes]:
-    return batch.column(name).cast(pa.binary()).to_pylist()
+def _uid(ids: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """A number for a document. Where two have the same, answers for one are only looked at for the other."""
+    return (ids.view(np.uint64) * _M1 ^ marks.view(np.uint64)) * _M2
 
 
-def _group_of(ids: np.ndarray, groups: int) -> np.ndarray:
-    return ((ids.view(np.uint64) * _M1) >> np.uint64(33)).astype(np.int64) % groups
+def _group_of(uid: np.ndarray, groups: int) -> np.ndarray:
+    return (uid >> np.uint64(33)).astype(np.int64) % groups
+
+
+def _bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
+    return (key >> np.uint64(20)).astype(np.int64) % buckets
+
+
+def _short(key: np.ndarray) -> np.ndarray:
+    """Within a bucket 48 bits of a key tell keys apart; others only cost a look."""
+    return key & np.uint64((1 << 48) - 1)
+
+
+def _pack_keys(key: np.ndarray) -> bytes:
+    return np.ascontiguousarray(key, "<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpack_keys(blob: bytes) -> np.ndarray:
+    out = np.zeros((len(blob) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
+def _pack_runs(values: np.ndarray) -> tuple[bytes, bytes]:
+    """An array of equal neighbours as values and counts."""
+    edge = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
+    return _pack(values[edge], "<u8"), _pack(np.diff(np.r_[edge, len(values)]), "<u4")
+
+
+def _unpack_runs(values: bytes, counts: bytes) -> np.ndarray:
+    return np.repeat(_unpack(values, "<u8"), _unpack(counts, "<u4"))
 
 
 def _by(to: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple]:
@@ -133,23 +164,25 @@ def _ask(length: int, buckets: int, groups: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, marks = batch.column("id").to_numpy(), batch.column("mark").to_numpy()
-            found = [(d, k) for d, _, _, k in runs(_texts(batch, "text"), length)]
+            uid = _uid(batch.column("id").to_numpy(), batch.column("mark").to_numpy())
+            found = [(d, k) for d, _, _, k in runs(batch.column("text").cast(pa.binary()).to_pylist(), length)]
             if not found:
                 continue
             doc, key = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.lexsort((doc, key))
+            order = np.argsort(key, kind="stable")  # documents ascend within a key
             doc, key = doc[order], key[order]
             new = np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])]
             doc, key = doc[new], key[new]
             first = np.r_[True, key[1:] != key[:-1]]
             alone = first & np.r_[first[1:], True]
             rows = []
-            for to, k, d, one in _by((key[first] % np.uint64(buckets)).astype(np.int64), key[first], doc[first], alone[first]):
-                rows.append((to, 0, _pack(k, "<u8"), _pack(ids[d], "<i8"), _pack(marks[d], "<i8"), _pack(one, "u1")))
-            known = ~alone
-            for to, k, d in _by(_group_of(ids[doc[known]], groups), key[known], doc[known]):
-                rows.append((-1 - to, 1, _pack(k, "<u8"), _pack(ids[d], "<i8"), _pack(marks[d], "<i8"), None))
+            by_doc = np.flatnonzero(first)[np.argsort(doc[first], kind="stable")]
+            for to, k, d, one in _by(_bucket_of(key[by_doc], buckets), key[by_doc], doc[by_doc], alone[by_doc]):
+                rows.append((to, 0, _pack_keys(k), *_pack_runs(uid[d]), np.packbits(one).tobytes()))
+            known = np.flatnonzero(~alone)
+            known = known[np.argsort(doc[known], kind="stable")]
+            for to, k, d in _by(_group_of(uid[doc[known]], groups), key[known], doc[known]):
+                rows.append((-1 - to, 1, _pack_keys(k), *_pack_runs(uid[d]), None))
             yield _moved(rows)
 
     return run
@@ -177,18 +210,63 @@ def _answer(groups: int):
             if to < 0:
                 yield _moved([(-1 - to, 1, *r[2:]) for r in rows])
                 continue
-            key, ids, marks = (np.concatenate([_unpack(r[i], t) for r in rows]) for i, t in ((2, "<u8"), (3, "<i8"), (4, "<i8")))
-            asks = np.concatenate([_unpack(r[5], "u1") for r in rows]).astype(bool)
+            parts = [_unpack_keys(r[2]) for r in rows]
+            key, uid = np.concatenate(parts), np.concatenate([_unpack_runs(r[3], r[4]) for r in rows])
+            asks = np.concatenate([np.unpackbits(np.frombuffer(r[5], np.uint8))[: len(k)] for r, k in zip(rows, parts, strict=True)])
             order = np.argsort(key, kind="stable")
-            key, ids, marks, asks = key[order], ids[order], marks[order], asks[order]
+            key, uid, asks = key[order], uid[order], asks[order].astype(bool)
             same = key[1:] == key[:-1]
             yes = (np.r_[False, same] | np.r_[same, False]) & asks
-            out = [(g, 1, _pack(k, "<u8"), _pack(i, "<i8"), _pack(m, "<i8"), None) for g, k, i, m in _by(_group_of(ids[yes], groups), key[yes], ids[yes], marks[yes])]
-            yield _moved(out)
+            key, uid = key[yes], uid[yes]
+            order = np.argsort(uid, kind="stable")
+            key, uid = key[order], uid[order]
+            yield _moved([(g, 1, _pack_keys(k), *_pack_runs(u), None) for g, k, u in _by(_group_of(uid, groups), key, uid)])
 
     return run
 
 
+# ---- documents, dealt by group
+
+
+def _deal(groups: int):
+    """(id, mark, text) -> for each group the documents of a batch: texts, their sizes, ids and marks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, marks = batch.column("id").to_numpy(), batch.column("mark").to_numpy()
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            rows = []
+            for to, j in _by(_group_of(_uid(ids, marks), groups), np.arange(len(ids))):
+                for at in range(0, len(j), 2000):
+                    some = j[at : at + 2000]
+                    mine = [texts[i] for i in some.tolist()]
+                    raw = b"".join(mine)
+                    packed = len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+                    rows.append((to, 0, packed, _pack(np.array([len(t) for t in mine]), "<i8"), _pack(ids[some], "<i8"), _pack(marks[some], "<i8")))
+            yield _moved(rows)
+
+    return run
+
+
+def _dealt(row: tuple) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    raw, sizes = _unpack(row[2], "u1").tobytes(), _unpack(row[3], "<i8")
+    ends = np.cumsum(sizes)
+    return [raw[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)], _unpack(row[4], "<i8"), _unpack(row[5], "<i8")
+
+
+def _by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple], tuple]]:
+    """For each row of documents: what was said of its group before (rows of kind 1), and the row."""
+    group, held = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[0] != group:
+                group, held = row[0], []
+            if row[1] == 1:
+                held.append(row)
+            else:
+                yield held, row
+
+
 # ---- step 2: the strings of those keys
 
 
@@ -197,72 +275,61 @@ def _strings(length: int, buckets: int, groups: int):
     those of the least document go there; the others are repeats as a whole, and that is known here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held = None, []
-        for batch in batches:
-            rows = list(zip(*(c.to_pylist() for c in batch.select(["to", "kind", "a", "b", "c"]).columns), strict=True))
-            docs: dict[int, list[int]] = {}
-            for i, (to, kind, a, b, c) in enumerate(rows):
-                if to != group:
-                    if docs:
-                        yield from _emit(batch, docs[group], held, length, buckets, groups)
-                        docs = {}
-                    group, held = to, []
-                if kind == 1:
-                    held.append(np.stack([_unpack(b, "<i8"), _unpack(c, "<i8"), _unpack(a, "<u8").view(np.int64)], axis=1))
-                else:
-                    docs.setdefault(to, []).append(i)
-            if docs:
-                yield from _emit(batch, docs[group], held, length, buckets, groups)
+        last, wanted = None, np.zeros(0, np.uint64)
+        for held, row in _by_group(batches):
+            if held is not last:
+                last = held
+                wanted = np.sort(np.concatenate([_asked(_unpack_runs(r[3], r[4]), _unpack_keys(r[2])) for r in held])) if held else np.zeros(0, np.uint64)
+            if len(wanted):
+                yield from _emit(*_dealt(row), wanted, length, buckets, groups)
 
     return run
 
 
-def _emit(batch, rows: list[int], held: list[np.ndarray], length: int, buckets: int, groups: int) -> Iterator[pa.RecordBatch]:
-    if not held:
-        return
-    part = batch.take(pa.array(rows))
-    ids, marks, texts = part.column("id").to_numpy(), part.column("mark").to_numpy(), _texts(part, "text")
-    # (document's mark, key) mixed to one number, to look answers up; a chance hit only adds a string
-    mix = lambda i, m, k: (i.view(np.uint64) * _M1 ^ m.view(np.uint64)) * _M2 ^ k
-    table = np.concatenate(held)
-    if len(held) > 1:
-        held[:] = [table]
-    wanted = np.sort(mix(np.ascontiguousarray(table[:, 0]), np.ascontiguousarray(table[:, 1]), np.ascontiguousarray(table[:, 2]).view(np.uint64)))
-    doc, at, n, key = [], [], [], []
+def _asked(uid: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """(document, key) as one number; a chance hit only adds a string."""
+    return (uid ^ key * _M1) * _M2
+
+
+def _emit(texts: list[bytes], ids: np.ndarray, marks: np.ndarray, wanted: np.ndarray, length: int, buckets: int, groups: int) -> Iterator[pa.RecordBatch]:
+    uid = _uid(ids, marks)
+    found = []
     for d, a, w, k in runs(texts, length):
-        q = mix(ids[d], marks[d], k)
-        hit = np.searchsorted(wanted, q)
-        ok = wanted[np.minimum(hit, len(wanted) - 1)] == q
-        for x, v in zip((doc, at, n, key), (d, a, w, k), strict=True):
-            x.append(v[ok])
-    if not doc:
+        q = _asked(uid[d], _short(k))
+        ok = wanted[np.minimum(np.searchsorted(wanted, q), len(wanted) - 1)] == q
+        found.append((d[ok], a[ok], w[ok], k[ok]))
+    if not found:
         return
-    doc, at, n, key = (np.concatenate(x) for x in (doc, at, n, key))
+    doc, at, n, key = (np.concatenate(x) for x in zip(*found, strict=True))
     if not len(doc):
         return
-    strings = [texts[d][a : a + w + length - 1] for d, a, w in zip(doc.tolist(), at.tolist(), n.tolist(), strict=True)]
     index: dict[bytes, int] = {}
-    which = np.array([index.setdefault(s, len(index)) for s in strings])
+    which = np.array([index.setdefault(texts[d][a:e], len(index)) for d, a, e in zip(doc.tolist(), at.tolist(), (at + n + length - 1).tolist(), strict=True)])
     owner = ids[doc]
     least = np.full(len(index), _LAST)
     np.minimum.at(least, which, owner)
     later = owner > least[which]
-    out = []
-    for g, i, m, a, w in _by(_group_of(owner[later], groups), owner[later], marks[doc[later]], at[later], n[later]):
-        out.append((-1 - g, 1, _pack(i, "<i8"), _pack(m, "<i8"), _pack(a, "<i8"), _pack(w + length - 1, "<i4")))
+    out = _span_rows(ids[doc[later]], marks[doc[later]], at[later], (n + length - 1)[later], groups, sign=-1)
     unique = list(index)
     go = np.flatnonzero(~later)
-    for to, j in _by((key[go] % np.uint64(buckets)).astype(np.int64), go):
-        s, local = np.unique(which[j], return_inverse=True)
-        sizes = np.array([len(unique[x]) for x in s])
-        text = np.frombuffer(b"".join(unique[x] for x in s), np.uint8)
-        own_key = np.zeros(len(s), np.uint64)
-        own_key[local] = key[j]
-        heads = np.stack([own_key.view(np.int64), sizes], axis=1)
-        uses = np.stack([local, owner[j], marks[doc[j]], at[j]], axis=1)
-        out.append((to, 0, _pack(text, "u1"), _pack(heads, "<i8"), _pack(uses, "<i8"), None))
-    for s in range(0, len(out), 64):
-        yield _moved(out[s : s + 64])
+    for to, j in _by(_bucket_of(key[go], buckets), go):
+        s, once, local = np.unique(which[j], return_index=True, return_inverse=True)
+        mine = [unique[x] for x in s.tolist()]
+        docs, of = np.unique(doc[j], return_inverse=True)
+        heads = _pack(np.array([len(x) for x in mine]), "<u2") if max(map(len, mine)) < 1 << 16 else None
+        assert heads is not None  # a string has `length` plus the windows of a run at most
+        uses = np.concatenate([local, of, at[j]])
+        out.append((to, 0, _pack(np.frombuffer(b"".join(mine), np.uint8), "u1"), heads + _pack_keys(_short(key[j[once]])), _pack(uses, "<u4"), _pack(np.concatenate([ids[docs], marks[docs]]), "<i8")))
+    for s in range(0, len(out), 256):
+        yield _moved(out[s : s + 256])
+
+
+def _span_rows(ids: np.ndarray, marks: np.ndarray, at: np.ndarray, size: np.ndarray, groups: int, sign: int = 1) -> list[tuple]:
+    """Spans for the groups of their documents; a negative target is passed on by the bucket that gets it."""
+    to = _group_of(_uid(ids, marks), groups)
+    return [
+        (g if sign > 0 else -1 - g, 1, _pack(i, "<i8"), _pack(m, "<i8"), _pack(a, "<i8"), _pack(w, "<i4")) for g, i, m, a, w in _by(to, ids, marks, at, size)
+    ]
 
 
 # ---- step 3: shards' transforms and their merge
@@ -291,26 +358,22 @@ class ShardBwt:
         the key, so plain sorts do. Depth beyond `length` keeps the transform's mapping right within it."""
         n, place = len(text), np.arange(len(text))
         bits = max(1, int(n).bit_length())
-        if 3 * bits > 63:
+        if 3 * bits > 63 or 36 + bits > 63:
             raise ValueError("shard too large")
-        key = text.copy()
+        key = text << 27
         for k in range(1, 4):
-            key[:-k] |= text[k:] << (9 * k)
-        # symbols were packed last first; turn them round
-        key = sum(((key >> (9 * k)) & 511) << (9 * (3 - k)) for k in range(4))
-        rank, h = None, 4
-        _, rank = np.unique(key, return_inverse=True)
+            key[:-k] |= text[k:] << (9 * (3 - k))
+        h = 4
         while True:
-            ahead = np.zeros(n, np.int64)
-            ahead[:-h] = rank[h:] + 1 if h < n else 0
-            both = np.sort((rank << (2 * bits)) | (ahead << bits) | place)
-            order = both & ((1 << bits) - 1)
-            pair = both >> bits
+            both = np.sort((key << bits) | place)
+            order, pair = both & ((1 << bits) - 1), both >> bits
             rank = np.empty(n, np.int64)
             rank[order] = np.cumsum(np.r_[0, pair[1:] != pair[:-1]])
-            h *= 2
             if h >= depth or rank[order[-1]] == n - 1:
                 return order
+            key = rank << bits
+            key[:-h] |= rank[h:] + 1
+            h *= 2
 
 
 def next_in_order(bwt: np.ndarray) -> np.ndarray:
@@ -326,33 +389,46 @@ def merge(transforms: list[np.ndarray], length: int) -> tuple[np.ndarray, np.nda
     from 0 of equal prefixes of `length` symbols, by suffix; common: for each merged place a lower bound of
     the prefix it has in common with the place before, from the refinement at which the two parted.
     """
-    shift = np.cumsum([0, *map(len, transforms)])
-    step = np.concatenate([next_in_order(b) + s for b, s in zip(transforms, shift, strict=False)]).astype(np.int64)
-    front = np.concatenate([np.sort(b) for b in transforms]).astype(np.int64)
-    # the first seven symbols of a suffix, read off the transforms
-    key, at = front, step
-    for _ in range(6):
-        key = (key << 9) | front[at]
-        at = step[at]
-    ahead, h = {7: at}, 7
-    common = np.zeros(len(step), np.int32)
+    keys, ahead, shift = [], {n: [] for n in _jumps(length)}, 0
+    for bwt in transforms:
+        step, front = next_in_order(bwt), np.sort(bwt).astype(np.int64)
+        # the first seven symbols of a suffix, read off the transform
+        key, at = front, step
+        for _ in range(6):
+            key = (key << 9) | front[at]
+            at = step[at]
+        keys.append(key)
+        known = {7: at}
+        for n, out in ahead.items():
+            if n not in known:
+                known[n] = _leap(step, known, n)
+            out.append(known[n] + np.int32(shift))
+        shift += len(bwt)
+    key, far = np.concatenate(keys), {n: np.concatenate(x) for n, x in ahead.items()}
+    common, h = np.zeros(len(key), np.int32), 7
     order, block = _refine(key, common, h)
     while h < length:
-        far = min(h, length - h)
-        if far not in ahead:
-            ahead[far] = ahead[7][ahead[7]] if far == 14 else _power(step, ahead, far)
-        key = block * np.int64(len(step)) + block[ahead[far]]
-        h += far
-        order, block = _refine(key, common, h)
+        n = min(h, length - h)
+        h += n
+        order, block = _refine(block.astype(np.int64) * len(key) + block[far[n]], common, h)
     return order, block, common
 
 
-def _power(step: np.ndarray, ahead: dict[int, np.ndarray], far: int) -> np.ndarray:
-    """Where `far` steps lead."""
+def _jumps(length: int) -> list[int]:
+    """How far ahead the refinements look."""
+    out, h = [], 7
+    while h < length:
+        out.append(min(h, length - h))
+        h += out[-1]
+    return sorted(set(out))
+
+
+def _leap(step: np.ndarray, known: dict[int, np.ndarray], far: int) -> np.ndarray:
+    """Where `far` steps lead, by leaps that are known."""
     at, left = None, far
-    for n in sorted(ahead, reverse=True):
+    for n in sorted(known, reverse=True):
         while left >= n:
-            at, left = (ahead[n] if at is None else ahead[n][at]), left - n
+            at, left = (known[n] if at is None else known[n][at]), left - n
     for _ in range(left):
         at = step if at is None else step[at]
     return at
@@ -365,13 +441,13 @@ def _refine(key: np.ndarray, common: np.ndarray, h: int) -> tuple[np.ndarray, np
     ordered = key[order]
     same = np.r_[False, ordered[1:] == ordered[:-1]]
     common[same] = h
-    block = np.empty(len(key), np.int64)
-    block[order] = np.cumsum(~same) - 1
+    block = np.empty(len(key), np.int32)
+    block[order] = np.cumsum(~same, dtype=np.int32) - np.int32(1)
     return order, block
 
 
-def least_owners(strings: list[bytes], owner: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each string the least owner of any string that holds each of its windows."""
+def least_owners(strings: list[bytes], owner: np.ndarray, length: int) -> np.ndarray:
+    """For each window of each string, one after the other, the least owner of any string that holds it."""
     shards, cut, size = [], [0], 0
     for i, s in enumerate(strings):
         if size + len(s) + 1 > SHARD:
@@ -382,16 +458,16 @@ def least_owners(strings: list[bytes], owner: np.ndarray, length: int) -> list[n
     shards = [ShardBwt(strings[a:b], length) for a, b in zip(cut, cut[1:], strict=False) if b > a]
     order, block, _ = merge([s.bwt for s in shards], length)
     sizes = np.array([len(s) for s in strings])
-    string = np.concatenate([s.string[s.suffixes] + a for s, a in zip(shards, cut, strict=False)])
+    string = np.concatenate([(s.string + a)[s.suffixes] for s, a in zip(shards, cut, strict=False)])
     offset = np.concatenate([s.offset[s.suffixes] for s in shards])
-    window = offset + length <= sizes[string]
-    value = np.where(window, owner[string], _LAST)[order]
-    starts = np.flatnonzero(np.r_[True, np.diff(block[order]) != 0])
-    least = np.minimum.reduceat(value, starts)[block]
-    out = np.full(int((sizes - length + 1).sum()), _LAST)
+    window = np.flatnonzero(offset + length <= sizes[string])
+    string, block = string[window], block[window]
+    least = np.full(len(order), _LAST)
+    np.minimum.at(least, block, owner[string])
+    out = np.empty(int((sizes - length + 1).sum()), np.int64)
     base = np.cumsum(sizes - length + 1) - (sizes - length + 1)
-    out[(base[string] + offset)[window]] = least[window]
-    return np.split(out, base[1:])
+    out[base[string] + offset[window]] = least[block]
+    return out
 
 
 def _intervals(length: int, groups: int):
@@ -403,29 +479,36 @@ def _intervals(length: int, groups: int):
                 yield _moved([(-1 - to, 1, *r[2:]) for r in rows])
                 continue
             index: dict[bytes, int] = {}
-            keys: list[int] = []
-            uses = []
+            keys, uses = [], []
             for r in rows:
-                text, heads, use = _unpack(r[2], "u1").tobytes(), _unpack(r[3], "<i8").reshape(-1, 2), _unpack(r[4], "<i8").reshape(-1, 4).copy()
-                at, mine = 0, []
-                for key, size in heads.tolist():
-                    s = text[at : at + size]
-                    at += size
-                    if s not in index:
-                        index[s] = len(index)
-                        keys.append(key)
-                    mine.append(index[s])
-                use[:, 0] = np.array(mine)[use[:, 0]]
-                uses.append(use)
-            yield from _spans(list(index), np.array(keys), np.concatenate(uses), length, groups)
+                text, use, docs = _unpack(r[2], "u1").tobytes(), _unpack(r[4], "<u4").astype(np.int64).reshape(3, -1), _unpack(r[5], "<i8").reshape(2, -1)
+                sizes, key = _unpack_heads(r[3])
+                ends = np.cumsum(sizes)
+                mine = np.array([index.setdefault(text[a:b], len(index)) for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)])
+                fresh = np.zeros(len(index) - sum(map(len, keys)), np.uint64)
+                new = mine >= len(index) - len(fresh)
+                fresh[mine[new] - (len(index) - len(fresh))] = key[new]
+                keys.append(fresh)
+                uses.append(np.stack([mine[use[0]], *docs[:, use[1]], use[2]]))
+            yield from _spans(list(index), np.concatenate(keys), np.concatenate(uses, axis=1), length, groups)
 
     return run
 
 
+def _unpack_heads(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and keys of strings: 6 bytes a key, at the end."""
+    n = int.from_bytes(blob[:8], "little") // 2
+    return _unpack(blob[: len(blob) - 6 * n], "<u2").astype(np.int64), _unpack_keys(blob[len(blob) - 6 * n :])
+
+
 def _spans(strings: list[bytes], keys: np.ndarray, uses: np.ndarray, length: int, groups: int) -> Iterator[pa.RecordBatch]:
+    """uses: string, id, mark and place of each occurrence. Occurrences in later documents than a string's
+    first go as a whole; of those in its first one the windows go that an even earlier document has."""
+    which, ids, marks, at = uses
     least = np.full(len(strings), _LAST)
-    np.minimum.at(least, uses[:, 0], uses[:, 1])
+    np.minimum.at(least, which, ids)
     sizes = np.array([len(s) for s in strings])
+    windows = sizes - length + 1
     # strings of one key belong together; keys are taken until there is enough to merge at once
     order = np.argsort(keys, kind="stable")
     total = np.cumsum(sizes[order] + 1)
@@ -436,25 +519,29 @@ def _spans(strings: list[bytes], keys: np.ndarray, uses: np.ndarray, length: int
             cut.append(e)
             done = total[e - 1] if e else 0
     cut.append(len(order))
-    first: list = [None] * len(strings)
+    parts = []
     for a, b in zip(cut, cut[1:], strict=False):
         mine = order[a:b]
-        for i, windows in zip(mine.tolist(), least_owners([strings[i] for i in mine], least[mine], length), strict=True):
-            first[i] = windows
-    own = uses[:, 1] == least[uses[:, 0]]
-    whole = uses[~own]
-    ids, marks, at, size = [whole[:, 1]], [whole[:, 2]], [whole[:, 3]], [sizes[whole[:, 0]]]
-    for i, who, mark, start in uses[own].tolist():
-        gone = np.flatnonzero(first[i] < who)
-        if len(gone):
-            ids.append(np.full(len(gone), who))
-            marks.append(np.full(len(gone), mark))
-            at.append(start + gone)
-            size.append(np.full(len(gone), length))
-    ids, marks, at, size = (np.concatenate(x) for x in (ids, marks, at, size))
-    out = [(g, 1, _pack(i, "<i8"), _pack(m, "<i8"), _pack(a, "<i8"), _pack(w, "<i4")) for g, i, m, a, w in _by(_group_of(ids, groups), ids, marks, at, size)]
-    for s in range(0, len(out), 64):
-        yield _moved(out[s : s + 64])
+        parts.append(least_owners([strings[i] for i in mine.tolist()], least[mine], length))
+    first = np.concatenate(parts)
+    base = np.empty(len(strings), np.int64)
+    base[order] = np.cumsum(windows[order]) - windows[order]
+    whole = np.flatnonzero(ids > least[which])
+    own = np.flatnonzero(ids == least[which])
+    # every window of the occurrences in first documents, and the runs of those that go
+    n = windows[which[own]]
+    of = np.repeat(np.arange(len(own)), n)
+    k = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    gone = first[base[which[own]][of] + k] < ids[own][of]
+    begin = np.flatnonzero(gone & np.r_[True, ~gone[:-1] | (of[1:] != of[:-1])]) if len(of) else np.zeros(0, np.int64)
+    end = np.flatnonzero(gone & np.r_[~gone[1:] | (of[1:] != of[:-1]), True]) if len(of) else begin
+    use = own[of[begin]]
+    use_all = np.concatenate([whole, use])
+    start = np.concatenate([at[whole], at[use] + k[begin]])
+    size = np.concatenate([sizes[which[whole]], end - begin + length])
+    out = _span_rows(ids[use_all], marks[use_all], start, size, groups)
+    for s in range(0, len(out), 256):
+        yield _moved(out[s : s + 256])
 
 
 # ---- step 4: what is left of the documents
@@ -470,31 +557,23 @@ def union_of(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _kept(write: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held, spans = None, [], None
         names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if write else [])]
-        for batch in batches:
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+        last, spans = None, {}
+        for held, row in _by_group(batches):
+            if held is not last:
+                last, spans = held, _by_document([[_unpack(x, t) for x, t in zip(r[2:], ("<i8", "<i8", "<i8", "<i4"), strict=True)] for r in held])
+            texts, ids, marks = _dealt(row)
             out = []
-            for to, kind, a, b, c, d, key, mark, text in zip(*(batch.column(n) for n in ("to", "kind", "a", "b", "c", "d", "id", "mark", "text")), strict=True):
-                to = to.as_py()
-                if to != group:
-                    group, held, spans = to, [], None
-                if kind.as_py() == 1:
-                    held.append([_unpack(x.as_py(), t) for x, t in zip((a, b, c, d), ("<i8", "<i8", "<i8", "<i4"), strict=True)])
-                    continue
-                if spans is None:
-                    spans = _by_document(held)
-                data, key = (text.as_py() or "").encode("utf-8", "surrogatepass"), key.as_py()
-                found = spans.get((key, mark.as_py()))
+            for data, key, mark in zip(texts, ids.tolist(), marks.tolist(), strict=True):
                 gone = n = 0
                 left = data
-                if found is not None:
+                if (found := spans.get((key, mark))) is not None:
                     start, end = union_of(*found)
                     gone, n = int((end - start).sum()), len(start)
                     left = b"".join(data[s:e] for s, e in zip([0, *end.tolist()], [*start.tolist(), len(data)], strict=True))
                 out.append((None if key == _LAST else key, len(data), gone, n, hashlib.sha256(left).hexdigest(), left))
-            if out:
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t, _ in zip(zip(*out, strict=True), types, names, strict=False)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t, _ in zip(zip(*out, strict=True), types, names, strict=False)], names=names)
 
     return run
 
@@ -521,34 +600,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = docs.select(key.alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets, groups = max(8, total // BUCKET_BYTES), max(8, total // GROUP_BYTES)
-    none = [F.lit(None).cast("binary").alias(c) for c in "abcd"]
     asked = found.mapInArrow(_ask(length, buckets, groups), _SQL)
-    answers = asked.repartition("to").sortWithinPartitions("to").mapInArrow(_answer(groups), _SQL)
-    answers = materialize(answers, "repeated-keys")
+    answers = materialize(asked.repartition("to").sortWithinPartitions("to").mapInArrow(_answer(groups), _SQL), "repeated-keys")
     del asked
-    grouped = found.mapInArrow(_with_group(groups), "`to` long, id long, mark long, text string")
-    whole = grouped.select("to", F.lit(0).alias("kind"), *none, "id", "mark", "text")
-    blank = [F.lit(None).cast(t).alias(c) for c, t in (("id", "long"), ("mark", "long"), ("text", "string"))]
-    both = whole.unionByName(answers.select("to", "kind", *"abcd", *blank)).repartition("to").sortWithinPartitions("to", F.desc("kind"))
-    strings = both.mapInArrow(_strings(length, buckets, groups), _SQL)
-    spans = strings.repartition("to").sortWithinPartitions("to").mapInArrow(_intervals(length, groups), _SQL)
-    spans = materialize(spans, "spans")
-    del strings, both
     release_shuffles(docs)
-    both = whole.unionByName(spans.select("to", "kind", *"abcd", *blank)).repartition("to").sortWithinPartitions("to", F.desc("kind"))
+    dealt = found.mapInArrow(_deal(groups), _SQL)
+    together = lambda said: dealt.unionByName(said).repartition("to").sortWithinPartitions("to", F.desc("kind"))
+    strings = together(answers).mapInArrow(_strings(length, buckets, groups), _SQL)
+    spans = materialize(strings.repartition("to").sortWithinPartitions("to").mapInArrow(_intervals(length, groups), _SQL), "spans")
+    del strings
+    discard(docs.sparkSession, answers)
+    release_shuffles(docs)
+    both = together(spans)
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if write else "")
     return both.mapInArrow(_kept(write), schema).withColumn("id", F.col("id").cast(docs.schema[id_col].dataType)).withColumnRenamed("id", id_col)
 
 
-def _with_group(groups: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            to = _group_of(batch.column("id").to_numpy(), groups)
-            yield pa.RecordBatch.from_arrays([pa.array(to), *batch.columns], names=["to", "id", "mark", "text"])
-
-    return run
-
-
 def release_shuffles(df: DataFrame) -> None:
     """Spark deletes the files of shuffles that no plan can read again once the driver collects its garbage,
     which may be long after; here it is now, before the texts move a second time."""
