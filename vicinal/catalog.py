@@ -1,6 +1,680 @@
-"""Registered queries of the engine, each with SQL that gives the same rows where SQL can."""
+"""Registered queries of the engine, each with SQL that gives the same rows where SQL can.
+
+All read the whole embeddings table. Searches take the rows whose id is divisible by 50 as queries. Pruning
+works on the first LOW dimensions, where it has power; full width goes through the matrix product.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+import os
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vicinal.functions import vectors as V
+from vicinal.operators import build, cascade, codes, knn, metrics, range_join
+
+LOW, R_FULL, R_LOW, K, CENTERS, SLABS, NPROBE, ETA = 4, 1.5, 0.01, 5, 16, 4, 3, 4.0
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+# ---- tables
+
+
+def embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), V.as_double("embedding").alias("vec"), F.col("label").cast("int").alias("label"))
+
+
+def low(df: DataFrame, dims: int = LOW) -> DataFrame:
+    return df.withColumn("vec", F.slice("vec", 1, dims))
+
+
+def as_queries(base: DataFrame) -> DataFrame:
+    return base.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vec")
+
+
+def low_index(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, cascade.Index]:
+    base = low(embeddings(spark, sf))
+    return base, as_queries(base), cascade.build_index(base, build.stride_seeds(base, CENTERS), SLABS, LOW, 24)
+
+
+def integers(df: DataFrame, signed: bool) -> DataFrame:
+    """Components as whole numbers: from -127 to 127, or from 0 to 255."""
+    x = (lambda v: F.round(v * 127)) if signed else (lambda v: F.round((v + 1) * 127.5))
+    return df.withColumn("vec", F.transform("vec", x).cast("array<bigint>"))
+
+
+# ---- SQL that several queries share
+
+L2 = "list_sum(list_transform(list_zip({a}, {b}), lambda x: (x[1] - x[2]) * (x[1] - x[2])))"
+DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda x: x[1] * x[2]))"
+OWN = "list_sum(list_transform({a}, lambda x: x * x))"
+
+
+def l2(a: str, b: str) -> str:
+    return L2.format(a=a, b=b)
+
+
+def dot(a: str, b: str) -> str:
+    return DOT.format(a=a, b=b)
+
+
+def own(a: str) -> str:
+    return OWN.format(a=a)
+
+
+def with_tables(dims: int = 64, k: int = CENTERS) -> str:
+    """b: base; q: queries; c: centers, the stride seeds."""
+    return f"""WITH b AS (SELECT vec_id AS id, list_transform(embedding[1:{dims}], lambda x: CAST(x AS DOUBLE)) AS v, label FROM embeddings),
+    q AS (SELECT id AS query_id, v FROM b WHERE id % 50 = 0),
+    ranked AS (SELECT id, v, row_number() OVER (ORDER BY id) - 1 AS rk, (SELECT count(*) FROM b) // {k} AS step FROM b),
+    c AS (SELECT CAST(rk // step AS INTEGER) AS cluster_id, v FROM ranked WHERE rk % step = 0 AND rk < step * {k})"""
+
+
+def with_assigned(dims: int = LOW, m: int = 1) -> str:
+    """a: (id, v, cluster_id, d2, rank) of the m nearest centers."""
+    return (
+        with_tables(dims)
+        + f""", dist AS (SELECT b.id, b.v, c.cluster_id, {l2("b.v", "c.v")} AS d2 FROM b, c),
+    a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, cluster_id) AS rank FROM dist) WHERE rank <= {m})"""
+    )
+
+
+def with_hits(dims: int, r_sq: float) -> str:
+    return with_tables(dims) + f""", p AS (SELECT q.query_id, b.id AS base_id, {l2("b.v", "q.v")} AS dist_sq FROM b, q),
+    hits AS (SELECT * FROM p WHERE dist_sq <= {r_sq}),
+    counts AS (SELECT q.query_id, count(h.base_id) AS n_hits FROM q LEFT JOIN hits h USING (query_id) GROUP BY q.query_id)"""
+
+
+NEIGHBOURS = f""", cn AS (SELECT * FROM (SELECT x.cluster_id, y.cluster_id AS neighbour_id, x.v AS xv, y.v AS yv, {l2("x.v", "y.v")} AS dist_sq,
+      row_number() OVER (PARTITION BY x.cluster_id ORDER BY {l2("x.v", "y.v")}, y.cluster_id) - 1 AS slot
+      FROM c x, c y WHERE x.cluster_id <> y.cluster_id) WHERE slot < {SLABS})"""
+SLAB_SQL = f""", pr AS (SELECT cn.cluster_id, cn.neighbour_id, cn.slot, sqrt(cn.dist_sq) AS norm,
+      ({dot("a.v", "list_transform(list_zip(cn.yv, cn.xv), lambda x: x[1] - x[2])")} - {dot("cn.xv", "list_transform(list_zip(cn.yv, cn.xv), lambda x: x[1] - x[2])")}) / sqrt(cn.dist_sq) AS pos
+      FROM cn LEFT JOIN a ON a.cluster_id = cn.cluster_id),
+    sl AS (SELECT cluster_id, neighbour_id, slot, any_value(norm) AS norm, min(pos) AS lo, max(pos) AS hi FROM pr GROUP BY ALL)"""
+SLAB_SQL = SLAB_SQL.replace("GROUP BY ALL", "GROUP BY cluster_id, neighbour_id, slot")
+
+
+def query(name: str, sql: str | None = None):
+    def keep(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return keep
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.select(*[F.round(c, 6).alias(c) if c in columns else c for c in df.columns])
+
+
+def one(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+# ---- range joins and truth
+
+
+@query("range_join", with_hits(64, R_FULL) + "SELECT query_id, base_id, round(dist_sq, 6) AS dist_sq FROM hits")
+def q_range_join(spark, sf):
+    base = embeddings(spark, sf)
+    return rounded(range_join.range_join(base, as_queries(base), R_FULL), "dist_sq")
+
+
+@query("range_join_small_dim", with_hits(8, 0.1) + "SELECT query_id, base_id, round(dist_sq, 6) AS dist_sq FROM hits")
+def q_range_join_small(spark, sf):
+    base = low(embeddings(spark, sf), 8)
+    return rounded(range_join.range_join(base, as_queries(base), 0.1), "dist_sq")
+
+
+def counts_of(spark, sf):
+    base = embeddings(spark, sf)
+    queries = as_queries(base)
+    return range_join.count_per_query(queries, range_join.range_join(base, queries, R_FULL))
+
+
+@query("range_count_per_query", with_hits(64, R_FULL) + "SELECT query_id, n_hits FROM counts")
+def q_counts(spark, sf):
+    return counts_of(spark, sf)
+
+
+STATS_SQL = "SELECT CAST(sum(n_hits) AS BIGINT) AS total_in_range, min(n_hits) AS min_hits, median(n_hits) AS median_hits, max(n_hits) AS max_hits, count(*) FILTER (n_hits = 0) AS zero_hit_queries, count(*) AS n_queries FROM counts"
+
+
+@query("range_count_stats", with_hits(64, R_FULL) + STATS_SQL)
+def q_count_stats(spark, sf):
+    return metrics.count_stats(counts_of(spark, sf))
+
+
+@query("hit_verification", with_hits(64, R_FULL) + "SELECT query_id, base_id, dist_sq FROM hits WHERE dist_sq > 1e9")
+def q_verify(spark, sf):
+    base = embeddings(spark, sf)
+    queries = as_queries(base)
+    return range_join.verify(range_join.range_join(base, queries, R_FULL), base, queries)
+
+
+@query("truth_cross_check", "SELECT CAST(NULL AS VARCHAR) AS what, 0.0::DOUBLE AS stated, 0.0::DOUBLE AS found WHERE false")
+def q_truth_check(spark, sf):
+    counts = counts_of(spark, sf)
+    return metrics.check_truth(counts, metrics.count_stats(counts))
+
+
+@query("truth_json", None)
+def q_truth_json(spark, sf):
+    return metrics.truth_json(counts_of(spark, sf), R_FULL, "embeddings", 64, embeddings(spark, sf).count())
+
+
+@query("metric_rows", with_hits(64, R_FULL) + f", s AS ({STATS_SQL}) SELECT metric, value FROM (UNPIVOT (SELECT total_in_range::DOUBLE AS total_in_range, min_hits::DOUBLE AS min_hits, median_hits::DOUBLE AS median_hits, max_hits::DOUBLE AS max_hits, zero_hit_queries::DOUBLE AS zero_hit_queries, n_queries::DOUBLE AS n_queries FROM s) ON COLUMNS(*) INTO NAME metric VALUE value)")
+def q_metric_rows(spark, sf):
+    return metrics.as_rows(metrics.count_stats(counts_of(spark, sf)))
+
+
+@query("histogram_counts", with_hits(64, R_FULL) + "SELECT CAST(floor(log10(n_hits) * 5 + 1e-9) AS INTEGER) AS bin, count(*) AS n FROM counts WHERE n_hits > 0 GROUP BY 1")
+def q_histogram(spark, sf):
+    return metrics.histogram(counts_of(spark, sf))
+
+
+@query("count_quantiles", with_hits(64, R_FULL) + "SELECT min(n_hits) AS min_hits, median(n_hits) AS median_hits, round(quantile_cont(n_hits, 0.95), 6) AS p95_hits, max(n_hits) AS max_hits FROM counts WHERE n_hits > 0")
+def q_count_quantiles(spark, sf):
+    return metrics.count_quantiles(counts_of(spark, sf))
+
+
+KNN_SQL = f""", nn AS (SELECT * FROM (SELECT query_id, base_id, dist_sq, row_number() OVER (PARTITION BY query_id ORDER BY dist_sq, base_id) AS rank FROM p) WHERE rank <= {K})"""
+
+
+@query("knn_topk", with_hits(64, R_FULL) + KNN_SQL + "SELECT query_id, base_id, round(dist_sq, 6) AS dist_sq, rank FROM nn")
+def q_knn(spark, sf):
+    base = embeddings(spark, sf)
+    return rounded(knn.knn(base, as_queries(base), K), "dist_sq")
+
+
+@query("knn_lists", with_hits(64, R_FULL) + KNN_SQL + "SELECT query_id, list(base_id ORDER BY rank) AS ids, list(round(dist_sq, 6) ORDER BY rank) AS dists FROM nn GROUP BY query_id")
+def q_knn_lists(spark, sf):
+    base = embeddings(spark, sf)
+    listed = knn.as_lists(knn.knn(base, as_queries(base), K))
+    return listed.select("query_id", F.col("neighbours.id").alias("ids"), F.transform("neighbours", lambda x: F.round(x["dist_sq"], 6)).alias("dists"))
+
+
+@query("knn_label_filtered", with_tables() + f"SELECT query_id, base_id, round(dist_sq, 6) AS dist_sq, rank FROM (SELECT q.query_id, b.id AS base_id, {l2('b.v', 'q.v')} AS dist_sq, row_number() OVER (PARTITION BY q.query_id ORDER BY {l2('b.v', 'q.v')}, b.id) AS rank FROM b, q WHERE b.label = 3) WHERE rank <= {K}")
+def q_knn_label(spark, sf):
+    base = embeddings(spark, sf)
+    return rounded(knn.knn(base.where("label = 3"), as_queries(base), K), "dist_sq")
+
+
+@query("one_nn", with_tables() + f"SELECT query_id, base_id, round(dist_sq, 6) AS dist_sq FROM (SELECT q.query_id, b.id AS base_id, {l2('b.v', 'q.v')} AS dist_sq, row_number() OVER (PARTITION BY q.query_id ORDER BY {l2('b.v', 'q.v')}, b.id) AS rank FROM b, q WHERE b.id % 50 <> 0) WHERE rank = 1")
+def q_one_nn(spark, sf):
+    base = embeddings(spark, sf)
+    return rounded(knn.one_nn(base.where("id % 50 <> 0"), as_queries(base)), "dist_sq")
+
+
+@query("kth_distance", with_hits(64, R_FULL) + KNN_SQL + f"SELECT query_id, base_id, round(dist_sq, 6) AS dist_sq FROM nn WHERE rank = {K}")
+def q_kth(spark, sf):
+    base = embeddings(spark, sf)
+    queries = as_queries(base)
+    return rounded(knn.kth_distance(knn.knn(base, queries, K), base, queries, K), "dist_sq")
+
+
+@query("radius_percentile", with_hits(64, R_FULL) + KNN_SQL + f"SELECT round(quantile_cont(dist_sq, 0.5), 6) AS radius_squared, round(sqrt(quantile_cont(dist_sq, 0.5)), 6) AS radius_l2 FROM nn WHERE rank = {K}")
+def q_radius(spark, sf):
+    base = embeddings(spark, sf)
+    queries = as_queries(base)
+    return metrics.radius_at(knn.kth_distance(knn.knn(base, queries, K), base, queries, K), 50)
+
+
+@query("self_join_strict", with_tables(LOW) + f"SELECT x.id AS a, y.id AS b, round({l2('x.v', 'y.v')}, 6) AS dist_sq FROM b x, b y WHERE x.id > y.id AND {l2('x.v', 'y.v')} < 0.002")
+def q_self_join(spark, sf):
+    return rounded(range_join.self_join(low(embeddings(spark, sf)), 0.002), "dist_sq")
+
+
+# ---- build
+
+
+@query("stride_seeds", with_tables(LOW) + "SELECT cluster_id, list_transform(v, lambda x: round(x, 6)) AS vec FROM c")
+def q_seeds(spark, sf):
+    base = low(embeddings(spark, sf))
+    return build.stride_seeds(base, CENTERS).table(spark).select("cluster_id", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
+
+
+@query("nearest_centroid", with_assigned() + "SELECT id, cluster_id, round(d2, 6) AS dist_sq FROM a")
+def q_nearest(spark, sf):
+    base = low(embeddings(spark, sf))
+    return rounded(build.assign(base, build.stride_seeds(base, CENTERS)).select("id", "cluster_id", "dist_sq"), "dist_sq")
+
+
+@query("two_nn_assign", with_assigned(m=2) + "SELECT id, cluster_id, round(d2, 6) AS dist_sq, CAST(rank AS INTEGER) AS rank FROM a")
+def q_two_nn(spark, sf):
+    base = low(embeddings(spark, sf))
+    return rounded(build.assign(base, build.stride_seeds(base, CENTERS), 2).select("id", "cluster_id", "dist_sq", "rank"), "dist_sq")
+
+
+@query("two_choice_assign")
+def q_two_choice(spark, sf):
+    base = low(embeddings(spark, sf))
+    return build.two_choice(base, build.stride_seeds(base, CENTERS))
+
+
+@query("lloyd_step", with_assigned() + f", m AS (SELECT cluster_id, d AS dim, avg(v[d]) AS x FROM a, range(1, {LOW + 1}) t(d) GROUP BY cluster_id, d) SELECT c.cluster_id, list(round(m.x, 6) ORDER BY m.dim) AS vec FROM c JOIN m USING (cluster_id) GROUP BY c.cluster_id")
+def q_lloyd(spark, sf):
+    base = low(embeddings(spark, sf))
+    after, _ = build.lloyd_step(base, build.stride_seeds(base, CENTERS))
+    return after.table(spark).select("cluster_id", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
+
+
+@query("clustering_loss", with_assigned() + "SELECT round(sum(d2), 6) AS loss FROM a")
+def q_loss(spark, sf):
+    base = low(embeddings(spark, sf))
+    return spark.createDataFrame([(round(build.lloyd_step(base, build.stride_seeds(base, CENTERS))[1], 6),)], "loss double")
+
+
+@query("kmeans_train")
+def q_kmeans(spark, sf):
+    base = low(embeddings(spark, sf))
+    return build.kmeans(base, CENTERS).table(spark)
+
+
+@query("anisotropic_update")
+def q_anisotropic(spark, sf):
+    base = embeddings(spark, sf)
+    return build.anisotropic_step(base, build.stride_seeds(base, CENTERS), ETA)[0].table(spark)
+
+
+def assigned_of(spark, sf):
+    base = low(embeddings(spark, sf))
+    centers = build.stride_seeds(base, CENTERS)
+    return build.assign(base, centers), centers
+
+
+@query("cluster_stats", with_assigned() + "SELECT cluster_id, count(*) AS n, round(max(sqrt(d2)), 6) AS radius FROM a GROUP BY cluster_id")
+def q_cluster_stats(spark, sf):
+    return rounded(build.cluster_stats(assigned_of(spark, sf)[0]), "radius")
+
+
+@query("cluster_offsets", with_assigned() + ", s AS (SELECT cluster_id, count(*) AS n FROM a GROUP BY cluster_id) SELECT cluster_id, n, CAST(sum(n) OVER (ORDER BY cluster_id ROWS UNBOUNDED PRECEDING) - n AS BIGINT) AS \"offset\" FROM s")
+def q_offsets(spark, sf):
+    return build.offsets(build.cluster_stats(assigned_of(spark, sf)[0]).select("cluster_id", "n"), "cluster_id", "n")
+
+
+@query("centroid_knn", with_tables(LOW) + NEIGHBOURS + "SELECT cluster_id, neighbour_id, round(dist_sq, 6) AS dist_sq, CAST(slot AS INTEGER) AS slot FROM cn")
+def q_centroid_knn(spark, sf):
+    centers = build.stride_seeds(low(embeddings(spark, sf)), CENTERS)
+    return rounded(build.center_neighbours(centers, SLABS, spark), "dist_sq")
+
+
+@query("slab_bounds", with_assigned() + NEIGHBOURS + SLAB_SQL + "SELECT cluster_id, neighbour_id, CAST(slot AS INTEGER) AS slot, round(norm, 6) AS norm, round(lo, 6) AS lo, round(hi, 6) AS hi FROM sl")
+def q_slabs(spark, sf):
+    assigned, centers = assigned_of(spark, sf)
+    return rounded(build.slabs(assigned, centers, SLABS).select("cluster_id", "neighbour_id", "slot", "norm", "lo", "hi"), "norm", "lo", "hi")
+
+
+@query("slab_rank", with_assigned() + NEIGHBOURS + SLAB_SQL + "SELECT cluster_id, CAST(slot AS INTEGER) AS slot, CAST(row_number() OVER (PARTITION BY cluster_id ORDER BY hi - lo, slot) AS INTEGER) AS tightness FROM sl")
+def q_slab_rank(spark, sf):
+    assigned, centers = assigned_of(spark, sf)
+    return build.slab_order(build.slabs(assigned, centers, SLABS)).select("cluster_id", "slot", "tightness")
+
+
+@query("seeded_sample")
+def q_sample(spark, sf):
+    return build.sample(embeddings(spark, sf), 8).select("id")
+
+
+@query("kd_split_step", with_assigned() + ", m AS (SELECT cluster_id, median(v[1]) AS cut FROM a GROUP BY cluster_id) SELECT a.cluster_id, round(cut, 6) AS cut, count(*) FILTER (v[1] <= cut) AS n_left, count(*) FILTER (v[1] > cut) AS n_right FROM a JOIN m USING (cluster_id) GROUP BY a.cluster_id, cut")
+def q_kd_step(spark, sf):
+    assigned, _ = assigned_of(spark, sf)
+    x = F.col("vec")[0]
+    cuts = assigned.groupBy("cluster_id").agg(F.median(x).alias("cut"))
+    j = assigned.join(cuts, "cluster_id")
+    return rounded(j.groupBy("cluster_id", "cut").agg(F.count_if(x <= F.col("cut")).alias("n_left"), F.count_if(x > F.col("cut")).alias("n_right")), "cut")
+
+
+@query("cluster_pair_prune", with_assigned() + f", s AS (SELECT a.cluster_id, any_value(c.v) AS v, max(sqrt(d2)) AS radius FROM a JOIN c USING (cluster_id) GROUP BY a.cluster_id) SELECT x.cluster_id AS a, y.cluster_id AS b, round(sqrt({l2('x.v', 'y.v')}), 6) AS dist, NOT (sqrt({l2('x.v', 'y.v')}) >= x.radius + y.radius + 0.01 OR sqrt({l2('x.v', 'y.v')}) / 2 >= x.radius + 0.01) AS kept FROM s x, s y WHERE x.cluster_id < y.cluster_id")
+def q_pair_prune(spark, sf):
+    assigned, centers = assigned_of(spark, sf)
+    return range_join.cluster_pairs(build.cluster_stats(assigned).join(centers.table(spark), "cluster_id"), 0.01)
+
+
+@query("assignment_check", "SELECT count(*) AS checked, CAST(0 AS BIGINT) AS mismatched FROM embeddings WHERE vec_id % 7 = 0")
+def q_assignment_check(spark, sf):
+    return metrics.assignment_errors(*assigned_of(spark, sf), 7)
+
+
+# ---- cascade
+
+
+@query("prescreen", with_assigned() + f", s AS (SELECT cluster_id, max(sqrt(d2)) AS radius FROM a GROUP BY cluster_id) SELECT q.query_id, s.cluster_id, {l2('q.v', 'c.v')} <= power({R_LOW ** 0.5} + radius, 2) AS kept FROM q, c JOIN s USING (cluster_id)")
+def q_prescreen(spark, sf):
+    _, queries, index = low_index(spark, sf)
+    found = cascade.prescreen(cascade.candidates(index, queries, cascade.Options()), index.stats, R_LOW**0.5)
+    return found.select("query_id", "cluster_id", F.col("pre_kept").alias("kept"))
+
+
+@query("slab_lower_bound", with_assigned() + NEIGHBOURS + SLAB_SQL + f", qp AS (SELECT q.query_id, cn.cluster_id, cn.slot, ({dot('q.v', 'list_transform(list_zip(cn.yv, cn.xv), lambda x: x[1] - x[2])')} - {dot('cn.xv', 'list_transform(list_zip(cn.yv, cn.xv), lambda x: x[1] - x[2])')}) / sqrt(cn.dist_sq) AS pos FROM q, cn) SELECT qp.query_id, qp.cluster_id, round(max(greatest(0.0, sl.lo - pos, pos - sl.hi)), 6) AS slab_lb FROM qp JOIN sl USING (cluster_id, slot) GROUP BY qp.query_id, qp.cluster_id")
+def q_slab_lb(spark, sf):
+    _, queries, index = low_index(spark, sf)
+    return rounded(cascade.slab_bounds(cascade.candidates(index, queries, cascade.Options()), index), "slab_lb")
+
+
+@query("cascade_exact", with_hits(LOW, R_LOW) + "SELECT query_id, base_id, round(dist_sq, 6) AS dist_sq FROM hits")
+def q_cascade(spark, sf):
+    _, queries, index = low_index(spark, sf)
+    return rounded(cascade.range_search(index, queries, R_LOW), "dist_sq")
+
+
+@query("cascade_without_cells", with_hits(LOW, R_LOW) + "SELECT query_id, base_id, round(dist_sq, 6) AS dist_sq FROM hits")
+def q_cascade_toggled(spark, sf):
+    _, queries, index = low_index(spark, sf)
+    return rounded(cascade.range_search(index, queries, R_LOW, cascade.Options(stages=("prescreen", "slab"))), "dist_sq")
+
+
+@query("prune_counters")
+def q_counters(spark, sf):
+    _, queries, index = low_index(spark, sf)
+    return cascade.prune_counters(cascade.decisions(index, queries, R_LOW))
+
+
+@query("partition_identity", "SELECT CAST(0 AS BIGINT) AS vecs WHERE false")
+def q_identity(spark, sf):
+    _, queries, index = low_index(spark, sf)
+    return metrics.partition_errors(cascade.prune_counters(cascade.decisions(index, queries, R_LOW))).select("vecs")
+
+
+@query("bound_soundness", "SELECT CAST(0 AS BIGINT) AS query_id, CAST(0 AS BIGINT) AS base_id WHERE false")
+def q_soundness(spark, sf):
+    """Pairs that are nearer than a bound of their cluster or cell says."""
+    base, queries, index = low_index(spark, sf)
+    found = cascade.candidates(index, queries, cascade.Options())
+    slab = cascade.slab_bounds(found, index)
+    bounds = cascade.cell_bounds(found, index).join(slab, ["query_id", "cluster_id"]).withColumn("id", F.explode("ids"))
+    both = bounds.join(base.select("id", F.col("vec").alias("bv")), "id").join(queries, "query_id")
+    bound = F.greatest("pca_lb", "cell_lb", "slab_lb")
+    return both.where(bound > V.l2("bv", "vec") + 1e-5).select("query_id", F.col("id").alias("base_id"))
+
+
+@query("io_bytes")
+def q_io(spark, sf):
+    _, queries, index = low_index(spark, sf)
+    return metrics.io_bytes(cascade.decisions(index, queries, R_LOW), LOW)
+
+
+@query("touched_clusters", with_assigned() + f", s AS (SELECT cluster_id, max(sqrt(d2)) AS radius FROM a GROUP BY cluster_id) SELECT q.query_id, count(DISTINCT s.cluster_id) AS n_clusters FROM q, c JOIN s USING (cluster_id) WHERE {l2('q.v', 'c.v')} <= power({R_LOW ** 0.5} + radius, 2) GROUP BY q.query_id")
+def q_touched(spark, sf):
+    _, queries, index = low_index(spark, sf)
+    found = cascade.prescreen(cascade.candidates(index, queries, cascade.Options()), index.stats, R_LOW**0.5)
+    return metrics.touched_clusters(found.where("pre_kept"))
+
+
+@query("by_result_class")
+def q_by_class(spark, sf):
+    base, queries, index = low_index(spark, sf)
+    decided = cascade.decisions(index, queries, R_LOW)
+    read = decided.groupBy("query_id").agg(F.count_if(F.col("stage").isNull()).alias("cells_read"), F.count(F.lit(1)).alias("cells"))
+    counts = range_join.count_per_query(queries, range_join.range_join(base, queries, R_LOW))
+    return metrics.by_result_class(counts.join(read, "query_id"))
+
+
+@query("alpha_recall")
+def q_alpha(spark, sf):
+    base, queries, index = low_index(spark, sf)
+    truth = range_join.range_join(base, queries, R_LOW)
+    return one([metrics.recall(cascade.range_search(index, queries, R_LOW, cascade.Options(alpha=a)), truth).withColumn("alpha", F.lit(a)) for a in (1.0, 2.0, 8.0)])
+
+
+@query("recall_by_candidates", with_assigned() + f", qc AS (SELECT * FROM (SELECT q.query_id, q.v, c.cluster_id, row_number() OVER (PARTITION BY q.query_id ORDER BY {l2('q.v', 'c.v')}, c.cluster_id) AS rank FROM q, c) WHERE rank <= {NPROBE}), f AS (SELECT qc.query_id, a.id FROM qc JOIN a USING (cluster_id) WHERE {l2('qc.v', 'a.v')} <= {R_LOW}), t AS (SELECT count(*) AS n FROM q, b WHERE {l2('q.v', 'b.v')} <= {R_LOW}) SELECT (SELECT count(*) FROM f) AS n_found, n AS n_true, round((SELECT count(*) FROM f) / n, 6) AS count_recall, round((SELECT count(*) FROM f) / n, 6) AS set_recall FROM t")
+def q_recall(spark, sf):
+    base, queries, index = low_index(spark, sf)
+    found = cascade.range_search(index, queries, R_LOW, cascade.Options(n_candidates=NPROBE))
+    return metrics.recall(found, range_join.range_join(base, queries, R_LOW))
+
+
+@query("cluster_scan", with_assigned() + "SELECT id, cluster_id FROM a WHERE cluster_id IN (1, 3)")
+def q_scan(spark, sf):
+    """Some clusters of an index on disk, by partition pruning."""
+    from vicinal.plans.shared import new_path
+
+    _, _, index = low_index(spark, sf)
+    path = new_path(spark, "index")
+    build.write_index(path, index.assigned, index.cells, index.slabs, index.centers, {"k": CENTERS})
+    return spark.read.parquet(f"{path}/base").where("cluster_id in (1, 3)").select("id", F.col("cluster_id").cast("int"))
+
+
+# ---- classifiers
+
+EMPTY_SQL = with_assigned() + f""", qc AS (SELECT * FROM (SELECT q.query_id, q.v, c.cluster_id, row_number() OVER (PARTITION BY q.query_id ORDER BY {l2("q.v", "c.v")}, c.cluster_id) AS rank FROM q, c) WHERE rank <= {NPROBE}),
+    e AS (SELECT qc.query_id, min({l2("qc.v", "a.v")}) AS min_dist_sq FROM qc JOIN a USING (cluster_id) WHERE a.id <> qc.query_id GROUP BY qc.query_id),
+    d AS (SELECT q.query_id, min_dist_sq, coalesce(min_dist_sq > 0.002, false) AS is_empty FROM q LEFT JOIN e USING (query_id)),
+    t AS (SELECT q.query_id, count(b.id) AS n_hits FROM q LEFT JOIN b ON b.id <> q.query_id AND {l2("q.v", "b.v")} <= 0.002 GROUP BY q.query_id)"""
+
+
+def decided_of(spark, sf):
+    """A classifier's decisions and the truth, for rows other than the queries."""
+    base = low(embeddings(spark, sf))
+    centers = build.stride_seeds(base, CENTERS)
+    queries, rest = as_queries(base), base.where("id % 50 <> 0")
+    decided = metrics.empty_by_probe(build.assign(rest, centers), centers, queries, 0.002, NPROBE)
+    return queries, decided, range_join.count_per_query(queries, range_join.range_join(rest, queries, 0.002))
+
+
+EMPTY_SQL = EMPTY_SQL.replace("a.id <> qc.query_id", "a.id % 50 <> 0").replace("b.id <> q.query_id", "b.id % 50 <> 0")
+
+
+@query("emptiness_exact_nprobe", EMPTY_SQL + "SELECT query_id, round(min_dist_sq, 6) AS min_dist_sq, is_empty FROM d")
+def q_empty(spark, sf):
+    return rounded(decided_of(spark, sf)[1], "min_dist_sq")
+
+
+@query("emptiness_1nn", with_tables(LOW) + f"SELECT q.query_id, round(sqrt(min({l2('b.v', 'q.v')})), 6) AS dist, sqrt(min({l2('b.v', 'q.v')})) > {0.002 ** 0.5} + 0.001 AS is_empty FROM q, b WHERE b.id % 50 <> 0 GROUP BY q.query_id")
+def q_empty_1nn(spark, sf):
+    base = low(embeddings(spark, sf))
+    return rounded(metrics.empty_by_nearest(knn.one_nn(base.where("id % 50 <> 0"), as_queries(base)), 0.002**0.5, 0.001), "dist")
+
+
+@query("survivors_semi", EMPTY_SQL + "SELECT query_id FROM d WHERE NOT is_empty")
+def q_survivors(spark, sf):
+    queries, decided, _ = decided_of(spark, sf)
+    return metrics.survivors(queries, decided).select("query_id")
+
+
+@query("skipped_anti", EMPTY_SQL + "SELECT query_id FROM d WHERE is_empty")
+def q_skipped(spark, sf):
+    queries, decided, _ = decided_of(spark, sf)
+    return metrics.skipped(queries, decided).select("query_id")
+
+
+@query("nonempty_workload", EMPTY_SQL + "SELECT query_id FROM t WHERE n_hits > 0")
+def q_nonempty(spark, sf):
+    queries, _, truth = decided_of(spark, sf)
+    return queries.join(truth.where("n_hits > 0"), "query_id", "left_semi").select("query_id")
+
+
+@query("oracle_confusion", EMPTY_SQL + "SELECT count(*) AS n_queries, count(*) FILTER (is_empty) AS n_skipped, count(*) FILTER (is_empty AND n_hits > 0) AS n_false_empty, CAST(coalesce(sum(n_hits) FILTER (is_empty), 0) AS BIGINT) AS hits_lost, CAST(sum(n_hits) AS BIGINT) AS hits, round(count(*) FILTER (is_empty) / count(*), 6) AS skip_rate, round(count(*) FILTER (is_empty AND n_hits > 0) / nullif(count(*) FILTER (n_hits > 0), 0), 6) AS false_empty_rate, round(coalesce(sum(n_hits) FILTER (is_empty), 0) / nullif(sum(n_hits), 0), 6) AS hit_loss, round(count(*) FILTER (is_empty AND n_hits = 0) / nullif(count(*) FILTER (n_hits = 0), 0), 6) AS zero_short_circuit_rate FROM d JOIN t USING (query_id)")
+def q_confusion(spark, sf):
+    _, decided, truth = decided_of(spark, sf)
+    return metrics.confusion(decided, truth)
+
+
+@query("recall_at_1", "SELECT 1.0::DOUBLE AS recall_at_1")
+def q_recall_at_1(spark, sf):
+    base = embeddings(spark, sf)
+    near = knn.one_nn(base.where("id % 50 <> 0"), as_queries(base)).select("query_id", F.sqrt("dist_sq").alias("dist"))
+    return metrics.recall_at_1(near, near)
+
+
+@query("set_overlap", with_assigned() + f", qc AS (SELECT * FROM (SELECT q.query_id, c.cluster_id, row_number() OVER (PARTITION BY q.query_id ORDER BY {l2('q.v', 'c.v')}, c.cluster_id) AS rank FROM q, c)) SELECT count(*) FILTER (rank <= 3) AS n_a, count(*) FILTER (rank <= 5) AS n_b, count(*) FILTER (rank <= 3) AS n_both, count(*) FILTER (rank IN (4, 5)) AS n_one FROM qc")
+def q_overlap(spark, sf):
+    base = low(embeddings(spark, sf))
+    centers = build.stride_seeds(base, CENTERS)
+    near = build.assign(base.where("id % 50 = 0"), centers, 5).select(F.col("id").alias("query_id"), "cluster_id", "rank")
+    return metrics.set_overlap(near.where("rank <= 3"), near, ["query_id", "cluster_id"])
+
+
+@query("hit_set_equality", "SELECT CAST(0 AS BIGINT) AS query_id, CAST(0 AS BIGINT) AS base_id WHERE false")
+def q_set_equality(spark, sf):
+    base, queries, index = low_index(spark, sf)
+    a, b = (x.select("query_id", "base_id") for x in (cascade.range_search(index, queries, R_LOW), range_join.range_join(base, queries, R_LOW)))
+    return a.exceptAll(b).unionAll(b.exceptAll(a))
+
+
+RUNS = [(1, 0.9945, 288.0), (2, 0.9995, 214.0), (3, 1.0, 133.0), (4, 0.99, 200.0), (5, 0.9995, 210.0), (6, 1.0, 133.0)]
+
+
+@query("pareto_front", "WITH r(run, recall, qps) AS (VALUES " + ", ".join(map(str, RUNS)) + ") SELECT CAST(run AS BIGINT) AS run, CAST(recall AS DOUBLE) AS recall, CAST(qps AS DOUBLE) AS qps FROM r WHERE NOT EXISTS (SELECT 1 FROM r o WHERE o.recall >= r.recall AND o.qps >= r.qps AND (o.recall > r.recall OR o.qps > r.qps))")
+def q_pareto(spark, sf):
+    return metrics.pareto_front(spark.createDataFrame(RUNS, "run long, recall double, qps double"))
+
+
+@query("run_medians", "WITH r(run, recall, qps) AS (VALUES " + ", ".join(map(str, RUNS)) + ") SELECT CAST(recall AS DOUBLE) AS recall, round(median(CAST(qps AS DOUBLE)), 6) AS median_value FROM r GROUP BY 1")
+def q_medians(spark, sf):
+    return metrics.run_medians(spark.createDataFrame(RUNS, "run long, recall double, qps double"), "recall", "qps")
+
+
+# ---- vector functions
+
+
+@query("l2_normalize", with_tables(LOW) + f"SELECT id, list_transform(v, lambda x: round(x / (sqrt({own('v')}) + 1e-12), 6)) AS vec FROM b")
+def q_normalize(spark, sf):
+    return low(embeddings(spark, sf)).select("id", F.transform(V.normalize("vec"), lambda x: F.round(x, 6)).alias("vec"))
+
+
+@query("inner_products", with_tables() + f"SELECT q.query_id, b.id AS base_id, round({dot('b.v', 'q.v')}, 6) AS ip, round(-{dot('b.v', 'q.v')}, 6) AS neg_ip, round(abs({dot('b.v', 'q.v')}), 6) AS abs_ip, round(-abs({dot('b.v', 'q.v')}), 6) AS neg_abs_ip, round(-{l2('b.v', 'q.v')}, 6) AS neg_l2 FROM b, q")
+def q_inner(spark, sf):
+    """Every query against every row, the queries in one broadcast block."""
+    base = range_join.spread(embeddings(spark, sf))
+    blocks = []
+    for ids, matrix in range_join.query_blocks(as_queries(base)):
+        items = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, matrix, strict=True)], "query_id long, qv array<double>")
+        j = base.join(F.broadcast(items), F.lit(True))
+        f = {"ip": V.dot, "neg_ip": V.neg_dot, "abs_ip": V.abs_dot, "neg_abs_ip": V.neg_abs_dot, "neg_l2": V.neg_l2_sq}
+        blocks.append(j.select("query_id", F.col("id").alias("base_id"), *(F.round(g("vec", "qv"), 6).alias(n) for n, g in f.items())))
+    return one(blocks)
+
+
+@query("norms", with_tables() + f"SELECT id, round({own('v')}, 6) AS norm_sq, round(sqrt({own('v')}), 6) AS norm, round({own('v')} + {own('v')} - 2 * {dot('v', 'v')}, 6) AS self_dist FROM b")
+def q_norms(spark, sf):
+    n = V.norm_sq("vec")
+    return embeddings(spark, sf).select("id", F.round(n, 6).alias("norm_sq"), F.round(V.norm("vec"), 6).alias("norm"), F.round(V.l2_sq_via_norms(n, n, V.dot("vec", "vec")), 6).alias("self_dist"))
+
+
+@query("point_center_distance", with_assigned() + "SELECT id, cluster_id, round(sqrt(d2), 6) AS dist FROM a")
+def q_point_center(spark, sf):
+    assigned, centers = assigned_of(spark, sf)
+    table = centers.table(spark).select("cluster_id", F.col("vec").alias("cv"))
+    return assigned.join(F.broadcast(table), "cluster_id").select("id", "cluster_id", F.round(V.l2("vec", "cv"), 6).alias("dist"))
+
+
+LOSS = f"list_transform(list_zip(a.v, c.v), lambda x: x[1] - x[2])"
+
+
+@query("anisotropic_loss", with_assigned() + f", r AS (SELECT a.id, a.v, {LOSS} AS r FROM a JOIN c USING (cluster_id)), s AS (SELECT id, power({dot('r', 'v')}, 2) / ({own('v')} + 1e-12) AS along, {own('r')} AS whole FROM r) SELECT id, round({ETA} * along + greatest(0.0, whole - along), 6) AS loss FROM s")
+def q_anisotropic_loss(spark, sf):
+    assigned, centers = assigned_of(spark, sf)
+    table = centers.table(spark).select("cluster_id", F.col("vec").alias("cv"))
+    return assigned.join(F.broadcast(table), "cluster_id").select("id", F.round(V.anisotropic_loss("vec", "cv", ETA), 6).alias("loss"))
+
+
+def int_sql(component: str, r_sq: int) -> str:
+    return f"""WITH b AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(round({component}) AS BIGINT)) AS v FROM embeddings),
+    p AS (SELECT q.id AS query_id, b.id AS base_id, CAST({l2("b.v", "q.v")} AS BIGINT) AS dist_sq FROM b, b q WHERE q.id % 50 = 0) SELECT * FROM p WHERE dist_sq <= {r_sq}"""
+
+
+def int_join(spark, sf, signed: bool, r_sq: int):
+    base = integers(embeddings(spark, sf), signed)
+    pairs = range_join.range_join(base.withColumn("vec", V.as_double("vec")), as_queries(base.withColumn("vec", V.as_double("vec"))), r_sq)
+    # sums of squares of integers are exact in doubles; distances are taken again in integers
+    b, q = base.select(F.col("id").alias("base_id"), F.col("vec").alias("bv")), base.select(F.col("id").alias("query_id"), F.col("vec").alias("qv"))
+    exact = pairs.select("query_id", "base_id").join(b, "base_id").join(q, "query_id")
+    return exact.select("query_id", "base_id", V.int_l2_sq("bv", "qv").alias("dist_sq")).where(F.col("dist_sq") <= r_sq)
+
+
+@query("int8_l2", int_sql("CAST(x AS DOUBLE) * 127", 25000))
+def q_int8(spark, sf):
+    return int_join(spark, sf, True, 25000)
+
+
+@query("uint8_l2", int_sql("(CAST(x AS DOUBLE) + 1) * 127.5", 25000))
+def q_uint8(spark, sf):
+    return int_join(spark, sf, False, 25000)
+
+
+@query("byte_sums", "WITH b AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(round((CAST(x AS DOUBLE) + 1) * 127.5) AS BIGINT)) AS v FROM embeddings) SELECT id, CAST(list_sum(v) AS BIGINT) AS byte_sum, CAST(list_sum(list_transform(v, lambda x: x * x)) AS BIGINT) AS byte_norm_sq FROM b")
+def q_byte_sums(spark, sf):
+    return integers(embeddings(spark, sf), False).select("id", V.byte_sum("vec").alias("byte_sum"), V.byte_norm_sq("vec").alias("byte_norm_sq"))
+
+
+@query("pack_ids", "SELECT vec_id AS id, (CAST(label AS BIGINT) << 48) | vec_id AS packed, CAST(label AS BIGINT) AS grp, vec_id AS local FROM embeddings")
+def q_pack(spark, sf):
+    packed = embeddings(spark, sf).select("id", V.pack_id(F.col("label"), F.col("id")).alias("packed"))
+    return packed.select("id", "packed", V.unpack_group("packed").alias("grp"), V.unpack_local(F.col("packed")).alias("local"))
+
+
+@query("finite_queries", with_tables() + "SELECT query_id, true AS is_finite FROM q")
+def q_finite(spark, sf):
+    return as_queries(embeddings(spark, sf)).select("query_id", V.is_finite("vec").alias("is_finite"))
+
+
+@query("sql_functions", with_tables() + f"SELECT id, round({own('v')}, 6) AS d, round(sqrt({own('v')}), 6) AS n FROM b")
+def q_sql_functions(spark, sf):
+    V.register(spark)
+    return embeddings(spark, sf).selectExpr("id", "round(dot(vec, vec), 6) AS d", "round(l2_norm(vec), 6) AS n")
+
+
+# ---- codes, sources and sinks
+
+
+def low_candidates(spark, sf):
+    base = embeddings(spark, sf)
+    centers = build.stride_seeds(base, 8)
+    assigned = build.assign(base, centers)
+    return assigned, centers, build.assign(base.where("id % 50 = 0"), centers, NPROBE).select(F.col("id").alias("query_id"), "vec", "cluster_id")
+
+
+@query("one_bit_codes")
+def q_codes(spark, sf):
+    assigned, centers, _ = low_candidates(spark, sf)
+    return codes.one_bit_codes(assigned, centers)
+
+
+@query("code_bounds")
+def q_code_bounds(spark, sf):
+    """One row for one-bit and eight-bit codes: pairs, and how often a bound is wrong."""
+    return one(
+        [
+            codes.code_bounds(*low_candidates(spark, sf), extra).agg(
+                F.lit(extra + 1).alias("bits"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("lb") > F.col("dist_sq") + 1e-9).alias("lb_wrong"),
+                F.count_if(F.col("ub") < F.col("dist_sq") - 1e-9).alias("ub_wrong"), F.round(F.avg(F.col("ub") - F.col("lb")), 6).alias("mean_width"),
+            )
+            for extra in (0, codes.EXTRA_BITS)
+        ]
+    )
+
+
+@query("code_row_filter")
+def q_code_filter(spark, sf):
+    return codes.row_filter(codes.code_bounds(*low_candidates(spark, sf)), R_FULL).select("query_id", "id", "sure")
+
+
+@query("emptiness_codes")
+def q_code_emptiness(spark, sf):
+    parts = low_candidates(spark, sf)
+    return codes.emptiness(codes.code_bounds(*parts), codes.code_bounds(*parts, codes.EXTRA_BITS), 1.2)
+
+
+@query("fbin_roundtrip", "SELECT vec_id AS id, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 6)) AS vec FROM embeddings WHERE vec_id >= 100")
+def q_fbin(spark, sf):
+    """Writes a vector file and reads a range of it, on storage that driver and tasks share."""
+    from vicinal.plans.shared import new_path
+    from vicinal.sources import vector_files
+
+    vector_files.register(spark)
+    path = new_path(spark, "vectors").removeprefix("file://").removeprefix("file:")
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    path = f"{path}-{uuid.uuid4().hex}.fbin"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    rows.orderBy("id").write.format("fbin").option("path", path).mode("append").save()
+    found = spark.read.format("fbin").option("path", path).option("rangeBytes", "65536").load().where("id >= 100")
+    return found.select("id", F.transform("vec", lambda x: F.round(x.cast("double"), 6)).alias("vec"))
