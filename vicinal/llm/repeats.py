@@ -29,9 +29,9 @@ from vicinal.plans.shared import discard, materialize
 
 #: Bytes of a repeat; of the strings whose hashes are compared.
 LENGTH, GRAM = 50, 16
-#: Bytes of text to a bucket and to a group of documents, on average; positions of a shard (its ranks take
-#: 20 bits of a sort key) and of the shards merged at once, unless one hash alone has more.
-BUCKET_BYTES, GROUP_BYTES, SHARD, MERGED = 4 << 20, 32 << 20, 1 << 19, 1 << 21
+#: Bytes of text to a bucket and to a group of documents, on average; positions of a shard
+#: (few, so that its arrays fit a core's cache) and of shards merged at once, unless one hash alone has more.
+BUCKET_BYTES, GROUP_BYTES, SHARD, MERGED = 4 << 20, 32 << 20, 1 << 16, 1 << 18
 #: Bytes whose hashes are made at a time; the arrays should fit a core's cache.
 _CHUNK = 1 << 18
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
