@@ -165,7 +165,7 @@ def _ask(length: int, buckets: int, groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             uid = _uid(batch.column("id").to_numpy(), batch.column("mark").to_numpy())
-            found = [(d, k) for d, _, _, k in runs(batch.column("text").cast(pa.binary()).to_pylist(), length)]
+            found = [(d, k) for d, _, _, k in runs(batch.column("text").cast(pa.binary()).to_pylist(), length) if len(d)]
             if not found:
                 continue
             doc, key = (np.concatenate(x) for x in zip(*found, strict=True))
