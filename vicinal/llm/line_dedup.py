@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vicinal.llm.ranges import unused
 from vicinal.plans.shared import materialize
 
 #: Most edits between near-equal lines; code points from which a line is compared at all.
@@ -22,17 +23,18 @@ BROADCAST_LINES = 2_000_000
 
 
 def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, line_no, line, h1, h2) of all lines that are not blank; h1 and h2 are 128 bits of digest."""
-    split = F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("line_no", "line")
-    found = docs.select(F.col(id_col).alias("id"), split).where(F.trim("line") != "")
-    return found.select("id", "line_no", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), "line").alias("h2"))
+    """(id, text_key, line_no, line, h1, h2) of all lines that are not blank; h1 and h2 are 128 bits of digest."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    split = F.posexplode(F.split(text, "\n")).alias("line_no", "line")
+    found = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_key"), split).where(F.trim("line") != "")
+    return found.select("id", "text_key", "line_no", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), "line").alias("h2"))
 
 
 def distinct_lines(found: DataFrame, min_chars: int) -> DataFrame:
-    """(h1, h2, first: (id, line_no), line) of each distinct line; line is null if it is too short to compare."""
+    """(h1, h2, first: (id, text_key, line_no), line) of each distinct line; line is null if it is too short to compare."""
     text = F.when(F.char_length("line") >= min_chars, F.col("line"))
-    first = F.min(F.struct("id", "line_no", text.alias("line"))).alias("f")
-    return found.groupBy("h1", "h2").agg(first).select("h1", "h2", F.struct("f.id", "f.line_no").alias("first"), "f.line")
+    first = F.min(F.struct("id", "text_key", "line_no", text.alias("line"))).alias("f")
+    return found.groupBy("h1", "h2").agg(first).select("h1", "h2", F.struct("f.id", "f.text_key", "f.line_no").alias("first"), "f.line")
 
 
 def _segment(i: int, parts: int, length: Column) -> tuple[Column, Column]:
@@ -154,15 +156,16 @@ def near_lines(distinct: DataFrame, threshold: int = THRESHOLD, broadcast_lines:
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """One row per id of docs: id_col, n_lines, n_exact, n_near, n_links, removed.
+    """One row per distinct id and text of docs: id_col, text_key, n_lines, n_exact, n_near, n_links, removed.
 
     Lines are what line feeds separate. A line is removed if an equal one stands earlier (by id, then line),
     or if one within `threshold` edits, whose first occurrence is earlier, is among all lines; both are
     judged on the input. Lines under min_chars code points are only compared for equality; blank lines
     stay and count in n_lines only. removed: the numbers of removed lines from 0, comma-joined. n_links:
     distinct other lines within the threshold, summed over the document's first occurrences.
-    Null texts are empty, with one blank line. Rows with one id are taken together; equal lines at the same
-    place of theirs count as one. Null ids are one id, before all others. An empty table gives no rows.
+    Null texts are empty, with one blank line. text_key is a hash of the text: rows that share an id are
+    separate documents, in order of it; rows that are equal in both are one document. Null ids come before
+    all others. An empty table gives no rows.
     """
     if min_chars < 3 * (threshold + 1):
         raise ValueError("lines must have three code points for each segment")
@@ -170,26 +173,37 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     distinct = materialize(distinct_lines(found, min_chars), "distinct-lines")
     near = materialize(near_lines(distinct, threshold), "near-lines")
     marks = distinct.drop("line").join(near, ["h1", "h2"], "left")
-    placed = found.select("id", "line_no", "h1", "h2").join(marks, ["h1", "h2"])
-    is_first = F.struct("id", "line_no").eqNullSafe(F.col("first"))
-    placed = placed.select("id", "line_no", (~is_first).alias("exact"), (is_first & (F.coalesce("n_earlier", F.lit(0)) > 0)).alias("near"), F.when(is_first, F.col("n_links")).alias("links"))
-    per_doc = placed.groupBy("id").agg(
-        F.count_if("exact").alias("n_exact"), F.count_if("near").alias("n_near"), F.coalesce(F.sum("links"), F.lit(0)).alias("n_links"),
-        F.sort_array(F.collect_set(F.when(F.col("exact") | F.col("near"), F.col("line_no")))).alias("gone"),
+    placed = found.select("id", "text_key", "line_no", "h1", "h2").join(marks, ["h1", "h2"])
+    is_first = F.struct("id", "text_key", "line_no").eqNullSafe(F.col("first"))
+    exact, near = ~is_first, is_first & (F.coalesce("n_earlier", F.lit(0)) > 0)
+    # equal rows repeat places, so places are counted as sets
+    at = F.struct("line_no", "n_links")
+    per_doc = placed.groupBy("id", "text_key").agg(
+        F.collect_set(F.when(exact, F.col("line_no"))).alias("exact"), F.collect_set(F.when(near, F.col("line_no"))).alias("near"),
+        F.collect_set(F.when(is_first & F.col("n_links").isNotNull(), at)).alias("linked"),
     )
-    counts = docs.groupBy(F.col(id_col).alias("id")).agg(F.sum(F.size(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"))).alias("n_lines"))
-    joined = counts.join(per_doc.withColumnRenamed("id", "_id"), F.col("id").eqNullSafe(F.col("_id")), "left")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    counts = docs.groupBy(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_key")).agg(F.max(F.size(F.split(text, "\n"))).cast("long").alias("n_lines"))
+    per_doc = per_doc.withColumnsRenamed({"id": "_id", "text_key": "_key"})
+    joined = counts.join(per_doc, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
+    count = lambda c: F.when(F.col(c).isNull(), F.lit(0)).otherwise(F.size(c)).cast("long")
     return joined.select(
-        F.col("id").alias(id_col), "n_lines", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_exact", "n_near", "n_links")),
-        F.coalesce(F.array_join("gone", ","), F.lit("")).alias("removed"),
+        F.col("id").alias(id_col), "text_key", "n_lines", count("exact").alias("n_exact"), count("near").alias("n_near"),
+        F.coalesce(F.aggregate("linked", F.lit(0).cast("long"), lambda s, x: s + x["n_links"]), F.lit(0)).alias("n_links"),
+        F.coalesce(F.array_join(F.array_sort(F.concat("exact", "near")), ","), F.lit("")).alias("removed"),
     )
 
 
 def without_lines(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the lines taken out that line_dedup's result lists."""
-    gone = removed.where("removed <> ''").select(F.col(id_col).alias("_id"), F.split("removed", ",").cast("array<int>").alias("_gone"))
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains(F.coalesce("_gone", F.array().cast("array<int>")), i)), "\n")
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_id")), "left").withColumn(text_col, kept).drop("_id", "_gone")
+    key, mark, lost = (unused(docs, n) for n in ("_id", "_key", "_gone"))
+    gone = removed.where("removed <> ''").select(
+        F.col(id_col).alias(key), F.col("text_key").alias(mark), F.split("removed", ",").cast("array<int>").alias(lost)
+    )
+    none = F.array().cast("array<int>")
+    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains(F.coalesce(F.col(lost), none), i)), "\n")
+    same = docs[id_col].eqNullSafe(F.col(key)) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col(mark))
+    return docs.join(gone, same, "left").withColumn(text_col, kept).drop(key, mark, lost)
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -17,3 +17,11 @@ def id_range(docs: DataFrame, id_col: str, rows: int) -> tuple[Column, int]:
     width = max(1, -(-(found["hi"] - found["lo"] + 1) // parts))
     offset = (F.col(id_col).cast("decimal(20,0)") - F.lit(found["lo"]).cast("decimal(20,0)")) if width > 1 << 40 else F.col(id_col) - found["lo"]
     return F.coalesce(F.floor(offset / width).cast("long"), F.lit(-1)), (found["hi"] - found["lo"]) // width
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
