@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vicinal.llm.ranges import unused
 from vicinal.plans.shared import materialize
 
 #: Counters of a Misra-Gries summary, hence also the most winners that are ever broadcast (64 KB).
@@ -111,9 +112,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that exact_dedup keeps; rows repeated with the smallest id of a group all stay."""
     dropped = exact_dedup(docs, id_col, text_col).where(~F.col("kept"))
-    keys = dropped.select(F.col(id_col).alias("_id"), F.unhex("text_sha256").alias("_digest"))
+    key, mark = unused(docs, "_id"), unused(docs, "_digest")
+    keys = dropped.select(F.col(id_col).alias(key), F.unhex("text_sha256").alias(mark))
     digest = F.unhex(F.sha2(normalised(docs[text_col]), 256))
-    return docs.join(keys, docs[id_col].eqNullSafe(keys["_id"]) & (digest == keys["_digest"]), "left_anti")
+    return docs.join(keys, docs[id_col].eqNullSafe(F.col(key)) & (digest == F.col(mark)), "left_anti")
 
 
 def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vicinal.llm.ranges import unused
+
 ORDER = 4
 #: The training sample: this many rows and bytes of text for a language at most, and this many languages.
 ROWS, TEXT_BYTES, LANGUAGES = 600, 1_500_000, 64
@@ -251,13 +253,15 @@ def _scorer(broadcast_model, text_at: int, schema: pa.Schema):
 
 
 def score(docs: DataFrame, samples: dict[str, list[str]], text_col: str = "text") -> DataFrame:
-    """docs with the columns _lang, _score and _bits (a byte) added, in one pass without a shuffle.
+    """docs with three columns added at the end: language, certainty and bits a byte, under names like _lang,
+    _score and _bits that docs does not use. One pass without a shuffle.
 
     The model, bounded by the sample's bounds, is built on the driver and broadcast.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    new = [T.StructField("_lang", T.StringType()), T.StructField("_score", T.DoubleType()), T.StructField("_bits", T.DoubleType())]
+    kinds = {"_lang": T.StringType(), "_score": T.DoubleType(), "_bits": T.DoubleType()}
+    new = [T.StructField(unused(docs, n), k) for n, k in kinds.items()]
     schema = T.StructType([*docs.schema.fields, *new])
     model = docs.sparkSession.sparkContext.broadcast(PpmModel(samples))
     return docs.mapInArrow(_scorer(model, docs.columns.index(text_col), to_arrow_schema(schema)), schema)
@@ -285,8 +289,9 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The rows of docs in an identified language. Rejected: null texts, texts without a letter, and texts
     that their best language codes no shorter than raw bytes. A null language becomes the predicted one."""
     scored = score(docs, training_sample(docs, id_col, text_col, lang_col), text_col)
-    kept = scored.where((F.col("_lang") != UNDETERMINED) & (F.col("_bits") < 8.0))
-    return kept.select(*[F.coalesce(F.col(c), F.col("_lang")).alias(c) if c == lang_col else F.col(c) for c in docs.columns])
+    lang, _, bits = scored.columns[-3:]
+    kept = scored.where((F.col(lang) != UNDETERMINED) & (F.col(bits) < 8.0))
+    return kept.select(*[F.coalesce(F.col(c), F.col(lang)).alias(c) if c == lang_col else F.col(c) for c in docs.columns])
 
 
 def op4_language_id(spark, sf_dir: str) -> DataFrame:

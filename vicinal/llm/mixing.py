@@ -17,7 +17,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vicinal.llm.ranges import id_range
+from vicinal.llm.ranges import id_range, unused
 from vicinal.plans.shared import materialize
 
 #: Slots of a period (weights are rounded to multiples of its inverse), rows of a block, most sources.
@@ -147,10 +147,10 @@ def mix(
 def in_mixed_order(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, float] | None = None) -> DataFrame:
     """docs, all rows and columns as they are, range-partitioned and sorted by the schedule's position:
     read part by part, they come in the mix's order."""
-    order = mix(docs, weights, id_col, source_col).groupBy(id_col).agg(F.min("position").alias("_position"))
-    order = order.withColumnRenamed(id_col, "_id")
-    joined = docs.join(order, docs[id_col].eqNullSafe(order["_id"])).drop("_id")
-    return joined.orderBy("_position").drop("_position")
+    key, place = unused(docs, "_id"), unused(docs, "_position")
+    order = mix(docs, weights, id_col, source_col).groupBy(F.col(id_col).alias(key)).agg(F.min("position").alias(place))
+    joined = docs.join(order, docs[id_col].eqNullSafe(F.col(key)))
+    return joined.orderBy(place).drop(key, place)
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vicinal.llm.components import connected_components
+from vicinal.llm.ranges import unused
 from vicinal.plans.shared import materialize
 
 #: Rows of a key that one task compares; a key with more is compared by pairs of chunks, in many tasks.
@@ -346,8 +347,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     radius = round(bits * (1 - p) + math.sqrt(bits * p * (1 - p)))
     prints = materialize(fingerprints(docs, id_col, text_col, STAGE_WORDS, STAGE_N), "fingerprints")
     found = near_classes(prints, STAGE_N, radius, lambda rows: sampled_tables(bits, p, rows, STAGE_RECALL))
-    dropped = found.where(~F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("_id")).distinct()
-    return docs.join(dropped, docs[id_col].eqNullSafe(dropped["_id"]), "left_anti")
+    dropped = found.where(~F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias(unused(docs, "_id"))).distinct()
+    return docs.join(dropped, docs[id_col].eqNullSafe(F.col(dropped.columns[0])), "left_anti")
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
