@@ -124,7 +124,7 @@ def read_truth(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     summary = raw.select(
         F.col("total_in_range").cast("long"), F.col("n_queries").cast("long"), F.col(f"{stats}.min").cast("long").alias("min_hits"),
         F.col(f"{stats}.median").cast("double").alias("median_hits"), F.col(f"{stats}.max").cast("long").alias("max_hits"),
-        F.col(f"{stats}.zero_hit_queries").cast("long"),
+        F.col(f"{stats}.zero_hit_queries").cast("long").alias("zero_hit_queries"),
     )
     return summary, counts
 
