@@ -678,3 +678,136 @@ def q_fbin(spark, sf):
     rows.orderBy("id").write.format("fbin").option("path", path).mode("append").save()
     found = spark.read.format("fbin").option("path", path).option("rangeBytes", "65536").load().where("id >= 100")
     return found.select("id", F.transform("vec", lambda x: F.round(x.cast("double"), 6)).alias("vec"))
+
+
+def index_path(spark, sf) -> tuple[str, cascade.Index]:
+    from vicinal.plans.shared import new_path
+
+    _, _, index = low_index(spark, sf)
+    path = new_path(spark, "index")
+    build.write_index(path, index.assigned, index.cells, index.slabs, index.centers, {"k": CENTERS})
+    return path, index
+
+
+@query("index_check", "SELECT CAST(NULL AS VARCHAR) AS what WHERE false")
+def q_index_check(spark, sf):
+    return build.check_index(spark, index_path(spark, sf)[0])
+
+
+@query("cell_scan", with_assigned() + "SELECT cluster_id, count(*) AS n FROM a WHERE cluster_id IN (0, 2) GROUP BY cluster_id")
+def q_cell_scan(spark, sf):
+    """All cells of two clusters of an index on disk, read by (cluster, cell) from a plan of cells to read."""
+    path, _ = index_path(spark, sf)
+    plan = spark.read.parquet(f"{path}/cells").where("cluster_id in (0, 2)").select("cluster_id", "cell_id")
+    rows = spark.read.parquet(f"{path}/base").withColumn("cluster_id", F.col("cluster_id").cast("int"))
+    return rows.join(F.broadcast(plan), ["cluster_id", "cell_id"]).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("member_order", "SELECT CAST(0 AS BIGINT) AS id WHERE false")
+def q_member_order(spark, sf):
+    """Members of an index on disk that are out of order within a file: by cell, then id."""
+    from pyspark.sql import Window
+
+    path, _ = index_path(spark, sf)
+    rows = spark.read.parquet(f"{path}/base").select("id", "cluster_id", "cell_id", F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("place"))
+    before = F.lag(F.struct("cell_id", "id")).over(Window.partitionBy("f", "cluster_id").orderBy("place"))
+    return rows.withColumn("before", before).where(F.col("before") > F.struct("cell_id", "id")).select("id")
+
+
+@query("hits_csv", with_hits(64, R_FULL) + "SELECT query_id, base_id AS original_base_id, round(dist_sq, 6) AS distance FROM hits")
+def q_hits_csv(spark, sf):
+    from vicinal.plans.shared import new_path
+
+    base, path = embeddings(spark, sf), new_path(spark, "hits")
+    metrics.write_hits(range_join.range_join(base, as_queries(base), R_FULL), path)
+    return rounded(spark.read.csv(path, header=True, schema="query_id long, original_base_id long, distance double"), "distance")
+
+
+@query("trace_csv", EMPTY_SQL + "SELECT query_id, round(min_dist_sq, 6) AS min_dist_sq, is_empty FROM d")
+def q_trace_csv(spark, sf):
+    from vicinal.plans.shared import new_path
+
+    path = new_path(spark, "trace")
+    metrics.write_trace(decided_of(spark, sf)[1], path)
+    return rounded(spark.read.csv(path, header=True, schema="query_id long, min_dist_sq double, is_empty boolean"), "min_dist_sq")
+
+
+@query("confusion_json")
+def q_confusion_json(spark, sf):
+    _, decided, truth = decided_of(spark, sf)
+    return metrics.confusion_json(metrics.confusion(decided, truth))
+
+
+@query("bound_dump")
+def q_bound_dump(spark, sf):
+    _, queries, index = low_index(spark, sf)
+    found = cascade.candidates(index, queries, cascade.Options())
+    bounds = cascade.cell_bounds(found, index, ids=False).groupBy("query_id", "cluster_id").agg(F.first("pca_lb").alias("pca_lb"))
+    return metrics.bound_dump(bounds.join(cascade.slab_bounds(found, index), ["query_id", "cluster_id"]))
+
+
+@query("invalid_candidates", "SELECT CAST(0 AS BIGINT) AS query_id, CAST(0 AS INTEGER) AS cluster_id WHERE false")
+def q_invalid(spark, sf):
+    _, queries, index = low_index(spark, sf)
+    return metrics.invalid_candidates(cascade.candidates(index, queries, cascade.Options()), CENTERS)
+
+
+@query("probe_overlap", with_assigned() + f", s AS (SELECT cluster_id, count(*) AS n FROM a GROUP BY cluster_id), qc AS (SELECT * FROM (SELECT q.query_id, c.cluster_id, row_number() OVER (PARTITION BY q.query_id ORDER BY {l2('q.v', 'c.v')}, c.cluster_id) AS rank FROM q, c) WHERE rank <= 2) SELECT CAST(sum(n) AS BIGINT) AS shared_vecs FROM qc JOIN s USING (cluster_id)")
+def q_probe_overlap(spark, sf):
+    assigned, centers = assigned_of(spark, sf)
+    near = build.assign(low(embeddings(spark, sf)).where("id % 50 = 0"), centers, 5)
+    return metrics.probe_overlap(near, build.cluster_stats(assigned), 2, 5)
+
+
+@query("incremental_base", with_hits(64, R_FULL) + "SELECT query_id, base_id, round(dist_sq, 6) AS dist_sq FROM hits")
+def q_incremental(spark, sf):
+    """Hits of two parts of the base, joined apart and put together."""
+    base = embeddings(spark, sf)
+    queries = as_queries(base)
+    return rounded(one([range_join.range_join(base.where(f"label % 2 = {k}"), queries, R_FULL) for k in (0, 1)]), "dist_sq")
+
+
+@query("knn_after_delete", with_tables() + f"SELECT query_id, base_id, rank FROM (SELECT q.query_id, b.id AS base_id, row_number() OVER (PARTITION BY q.query_id ORDER BY {l2('b.v', 'q.v')}, b.id) AS rank FROM b, q WHERE b.label <> 7) WHERE rank <= {K}")
+def q_delete(spark, sf):
+    base = embeddings(spark, sf)
+    deleted = base.where("label = 7").select("id")
+    return knn.knn(base.join(deleted, "id", "left_anti"), as_queries(base), K).select("query_id", "base_id", "rank")
+
+
+@query("code_lookup", "SELECT vec_id AS id, vec_id % 50 = 0 AS wanted FROM embeddings WHERE vec_id % 50 = 0")
+def q_code_lookup(spark, sf):
+    """Codes of the query rows, fetched by id."""
+    assigned, centers, _ = low_candidates(spark, sf)
+    wanted = embeddings(spark, sf).where("id % 50 = 0").select("id", F.lit(True).alias("wanted"))
+    return codes.one_bit_codes(assigned, centers).join(wanted, "id").select("id", "wanted")
+
+
+@query("code_cell_filter")
+def q_code_cells(spark, sf):
+    """(query, cluster) that any member's one-bit bound keeps."""
+    bounds = codes.code_bounds(*low_candidates(spark, sf))
+    return bounds.groupBy("query_id", "cluster_id").agg(F.min("lb").alias("least_lb")).where(F.col("least_lb") <= R_FULL)
+
+
+@query("pca_projection", "SELECT CAST(0 AS BIGINT) AS id WHERE false")
+def q_projection(spark, sf):
+    """Members whose coordinates, taken by the vector functions, lie outside their cluster's box and residual."""
+    base, _, index = low_index(spark, sf)
+    c = index.centers.table(spark).select("cluster_id", F.col("vec").alias("cv"))
+    members = index.cells.withColumn("id", F.explode("ids")).join(base.select("id", "vec"), "id").join(F.broadcast(c), "cluster_id")
+    t = V.project(F.col("basis"), F.col("vec"), F.col("cv"))
+    members = members.withColumn("t", t).withColumn("res", V.residual(F.col("vec"), F.col("cv"), F.col("t")))
+    outside = F.exists(F.zip_with("t", "lo", lambda x, y: x < y - 1e-9), lambda x: x) | F.exists(F.zip_with("t", "hi", lambda x, y: x > y + 1e-9), lambda x: x)
+    return members.where(outside | ~F.col("res").between(F.col("res_lo") - 1e-6, F.col("res_hi") + 1e-6)).select("id")
+
+
+@query("seeded_noise")
+def q_noise(spark, sf):
+    return metrics.perturbed(embeddings(spark, sf).select("id", V.norm("vec").alias("value")), "value", 0.01, 7)
+
+
+@query("batch_center_distances", with_tables() + f"SELECT q.query_id, c.cluster_id, round({l2('q.v', 'c.v')}, 6) AS dist_sq FROM q, c")
+def q_center_matrix(spark, sf):
+    base = embeddings(spark, sf)
+    found = build.assign(base.where("id % 50 = 0"), build.stride_seeds(base, CENTERS), CENTERS)
+    return rounded(found.select(F.col("id").alias("query_id"), "cluster_id", "dist_sq"), "dist_sq")

@@ -20,8 +20,9 @@ from vicinal.plans.shared import materialize
 
 #: Bytes of a center matrix that may be broadcast; rows of a cluster that one task fits or splits in memory.
 CENTER_BYTES, CLUSTER_ROWS = 512 << 20, 2_000_000
-#: An alternative center is taken below this ratio of squared distances, if its bucket is smaller.
-TWO_CHOICE = 1.2
+#: An alternative center is taken below this ratio of squared distances, if its bucket is smaller;
+#: the seed of training samples.
+TWO_CHOICE, SEED = 1.2, 283
 
 
 @dataclass
@@ -61,7 +62,7 @@ def stride_seeds(base: DataFrame, k: int, n: int | None = None) -> Centers:
     return Centers(np.array([r["vec"] for r in rows], np.float64))
 
 
-def sample(base: DataFrame, k: int, per_center: int = 10, seed: int = 283) -> DataFrame:
+def sample(base: DataFrame, k: int, per_center: int = 10, seed: int = SEED) -> DataFrame:
     """min(n, per_center * k) rows of least seeded hash of their id, in order of id."""
     return base.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(per_center * k).orderBy("id")
 
@@ -395,4 +396,28 @@ def write_index(path: str, assigned: DataFrame, cell_table: DataFrame, slab: Dat
     cluster_stats(assigned).join(F.broadcast(centers.table(spark)), "cluster_id", "right").write.mode("overwrite").parquet(f"{path}/clusters")
     cell_table.withColumn("n", F.size("ids")).drop("ids").write.mode("overwrite").parquet(f"{path}/cells")
     slab.write.mode("overwrite").parquet(f"{path}/slabs")
-    spark.createDataFrame([(6, str(sorted(meta.items())))], "schema_version int, options string").write.mode("overwrite").parquet(f"{path}/index_meta")
+    spark.createDataFrame([(SCHEMA_VERSION, str(sorted(meta.items())))], "schema_version int, options string").write.mode("overwrite").parquet(f"{path}/index_meta")
+
+#: Of the tables that write_index writes.
+SCHEMA_VERSION = 6
+
+
+def check_index(spark: SparkSession, path: str) -> DataFrame:
+    """(what) is wrong with an index on disk; empty if nothing is."""
+    meta = spark.read.parquet(f"{path}/index_meta").select("schema_version")
+    base, clusters, cell = (spark.read.parquet(f"{path}/{t}") for t in ("base", "clusters", "cells"))
+    sizes = base.groupBy(F.col("cluster_id").cast("int").alias("c")).agg(F.count(F.lit(1)).alias("rows"))
+    off = clusters.join(sizes, clusters["cluster_id"] == sizes["c"], "full").where(~F.coalesce("n", F.lit(0)).eqNullSafe(F.coalesce("rows", F.lit(0))))
+    in_cells = cell.groupBy("cluster_id").agg(F.sum("n").alias("members")).join(sizes, F.col("cluster_id") == F.col("c"), "full")
+    bounds = cell.where(F.exists(F.zip_with("lo", "hi", lambda a, b: a > b), lambda x: x) | (F.col("res_lo") > F.col("res_hi")))
+    parts = [
+        (meta.where(F.col("schema_version") != SCHEMA_VERSION), "schema version"),
+        (off, "cluster size"),
+        (in_cells.where(~F.col("members").eqNullSafe(F.col("rows"))), "cell sizes"),
+        (bounds, "cell bounds"),
+    ]
+    found = [df.select(F.lit(what).alias("what")) for df, what in parts]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out

@@ -2,7 +2,7 @@
 
 A vector's residual to its center is rotated by a seeded orthogonal transform; the code keeps the signs of
 its coordinates. The inner product of a query's residual with the sign vector then estimates its inner
-product with the residual itself, with an error that shrinks as 1/sqrt(dim) (Gao and Long, 2024). Bounds
+product with the residual itself, with an error that shrinks as 1/sqrt(dim). Bounds
 hold with high probability, not always, and are off by default in searches.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from vicinal.operators import kernels
 from vicinal.operators.build import Centers
 
-#: Standard errors that a bound allows for; magnitude bits beyond the sign.
+#: Standard errors that a bound allows for; magnitude bits beyond the sign.
 CONFIDENCE, EXTRA_BITS = 1.9, 7
 
 

@@ -172,3 +172,37 @@ def truth_json(counts: DataFrame, r_sq: float, dataset: str, dim: int, n_base: i
 def write_hits(pairs: DataFrame, path: str) -> None:
     """CSV with a header: query_id, original_base_id, distance (squared)."""
     pairs.select("query_id", F.col("base_id").alias("original_base_id"), F.col("dist_sq").alias("distance")).write.mode("overwrite").csv(path, header=True)
+
+
+def confusion_json(one_row: DataFrame) -> DataFrame:
+    """A row of figures as one JSON text."""
+    return one_row.select(F.to_json(F.struct("*")).alias("json"))
+
+
+def write_trace(trace: DataFrame, path: str) -> None:
+    """CSV with a header, in order of query."""
+    trace.repartitionByRange("query_id").sortWithinPartitions("query_id").write.mode("overwrite").csv(path, header=True)
+
+
+def bound_dump(bounds: DataFrame, queries: int = 100) -> DataFrame:
+    """Lower bounds by query and cluster for the first queries by id, for plotting."""
+    return bounds.where(F.col("query_id") < queries)
+
+
+def invalid_candidates(found: DataFrame, n_clusters: int) -> DataFrame:
+    """Candidates that name no cluster; empty if all do."""
+    return found.where(~F.col("cluster_id").between(0, n_clusters - 1)).select("query_id", "cluster_id")
+
+
+def probe_overlap(found: DataFrame, sizes: DataFrame, a: int, b: int) -> DataFrame:
+    """One row: vectors in clusters that are among both the a and the b nearest of a query."""
+    both = found.where(F.col("rank") <= min(a, b)).join(sizes.select("cluster_id", "n"), "cluster_id")
+    return both.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("shared_vecs"))
+
+
+def perturbed(df: DataFrame, column: str, scale: float, seed: int) -> DataFrame:
+    """df with seeded Gaussian noise added to a column: the same row gets the same noise wherever it is
+    computed (Box-Muller over two hashes of its id)."""
+    u = lambda k: (F.pmod(F.xxhash64(F.lit(seed + k), "id"), F.lit(1 << 40)) + 1) / F.lit(float((1 << 40) + 1))
+    noise = F.sqrt(-2 * F.log(u(0))) * F.cos(2 * 3.141592653589793 * u(1))
+    return df.withColumn(column, F.col(column) + F.lit(scale) * noise)
