@@ -72,6 +72,11 @@ def _nearest(centers, m: int):
         matrix = centers.value
         for batch in batches:
             rows = kernels.matrix(batch.column(1))
+            good = np.flatnonzero(np.isfinite(rows).all(axis=1))
+            if not len(good):
+                continue
+            if len(good) < len(rows):
+                batch, rows = batch.take(pa.array(good)), rows[good]
             c, d = kernels.nearest(rows, matrix, m)
             n = c.shape[1]
             repeat = np.repeat(np.arange(batch.num_rows), n)
@@ -87,7 +92,7 @@ def _nearest(centers, m: int):
 def assign(base: DataFrame, centers: Centers, m: int = 1) -> DataFrame:
     """(id, vec, cluster_id, dist_sq, rank): the m nearest centers of each row, ties by cluster id; no shuffle."""
     shared = base.sparkSession.sparkContext.broadcast(centers.matrix)
-    rows = base.select(F.col("id").cast("long").alias("id"), "vec").where(F.col("vec").isNotNull() & V.is_finite("vec"))
+    rows = base.select(F.col("id").cast("long").alias("id"), "vec").where(F.col("vec").isNotNull())
     return rows.mapInArrow(_nearest(shared, m), "id long, vec array<double>, cluster_id int, dist_sq double, rank int")
 
 

@@ -55,3 +55,9 @@ def nearest(rows: np.ndarray, centers: np.ndarray, m: int) -> tuple[np.ndarray,
     d = np.stack([exact_l2_sq(rows, centers[part[:, k]]) for k in range(part.shape[1])], axis=1)
     order = np.lexsort((part, d), axis=1)[:, :m]
     return np.take_along_axis(part, order, 1), np.take_along_axis(d, order, 1)
+
+
+def finite(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and rows without those that have a component that is not finite."""
+    ok = np.isfinite(rows).all(axis=1)
+    return (keys, rows) if ok.all() else (keys[ok], rows[ok])

@@ -23,7 +23,7 @@ def _best(block, k: int):
         held_id = np.zeros((len(ids), 0), np.int64)
         held_d = np.zeros((len(ids), 0))
         for batch in batches:
-            key, rows = batch.column(0).to_numpy(), kernels.matrix(batch.column(1))
+            key, rows = kernels.finite(batch.column(0).to_numpy(), kernels.matrix(batch.column(1)))
             order = np.argsort(key, kind="stable")  # ties go to the smaller id
             key, rows = key[order], rows[order]
             for at in range(0, len(key), ROWS):
@@ -43,7 +43,7 @@ def knn(base: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, base_id, dist_sq, rank): each query's k nearest, ties by base id. A task keeps k rows a query;
     only those are shuffled. Labels are filtered on base beforehand."""
     spark = base.sparkSession
-    rows = spread(base.select(F.col("id").cast("long").alias("id"), "vec").where(F.col("vec").isNotNull() & V.is_finite("vec")))
+    rows = spread(base.select(F.col("id").cast("long").alias("id"), "vec").where(F.col("vec").isNotNull()))
     parts = [rows.mapInArrow(_best(spark.sparkContext.broadcast(b), k), PAIRS) for b in query_blocks(queries)]
     found = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], PAIRS)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("dist_sq", "base_id"))

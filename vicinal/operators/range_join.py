@@ -30,7 +30,7 @@ def spread(df: DataFrame) -> DataFrame:
     """A few rows in one file would be one task."""
     spark = df.sparkSession
     n = spark.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+    return df.repartition(n) if df._jdf.queryExecution().toRdd().getNumPartitions() < n else df
 
 
 def query_blocks(queries: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -52,7 +52,7 @@ def _scan(block, r_sq: float, strict: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = block.value
         for batch in batches:
-            key, rows = batch.column(0).to_numpy(), kernels.matrix(batch.column(1))
+            key, rows = kernels.finite(batch.column(0).to_numpy(), kernels.matrix(batch.column(1)))
             for at in range(0, len(key), ROWS):
                 i, j, d = kernels.within_radius(matrix, rows[at : at + ROWS], r_sq, strict)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(key[at + j]), pa.array(d)], names=["query_id", "base_id", "dist_sq"])
@@ -63,7 +63,7 @@ def _scan(block, r_sq: float, strict: bool):
 def range_join(base: DataFrame, queries: DataFrame, r_sq: float, strict: bool = False) -> DataFrame:
     """(query_id, base_id, dist_sq) of all pairs within the radius, inclusive unless strict."""
     spark = base.sparkSession
-    rows = spread(base.select(F.col("id").cast("long").alias("id"), "vec").where(F.col("vec").isNotNull() & V.is_finite("vec")))
+    rows = spread(base.select(F.col("id").cast("long").alias("id"), "vec").where(F.col("vec").isNotNull()))
     parts = [rows.mapInArrow(_scan(spark.sparkContext.broadcast(b), r_sq, strict), PAIRS) for b in query_blocks(queries)]
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], PAIRS)
 
