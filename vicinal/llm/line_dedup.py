@@ -176,21 +176,21 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     placed = found.select("id", "text_key", "line_no", "h1", "h2").join(marks, ["h1", "h2"])
     is_first = F.struct("id", "text_key", "line_no").eqNullSafe(F.col("first"))
     exact, near = ~is_first, is_first & (F.coalesce("n_earlier", F.lit(0)) > 0)
-    # equal rows repeat places, so places are counted as sets
-    at = F.struct("line_no", "n_links")
-    per_doc = placed.groupBy("id", "text_key").agg(
-        F.collect_set(F.when(exact, F.col("line_no"))).alias("exact"), F.collect_set(F.when(near, F.col("line_no"))).alias("near"),
-        F.collect_set(F.when(is_first & F.col("n_links").isNotNull(), at)).alias("linked"),
-    )
+    # of each place that matters: what it is, and its links; equal rows repeat places, so they form a set
+    what = F.when(exact, F.lit("exact")).when(near, F.lit("near"))
+    noted = F.when(exact | F.col("n_links").isNotNull(), F.struct("line_no", what.alias("what"), F.when(is_first, F.col("n_links")).alias("links")))
+    per_doc = placed.groupBy("id", "text_key").agg(F.collect_set(noted).alias("noted"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     counts = docs.groupBy(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_key")).agg(F.max(F.size(F.split(text, "\n"))).cast("long").alias("n_lines"))
     per_doc = per_doc.withColumnsRenamed({"id": "_id", "text_key": "_key"})
     joined = counts.join(per_doc, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
-    count = lambda c: F.when(F.col(c).isNull(), F.lit(0)).otherwise(F.size(c)).cast("long")
+    noted = F.coalesce("noted", F.array().cast(per_doc.schema["noted"].dataType))
+    count = lambda kind: F.size(F.filter(noted, lambda x: x["what"] == kind)).cast("long")
+    gone = F.transform(F.filter(noted, lambda x: x["what"].isNotNull()), lambda x: x["line_no"])
     return joined.select(
         F.col("id").alias(id_col), "text_key", "n_lines", count("exact").alias("n_exact"), count("near").alias("n_near"),
-        F.coalesce(F.aggregate("linked", F.lit(0).cast("long"), lambda s, x: s + x["n_links"]), F.lit(0)).alias("n_links"),
-        F.coalesce(F.array_join(F.array_sort(F.concat("exact", "near")), ","), F.lit("")).alias("removed"),
+        F.aggregate(noted, F.lit(0).cast("long"), lambda s, x: s + F.coalesce(x["links"], F.lit(0))).alias("n_links"),
+        F.array_join(F.array_sort(gone), ",").alias("removed"),
     )
 
 
