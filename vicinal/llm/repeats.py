@@ -309,7 +309,8 @@ def _emit(texts: list[bytes], ids: np.ndarray, marks: np.ndarray, wanted: np.nda
     least = np.full(len(index), _LAST)
     np.minimum.at(least, which, owner)
     later = owner > least[which]
-    out = _span_rows(ids[doc[later]], marks[doc[later]], at[later], (n + length - 1)[later], groups, sign=-1)
+    gone, start, end = _joined(doc[later], at[later], (at + n + length - 1)[later])
+    out = _span_rows(ids[gone], marks[gone], start, end - start, groups, sign=-1)
     unique = list(index)
     go = np.flatnonzero(~later)
     for to, j in _by(_bucket_of(key[go], buckets), go):
@@ -324,6 +325,14 @@ def _emit(texts: list[bytes], ids: np.ndarray, marks: np.ndarray, wanted: np.nda
         yield _moved(out[s : s + 256])
 
 
+def _joined(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of documents in order, those that touch as one: a copied document is one span, not one a string."""
+    if not len(doc):
+        return doc, start, end
+    new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] > end[:-1])])
+    return doc[new], start[new], end[np.r_[new[1:] - 1, len(doc) - 1]]
+
+
 def _span_rows(ids: np.ndarray, marks: np.ndarray, at: np.ndarray, size: np.ndarray, groups: int, sign: int = 1) -> list[tuple]:
     """Spans for the groups of their documents; a negative target is passed on by the bucket that gets it."""
     to = _group_of(_uid(ids, marks), groups)
