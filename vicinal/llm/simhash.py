@@ -166,10 +166,9 @@ def _join(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
 
 
-def forest(words: np.ndarray, left: np.ndarray, right: np.ndarray, starts: np.ndarray, radius: int) -> np.ndarray:
-    """The root (a row number) of each row, after all links within radius between a left and a right row of
-    one group. starts: first rows of the groups, and the number of rows."""
-    parent = np.arange(len(words))
+def _links(words: np.ndarray, left: np.ndarray, right: np.ndarray, starts: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows within radius, a left and a right one of the same group, some at a time. starts: first
+    rows of the groups, and the number of rows."""
     queries, of_query, members, size = [], [], [], 0
     for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
         if e - s < 2:
@@ -185,17 +184,14 @@ def forest(words: np.ndarray, left: np.ndarray, right: np.ndarray, starts: np.nd
             members.append(np.pad(part, (0, 64 - len(part)), constant_values=-1))
             size += len(mine)
         if size > 1 << 15:
-            _link(parent, words, queries, of_query, members, radius)
+            yield from _near(words, queries, of_query, members, radius)
             queries, of_query, members, size = [], [], [], 0
     if queries:
-        _link(parent, words, queries, of_query, members, radius)
-    return _find(parent, np.arange(len(words)))
+        yield from _near(words, queries, of_query, members, radius)
 
 
-def _link(parent, words, queries, of_query, members, radius) -> None:
+def _near(words, queries, of_query, members, radius) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     q, at, m = np.concatenate(queries), np.concatenate(of_query), np.array(members)
-    if not len(q):
-        return
     planes = bit_planes(words[np.maximum(m, 0)])
     valid = np.packbits(m >= 0, axis=1, bitorder="little").view("<u8").reshape(-1)
     for s in range(0, len(q), 1 << 15):
@@ -204,10 +200,47 @@ def _link(parent, words, queries, of_query, members, radius) -> None:
         bits = np.unpackbits(near[some].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         i, j = np.nonzero(bits)
         a, b = q[s + some[i]], m[at[s + some[i]], j]
-        _join(parent, a[a != b], b[a != b])
+        yield a[a != b], b[a != b]
+
+
+def forest(words: np.ndarray, left: np.ndarray, right: np.ndarray, starts: np.ndarray, radius: int) -> np.ndarray:
+    """The root (a row number) of each row, after all links within radius."""
+    parent = np.arange(len(words))
+    for a, b in _links(words, left, right, starts, radius):
+        _join(parent, a, b)
+    return _find(parent, np.arange(len(words)))
 
 
-def _compare(n: int, radius: int):
+def shortest_forest(words: np.ndarray, left: np.ndarray, right: np.ndarray, starts: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) of a minimum spanning forest by distance: for any smaller radius, what its shorter links
+    connect is what all shorter links connect."""
+    held = [np.zeros((3, 0), np.int64)]
+    for a, b in _links(words, left, right, starts, radius):
+        held.append(np.stack([a, b, np.bitwise_count(words[a] ^ words[b]).sum(axis=1, dtype=np.int64)]))
+        if sum(h.shape[1] for h in held) > 1 << 20:
+            held = [_shortest(len(words), np.concatenate(held, axis=1))]
+    a, b, _ = _shortest(len(words), np.concatenate(held, axis=1))
+    return a, b
+
+
+def _shortest(rows: int, edges: np.ndarray) -> np.ndarray:
+    """Kruskal's algorithm, all links of one length at a time."""
+    parent, chosen = np.arange(rows), [np.zeros((3, 0), np.int64)]
+    edges = edges[:, np.argsort(edges[2], kind="stable")]
+    cut = np.flatnonzero(np.r_[True, np.diff(edges[2]) != 0, True]) if edges.shape[1] else []
+    for s, e in zip(cut[:-1], cut[1:], strict=True):
+        level = edges[:, s:e]
+        while level.shape[1]:
+            a, b = _find(parent, level[0]), _find(parent, level[1])
+            apart = a != b
+            level, a, b = level[:, apart], a[apart], b[apart]
+            high, first = np.unique(np.maximum(a, b), return_index=True)
+            parent[high] = np.minimum(a, b)[first]
+            chosen.append(level[:, first])
+    return np.concatenate(chosen, axis=1)
+
+
+def _compare(n: int, radius: int, shortest: bool):
     names = [f"w{i}" for i in range(n)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,10 +262,14 @@ def _compare(n: int, radius: int):
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
         words = np.stack([table.column(c).to_numpy() for c in names], axis=1).view(np.uint64)
         sides = [table.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b")]
-        root = forest(words, *sides, starts, radius)
-        child = np.flatnonzero(root != np.arange(len(root)))
         node = table.column("node").to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(node[child]), pa.array(node[root[child]])], names=["a", "b"])
+        if shortest:
+            a, b = shortest_forest(words, *sides, starts, radius)
+        else:
+            root = forest(words, *sides, starts, radius)
+            a = np.flatnonzero(root != np.arange(len(root)))
+            b = root[a]
+        yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
 
     return run
 
@@ -264,9 +301,9 @@ def sampled_tables(bits: int, agree: float, rows: int, recall: float) -> list[li
     return out
 
 
-def links(classes: DataFrame, n: int, radius: int, tables: list[list[int]], chunk: int = CHUNK) -> DataFrame:
+def links(classes: DataFrame, n: int, radius: int, tables: list[list[int]], chunk: int = CHUNK, shortest: bool = False) -> DataFrame:
     """classes(node, w0 ..) of distinct fingerprints -> links (a, b) that connect all that are within radius
-    and share the bits of a table."""
+    and share the bits of a table; with `shortest`, by links as short as possible."""
     names = [f"w{i}" for i in range(n)]
     masks = []
     for bits in tables:
@@ -296,17 +333,20 @@ def links(classes: DataFrame, n: int, radius: int, tables: list[list[int]], chun
         F.col("key").alias("task"), "node", *names, F.lit(True).alias("a"), F.lit(True).alias("b")
     )
     dealt = whole.unionByName(split).repartition("task").sortWithinPartitions("task", "node")
-    return dealt.mapInArrow(_compare(n, radius), "a long, b long")
+    return dealt.mapInArrow(_compare(n, radius, shortest), "a long, b long")
 
 
-def near_classes(prints: DataFrame, n: int, radius: int, tables_for) -> DataFrame:
-    """prints(id, w0 ..) -> (id, w0 .., component): the smallest id that links reach, itself included."""
+def near_classes(prints: DataFrame, n: int, radius: int, tables_for, check=None) -> DataFrame:
+    """prints(id, w0 ..) -> (id, w0 .., component): the smallest id that links reach, itself included.
+
+    check: takes classes(node, least: an id) and links(a, b) between nodes, returns the links that stand."""
     names = [f"w{i}" for i in range(n)]
     node = F.col("w0") if n == 1 else F.xxhash64(*names)
     classes = prints.groupBy(*names).agg(F.min("id").alias("least")).withColumn("node", node)
     classes = materialize(classes, "classes")
-    found = connected_components(links(classes, n, radius, tables_for(classes.count())))
-    found = materialize(found, "components")
+    found = links(classes, n, radius, tables_for(classes.count()), shortest=check is not None)
+    found = check(classes.select("node", "least"), found) if check else found
+    found = materialize(connected_components(found), "components")
     rooted = classes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
     return prints.join(rooted.join(least, "root").select(*names, "component"), names)
@@ -326,8 +366,9 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
 
 
-#: Of the pipeline's stage: words of a shingle, similarity of shingle sets, fingerprint words, recall of the tables.
-STAGE_WORDS, STAGE_SIMILARITY, STAGE_N, STAGE_RECALL = 5, 0.8, 8, 0.995
+#: Of the pipeline's stage: words of a shingle, similarity of shingle sets, fingerprint words, recall of the
+#: tables at that similarity, and ids of linked texts that are broadcast at most (32 MB).
+STAGE_WORDS, STAGE_SIMILARITY, STAGE_N, STAGE_RECALL, BROADCAST_IDS = 5, 0.8, 8, 0.995, 2_000_000
 
 
 def agreement(similarity: float) -> float:
@@ -335,20 +376,49 @@ def agreement(similarity: float) -> float:
     return 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
+def similar(docs: DataFrame, id_col: str, text_col: str, similarity: float):
+    """A check of links: the texts' sets of five-word shingles have this Jaccard similarity, counted exactly."""
+
+    def holds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("ta"), batch.column("tb"), strict=True):
+                p, q = (set(shingle_hashes(t.as_py() or "", STAGE_WORDS)) for t in (x, y))
+                keep.append(p == q or len(p & q) >= similarity * len(p | q))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    def check(classes: DataFrame, found: DataFrame) -> DataFrame:
+        named = lambda c: classes.where("least is not null").select(F.col("node").alias(c), F.col("least").alias(f"i{c}"))
+        pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = materialize(pairs.join(named("a"), "a").join(named("b"), "b"), "near-links")
+        wanted = materialize(pairs.select(F.col("ia").alias("i")).union(pairs.select("ib")).distinct(), "linked-ids")
+        texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+        texts = texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "i", "left_semi")
+        texts = materialize(texts, "linked-texts")
+        text = lambda c: texts.select(F.col("i").alias(f"i{c}"), F.col("t").alias(f"t{c}"))
+        both = pairs.join(text("a"), "ia").join(text("b"), "ib")
+        return both.select("a", "b", "ta", "tb").mapInArrow(holds, "a long, b long")
+
+    return check
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = STAGE_SIMILARITY) -> DataFrame:
     """The rows of docs without those whose component of near duplicates has a smaller id.
 
-    Near means that 512-bit fingerprints over five-word shingles differ in no more bits than sets of
-    this similarity do on average, plus one standard deviation. Rows with null ids stay unless their
-    component has an id; rows repeated with a component's least id all stay.
+    512-bit fingerprints over five-word shingles propose links: those of a minimum spanning forest of all
+    pairs that differ in no more bits than sets of this similarity do on average, plus two standard
+    deviations. A link stands if the shingle sets themselves have the similarity. Texts with one fingerprint
+    count as copies. Rows with null ids stay; rows repeated with a component's least id all stay.
     """
     bits = 64 * STAGE_N
     p = agreement(similarity)
-    radius = round(bits * (1 - p) + math.sqrt(bits * p * (1 - p)))
+    radius = round(bits * (1 - p) + 2 * math.sqrt(bits * p * (1 - p)))
     prints = materialize(fingerprints(docs, id_col, text_col, STAGE_WORDS, STAGE_N), "fingerprints")
-    found = near_classes(prints, STAGE_N, radius, lambda rows: sampled_tables(bits, p, rows, STAGE_RECALL))
-    dropped = found.where(~F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias(unused(docs, "_id"))).distinct()
-    return docs.join(dropped, docs[id_col].eqNullSafe(F.col(dropped.columns[0])), "left_anti")
+    check = similar(docs, id_col, text_col, similarity)
+    found = near_classes(prints, STAGE_N, radius, lambda rows: sampled_tables(bits, p, rows, STAGE_RECALL), check)
+    gone = F.col("id").isNotNull() & (F.col("id") != F.col("component"))
+    dropped = found.where(gone).select(F.col("id").alias(unused(docs, "_id"))).distinct()
+    return docs.join(dropped, docs[id_col] == F.col(dropped.columns[0]), "left_anti")
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
