@@ -454,7 +454,7 @@ def test_pfair_windows_hold():
 
 
 def test_mix(documents, odd, monkeypatch):
-    monkeypatch.setattr(mixing, "RANGE_ROWS", 30)
+    monkeypatch.setattr(mixing, "FEWEST_ROWS", 30)
     weights = {r.source: 1 + i for i, r in enumerate(documents.select("source").distinct().orderBy("source").collect())}
     got = mixing.mix(documents, weights, block_rows=2, period=300).collect()
     assert len(got) == documents.count() == len({r.position for r in got})

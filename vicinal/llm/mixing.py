@@ -22,8 +22,9 @@ from vicinal.plans.shared import materialize
 
 #: Slots of a period (weights are rounded to multiples of its inverse), rows of a block, most sources.
 PERIOD, BLOCK_ROWS, MAX_SOURCES = 1000, 16, 1000
-#: Rows of a range of ids, on average, in which ranks are counted.
-RANGE_ROWS = 50_000
+#: Rows of a range of ids, on average, in which ranks are counted: a RANGES-th of all, between these bounds. A
+#: source of any share is thus spread over as many tasks, and no task ranks more than a bounded number.
+RANGES, FEWEST_ROWS, MOST_ROWS = 200, 1_000, 50_000
 
 
 def rounded_weights(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
@@ -74,7 +75,8 @@ def ranks(docs: DataFrame, id_col: str, source: str) -> DataFrame:
     the counts of the source's ranges before it are added. Null ids come first; rows of equal id and
     source are ranked among themselves in an arbitrary order.
     """
-    cut = docs.withColumn("_part", id_range(docs, id_col, RANGE_ROWS)[0])
+    rows = min(max(docs.count() // RANGES, FEWEST_ROWS), MOST_ROWS)
+    cut = docs.withColumn("_part", id_range(docs, id_col, rows)[0])
     local = cut.withColumn("_local", F.row_number().over(Window.partitionBy(source, "_part").orderBy(F.col(id_col).asc_nulls_first())) - 1)
     sizes = cut.groupBy(source, "_part").count()
     before = sizes.withColumn(
