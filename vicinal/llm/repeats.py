@@ -32,6 +32,8 @@ LENGTH, GRAM = 50, 16
 #: Bytes of text to a bucket and to a group of documents, on average; positions of a shard
 #: (few, so that its arrays fit a core's cache) and of shards merged at once, unless one hash alone has more.
 BUCKET_BYTES, GROUP_BYTES, SHARD, MERGED = 4 << 20, 32 << 20, 1 << 16, 1 << 18
+#: Bytes of a group's texts whose strings are sorted out at a time.
+TOGETHER = 8 << 20
 #: Bytes whose hashes are made at a time; the arrays should fit a core's cache.
 _CHUNK = 1 << 18
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -275,13 +277,23 @@ def _strings(length: int, buckets: int, groups: int):
     those of the least document go there; the others are repeats as a whole, and that is known here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, wanted = None, np.zeros(0, np.uint64)
+        last, wanted, parts, size = None, np.zeros(0, np.uint64), [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if parts and len(wanted):
+                ids, marks = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
+                yield from _emit([t for p in parts for t in p[0]], ids, marks, wanted, length, buckets, groups)
+
         for held, row in _by_group(batches):
+            if held is not last or size > TOGETHER:
+                yield from flush()
+                parts, size = [], 0
             if held is not last:
                 last = held
                 wanted = np.sort(np.concatenate([_asked(_unpack_runs(r[3], r[4]), _unpack_keys(r[2])) for r in held])) if held else np.zeros(0, np.uint64)
-            if len(wanted):
-                yield from _emit(*_dealt(row), wanted, length, buckets, groups)
+            parts.append(_dealt(row))
+            size += sum(map(len, parts[-1][0]))
+        yield from flush()
 
     return run
 
