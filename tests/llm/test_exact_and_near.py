@@ -173,6 +173,62 @@ def test_stage_drops_near_copies_only(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [*range(40), 200]
 
 
+def shingles(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def exact_kept(rows):
+    """Least ids of the components of all pairs whose shingle sets have similarity 0.8."""
+    sets, parent = [shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if 10 * common >= 8 * (len(sets[i]) + len(sets[j]) - common):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    return sorted({min(k for y, (k, _) in enumerate(rows) if find(y) == x) for x in {find(x) for x in range(len(rows))}})
+
+
+def kept_ids(spark, rows):
+    return sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
+def test_stage_keeps_links_of_borderline_variants(spark):
+    """A proposal that fails must not lose the exact links of the texts it stood for."""
+    r = random.Random(11)
+    base = [f"w{r.randrange(3000)}" for _ in range(400)]
+    rows = []
+    for i in range(300):
+        d = list(base)
+        for k in r.sample(range(400), r.randint(1, 14)):
+            d[k] = f"x{i}_{k}"
+        rows.append((i, " ".join(d)))
+    assert kept_ids(spark, rows) == exact_kept(rows)
+
+
+@pytest.mark.parametrize("chunk", [512, 7])
+def test_pairs_of_different_components_meet(spark, chunk):
+    r = random.Random(12)
+    sets = {i: sorted(r.sample(range(30), r.randint(1, 12))) for i in range(120)} | {200 + i: list(range(9)) + [50 + i] for i in range(20)}
+    comps = {200 + i: 200 for i in range(20)}
+    groups = [(i % 2, i) for i in sets]
+    frame = spark.createDataFrame([(i, bytearray(np.array(x, "<u8").tobytes())) for i, x in sets.items()], "node long, set binary")
+    known = spark.createDataFrame(list(comps.items()), "node long, comp long")
+    found = simhash.exact_links(spark.createDataFrame(groups, "group long, node long"), known, frame, 0.5, chunk)
+    found = found.unionByName(known.select(F.col("node").alias("a"), F.col("comp").alias("b")))
+    got = {x.node: x.root for x in components.connected_components(found).collect()}
+    like = [(a, b) for a in sets for b in sets if a < b and a % 2 == b % 2 and 2 * len({*sets[a]} & {*sets[b]}) >= len({*sets[a]} | {*sets[b]})]
+    want = {x.node: x.root for x in components.connected_components(spark.createDataFrame([*like, *comps.items()], "a long, b long")).collect()}
+    assert got == want
+
+
 def test_stage_on_odd_rows(odd):
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns

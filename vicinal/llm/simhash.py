@@ -369,6 +369,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 #: Of the pipeline's stage: words of a shingle, similarity of shingle sets, fingerprint words, recall of the
 #: tables at that similarity, and ids of linked texts that are broadcast at most (32 MB).
 STAGE_WORDS, STAGE_SIMILARITY, STAGE_N, STAGE_RECALL, BROADCAST_IDS = 5, 0.8, 8, 0.995, 2_000_000
+#: Shingle sets that one task compares pair by pair; a group with more goes by pairs of bins.
+SET_CHUNK = 512
 
 
 def agreement(similarity: float) -> float:
@@ -376,38 +378,155 @@ def agreement(similarity: float) -> float:
     return 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
+def shingle_set(text: str | None) -> np.ndarray:
+    """The hashes of a text's distinct shingles of the stage, ascending."""
+    return np.unique(np.frombuffer(b"".join(shingle_hashes(text or "", STAGE_WORDS)), ">u8").astype(np.uint64))
+
+
+def like(common, p, q, similarity: float):
+    """Whether sets of p and q members with so many in common have the similarity."""
+    return (common > 0) & (common >= similarity * (p + q - common) - 1e-9)
+
+
+def exact_forest(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, comp: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) that connect, together with equal comp, all left and right rows whose sets have the
+    similarity: every pair of different comp is counted, over the rows that hold each member."""
+    rows, sizes = len(sets), np.array([len(x) for x in sets])
+    member = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    ends = np.r_[0, np.cumsum(sizes)]
+    order = np.argsort(member, kind="stable")
+    holders = np.repeat(np.arange(rows), sizes)[order]
+    order = order[left[holders]]
+    holders = holders[left[holders]]
+    starts = np.searchsorted(member[order], np.arange(member.max(initial=-1) + 2))
+    _, first, of = np.unique(comp, return_index=True, return_inverse=True)
+    own = first[of]
+    parent = own.copy()
+    for j in np.flatnonzero(right).tolist():
+        mine = member[ends[j] : ends[j + 1]]
+        length = starts[mine + 1] - starts[mine]
+        at = np.arange(length.sum()) + np.repeat(starts[mine] - np.cumsum(length) + length, length)
+        common = np.bincount(holders[at], minlength=rows)
+        found = np.flatnonzero(like(common, sizes, sizes[j], similarity) & (own != own[j]))
+        _join(parent, np.full(len(found), j), found)
+    a = np.unique(own)
+    root = _find(parent, a)
+    return a[a != root], root[a != root]
+
+
+def dealt(groups: DataFrame, known: DataFrame, chunk: int) -> DataFrame:
+    """groups(group, node), known(node, comp) -> (task, node, comp, a, b): any two nodes of a group that are
+    of different comp meet in a task, one as a left side (a), one as a right side (b).
+
+    A comp of over `chunk` rows is cut into bins of its own, which need not meet each other; the other
+    comps share bins, each as a whole. A task is a pair of bins. Groups of one comp need no task."""
+    rows = groups.join(known, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    few = F.col("n") <= chunk
+    totals = (
+        rows.groupBy("group", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("group")
+        .agg(
+            F.count(F.lit(1)).alias("comps"),
+            F.ceil(F.coalesce(F.sum(F.when(few, F.col("n"))), F.lit(0)) / chunk).alias("shared"),
+            F.sort_array(F.collect_list(F.when(~few, F.struct("comp", F.ceil(F.col("n") / chunk).alias("k"))))).alias("large"),
+        )
+        .where("comps > 1")
+        .withColumn("bins", F.expr("shared + aggregate(large, 0L, (s, x) -> s + x.k)"))
+    )
+    totals = materialize(totals, "groups")
+    return (
+        rows.join(totals, "group")
+        .withColumn("place", F.expr("cast(array_position(transform(large, x -> x.comp), comp) as int)"))
+        .withColumn("low", F.expr("if(place > 0, shared + aggregate(slice(large, 1, greatest(place, 1) - 1), 0L, (s, x) -> s + x.k), 0L)"))
+        .withColumn("k", F.expr("coalesce(get(large, place - 1).k, shared)"))
+        .withColumn("bin", F.expr("low + pmod(xxhash64(if(place > 0, node, comp)), k)"))
+        .withColumn("other", F.explode(F.expr("filter(sequence(0L, bins - 1), x -> place = 0 or x < low or x >= low + k)")))
+        .select(
+            F.xxhash64("group", F.least("bin", "other"), F.greatest("bin", "other")).alias("task"), "node", "comp",
+            (F.col("bin") <= F.col("other")).alias("a"), (F.col("bin") >= F.col("other")).alias("b"),
+        )
+    )
+
+
+def exact_links(groups: DataFrame, known: DataFrame, sets: DataFrame, similarity: float, chunk: int = SET_CHUNK) -> DataFrame:
+    """Links (a, b) that connect, together with known(node, comp), all nodes of a common group(group, node)
+    whose sets(node, set) have the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            while batch.num_rows:
+                key = batch.column("task").to_numpy()
+                if held and held[0].column("task")[0].as_py() != key[0]:
+                    yield compared(held)
+                    held = []
+                cut = int(np.searchsorted(key, key[0], "right"))
+                held.append(batch.slice(0, cut))
+                batch = batch.slice(cut)
+        if held:
+            yield compared(held)
+
+    def compared(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        sides = [table.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b")]
+        node = table.column("node").to_numpy()
+        found = [np.frombuffer(x.as_py(), "<u8") for x in table.column("set")]
+        a, b = exact_forest(found, *sides, table.column("comp").to_numpy(), similarity)
+        return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
+
+    rows = dealt(groups, known, chunk).join(sets, "node").select("task", "node", "comp", "a", "b", "set")
+    return rows.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
+
+
 def similar(docs: DataFrame, id_col: str, text_col: str, similarity: float):
-    """A check of links: the texts' sets of five-word shingles have this Jaccard similarity, counted exactly."""
+    """A check of proposed links: returns links that connect all rows that proposals connect and whose sets
+    of five-word shingles are connected by pairs of this Jaccard similarity, counted exactly.
+
+    The proposals themselves are checked first. What they connect and the links that stand do not is then
+    compared pair by pair, so a proposal that fails loses no link between others."""
 
     def holds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("ta"), batch.column("tb"), strict=True):
-                p, q = (set(shingle_hashes(t.as_py() or "", STAGE_WORDS)) for t in (x, y))
-                keep.append(p == q or len(p & q) >= similarity * len(p | q))
+            for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
+                p, q = (np.frombuffer(s.as_py(), "<u8") for s in (x, y))
+                common = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(bool(like(common, len(p), len(q), similarity)))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def check(classes: DataFrame, found: DataFrame) -> DataFrame:
-        named = lambda c: classes.where("least is not null").select(F.col("node").alias(c), F.col("least").alias(f"i{c}"))
-        pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = materialize(pairs.join(named("a"), "a").join(named("b"), "b"), "near-links")
-        wanted = materialize(pairs.select(F.col("ia").alias("i")).union(pairs.select("ib")).distinct(), "linked-ids")
-        texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-        texts = texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "i", "left_semi")
-        texts = materialize(texts, "linked-texts")
-        text = lambda c: texts.select(F.col("i").alias(f"i{c}"), F.col("t").alias(f"t{c}"))
-        both = pairs.join(text("a"), "ia").join(text("b"), "ib")
-        return both.select("a", "b", "ta", "tb").mapInArrow(holds, "a long, b long")
+        pairs = materialize(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-links")
+        groups = materialize(connected_components(pairs).select(F.col("root").alias("group"), "node"), "proposed")
+        sets = materialize(sets_of(docs, id_col, text_col, classes.join(groups.select("node"), "node", "left_semi")), "linked-sets")
+        side = lambda c: sets.select(F.col("node").alias(c), F.col("set").alias(f"s{c}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb")
+        stand = materialize(both.mapInArrow(holds, "a long, b long"), "standing")
+        known = materialize(connected_components(stand).select("node", F.col("root").alias("comp")), "known")
+        return stand.unionByName(materialize(exact_links(groups, known, sets, similarity), "exact-links"))
 
     return check
 
 
+def sets_of(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
+    """(node, set) of wanted(node, least: an id): the hashes of the text's shingle set, 8 bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(t.as_py()).astype("<u8").tobytes() for t in batch.column("t")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], names=["node", "set"])
+
+    ids = materialize(wanted.where("least is not null").select("node", F.col("least").alias("i")), "linked-ids")
+    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    texts = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "i").select("node", "t")
+    return texts.mapInArrow(run, "node long, set binary").dropDuplicates(["node"])
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = STAGE_SIMILARITY) -> DataFrame:
     """The rows of docs without those whose component of near duplicates has a smaller id.
 
     512-bit fingerprints over five-word shingles propose links: those of a minimum spanning forest of all
     pairs that differ in no more bits than sets of this similarity do on average, plus two standard
-    deviations. A link stands if the shingle sets themselves have the similarity. Texts with one fingerprint
+    deviations. A link stands if the shingle sets themselves have the similarity; where one fails, all pairs
+    that proposals connect and links that stand do not are counted. Texts with one fingerprint
     count as copies. Rows with null ids stay; rows repeated with a component's least id all stay.
     """
     bits = 64 * STAGE_N
