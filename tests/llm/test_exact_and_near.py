@@ -213,6 +213,18 @@ def test_stage_keeps_links_of_borderline_variants(spark):
     assert kept_ids(spark, rows) == exact_kept(rows)
 
 
+def test_stage_keeps_different_texts_of_equal_fingerprint(spark):
+    """One shingle may be over half of all occurrences, so that it alone makes the fingerprint."""
+    rows = [(i, " ".join(["row"] * 600 + [f"u{i}_{k}" for k in range(500)])) for i in range(6)]
+    rows += [(10 + i, f"{rows[i][1]} row row row row row row") for i in range(2)]
+    rows += [(None, rows[5][1]), (3, "quite another text under an id that is taken")]
+    prints = {tuple(simhash.fingerprint(t, 5, 8).tolist()) for _, t in rows[:6]}
+    assert len(prints) == 1
+    assert kept_ids(spark, [x for x in rows if x[0] is not None]) == [0, 1, 2, 3, 3, 4, 5]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [0, 1, 2, 3, 3, 4, 5] and len(kept) == 8
+
+
 @pytest.mark.parametrize("chunk", [512, 7])
 def test_pairs_of_different_components_meet(spark, chunk):
     r = random.Random(12)

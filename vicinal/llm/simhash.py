@@ -336,16 +336,13 @@ def links(classes: DataFrame, n: int, radius: int, tables: list[list[int]], chun
     return dealt.mapInArrow(_compare(n, radius, shortest), "a long, b long")
 
 
-def near_classes(prints: DataFrame, n: int, radius: int, tables_for, check=None) -> DataFrame:
-    """prints(id, w0 ..) -> (id, w0 .., component): the smallest id that links reach, itself included.
-
-    check: takes classes(node, least: an id) and links(a, b) between nodes, returns the links that stand."""
+def near_classes(prints: DataFrame, n: int, radius: int, tables_for) -> DataFrame:
+    """prints(id, w0 ..) -> (id, w0 .., component): the smallest id that links reach, itself included."""
     names = [f"w{i}" for i in range(n)]
     node = F.col("w0") if n == 1 else F.xxhash64(*names)
     classes = prints.groupBy(*names).agg(F.min("id").alias("least")).withColumn("node", node)
     classes = materialize(classes, "classes")
-    found = links(classes, n, radius, tables_for(classes.count()), shortest=check is not None)
-    found = check(classes.select("node", "least"), found) if check else found
+    found = links(classes, n, radius, tables_for(classes.count()))
     found = materialize(connected_components(found), "components")
     rooted = classes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
@@ -383,6 +380,28 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join(shingle_hashes(text or "", STAGE_WORDS)), ">u8").astype(np.uint64))
 
 
+def set_digest(members: np.ndarray) -> int:
+    """64 bits (signed) that stand for a shingle set."""
+    return xxhash.xxh3_64_intdigest(members.astype("<u8").tobytes()) - (1 << 63)
+
+
+def set_prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, node, w0 ..) of every row: the digest of its shingle set and its fingerprint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["id", "node", *(f"w{i}" for i in range(STAGE_N))]
+        for batch in batches:
+            texts = [t.as_py() for t in batch.column(1)]
+            nodes = [set_digest(shingle_set(t)) for t in texts]
+            found = np.array([fingerprint(t, STAGE_WORDS, STAGE_N) for t in texts], np.uint64).reshape(len(texts), STAGE_N).view(np.int64)
+            columns = [pa.array(np.ascontiguousarray(found[:, i])) for i in range(STAGE_N)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), *columns], names=names)
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    schema = f"id {kind}, node long, " + ", ".join(f"w{i} long" for i in range(STAGE_N))
+    return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(run, schema)
+
+
 def like(common, p, q, similarity: float):
     """Whether sets of p and q members with so many in common have the similarity."""
     return (common > 0) & (common >= similarity * (p + q - common) - 1e-9)
@@ -493,10 +512,10 @@ def similar(docs: DataFrame, id_col: str, text_col: str, similarity: float):
                 keep.append(bool(like(common, len(p), len(q), similarity)))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    def check(classes: DataFrame, found: DataFrame) -> DataFrame:
+    def check(prints: DataFrame, found: DataFrame) -> DataFrame:
         pairs = materialize(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-links")
         groups = materialize(connected_components(pairs).select(F.col("root").alias("group"), "node"), "proposed")
-        sets = materialize(sets_of(docs, id_col, text_col, classes.join(groups.select("node"), "node", "left_semi")), "linked-sets")
+        sets = materialize(sets_of(docs, id_col, text_col, prints.join(groups.select("node").distinct(), "node", "left_semi")), "linked-sets")
         side = lambda c: sets.select(F.col("node").alias(c), F.col("set").alias(f"s{c}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb")
         stand = materialize(both.mapInArrow(holds, "a long, b long"), "standing")
@@ -507,17 +526,22 @@ def similar(docs: DataFrame, id_col: str, text_col: str, similarity: float):
 
 
 def sets_of(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
-    """(node, set) of wanted(node, least: an id): the hashes of the text's shingle set, 8 bytes each."""
+    """(node, set) of each node of wanted(id, node): the hashes of the shingle set, 8 bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingle_set(t.as_py()).astype("<u8").tobytes() for t in batch.column("t")]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], names=["node", "set"])
-
-    ids = materialize(wanted.where("least is not null").select("node", F.col("least").alias("i")), "linked-ids")
+            found = [shingle_set(t.as_py()) for t in batch.column("t")]
+            columns = [pa.array([set_digest(x) for x in found], pa.int64()), pa.array([x.astype("<u8").tobytes() for x in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "set"])
+
+    # an id may have several texts, and a text no id: sets go by their digests
+    least = materialize(wanted.groupBy("node").agg(F.min("id").alias("i")), "linked-ids")
+    nodes, ids = least.select("node"), least.where("i is not null").select("i").distinct()
+    few = least.count() <= BROADCAST_IDS
     texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    texts = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "i").select("node", "t")
-    return texts.mapInArrow(run, "node long, set binary").dropDuplicates(["node"])
+    texts = texts.join(F.broadcast(ids) if few else ids, "i", "left_semi").unionByName(texts.where("i is null")).select("t")
+    found = texts.mapInArrow(run, "node long, set binary")
+    return found.join(F.broadcast(nodes) if few else nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = STAGE_SIMILARITY) -> DataFrame:
@@ -526,17 +550,21 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     512-bit fingerprints over five-word shingles propose links: those of a minimum spanning forest of all
     pairs that differ in no more bits than sets of this similarity do on average, plus two standard
     deviations. A link stands if the shingle sets themselves have the similarity; where one fails, all pairs
-    that proposals connect and links that stand do not are counted. Texts with one fingerprint
-    count as copies. Rows with null ids stay; rows repeated with a component's least id all stay.
+    that proposals connect and links that stand do not are counted. Texts with one shingle
+    set are copies, whatever their fingerprints. Rows with null ids stay; rows repeated with a component's least id all stay.
     """
     bits = 64 * STAGE_N
     p = agreement(similarity)
     radius = round(bits * (1 - p) + 2 * math.sqrt(bits * p * (1 - p)))
-    prints = materialize(fingerprints(docs, id_col, text_col, STAGE_WORDS, STAGE_N), "fingerprints")
-    check = similar(docs, id_col, text_col, similarity)
-    found = near_classes(prints, STAGE_N, radius, lambda rows: sampled_tables(bits, p, rows, STAGE_RECALL), check)
+    prints = materialize(set_prints(docs, id_col, text_col), "fingerprints")
+    classes = materialize(prints.drop("id").dropDuplicates(["node"]), "classes")
+    found = links(classes, STAGE_N, radius, sampled_tables(bits, p, classes.count(), STAGE_RECALL), shortest=True)
+    found = similar(docs, id_col, text_col, similarity)(prints.select("id", "node"), found)
+    found = materialize(connected_components(found), "components")
+    rooted = prints.select("id", "node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = rooted.groupBy("root").agg(F.min("id").alias("component"))
     gone = F.col("id").isNotNull() & (F.col("id") != F.col("component"))
-    dropped = found.where(gone).select(F.col("id").alias(unused(docs, "_id"))).distinct()
+    dropped = rooted.join(least, "root").where(gone).select(F.col("id").alias(unused(docs, "_id"))).distinct()
     return docs.join(dropped, docs[id_col] == F.col(dropped.columns[0]), "left_anti")
 
 
