@@ -225,6 +225,19 @@ def test_stage_keeps_different_texts_of_equal_fingerprint(spark):
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [0, 1, 2, 3, 3, 4, 5] and len(kept) == 8
 
 
+def test_stage_links_repeated_lines_and_short_texts(spark):
+    r = random.Random(13)
+    text = lambda n: [f"w{r.randrange(5000)}" for _ in range(n)]
+    rows = []
+    for i in range(20):  # one line repeated; a short text and one word more; short texts of all lengths
+        long, short, any_ = text(300), text(8), text(r.randint(1, 80))
+        k = r.randrange(len(any_))
+        pairs = [(long, long + (long[100:110] * 100)), (short, [*short, "more"]), (any_, [*any_[:k], *text(r.randint(0, 3)), *any_[k:]])]
+        rows += [" ".join(t) for p in pairs for t in p]
+    rows = list(enumerate(rows))
+    assert kept_ids(spark, rows) == exact_kept(rows)
+
+
 @pytest.mark.parametrize("chunk", [512, 7])
 def test_pairs_of_different_components_meet(spark, chunk):
     r = random.Random(12)

@@ -52,14 +52,18 @@ def fingerprint(text: str | None, words: int, n: int = 1) -> np.ndarray:
     """n 64-bit words. Bit j of the first is 1 if it is 1 in over half the shingles' hashes; a shingle is
     `words` words (maximal runs without ASCII white space, A-Z as a-z) joined by spaces, or all of them if
     there are fewer; without words all bits are 0. Further words use further mixes of the same hash."""
-    digests = shingle_hashes(text or "", words)
+    return majority(np.frombuffer(b"".join(shingle_hashes(text or "", words)), ">u8").astype(np.uint64), n)
+
+
+def majority(hashes: np.ndarray, n: int) -> np.ndarray:
+    """The fingerprint of shingles with these hashes."""
     counts = np.zeros((n, 64), np.int64)
-    for at in range(0, len(digests), STEP):
-        h = np.frombuffer(b"".join(digests[at : at + STEP]), ">u8").astype(np.uint64)
+    for at in range(0, len(hashes), STEP):
+        h = hashes[at : at + STEP]
         for w in range(n):
             mixed = h if w == 0 else _mixed(h, w)
             counts[w] += np.unpackbits(mixed.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    bits = counts * 2 > len(digests)
+    bits = counts * 2 > len(hashes)
     return np.packbits(bits, axis=1).view(">u8").astype(np.uint64).reshape(n)
 
 
@@ -365,7 +369,10 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 #: Of the pipeline's stage: words of a shingle, similarity of shingle sets, fingerprint words, recall of the
 #: tables at that similarity, and ids of linked texts that are broadcast at most (32 MB).
-STAGE_WORDS, STAGE_SIMILARITY, STAGE_N, STAGE_RECALL, BROADCAST_IDS = 5, 0.8, 8, 0.995, 2_000_000
+STAGE_WORDS, STAGE_SIMILARITY, STAGE_N, STAGE_RECALL, BROADCAST_IDS = 5, 0.8, 8, 0.999, 2_000_000
+#: Standard deviations beyond the mean distance at that similarity up to which links are proposed; pairs of
+#: sets of which one has at most SHORT shingles are found without fingerprints.
+STAGE_SIGMAS, SHORT = 4, 64
 #: Shingle sets that one task compares pair by pair; a group with more goes by pairs of bins.
 SET_CHUNK = 512
 
@@ -385,20 +392,33 @@ def set_digest(members: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(members.astype("<u8").tobytes()) - (1 << 63)
 
 
-def set_prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, node, w0 ..) of every row: the digest of its shingle set and its fingerprint."""
+def first_members(members: np.ndarray, similarity: float) -> np.ndarray:
+    """Of a set of at most SHORT / similarity members the least, so many that sets of the similarity have one
+    of them in common; of a larger set none."""
+    n = len(members)
+    return members[: n - math.ceil(similarity * n - 1e-9) + 1 if 0 < n <= SHORT / similarity else 0]
+
+
+def set_prints(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
+    """(id, node, w0 .., first) of every row: the digest of its shingle set, the fingerprint of the set
+    (repeats don't count) and first_members()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "node", *(f"w{i}" for i in range(STAGE_N))]
+        names = ["id", "node", *(f"w{i}" for i in range(STAGE_N)), "first"]
         for batch in batches:
-            texts = [t.as_py() for t in batch.column(1)]
-            nodes = [set_digest(shingle_set(t)) for t in texts]
-            found = np.array([fingerprint(t, STAGE_WORDS, STAGE_N) for t in texts], np.uint64).reshape(len(texts), STAGE_N).view(np.int64)
+            nodes, rows, first = [], [], []
+            for text in batch.column(1):
+                members = shingle_set(text.as_py())
+                nodes.append(set_digest(members))
+                rows.append(majority(members, STAGE_N))
+                first.append(first_members(members, similarity).view(np.int64))
+            found = np.array(rows, np.uint64).reshape(len(rows), STAGE_N).view(np.int64)
             columns = [pa.array(np.ascontiguousarray(found[:, i])) for i in range(STAGE_N)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), *columns], names=names)
+            columns = [pa.array(nodes, pa.int64()), *columns, pa.array(first, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, node long, " + ", ".join(f"w{i} long" for i in range(STAGE_N))
+    schema = f"id {kind}, node long, " + ", ".join(f"w{i} long" for i in range(STAGE_N)) + ", first array<long>"
     return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(run, schema)
 
 
@@ -497,8 +517,9 @@ def exact_links(groups: DataFrame, known: DataFrame, sets: DataFrame, similarity
 
 
 def similar(docs: DataFrame, id_col: str, text_col: str, similarity: float):
-    """A check of proposed links: returns links that connect all rows that proposals connect and whose sets
-    of five-word shingles are connected by pairs of this Jaccard similarity, counted exactly.
+    """A check of proposed links: returns links that connect all rows that proposals connect, or that are
+    short and share a first member, and whose sets of five-word shingles are connected by pairs of this
+    Jaccard similarity, counted exactly.
 
     The proposals themselves are checked first. What they connect and the links that stand do not is then
     compared pair by pair, so a proposal that fails loses no link between others."""
@@ -512,9 +533,11 @@ def similar(docs: DataFrame, id_col: str, text_col: str, similarity: float):
                 keep.append(bool(like(common, len(p), len(q), similarity)))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    def check(prints: DataFrame, found: DataFrame) -> DataFrame:
+    def check(prints: DataFrame, found: DataFrame, first: DataFrame) -> DataFrame:
         pairs = materialize(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-links")
-        groups = materialize(connected_components(pairs).select(F.col("root").alias("group"), "node"), "proposed")
+        shared = first.groupBy("group").count().where("count > 1").select("group")
+        groups = connected_components(pairs).select(F.col("root").alias("group"), "node").unionByName(first.join(shared, "group", "left_semi"))
+        groups = materialize(groups, "proposed")
         sets = materialize(sets_of(docs, id_col, text_col, prints.join(groups.select("node").distinct(), "node", "left_semi")), "linked-sets")
         side = lambda c: sets.select(F.col("node").alias(c), F.col("set").alias(f"s{c}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb")
@@ -547,19 +570,21 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> D
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = STAGE_SIMILARITY) -> DataFrame:
     """The rows of docs without those whose component of near duplicates has a smaller id.
 
-    512-bit fingerprints over five-word shingles propose links: those of a minimum spanning forest of all
-    pairs that differ in no more bits than sets of this similarity do on average, plus two standard
-    deviations. A link stands if the shingle sets themselves have the similarity; where one fails, all pairs
+    512-bit fingerprints over the sets of five-word shingles propose links: those of a minimum spanning
+    forest of all pairs that differ in no more bits than sets of this similarity do on average, plus four
+    standard deviations. Pairs with a set of at most SHORT shingles are all found, by members that they must
+    share (prefix filter, Chaudhuri et al., 2006). A link stands if the shingle sets themselves have the similarity; where one fails, all pairs
     that proposals connect and links that stand do not are counted. Texts with one shingle
     set are copies, whatever their fingerprints. Rows with null ids stay; rows repeated with a component's least id all stay.
     """
     bits = 64 * STAGE_N
     p = agreement(similarity)
-    radius = round(bits * (1 - p) + 2 * math.sqrt(bits * p * (1 - p)))
-    prints = materialize(set_prints(docs, id_col, text_col), "fingerprints")
+    radius = round(bits * (1 - p) + STAGE_SIGMAS * math.sqrt(bits * p * (1 - p)))
+    prints = materialize(set_prints(docs, id_col, text_col, similarity), "fingerprints")
     classes = materialize(prints.drop("id").dropDuplicates(["node"]), "classes")
     found = links(classes, STAGE_N, radius, sampled_tables(bits, p, classes.count(), STAGE_RECALL), shortest=True)
-    found = similar(docs, id_col, text_col, similarity)(prints.select("id", "node"), found)
+    first = classes.select(F.explode("first").alias("group"), "node")
+    found = similar(docs, id_col, text_col, similarity)(prints.select("id", "node"), found, first)
     found = materialize(connected_components(found), "components")
     rooted = prints.select("id", "node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("id").alias("component"))
