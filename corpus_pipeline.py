@@ -7,12 +7,15 @@ Every stage but the last takes and returns rows with the columns of documents.
 3. near_dedup: of each component of near duplicates (five-word shingles, similarity 0.8) the row with
    the least id stays.
 4. mixing: all rows, in the order of a Pfair schedule of their sources.
-5. bpe: the token ids of each text, with digests that show that decoding gives the text back.
+5. bpe: the token ids of each text, with digests that show that decoding gives the text back, and each row's
+   source and position in the schedule; sorted by position. Spark reads files in an order of its own, so the
+   schedule, which follows from the rows alone, is worked out again here.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vicinal.llm import bpe, exact_dedup, language_id, mixing, simhash
 from vicinal.plans.shared import materialize
@@ -35,7 +38,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.bpe_round_trip(docs, bpe.default_vocabulary(), keep=("ids",))
+    rows = mixing.placed(docs, "position").select(F.struct("doc_id", "source", "position").alias("row"), "text")
+    return bpe.bpe_round_trip(rows, bpe.default_vocabulary(), "row", keep=("ids",)).select("row.*", "n_tokens", "ids_sha256", "decoded_sha256", "ids")
 
 
 STAGES = [

@@ -7,7 +7,7 @@ from tokenizers import Tokenizer
 import public_tokenizers
 
 import corpus_pipeline
-from vicinal.llm import language_id, registry
+from vicinal.llm import language_id, mixing, registry
 
 
 def test_stages(spark, documents, sf, tmp_path):
@@ -43,6 +43,14 @@ def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
 
 
+def test_run_is_in_mixed_order(spark, sf):
+    rows = corpus_pipeline.run(spark, sf).collect()
+    places = [r.position for r in rows]
+    assert len(rows) > 0 and places == sorted(places)
+    df = spark.createDataFrame([(r.doc_id, r.source) for r in rows], "doc_id long, source string")
+    assert {(r.doc_id, r.position) for r in rows} == {(r.doc_id, r.position) for r in mixing.mix(df).collect()}
+
+
 @pytest.mark.parametrize("n", range(1, 11))
 def test_registered(n):
     assert sum(k.startswith(f"op{n}_") for k in registry.QUERIES) == 1

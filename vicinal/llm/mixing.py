@@ -146,13 +146,20 @@ def mix(
     )
 
 
+def placed(docs: DataFrame, position: str, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, float] | None = None) -> DataFrame:
+    """docs with the schedule's position in a new column, range-partitioned and sorted by it. Rows of equal
+    id have the least position of them."""
+    key = unused(docs, "_id")
+    order = mix(docs, weights, id_col, source_col).groupBy(F.col(id_col).alias(key)).agg(F.min("position").alias(position))
+    joined = docs.join(order, docs[id_col].eqNullSafe(F.col(key)))
+    return joined.drop(key).orderBy(position)
+
+
 def in_mixed_order(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, float] | None = None) -> DataFrame:
     """docs, all rows and columns as they are, range-partitioned and sorted by the schedule's position:
     read part by part, they come in the mix's order."""
-    key, place = unused(docs, "_id"), unused(docs, "_position")
-    order = mix(docs, weights, id_col, source_col).groupBy(F.col(id_col).alias(key)).agg(F.min("position").alias(place))
-    joined = docs.join(order, docs[id_col].eqNullSafe(F.col(key)))
-    return joined.orderBy(place).drop(key, place)
+    place = unused(docs, "_position")
+    return placed(docs, place, id_col, source_col, weights).drop(place)
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
