@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import json
 import math
 import random
 import re
@@ -158,18 +159,102 @@ def test_ids_and_text_are_the_librarys(merges, library, documents):
         assert "".join(back.feed(ids[i : i + 3]) for i in range(0, len(ids), 3)) + back.finish() == library.decode(ids, skip_special_tokens=False)
 
 
+def packed(ids):
+    return np.array(ids, "<u4").tobytes()
+
+
 def test_transducer_emits_what_the_whole_gives(merges):
     r = random.Random(2)
     assert 1 <= merges.lookahead < 1000
     for _ in range(60):
         data = (r.choice(["ab", "a", "hello", "==-", "aaab", " ", "thethe"]) * 800).encode()[: r.randint(500, 3000)] if r.random() < 0.5 else bytes(r.choice(b"abcdet hino") for _ in range(2000))
-        machine, out, at = bpe.Transducer(merges, block=64), [], 0
+        machine, out, at = bpe.Transducer(merges, block=64), b"", 0
         while at < len(data):
             n = r.randint(1, 300)
             out += machine.feed(data[at : at + n])
             at += n
-            assert len(machine.held) <= 64 + merges.lookahead + 300
-        assert out + machine.finish() == merges.encode_piece(data)
+            assert len(machine.held) <= machine.block + merges.lookahead
+        assert out + machine.feed(b"", True) == packed(merges.encode_piece(data))
+        assert not machine.held
+
+
+def slow_merge(rules, text):
+    """Pairs of least rank first, leftmost among equals, on strings."""
+    parts = list(text)
+    while found := [(rules[a, b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if (a, b) in rules]:
+        i = min(found)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return parts
+
+
+def test_lookahead_suffices_for_small_merge_lists():
+    """All texts of up to ten letters, cut anywhere, under hundreds of random merge lists: what the transducer
+    emits before the cut stands whatever follows."""
+    r = random.Random(3)
+    for _ in range(150):
+        letters = "ab" if r.random() < 0.5 else "abc"
+        tokens, order = list(letters), []
+        for _ in range(r.randint(1, 7)):
+            a, b = r.choice(tokens), r.choice(tokens)
+            if (a, b) not in order and len(a + b) <= 6 and a + b not in tokens:
+                order.append((a, b))
+                tokens.append(a + b)
+        alphabet = {v: k for k, v in bpe.byte_alphabet().items()}
+        vocab = {alphabet[i]: i for i in range(256)}
+        for t in tokens[len(letters) :]:
+            vocab[t] = len(vocab)
+        m = bpe.Merges(json.dumps({"model": {"vocab": vocab, "merges": [" ".join(x) for x in order]}}))
+        rules = {p: i for i, p in enumerate(order)}
+        for _ in range(40):
+            text = "".join(r.choice(letters) for _ in range(r.randint(1, 10)))
+            want = [vocab[t] for t in slow_merge(rules, text)]
+            machine = bpe.Transducer(m, block=1)
+            out = b"".join(machine.feed(text[i : i + 1].encode()) for i in range(len(text)))
+            assert packed(want[: len(out) // 4]) == out
+            assert out + machine.feed(b"", True) == packed(want), (order, text)
+
+
+def test_pre_tokens_in_parts(merges, library, monkeypatch):
+    """Stretches of a few characters: long runs of every kind, cut anywhere, give the library's ids, all of
+    them from the transducer."""
+    for name, value in (("WINDOW", 7), ("PART", 5)):
+        monkeypatch.setattr(bpe, name, value)
+    emitted = []
+    feed = bpe.Transducer.feed
+    monkeypatch.setattr(bpe.Transducer, "feed", lambda self, *a: emitted.append(feed(self, *a)) or emitted[-1])
+    encoder, r = bpe.Encoder(merges), random.Random(4)
+    runs = ["a", "é", " ", "\n", "\t", "1", "²", "!", "'", "😀", "中", "'s", " \n", "a ", " a"]
+    for _ in range(1500):
+        text = "".join(r.choice(runs) * r.choice([1, 1, 2, 3, 11, 30]) for _ in range(r.randint(0, 6)))
+        emitted.clear()
+        ids = ids_of(encoder, text)
+        assert ids == library.encode(text, add_special_tokens=False).ids, text
+        assert packed(ids) == b"".join(emitted)
+        assert not encoder.tail and not encoder.run and len(encoder.machine.held) == 0
+
+
+def test_memory_does_not_follow_the_text(merges, library):
+    for unit in ("x", " ", "!", "7", "\n", "中"):
+        encoder, most = bpe.Encoder(merges), 0
+        out = []
+        for _ in range(6):
+            out.append(encoder.feed(unit * (1 << 16)))
+            most = max(most, len(encoder.tail) + len(encoder.machine.held))
+        out.append(encoder.finish())
+        assert most <= bpe.PART + encoder.machine.block + merges.lookahead
+        assert np.frombuffer(b"".join(out), "<u4").tolist() == library.encode(unit * 6 * (1 << 16), add_special_tokens=False).ids
+
+
+def test_text_from_any_bytes(merges):
+    by_byte = {v: k for k, v in merges.bytes_of.items() if len(v) == 1}
+    r = random.Random(5)
+    some = [0x20, 0x41, 0x7F, 0x80, 0x8F, 0x90, 0x9F, 0xA0, 0xBF, 0xC1, 0xC2, 0xDF, 0xE0, 0xE4, 0xED, 0xEF, 0xF0, 0xF1, 0xF4, 0xF5, 0xFF]
+    for _ in range(4000):
+        data = bytes(r.choice(some) for _ in range(r.randint(0, 8)))
+        back = bpe.ByteToText(merges)
+        got = "".join(back.feed([by_byte[bytes([b])]]) for b in data)
+        assert len(back.held) <= 3
+        assert got + back.finish() == data.decode("utf-8", "replace"), data
 
 
 def test_invalid_bytes_decode_to_replacements(merges):

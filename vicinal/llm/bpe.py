@@ -2,14 +2,14 @@
 
 `Merges` computes from the merge list how many bytes beyond a token's end can still change that
 token. `Transducer` takes bytes in pieces of any size, emits a token once that many bytes behind it
-are known, and so holds a bounded number of bytes whatever the length of the input. `ByteToText`
-turns ids back into text, also piece by piece, with a UTF-8 state machine that carries at most three
-bytes over. Texts are first cut by the vocabulary's own pre-tokenisation pattern.
+are known, and so holds a bounded number of bytes whatever the length of the input; every id comes
+from it. `Encoder` feeds it: it cuts a text by the vocabulary's own pre-tokenisation pattern, stretch
+by stretch, and passes a pre-token on before its end is known if it is long. `ByteToText` turns ids
+back into text, also piece by piece, with a UTF-8 state machine that carries at most three bytes over.
 """
 
 from __future__ import annotations
 
-import codecs
 import hashlib
 import heapq
 import json
@@ -31,8 +31,13 @@ _NOT_PLAIN = re.compile(rf"[^\t\n\r -~{_LATIN}¡-©«-±´¶-¸»¿×÷‐-‧
 _SLOW = regex.compile(PATTERN)
 #: A cut before a space that follows a non-space never splits a pre-token.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Characters that are pre-tokenised at a time, and pre-tokens whose ids a worker keeps.
-WINDOW, REMEMBERED = 1 << 16, 1_000_000
+#: What a pre-token goes on with, by the kind of its last character.
+_RUNS = [regex.compile(x) for x in (r"\p{L}++", r"\p{N}++", r"\s++", r"[^\s\p{L}\p{N}]++")]
+_SPACES = _RUNS[2]
+#: Characters that are pre-tokenised at a time; those behind the end of a pre-token that settle it; those from
+#: which on an unfinished pre-token is passed on in parts; bytes of a window whose ids are remembered, and how
+#: many windows (together some 50 MB at most).
+WINDOW, SETTLED, PART, SMALL, REMEMBERED = 1 << 16, 3, 1 << 12, 32, 250_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -42,6 +47,10 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+#: Ranks after every merge.
+_NEVER = (1 << 62, 0)
+
+
 class Merges:
     """A byte-level vocabulary with its ordered merges."""
 
@@ -65,6 +74,7 @@ class Merges:
             self.special[t["content"]] = t["id"]
             self.bytes_of[t["id"]] = t["content"].encode()
         self.lookahead = self._sufficient_lookahead()
+        self.longest = max(map(len, self.bytes_of.values()))
 
     def _sufficient_lookahead(self) -> int:
         """Bytes behind a token's end that suffice to know that the token stands.
@@ -86,19 +96,19 @@ class Merges:
     def encode_piece(self, data: bytes) -> list[int]:
         """Ids of a whole byte string: always the pair of least rank first, leftmost among equals."""
         ids = [self.byte_id[b] for b in data]
-        if len(ids) < 2:
-            return ids
-        if len(ids) <= 24:
-            rule = self.rule
-            while True:
-                best = min(
-                    ((r[0], i, r[1]) for i, p in enumerate(zip(ids, ids[1:])) if (r := rule.get(p))), default=None
-                )
-                if best is None:
-                    return ids
-                _, i, t = best
-                ids[i : i + 2] = [t]
-        return self._encode_long(ids)
+        if len(ids) > 48:
+            return self._encode_long(ids)
+        rule = self.rule.get
+        due = [rule(p, _NEVER) for p in zip(ids, ids[1:])]
+        while due and (best := min(due)) is not _NEVER:
+            i = due.index(best)
+            ids[i : i + 2] = [best[1]]
+            del due[i]
+            if i < len(due):
+                due[i] = rule((ids[i], ids[i + 1]), _NEVER)
+            if i:
+                due[i - 1] = rule((ids[i - 1], ids[i]), _NEVER)
+        return ids
 
     def _encode_long(self, ids: list[int]) -> list[int]:
         n = len(ids)
@@ -120,84 +130,183 @@ class Merges:
 
 
 class Transducer:
-    """Bytes in, ids out; holds at most `block` plus the lookahead and one feed's bytes."""
+    """Bytes of pre-tokens in, ids out (packed as little-endian unsigned 32-bit integers); holds at most
+    `block` bytes plus the lookahead and one feed's bytes. Ids of small windows are remembered, a bounded number."""
 
     def __init__(self, merges: Merges, block: int = 1024) -> None:
-        self.merges, self.block, self.held = merges, block, b""
-
-    def feed(self, data: bytes) -> list[int]:
-        out: list[int] = []
-        step = self.block
-        for at in range(0, len(data), step):
-            self.held += data[at : at + step]
-            if len(self.held) >= self.block + self.merges.lookahead:
-                out += self._stable()
-        return out
-
-    def _stable(self) -> list[int]:
-        """The tokens that end at least the lookahead before the end of what is known. The tokens of the
-        rest don't depend on them: no merge has crossed, or ever crosses, the boundary."""
-        out, done, limit = [], 0, len(self.held) - self.merges.lookahead
-        for t in self.merges.encode_piece(self.held):
+        self.merges, self.held = merges, b""
+        self.block = max(block, merges.longest)  # so that each stretch emits a token at least
+        self.known: dict[bytes, bytes] = {}
+
+    def feed(self, data: bytes, end: bool = False) -> bytes:
+        """The ids that are certain now; with `end` the pre-token ends here and all are."""
+        if self.held:
+            data = self.held + data
+        if len(data) > self.block + self.merges.lookahead:
+            out = []
+            while len(data) > self.block + self.merges.lookahead:
+                ids, done = self._stable(data[: self.block + self.merges.lookahead])
+                out.append(ids)
+                data = data[done:]
+            self.held = data
+            return b"".join([*out, self.feed(b"", True)]) if end else b"".join(out)
+        if not end:
+            self.held = data
+            return b""
+        self.held = b""
+        return self.known.get(data) or self._window(data)
+
+    def _stable(self, window: bytes) -> tuple[bytes, int]:
+        """The tokens that end at least the lookahead before the end of what is known, and their bytes. The
+        tokens of the rest don't depend on them: no merge has crossed, or ever crosses, the boundary."""
+        out, done, limit = [], 0, len(window) - self.merges.lookahead
+        for t in self.merges.encode_piece(window):
             n = len(self.merges.bytes_of[t])
             if done + n > limit:
                 break
             out.append(t)
             done += n
-        self.held = self.held[done:]
-        return out
+        return np.array(out, "<u4").tobytes(), done
+
+    def _window(self, data: bytes) -> bytes:
+        ids = np.array(self.merges.encode_piece(data), "<u4").tobytes()
+        if len(data) <= SMALL:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            self.known[data] = ids
+        return ids
+
 
-    def finish(self) -> list[int]:
-        out, self.held = self.merges.encode_piece(self.held), b""
-        return out
+#: Of each first byte of a UTF-8 sequence: its length, and the least and greatest second byte (the Unicode
+#: standard's table of well-formed sequences).
+_SEQUENCES = (
+    {b: (2, 0x80, 0xBF) for b in range(0xC2, 0xE0)}
+    | {b: (3, 0xA0 if b == 0xE0 else 0x80, 0x9F if b == 0xED else 0xBF) for b in range(0xE0, 0xF0)}
+    | {b: (4, 0x90 if b == 0xF0 else 0x80, 0x8F if b == 0xF4 else 0xBF) for b in range(0xF0, 0xF5)}
+)
+
+
+def unfinished(data: bytes) -> int:
+    """How many last bytes are the beginning of a character that more bytes may complete: 0 to 3."""
+    for k in range(1, min(3, len(data)) + 1):
+        b = data[-k]
+        if 0x80 <= b < 0xC0:
+            continue
+        n, low, high = _SEQUENCES.get(b, (0, 0, 0))
+        return k if n > k and (k == 1 or low <= data[-k + 1] <= high) else 0
+    return 0
 
 
 class ByteToText:
-    """Ids in, text out, piece by piece; bytes that form no character give U+FFFD."""
+    """Ids in, text out, piece by piece. Its state is the beginning of a character, three bytes at most; bytes
+    that can't be part of one give U+FFFD, one for each longest beginning of a character."""
 
     def __init__(self, merges: Merges) -> None:
-        self.bytes_of, self.state = merges.bytes_of, codecs.getincrementaldecoder("utf-8")("replace")
+        self.bytes_of, self.held = merges.bytes_of, b""
 
     def feed(self, ids: Iterable[int]) -> str:
-        return self.state.decode(b"".join(map(self.bytes_of.__getitem__, ids)))
+        data = self.held + b"".join(map(self.bytes_of.__getitem__, ids))
+        cut = len(data) - unfinished(data)
+        self.held = data[cut:]
+        return data[:cut].decode("utf-8", "replace")
 
     def finish(self) -> str:
-        return self.state.decode(b"", final=True)
+        data, self.held = self.held, b""
+        return data.decode("utf-8", "replace")
 
 
-class Encoder(dict):
-    """Encodes texts; as a dict it maps recent pre-tokens to their packed ids."""
+class Encoder:
+    """Cuts texts into pre-tokens for a transducer. It holds one stretch of text: what is cut off whole is
+    passed on with its end, a pre-token that outgrows PART without it."""
 
     def __init__(self, merges: Merges) -> None:
-        super().__init__()
-        self.merges = merges
+        self.merges, self.machine = merges, Transducer(merges)
+        self.tail, self.run = "", None
         alternatives = sorted(map(re.escape, merges.special), key=len, reverse=True)
-        self.special = re.compile(f"({'|'.join(alternatives)})") if alternatives else None
-
-    def __missing__(self, piece: str) -> bytes:
-        data = piece.encode("utf-8", "surrogatepass")
-        if len(data) <= 256:
-            packed = np.array(self.merges.encode_piece(data), "<u4").tobytes()
-            self[piece] = packed
-            return packed
-        machine = Transducer(self.merges)
-        return np.array(machine.feed(data) + machine.finish(), "<u4").tobytes()
+        self.special = re.compile("|".join(alternatives)) if alternatives else None
 
     def packed(self, text: str) -> Iterator[bytes]:
         """The ids of a text as little-endian unsigned 32-bit integers, in pieces."""
-        for k, part in enumerate(self.special.split(text) if self.special else [text]):
-            if k % 2:
-                yield np.array([self.merges.special[part]], "<u4").tobytes()
-                continue
-            at = 0
-            while at < len(part):
-                cut = _CUT.search(part, at + WINDOW) if len(part) - at > WINDOW else None
-                window = part[at : cut.start()] if cut else part[at:]
-                at += len(window)
-                pieces = (_SLOW if _NOT_PLAIN.search(window) else _FAST).findall(window)
-                yield b"".join(map(self.__getitem__, pieces))
-                if len(self) > REMEMBERED:
-                    self.clear()
+        at = 0
+        for m in self.special.finditer(text) if self.special else ():
+            yield from self._plain(text, at, m.start())
+            yield np.array([self.merges.special[m.group()]], "<u4").tobytes()
+            at = m.end()
+        yield from self._plain(text, at, len(text))
+
+    def _plain(self, text: str, start: int, end: int) -> Iterator[bytes]:
+        for at in range(start, end - WINDOW, WINDOW):
+            yield self.feed(text[at : at + WINDOW])
+            start = at + WINDOW
+        self.tail += text[start:end]
+        yield self.finish()
+
+    def feed(self, text: str) -> bytes:
+        """The ids that are certain now."""
+        self.tail += text
+        out = []
+        if self.run:
+            out.append(self._go_on())
+        if not self.run and len(self.tail) > PART:
+            cut = None
+            for cut in _CUT.finditer(self.tail, len(self.tail) - PART):
+                pass
+            if cut:
+                out.append(self._whole(self._pieces(self.tail[: cut.start()])))
+                self.tail = self.tail[cut.start() :]
+            else:
+                out.append(self._cut())
+        return b"".join(out)
+
+    def finish(self) -> bytes:
+        """The ids that are left at the end of a text."""
+        out = [self._go_on()] if self.run else []
+        rest, self.tail = self.tail, ""
+        if self.run:
+            self.run = None
+            return b"".join([*out, self.machine.feed(_bytes(rest), True)])
+        return b"".join([*out, self._whole(self._pieces(rest))])
+
+    def _pieces(self, text: str) -> list[str]:
+        return (_SLOW if _NOT_PLAIN.search(text) else _FAST).findall(text)
+
+    def _whole(self, pieces: list[str]) -> bytes:
+        feed = self.machine.feed
+        return b"".join([feed(p.encode("utf-8", "surrogatepass"), True) for p in pieces])
+
+    def _cut(self) -> bytes:
+        """Where no space shows the way: pre-tokens that the characters behind them settle are whole; one that
+        goes on beyond them is kept, or passed on in parts if it is long."""
+        pieces, ends = self._pieces(self.tail), len(self.tail)
+        last = ends
+        while pieces and last > ends - SETTLED:
+            last -= len(pieces.pop())
+        out, rest = [self._whole(pieces)], self.tail[last:]
+        first = _SLOW.match(rest).group()
+        if len(first) < len(rest) or len(rest) <= PART:
+            self.tail = rest
+            return out[0]
+        self.run = next(r for r in _RUNS if r.match(rest[-1]))
+        keep = len(rest) - (self.run is _SPACES)
+        self.tail = rest[keep:]
+        return b"".join([*out, self.machine.feed(_bytes(rest[:keep]))])
+
+    def _go_on(self) -> bytes:
+        """Passes on what the tail holds of an open pre-token. The last white space of a run belongs to what
+        follows, so one is held back."""
+        m = self.run.match(self.tail)
+        end = m.end() if m else 0
+        open_ = end == len(self.tail)
+        if end and self.run is _SPACES:
+            end -= 1
+        part, self.tail = self.tail[:end], self.tail[end:]
+        if not open_:
+            self.run = None
+        return self.machine.feed(_bytes(part), not open_)
+
+
+def _bytes(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
 
 
 def read_vocabulary(path: str) -> str:
