@@ -238,7 +238,7 @@ def test_stage_links_repeated_lines_and_short_texts(spark):
     assert kept_ids(spark, rows) == exact_kept(rows)
 
 
-@pytest.mark.parametrize("chunk", [512, 7])
+@pytest.mark.parametrize("chunk", [5000, 60])
 def test_pairs_of_different_components_meet(spark, chunk):
     r = random.Random(12)
     sets = {i: sorted(r.sample(range(30), r.randint(1, 12))) for i in range(120)} | {200 + i: list(range(9)) + [50 + i] for i in range(20)}

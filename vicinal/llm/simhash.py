@@ -220,9 +220,11 @@ def shortest_forest(words: np.ndarray, left: np.ndarray, right: np.ndarray, star
     connect is what all shorter links connect."""
     held = [np.zeros((3, 0), np.int64)]
     for a, b in _links(words, left, right, starts, radius):
-        held.append(np.stack([a, b, np.bitwise_count(words[a] ^ words[b]).sum(axis=1, dtype=np.int64)]))
-        if sum(h.shape[1] for h in held) > 1 << 20:
-            held = [_shortest(len(words), np.concatenate(held, axis=1))]
+        for s in range(0, len(a), STEP):
+            x, y = a[s : s + STEP], b[s : s + STEP]
+            held.append(np.stack([x, y, np.bitwise_count(words[x] ^ words[y]).sum(axis=1, dtype=np.int64)]))
+            if sum(h.shape[1] for h in held) > 1 << 18:
+                held = [_shortest(len(words), np.concatenate(held, axis=1))]
     a, b, _ = _shortest(len(words), np.concatenate(held, axis=1))
     return a, b
 
@@ -373,8 +375,9 @@ STAGE_WORDS, STAGE_SIMILARITY, STAGE_N, STAGE_RECALL, BROADCAST_IDS = 5, 0.8, 8,
 #: Standard deviations beyond the mean distance at that similarity up to which links are proposed; pairs of
 #: sets of which one has at most SHORT shingles are found without fingerprints.
 STAGE_SIGMAS, SHORT = 4, 64
-#: Shingle sets that one task compares pair by pair; a group with more goes by pairs of bins.
-SET_CHUNK = 512
+#: Members of the shingle sets that one task compares pair by pair on either side (some 8 bytes each, and as
+#: much again for each of a few arrays), about; a group with more goes by pairs of bins.
+SET_CHUNK = 1 << 18
 
 
 def agreement(similarity: float) -> float:
@@ -454,15 +457,15 @@ def exact_forest(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, co
 
 
 def dealt(groups: DataFrame, known: DataFrame, chunk: int) -> DataFrame:
-    """groups(group, node), known(node, comp) -> (task, node, comp, a, b): any two nodes of a group that are
-    of different comp meet in a task, one as a left side (a), one as a right side (b).
+    """groups(group, node, size), known(node, comp) -> (task, node, comp, a, b): any two nodes of a group that
+    are of different comp meet in a task, one as a left side (a), one as a right side (b).
 
-    A comp of over `chunk` rows is cut into bins of its own, which need not meet each other; the other
-    comps share bins, each as a whole. A task is a pair of bins. Groups of one comp need no task."""
+    A comp whose sizes add up to over `chunk` is cut into bins of its own, which need not meet each other;
+    the other comps share bins, each as a whole. A task is a pair of bins. Groups of one comp need no task."""
     rows = groups.join(known, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     few = F.col("n") <= chunk
     totals = (
-        rows.groupBy("group", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("group")
+        rows.groupBy("group", "comp").agg(F.sum("size").alias("n")).groupBy("group")
         .agg(
             F.count(F.lit(1)).alias("comps"),
             F.ceil(F.coalesce(F.sum(F.when(few, F.col("n"))), F.lit(0)) / chunk).alias("shared"),
@@ -489,6 +492,7 @@ def dealt(groups: DataFrame, known: DataFrame, chunk: int) -> DataFrame:
 def exact_links(groups: DataFrame, known: DataFrame, sets: DataFrame, similarity: float, chunk: int = SET_CHUNK) -> DataFrame:
     """Links (a, b) that connect, together with known(node, comp), all nodes of a common group(group, node)
     whose sets(node, set) have the similarity."""
+    groups = groups.join(sets.select("node", (F.octet_length("set") / 8 + 1).cast("long").alias("size")), "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
