@@ -7,6 +7,8 @@ import math
 import random
 import re
 import zlib
+from fractions import Fraction
+from itertools import islice
 
 import numpy as np
 import pytest
@@ -14,7 +16,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from vicinal.llm import bpe, language_id, line_dedup, merkle, mixing, pii, repeats, warc
+from vicinal.llm import bpe, language_id, line_dedup, merkle, mixing, pii, ranges, repeats, warc
 
 # ---- language ID
 
@@ -275,18 +277,85 @@ def test_tokens_of_odd_rows(odd, library):
 # ---- fingerprints
 
 
+def slow_leaves(text):
+    """Sections of lines of runs of words, cut character by character."""
+    lines, line = [], ""
+    for c in text:
+        if line.endswith("\r") and c != "\n" or line and line[-1] in "\n\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029":
+            lines.append(line)
+            line = ""
+        line += c
+    lines += [line] if line else []
+    out = []
+    for line in lines:
+        runs, run, words = [], "", 0
+        for word in re.findall(r"\s*\S+\s*", line) or [line]:
+            run, words = run + word, words + 1
+            if words == 16 or words >= 8 and word.rstrip()[-1:] in {".", "!", "?"}:
+                runs.append(run)
+                run, words = "", 0
+        out.append([*runs, run] if run else runs)
+    return out
+
+
+def slow_tree(text):
+    """(root, leaves' digests) by the definition."""
+    def digest(data, what, size=12):
+        return hashlib.blake2b(data, digest_size=size, person=what).digest()
+
+    sections, current, leaves = [], [], []
+    for line in slow_leaves(text):
+        mine = [digest(x.encode(), b"leaf") for x in line]
+        leaves += mine
+        current.append(digest(b"".join(mine), b"node"))
+        if not "".join(line).strip() or int.from_bytes(current[-1][:4], "big") % 16 == 0:
+            sections.append(digest(b"".join(current), b"node"))
+            current = []
+    if current:
+        sections.append(digest(b"".join(current), b"node"))
+    return digest(b"".join(sections), b"node", 16).hex(), leaves
+
+
+def test_trees_are_those_of_the_definition(documents):
+    r = random.Random(6)
+    texts = [x.text or "" for x in documents.select("text").limit(60).collect()]
+    texts += ["".join(r.choice(["a", "bc", " ", " ", "\n", ". ", "!", "?\n", "\n\n", "\r\n", "\t", "é"]) for _ in range(r.randint(0, 200))) for _ in range(400)]
+    seen = {}
+    for t in texts:
+        root, leaves = slow_tree(t)
+        found = merkle.tree(t)
+        assert found.root == root and [x for s in found.sections for _, ls in s for x in ls] == leaves, t
+        assert merkle.parse(str(found)).sections == found.sections
+        assert seen.setdefault(str(found), t) == t
+    for a, b in zip(texts, texts[1:] + texts[:1], strict=True):
+        x, y = (collections.Counter(slow_tree(t)[1]) for t in (a, merkle.edited(a, b)))
+        both = x.total() + y.total()
+        want = 2 * (x & y).total() / both if both else 1.0
+        assert merkle.likeness(merkle.tree(a), merkle.tree(merkle.edited(a, b))) == want
+
+
+def test_branches_are_proved():
+    text = "\n".join(f"Paragraph {i} says something. And more of it." for i in range(80)) + "\n\nLast."
+    found, lines = merkle.tree(text), text.splitlines(keepends=True)
+    places = [(i, j) for i, s in enumerate(found.sections) for j in range(len(s))]
+    for line, (i, j) in zip(lines, places, strict=True):
+        shown = merkle.proof(found, i, j)
+        assert merkle.proves(found.root, line, shown) and not merkle.proves(found.root, line + "x", shown)
+    assert len(found.sections) > 2 and not merkle.proves(merkle.tree("else").root, lines[0], merkle.proof(found, 0, 0))
+    with pytest.raises(ValueError):
+        merkle.parse(merkle.fingerprint("a b c")[:32] + merkle.fingerprint("a b d")[32:])
+
+
 def test_trees():
     a = "First one here. Second one there!\n\nA new section starts. It goes on.\nAnd ends."
     assert merkle.fingerprint(a) == merkle.fingerprint(a) != merkle.fingerprint(a + " ")
     b = a.replace("goes on", "stops")
-    pa, pb = merkle.fingerprint(a), merkle.fingerprint(b)
+    pa, pb = merkle.tree(a), merkle.tree(b)
     assert 0.5 < merkle.likeness(pa, pb) < 1 and merkle.likeness(pa, pb) == merkle.likeness(pb, pa)
     lines = a.splitlines()
     assert [lines[j if i == 0 else j + 2] for i, j in merkle.differing(pa, pb)] == ["A new section starts. It goes on."]
-    assert merkle.likeness(pa, merkle.fingerprint("Nothing in common")) == 0 and merkle.differing(pa, pa) == []
-    assert merkle.likeness(merkle.fingerprint(""), merkle.fingerprint(None)) == 1
-    for t in ("", "\n", "a\r\n\x0bb\x85 c", "...!!! ?", " x  y\n z"):
-        assert "".join(x for line in t.splitlines(keepends=True) for x in merkle.leaves(line)) == t
+    assert merkle.likeness(pa, merkle.tree("Nothing in common")) == 0 and merkle.differing(pa, pa) == []
+    assert merkle.likeness(merkle.tree(""), merkle.tree(None)) == 1 and merkle.likeness(merkle.tree(""), pa) == 0
 
 
 def test_fingerprints_follow_the_order(spark, documents, odd, monkeypatch):
@@ -300,11 +369,20 @@ def test_fingerprints_follow_the_order(spark, documents, odd, monkeypatch):
         r = got[i]
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(e.encode()).hexdigest())
         assert (r.fingerprint, r.edited_fingerprint) == (merkle.fingerprint(t), merkle.fingerprint(e))
-        assert r.near_next == merkle.likeness(r.fingerprint, merkle.fingerprint(n)) and 0 <= r.near_edited <= 1
-    rows = sorted(((-1 if r.doc_id is None else r.doc_id, r.text or "") for r in odd.select("doc_id", "text").collect()))
-    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_chars, r.edited_sha256) for r in merkle.fingerprints(odd).collect())
-    want = sorted((i, len(t), hashlib.sha256(merkle.edited(t, n).encode()).hexdigest()) for (i, t), (_, n) in zip(rows, rows[1:] + rows[:1], strict=True))
-    assert got == want
+        assert r.near_next == merkle.likeness(merkle.tree(t), merkle.tree(n)) and 0 <= r.near_edited <= 1
+
+
+@pytest.mark.parametrize("range_rows", [3, 5000])
+def test_odd_rows_follow_the_order(spark, odd, monkeypatch, range_rows):
+    """Repeated and null ids, an outlier and ids as text."""
+    monkeypatch.setattr(merkle, "RANGE_ROWS", range_rows)
+    few = spark.createDataFrame([(1 << 62, "far away")] + [(None, f"null {i}") for i in range(20)] + [(5, f"five {i}") for i in range(20)], "doc_id long, text string")
+    for df in (odd.select("doc_id", "text"), few, few.withColumn("doc_id", F.col("doc_id").cast("string"))):
+        rows = [tuple(r) for r in df.select("doc_id", F.coalesce("text", F.lit("")), F.xxhash64(F.coalesce("text", F.lit("")))).collect()]
+        rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[2], r[1]))
+        got = collections.Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in merkle.fingerprints(df).collect())
+        want = collections.Counter((i, len(t), hashlib.sha256(merkle.edited(t, n).encode()).hexdigest()) for (i, t, _), (_, n, _) in zip(rows, rows[1:] + rows[:1], strict=True))
+        assert got == want
     assert merkle.fingerprints(odd.limit(0)).count() == 0 and merkle.fingerprints(odd.where("doc_id = 7")).count() == 1
     assert merkle.fingerprints(odd.where("doc_id is null")).count() == 2
 
@@ -523,37 +601,70 @@ def test_repeats(documents, odd, spark):
 # ---- mixing
 
 
-def test_pfair_windows_hold():
-    r = random.Random(1)
-    for _ in range(120):
-        n = r.randint(1, 40)
-        slots = mixing.rounded_weights({f"s{i}": r.random() ** 3 + 0.001 for i in range(n)}, r.choice([n, n + 3, 100, 997]) if n < 90 else 1000)
-        period, seen = sum(slots.values()), dict.fromkeys(slots, 0)
-        for t, (x, k) in enumerate(mixing.pfair_period(slots)):
-            assert seen[x] == k
-            seen[x] += 1
-            assert all(abs(seen[y] - (t + 1) * slots[y] / period) < 1 for y in slots)
-    for bad in ({}, {"a": 0}, {"a": math.inf}, {str(i): 1 for i in range(11)}):
+def targets(n, r):
+    """Weights of n sources that add up to 1, as decimals, some of them hundreds of times the others."""
+    parts = [r.choice([1, 1, 2, 7, 40, 300]) for _ in range(n)]
+    return {f"s{i}": Fraction(p, sum(parts)) for i, p in enumerate(parts)}
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 100, 1000])
+def test_pfair_follows_the_targets(n):
+    """At every slot each source has had its target share, within less than one block."""
+    r = random.Random(n)
+    for weights in ([targets(n, r)] if n > 1 else [{"s0": 0.3}]) + ([{"a": 0.7, "b": 0.2, "c": 0.1}, {"a": 1, "b": 0.5 / 3}, {"a": 910, **{f"x{i}": 10 for i in range(9)}}] if n == 3 else []):
+        exact = {x: Fraction(w) if isinstance(w, (int, Fraction)) else Fraction(str(w)) for x, w in weights.items()}
+        total = sum(exact.values())
+        names, share = list(exact), np.array([w / total for w in exact.values()], object)
+        whole, near = mixing.whole_weights(weights), share.astype(float)
+        assert all(Fraction(whole[x], sum(whole.values())) == w for x, w in zip(names, share, strict=True))
+        place, seen = {x: i for i, x in enumerate(names)}, np.zeros(len(names))
+        for t, (x, k) in enumerate(islice(mixing.pfair(whole), 3000)):
+            assert seen[place[x]] == k and k / share[place[x]] < t + 1 and t < (k + 1) / share[place[x]]
+            seen[place[x]] += 1
+            worst = int(np.argmax(abs(seen - (t + 1) * near)))
+            assert abs(int(seen[worst]) - (t + 1) * share[worst]) < 1
+    for bad in ({}, {"a": 0}, {"a": math.inf}, {"a": -1, "b": 2}):
         with pytest.raises(ValueError):
-            mixing.rounded_weights(bad, 10)
+            mixing.whole_weights(bad)
+
+
+def slow_schedule(weights, blocks):
+    """The slot of every block: at each slot the released block that is due first, by exact fractions."""
+    total, had, out, empty = sum(weights.values()), dict.fromkeys(weights, 0), {}, math.inf
+    t = 0
+    while len(out) < sum(blocks.values()):
+        ready = [(math.ceil((had[x] + 1) / (w / total)), x) for x, w in weights.items() if had[x] / (w / total) < t + 1]
+        x = min(ready)[1]
+        if had[x] < blocks.get(x, 0):
+            out[x, had[x]] = t
+        else:
+            empty = min(empty, t)
+        had[x] += 1
+        t += 1
+    return out, empty
 
 
-def test_mix(documents, odd, monkeypatch):
+@pytest.mark.parametrize("slice_", [1 << 20, 50])
+def test_mix(documents, odd, monkeypatch, slice_):
     monkeypatch.setattr(mixing, "FEWEST_ROWS", 30)
-    weights = {r.source: 1 + i for i, r in enumerate(documents.select("source").distinct().orderBy("source").collect())}
-    got = mixing.mix(documents, weights, block_rows=2, period=300).collect()
+    monkeypatch.setattr(mixing, "SLICE", slice_)
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", slice_)
+    names = [r.source for r in documents.select("source").distinct().orderBy("source").collect()]
+    weights = {x: Fraction(1 + 3 * i, 7) for i, x in enumerate(names)} | {"none of it": Fraction(1, 11)}
+    got = mixing.mix(documents, weights, block_rows=2).collect()
     assert len(got) == documents.count() == len({r.position for r in got})
-    slots = mixing.rounded_weights(weights, 300)
-    plan = mixing.pfair_period(slots)
     by = {}
     for r in documents.select("doc_id", "source").orderBy("doc_id").collect():
         by.setdefault(r.source, []).append(r.doc_id)
-    at = {(x, k): t for t, (x, k) in enumerate(plan)}
+    at, empty = slow_schedule(weights, {x: -(-len(v) // 2) for x, v in by.items()})
     for r in got:
-        n = by[r.source].index(r.doc_id)
-        assert r.block == n // 2 and r.slot == (r.block // slots[r.source]) * 300 + at[r.source, r.block % slots[r.source]]
-        w = slots[r.source] / 300
-        assert r.release == math.floor(r.block / w + 1e-9) <= r.slot < r.deadline == math.ceil((r.block + 1) / w - 1e-9)
+        n, w = by[r.source].index(r.doc_id), weights[r.source] / sum(weights.values())
+        assert r.block == n // 2 and r.slot == at[r.source, r.block] and r.position == 2 * r.slot + n % 2
+        assert r.release == math.floor(r.block / w) <= r.slot < r.deadline == math.ceil((r.block + 1) / w)
+        assert r.backlogged == (r.slot < empty)
+    by_default = mixing.mix(documents, block_rows=2).collect()
+    assert any(r.backlogged for r in by_default) and len(by_default) == len(got)
+    assert not all(r.backlogged for r in got)
     rows = mixing.mix(odd).collect()
     assert len(rows) == odd.count() and {r.source for r in rows} == {"", "a", "b", "c"}
     assert mixing.mix(odd.limit(0)).count() == 0
@@ -561,3 +672,23 @@ def test_mix(documents, odd, monkeypatch):
         mixing.mix(odd, {"a": 1.0})
     ordered = mixing.in_mixed_order(odd)
     assert ordered.columns == odd.columns and ordered.count() == odd.count()
+
+
+def test_ranges_of_outliers_and_nulls(spark):
+    """An outlier, an id that half the rows share and null ids leave ranges of about equal size, in order."""
+    ids = [*range(3000), 1 << 60, *[5000] * 3000, *[None] * 2000]
+    df = spark.createDataFrame([(i, f"t{n}") for n, i in enumerate(ids)], "i long, t string").withColumn("h", F.xxhash64("t"))
+    found = ranges.Ranges(df, "i", 400)
+    rows = df.withColumn("p", found.number(F.col("i"), F.col("h"))).collect()
+    sizes = collections.Counter(r.p for r in rows)
+    assert found.parts == 21 and max(sizes.values()) < 1000 and max(sizes) < found.parts
+    ends = {}
+    for r in sorted(rows, key=lambda r: (r.p, r.i is not None, r.i or 0, r.h)):
+        ends.setdefault(r.p, []).append((r.i is not None, r.i or 0, r.h))
+    assert all(ends[a][-1] <= ends[b][0] for a, b in zip(sorted(ends), sorted(ends)[1:]))
+    words = spark.createDataFrame([(x,) for x in ["b", "a", None, "é", "z"] * 40], "i string").withColumn("h", F.lit(0).cast("long"))
+    got = {r.i: r.p for r in words.withColumn("p", ranges.Ranges(words, "i", 30).number(F.col("i"), F.col("h"))).collect()}
+    assert [got[x] for x in (None, "a", "b", "z", "é")] == sorted(got.values())
+    backwards = mixing.ranks(df.select("i", F.lit("s").alias("s")), "i", "s").collect()
+    assert sorted(r._n for r in backwards) == list(range(len(ids)))
+    assert [r.i for r in sorted(backwards, key=lambda r: r._n)] == sorted(ids, key=lambda i: (i is not None, i or 0))

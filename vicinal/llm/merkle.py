@@ -1,122 +1,162 @@
-"""Document fingerprints: Merkle trees over sections, paragraphs and sentences.
+"""Document fingerprints: Merkle trees over sections, paragraphs and runs of words.
 
-Leaves are sentences cut after every third word, and every level covers the whole text: joined leaves
-give it back. A paragraph is a line, a section a run of paragraphs up to a blank line or a paragraph
-whose hash closes it, so equal runs of text build equal branches wherever they stand. A fingerprint is
-the tree as text: roots test equality, and a descent into branches that differ finds what was edited.
+A leaf is the digest of a run of words' bytes; leaves joined are the text. A paragraph (a line) is the
+digest of its leaves' digests, a section of its paragraphs', the root of its sections'. A section ends at
+a blank line or at a paragraph whose digest says so, so equal runs of text build equal branches wherever
+they stand. A fingerprint is the tree as text, root and leaves: all between follows from the leaves.
 
-    root|section(paragraph.leaves,paragraph.leaves)section(...)      all hexadecimal
+    root|leaves,leaves;leaves     root in hexadecimal, leaves in base 64, 16 characters each;
+                                  ',' between paragraphs, ';' between sections
+
+Roots test equality, a descent into branches that differ finds what was edited, and the digests beside a
+paragraph's way to the root prove that it is part of the text.
 """
 
 from __future__ import annotations
 
 import re
+from base64 import urlsafe_b64decode, urlsafe_b64encode
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cached_property
 from hashlib import blake2b, sha256
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vicinal.llm.ranges import id_range
+from vicinal.llm.ranges import Ranges
+
+#: Words of a leaf, at least and at most (between them it ends with a sentence); one in how many paragraphs closes a
+#: section; bytes of the root and of other digests (96 bits: 10^10 texts have a pair of equal leaves by chance with
+#: a probability of 10^-9).
+FEWEST_WORDS, MOST_WORDS, SECTION, ROOT, NODE = 8, 16, 16, 16, 12
+#: Characters of a digest in base 64.
+SHOWN = NODE * 4 // 3
+#: Rows of a range of ids, on average.
+RANGE_ROWS = 5_000
+
+_RUN = re.compile(rf"\s*(?:\S++\s++){{0,{FEWEST_WORDS - 1}}}(?:\S++(?<![.!?])\s++){{0,{MOST_WORDS - FEWEST_WORDS}}}\S++\s*+|\s+")
+
+
+def leaf(data: bytes) -> bytes:
+    return blake2b(data, digest_size=NODE, person=b"leaf").digest()
+
+
+def node(children: list[bytes], size: int = NODE) -> bytes:
+    """The digest of a node with these children; no leaf has it, whatever its bytes."""
+    return blake2b(b"".join(children), digest_size=size, person=b"node").digest()
+
+
+def runs(paragraph: str) -> list[str]:
+    """A paragraph cut by words and, where that is near, at the ends of sentences; joined they are the paragraph."""
+    return _RUN.findall(paragraph)
+
 
-#: Words of a leaf at most, one in how many paragraphs closes a section, hex digits of root, branch and leaf.
-LEAF_WORDS, SECTION, ROOT, BRANCH, LEAF = 3, 16, 32, 12, 6
-#: Rows of a range of ids, on average, and ranges at most.
-RANGE_ROWS, RANGES = 10_000, 10_000
+Paragraph = tuple[bytes, list[bytes]]
 
-_SENTENCE = re.compile(r"[^.!?]*[.!?]+\s*|[^.!?]+\Z")
-_WORDS = re.compile(rf"(?:\S+\s*){{1,{LEAF_WORDS}}}|\s+")
 
+@dataclass
+class Tree:
+    """Sections, each its paragraphs; a paragraph is its digest and its leaves' digests."""
 
-def _hash(data: bytes, digits: int) -> str:
-    return blake2b(data, digest_size=digits // 2).hexdigest()
+    sections: list[list[Paragraph]]
 
+    @cached_property
+    def branches(self) -> list[bytes]:
+        return [node([p for p, _ in s]) for s in self.sections]
 
-def leaves(paragraph: str) -> list[str]:
-    """The sentences of a paragraph, cut by words; joined they are the paragraph."""
-    return [x for s in _SENTENCE.findall(paragraph) for x in _WORDS.findall(s)]
+    @cached_property
+    def root(self) -> str:
+        return node(self.branches, ROOT).hex()
 
+    def __str__(self) -> str:
+        # digests are multiples of three bytes, so joined digests are joined characters
+        shown = (",".join(urlsafe_b64encode(b"".join(ls)).decode() for _, ls in s) for s in self.sections)
+        return f"{self.root}|{';'.join(shown)}"
 
-def tree(text: str) -> list[list[tuple[str, list[str]]]]:
-    """Sections of paragraphs, each the paragraph's hash and its leaves' hashes."""
-    sections: list[list[tuple[str, list[str]]]] = []
-    current: list[tuple[str, list[str]]] = []
-    for line in text.splitlines(keepends=True):
-        hashes = [_hash(x.encode(), LEAF) for x in leaves(line)]
-        node = _hash(line.encode(), BRANCH)
-        current.append((node, hashes))
-        if not line.strip() or int(node[:8], 16) % SECTION == 0:
+
+def tree(text: str | None) -> Tree:
+    """The tree of a text; null is the empty text, whose tree has no sections."""
+    sections: list[list[Paragraph]] = []
+    current: list[Paragraph] = []
+    for line in (text or "").splitlines(keepends=True):
+        leaves = [leaf(x.encode("utf-8", "surrogatepass")) for x in runs(line)]
+        digest = node(leaves)
+        current.append((digest, leaves))
+        if not line.strip() or int.from_bytes(digest[:4]) % SECTION == 0:
             sections.append(current)
             current = []
-    return [*sections, current] if current else sections
+    return Tree([*sections, current] if current else sections)
 
 
 def fingerprint(text: str | None) -> str:
-    """The tree of a text as one string; null is the empty text."""
-    parts, digests = [], []
-    for section in tree(text or ""):
-        node = _hash("".join(p for p, _ in section).encode(), BRANCH)
-        # the root covers branches by hashes of full length
-        digests.append(node)
-        parts.append(f"{node}({','.join(f'{p}.{"".join(h)}' for p, h in section)})")
-    root = blake2b("".join(digests).encode() + (text or "").encode(), digest_size=ROOT // 2).hexdigest()
-    return f"{root}|{''.join(parts)}"
-
-
-def parse(print_: str) -> tuple[str, list[tuple[str, list[tuple[str, list[str]]]]]]:
-    """A fingerprint's root and its sections: (hash, [(paragraph's hash, leaves' hashes)])."""
+    return str(tree(text))
+
+
+def parse(print_: str) -> Tree:
+    """The tree of a fingerprint, made anew from its leaves; an error if they don't give the root."""
     root, _, body = print_.partition("|")
     sections = []
-    for part in body.split(")")[:-1]:
-        node, _, inside = part.partition("(")
-        paragraphs = []
-        for p in inside.split(","):
-            h, _, run = p.partition(".")
-            paragraphs.append((h, [run[i : i + LEAF] for i in range(0, len(run), LEAF)]))
-        sections.append((node, paragraphs))
-    return root, sections
-
-
-def differing(a: str, b: str) -> list[tuple[int, int]]:
-    """(section, paragraph) of fingerprint a that are nowhere in fingerprint b: where a was edited."""
-    (root_a, left), (root_b, right) = parse(a), parse(b)
-    if root_a == root_b:
+    for part in body.split(";") if body else []:
+        shown = [urlsafe_b64decode(p) for p in part.split(",")]
+        leaves = [[p[i : i + NODE] for i in range(0, len(p), NODE)] for p in shown]
+        sections.append([(node(x), x) for x in leaves])
+    found = Tree(sections)
+    if found.root != root:
+        raise ValueError("leaves and root disagree")
+    return found
+
+
+def proof(found: Tree, section: int, paragraph: int) -> tuple[list[bytes], list[bytes], int, int]:
+    """What proves a paragraph's place: the digests of its section's paragraphs and of all sections."""
+    return [p for p, _ in found.sections[section]], found.branches, section, paragraph
+
+
+def proves(root: str, line: str, shown: tuple[list[bytes], list[bytes], int, int]) -> bool:
+    """Whether a line, with its line end, stands where the proof says in the text of this root."""
+    paragraphs, branches, i, j = shown
+    own = node([leaf(x.encode("utf-8", "surrogatepass")) for x in runs(line)])
+    return paragraphs[j] == own and branches[i] == node(paragraphs) and node(branches, ROOT).hex() == root
+
+
+def differing(a: Tree, b: Tree) -> list[tuple[int, int]]:
+    """(section, paragraph) of tree a that are nowhere in tree b: where a was edited."""
+    if a.root == b.root:
         return []
-    whole = Counter(s for s, _ in right)
-    apart = [(i, s) for i, s in enumerate(left) if not _take(whole, s[0])]
-    inside = Counter(p for s, ps in right if _take(whole, s) for p, _ in ps)
-    return [(i, j) for i, (_, ps) in apart for j, (p, _) in enumerate(ps) if not _take(inside, p)]
+    whole = Counter(b.branches)
+    apart = [i for i, s in enumerate(a.branches) if not _take(whole, s)]
+    inside = Counter(p for s, ps in zip(b.branches, b.sections, strict=True) if _take(whole, s) for p, _ in ps)
+    return [(i, j) for i in apart for j, (p, _) in enumerate(a.sections[i]) if not _take(inside, p)]
 
 
-def _take(bag: Counter, key: str) -> bool:
+def _take(bag: Counter, key: bytes) -> bool:
     if bag[key] > 0:
         bag[key] -= 1
         return True
     return False
 
 
-def likeness(a: str, b: str) -> float:
+def likeness(a: Tree, b: Tree) -> float:
     """From 0 to 1: twice the leaves that both have, over all leaves, found from the root down. Equal
-    branches count whole; only branches that differ are opened."""
-    if a.partition("|")[0] == b.partition("|")[0]:
+    branches count whole; only branches that differ are opened. Empty texts are only like each other."""
+    if a.root == b.root:
         return 1.0
-    left, right = parse(a)[1], parse(b)[1]
-    total = sum(len(h) for s in (left, right) for _, ps in s for _, h in ps)
-    common = 0
-    for level in (0, 1):
-        bag = Counter(node for node, _ in right)
+    total = sum(len(ls) for t in (a, b) for s in t.sections for _, ls in s)
+    common, left, right = 0, list(zip(a.branches, a.sections, strict=True)), list(zip(b.branches, b.sections, strict=True))
+    for size in (lambda ps: sum(len(ls) for _, ls in ps), len):
+        bag = Counter(digest for digest, _ in right)
         rest_left = []
-        for node, inside in left:
-            if _take(bag, node):
-                common += len(inside) if level else sum(len(h) for _, h in inside)
+        for digest, inside in left:
+            if _take(bag, digest):
+                common += size(inside)
             else:
                 rest_left.append(inside)
-        rest_right = [inside for node, inside in right if _take(bag, node)]
+        rest_right = [inside for digest, inside in right if _take(bag, digest)]
         left, right = [x for s in rest_left for x in s], [x for s in rest_right for x in s]
     common += sum((Counter(left) & Counter(right)).values())
-    return min(1.0, 2 * common / total) if total else 0.0
+    return min(1.0, 2 * common / total)
 
 
 def edited(text: str, following: str) -> str:
@@ -125,10 +165,11 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - m] + following[:m]
 
 
-def _row(text: str, own: str, following: str, other: str) -> tuple:
+def _row(text: str, own: Tree, following: str, other: Tree) -> tuple:
     changed = edited(text, following)
-    new = fingerprint(changed)
-    return len(text), sha256(changed.encode()).hexdigest(), own, new, likeness(own, new), likeness(own, other), own[:ROOT]
+    new = tree(changed)
+    digest = sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
+    return len(text), digest, str(own), str(new), likeness(own, new), likeness(own, other), own.root
 
 
 def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,11 +187,11 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 part, before = p, None
             elif before is None:
                 continue  # a further copy of what is ahead
-            own = fingerprint(text)
+            own = tree(text)
             if before:
                 out.append((before[0], *_row(before[1], before[2], text, own)))
             before = None if ahead else (key, text, own)
-            if len(out) >= 1000:
+            if len(out) >= 500:
                 yield _batch(out, names, types)
                 out = []
         if out:
@@ -166,31 +207,31 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     near_next, root.
 
     The edited text takes its new end from the next row by ascending id (after the last: the first, so a
-    single row is its own next). Null texts are empty. Rows with one id follow each other by text; null
-    ids come before all others and are returned as null. An empty table gives no rows.
+    single row is its own next). Null texts are empty. Rows with one id follow each other by a hash of the
+    text, then by text; null ids come before all others and are returned as null. Ids are of any type that
+    has an order. An empty table gives no rows.
 
-    Texts move once: rows are dealt by range of ids and sorted within it. Each range also gets a copy of
-    the first row of the next one; these rows, one for a range and RANGES at most, are found by a minimum
-    by range and broadcast as ids.
+    Texts move once: rows are dealt by range of ids, of about equal numbers of rows, and sorted within it.
+    Each range also gets a copy of the first row of the next one, whose ids (one for a range) are broadcast.
     """
+    n = docs.count()
     found = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    spread = found.agg(F.min("id").alias("lo"), F.count(F.lit(1)).alias("n")).first()
-    key = F.coalesce("id", F.lit(0 if spread["lo"] is None else spread["lo"] - 1))
-    keyed = found.select("id", key.alias("key"), "text")
-    part, _ = id_range(keyed.select("key"), "key", max(RANGE_ROWS, -(-spread["n"] // RANGES)))
-    keyed = keyed.withColumn("part", part)
-    firsts = sorted((r["part"], r["key"]) for r in keyed.groupBy("part").agg(F.min("key").alias("key")).collect())
-    if not firsts:
-        firsts = [(-1, 0)]
+    cut = Ranges(docs, id_col, RANGE_ROWS, n)
+    tie = F.xxhash64("text")
+    keyed = found.withColumn("part", cut.number(F.col("id"), tie))
+    # texts are only read here where an id has several ranges
+    least = F.min(F.struct(F.col("id").isNotNull().alias("some"), "id", (tie if cut.ties else F.lit(0).cast("long")).alias("tie"))).alias("f")
+    firsts = keyed.groupBy("part").agg(least).select("part", "f.id", "f.tie").collect()
+    firsts.sort(key=lambda r: r["part"])
     # the part before each first row's own, where a copy goes
-    before = [(k, firsts[i - 1][0]) for i, (_, k) in enumerate(firsts)]
-    copies = docs.sparkSession.createDataFrame(before, "first long, to long")
-    ahead = keyed.join(F.broadcast(copies), keyed["key"] == F.col("first")).select(
-        F.col("to").alias("part"), F.lit(True).alias("ahead"), "id", "key", "text"
-    )
-    own = keyed.select("part", F.lit(False).alias("ahead"), "id", "key", "text")
-    dealt = own.unionByName(ahead).repartition("part").sortWithinPartitions("part", "ahead", "key", "text").drop("key")
+    before = [(r["part"], firsts[i - 1]["part"], r["id"], r["tie"]) for i, r in enumerate(firsts)]
     kind = docs.schema[id_col].dataType.simpleString()
+    copies = docs.sparkSession.createDataFrame(before, f"part int, to int, first {kind}, first_tie long")
+    first = F.col("id").eqNullSafe(F.col("first")) & ((tie == F.col("first_tie")) if cut.ties else F.lit(True))
+    ahead = keyed.join(F.broadcast(copies), "part").where(first).select(F.col("to").alias("part"), F.lit(True).alias("ahead"), "id", "text")
+    own = keyed.select("part", F.lit(False).alias("ahead"), "id", "text")
+    dealt = own.unionByName(ahead).repartitionById(cut.parts, "part")
+    dealt = dealt.sortWithinPartitions("part", "ahead", F.col("id").asc_nulls_first(), tie, "text")
     chained = dealt.mapInArrow(
         _chain,
         f"id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, root string",

@@ -3,150 +3,180 @@
 Every source is cut into blocks of a fixed number of rows. Block k of a source of weight w is released
 at slot floor(k / w) and due at slot ceil((k + 1) / w); each slot goes to the released block that is due
 first. With weights that add up to 1 no block is ever late (Baruah et al., 1996), so at every slot each
-source has had w times the slots so far, within less than one block. Weights are multiples of 1 / period,
-so the schedule repeats: one period is laid out on the driver, a table of `period` rows whatever the
-input, and every row's slot follows from its rank in its source.
+source has had w times the slots so far, within less than one block. Weights are exact fractions: nothing
+is rounded. Their common denominator is the schedule's period; one period, or as much of it as the rows
+reach, is laid out as a table of (source, block, slot), and every row's slot follows from its rank in its
+source.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator, Mapping
 from fractions import Fraction
+from itertools import islice
+from numbers import Rational
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vicinal.llm.ranges import id_range, unused
-from vicinal.plans.shared import materialize
+from vicinal.llm.ranges import range_rows, unused
+from vicinal.plans.shared import materialize, new_path
 
-#: Slots of a period (weights are rounded to multiples of its inverse), rows of a block, most sources.
-PERIOD, BLOCK_ROWS, MAX_SOURCES = 1000, 16, 1000
+#: Rows of a block; what default weights add up to, about; slots that are laid out at a time; rows of a table
+#: that is broadcast at most.
+BLOCK_ROWS, PARTS, SLICE, BROADCAST_ROWS = 16, 100_000, 1 << 20, 1 << 18
 #: Rows of a range of ids, on average, in which ranks are counted: a RANGES-th of all, between these bounds. A
 #: source of any share is thus spread over as many tasks, and no task ranks more than a bounded number.
 RANGES, FEWEST_ROWS, MOST_ROWS = 200, 1_000, 50_000
 
 
-def rounded_weights(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Slots of each source in a period: largest remainders, at least one each; they add up to period."""
-    names = sorted(weights)
-    if not names or len(names) > period:
-        raise ValueError(f"between 1 and {period} sources, not {len(names)}")
-    if any(not (weights[x] > 0 and math.isfinite(weights[x])) for x in names):
+def whole_weights(weights: Mapping[str, float | Rational]) -> dict[str, int]:
+    """The weights as whole numbers without a common divisor, in the same proportions. A floating-point weight
+    is the decimal that it is written as: 0.1 is a tenth."""
+    if not weights:
+        raise ValueError("no weights")
+    if any(not (w > 0 and math.isfinite(w)) for w in weights.values()):
         raise ValueError("weights must be finite and above 0")
-    total = sum(weights.values())
-    # one slot each, the rest by largest remainder
-    share = {x: weights[x] / total * (period - len(names)) for x in names}
-    slots = {x: 1 + math.floor(share[x]) for x in names}
-    for x in sorted(names, key=lambda x: (math.floor(share[x]) - share[x], x))[: period - sum(slots.values())]:
-        slots[x] += 1
-    return slots
+    exact = {x: Fraction(w) if isinstance(w, Rational) else Fraction(repr(float(w))) for x, w in weights.items()}
+    scale = math.lcm(*(w.denominator for w in exact.values()))
+    whole = {x: int(w * scale) for x, w in exact.items()}
+    shared = math.gcd(*whole.values())
+    return {x: w // shared for x, w in whole.items()}
+
 
+def release(k: int, weight: int, total: int) -> int:
+    return k * total // weight
 
-def pfair_period(slots: dict[str, int]) -> list[tuple[str, int]]:
-    """(source, its block within the period) for each slot of one period."""
-    period = sum(slots.values())
 
-    def window(x: str, k: int) -> tuple[int, int]:
-        w = Fraction(slots[x], period)
-        return math.floor(k / w), math.ceil((k + 1) / w)
+def deadline(k: int, weight: int, total: int) -> int:
+    return -(-(k + 1) * total // weight)
 
-    waiting = [(*window(x, 0), x, 0) for x in sorted(slots)]
+
+def pfair(whole: Mapping[str, int]) -> Iterator[tuple[str, int]]:
+    """(source, its block) for slot 0, 1, ... without end; after sum(whole) slots the pattern repeats."""
+    total = sum(whole.values())
+    waiting = [(release(0, w, total), deadline(0, w, total), x, 0) for x, w in whole.items()]
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int]] = []
-    out = []
-    for t in range(period):
-        while waiting and waiting[0][0] <= t:
+    slot = 0
+    while True:
+        while waiting and waiting[0][0] <= slot:
             _, due, x, k = heapq.heappop(waiting)
             heapq.heappush(ready, (due, x, k))
         due, x, k = heapq.heappop(ready)
-        if due <= t:
+        if due <= slot:
             raise AssertionError(f"block {k} of {x} is late")
-        out.append((x, k))
-        if k + 1 < slots[x]:
-            heapq.heappush(waiting, (*window(x, k + 1), x, k + 1))
-    return out
+        yield x, k
+        heapq.heappush(waiting, (release(k + 1, whole[x], total), deadline(k + 1, whole[x], total), x, k + 1))
+        slot += 1
+
+
+def layout(spark: SparkSession, whole: Mapping[str, int], slots: int) -> DataFrame:
+    """(s, k, t): the source and its block at each of the first slots. The driver holds SLICE of them at a
+    time; what is more goes to the shared folder slice by slice."""
+    plan = pfair(whole)
+    schema = "s string, k long, t long"
+
+    def table(first: int) -> DataFrame:
+        part = list(islice(plan, min(SLICE, slots - first)))
+        columns = [pa.array([x for x, _ in part], pa.string()), pa.array([k for _, k in part], pa.int64()), pa.array(range(first, first + len(part)), pa.int64())]
+        return spark.createDataFrame(pa.table(columns, names=["s", "k", "t"]), schema)
+
+    if slots <= SLICE:
+        return table(0)
+    path = new_path(spark, "schedule")
+    for first in range(0, slots, SLICE):
+        table(first).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def ranks(docs: DataFrame, id_col: str, source: str) -> DataFrame:
     """docs with _n, the row's rank from 0 by id within its source.
 
     A source may hold any share of the rows: ranks are counted within a range of ids of one source, and
-    the counts of the source's ranges before it are added. Null ids come first; rows of equal id and
-    source are ranked among themselves in an arbitrary order.
+    the counts of the source's ranges before it are added. Null ids come first; rows of equal id, however
+    many, go to ranges at random and are ranked among themselves in that order.
     """
-    rows = min(max(docs.count() // RANGES, FEWEST_ROWS), MOST_ROWS)
-    cut = docs.withColumn("_part", id_range(docs, id_col, rows)[0])
-    local = cut.withColumn("_local", F.row_number().over(Window.partitionBy(source, "_part").orderBy(F.col(id_col).asc_nulls_first())) - 1)
-    sizes = cut.groupBy(source, "_part").count()
-    before = sizes.withColumn(
+    n = docs.count()
+    rows = range_rows(n, min(max(n // RANGES, FEWEST_ROWS), MOST_ROWS))
+    order = [F.col(id_col).asc_nulls_first(), F.col("_tie")]
+    cut = docs.withColumn("_tie", F.rand(17)).repartitionByRange(max(1, -(-n // rows)), *order)
+    cut = materialize(cut.withColumn("_part", F.spark_partition_id()), "ranges")
+    local = cut.withColumn("_local", F.row_number().over(Window.partitionBy(source, "_part").orderBy(*order)) - 1)
+    before = cut.groupBy(source, "_part").count().withColumn(
         "_before", F.coalesce(F.sum("count").over(Window.partitionBy(source).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ).select(F.col(source).alias("_source"), F.col("_part").alias("_p"), "_before")
-    joined = local.join(before, local[source].eqNullSafe(before["_source"]) & (local["_part"] == before["_p"]))
-    return joined.withColumn("_n", F.col("_local") + F.col("_before")).drop("_part", "_p", "_source", "_local", "_before")
+    ).select(source, "_part", "_before")
+    return local.join(before, [source, "_part"]).withColumn("_n", F.col("_local") + F.col("_before")).drop("_part", "_tie", "_local", "_before")
 
 
-def even_weights(docs: DataFrame, source_col: str = "source", temperature: float = 0.5, max_sources: int = MAX_SOURCES) -> dict[str, float]:
-    """Target weights where none are given: each source's rows to the power of `temperature`. There may be
-    max_sources sources at most, with null as a source of its own, shown as an empty name."""
-    found = docs.groupBy(F.coalesce(source_col, F.lit("")).alias("s")).count().limit(max_sources + 1).collect()
-    if len(found) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
-    return {r["s"]: r["count"] ** temperature for r in found}
+def default_weights(counts: Mapping[str, int], temperature: float = 0.5) -> dict[str, int]:
+    """Target weights where none are given: each source's rows to the power of `temperature`, in whole parts of
+    some PARTS in all, and one at least."""
+    size = {x: n**temperature for x, n in counts.items()}
+    total = sum(size.values())
+    return {x: max(1, round(s * PARTS / total)) for x, s in size.items()}
 
 
 def mix(
     docs: DataFrame,
-    weights: dict[str, float] | None = None,
+    weights: Mapping[str, float | Rational] | None = None,
     id_col: str = "doc_id",
     source_col: str = "source",
     block_rows: int = BLOCK_ROWS,
-    period: int = PERIOD,
 ) -> DataFrame:
     """One row per row of docs: id_col, source, block, slot, release, deadline, position, backlogged.
 
     source is the row's source, with null and the empty name as one. block counts the source's blocks
     in order of id; slot is where the schedule puts it; position orders all rows (slot, then the place in
     the block), with gaps where a source has run out. backlogged: no source had run out before this slot,
-    so the deviation bound holds up to here. No row is dropped or repeated. A source without a weight is
-    an error. An empty table gives no rows.
+    so the deviation bound holds up to here. No row is dropped or repeated. Any number of sources may have
+    any weights; the driver holds a few numbers for each. A source without a weight is an error. An empty
+    table gives no rows.
     """
     named = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(source_col), F.lit("")).alias("source"))
     named = materialize(named, "sources")
-    weights = even_weights(named, "source") if weights is None else weights
+    counts = {r["source"]: r["count"] for r in named.groupBy("source").count().collect()}
     spark = docs.sparkSession
-    if not weights:
+    if not counts:
         return named.select(
             F.col("id").alias(id_col), "source", *(F.lit(0).cast("long").alias(c) for c in ("block", "slot", "release", "deadline", "position")), F.lit(True).alias("backlogged")
         ).limit(0)
-    slots = rounded_weights(weights, period)
-    counts = {r["source"]: r["count"] for r in named.groupBy("source").count().limit(MAX_SOURCES + 1).collect()}
-    if missing := sorted(set(counts) - set(slots)):
+    whole = whole_weights(default_weights(counts) if weights is None else weights)
+    if missing := sorted(set(counts) - set(whole)):
         raise ValueError(f"no weight for {missing[:5]}")
-    plan = pfair_period(slots)
-    table = spark.createDataFrame([(x, k, t, slots[x]) for t, (x, k) in enumerate(plan)], "s string, k long, t long, per long")
-    # the first slot that some source would have to leave empty
-    at = {(x, k): t for t, (x, k) in enumerate(plan)}
-    first = min((-(-counts.get(x, 0) // block_rows) // n) * period + at[x, (-(-counts.get(x, 0) // block_rows)) % n] for x, n in slots.items())
-    ranked = ranks(named, "id", "source").withColumn("block", F.floor(F.col("_n") / block_rows))
-    per = F.create_map(*[F.lit(v) for x, n in slots.items() for v in (x, n)])
-    ranked = ranked.withColumn("per", per[F.col("source")].cast("long"))
-    ranked = ranked.withColumn("k", F.col("block") % F.col("per")).withColumn("round", F.floor(F.col("block") / F.col("per")))
-    slotted = ranked.join(F.broadcast(table.drop("per")), (F.col("source") == F.col("s")) & (ranked["k"] == table["k"]))
-    slot = F.col("round") * period + F.col("t")
+    total = sum(whole.values())
+    blocks = {x: -(-n // block_rows) for x, n in counts.items()}
+    last = max(deadline(n - 1, whole[x], total) for x, n in blocks.items())
+    if max(last * block_rows, total) >= 10**18:
+        raise ValueError("weights so uneven that positions exceed 64 bits")
+    slots = min(total, last)
+    table = layout(spark, whole, slots)
+    # the first slot that some source leaves empty: that of its first block beyond its rows
+    ends = spark.createDataFrame([(x, blocks.get(x, 0) // w, blocks.get(x, 0) % w) for x, w in whole.items()], "s string, turn long, k long")
+    first = ends.join(table, ["s", "k"]).agg(F.min(F.col("turn") * total + F.col("t"))).first()[0]
+    per = spark.createDataFrame(list(whole.items()), "source string, per long")
+    small = lambda df, rows: F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    ranked = ranks(named, "id", "source").withColumn("block", F.floor(F.col("_n") / block_rows)).join(small(per, len(whole)), "source")
+    ranked = ranked.withColumn("k", F.col("block") % F.col("per")).withColumn("turn", F.floor(F.col("block") / F.col("per")))
+    slotted = ranked.join(small(table.withColumnRenamed("s", "source"), slots), ["source", "k"])
+    slot = F.col("turn") * total + F.col("t")
+    wide = "CAST(block AS DECIMAL(19,0))"
     return slotted.select(
         F.col("id").alias(id_col),
         "source",
         "block",
         slot.alias("slot"),
-        F.expr(f"(block * {period}) div per").alias("release"),
-        F.expr(f"((block + 1) * {period} + per - 1) div per").alias("deadline"),
+        F.expr(f"({wide} * {total}BD) div per").alias("release"),
+        F.expr(f"(({wide} + 1) * {total}BD + per - 1) div per").alias("deadline"),
         (slot * block_rows + F.col("_n") % block_rows).alias("position"),
-        (slot < first).alias("backlogged"),
+        (slot < (last if first is None else first)).alias("backlogged"),
     )
 
 
-def placed(docs: DataFrame, position: str, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, float] | None = None) -> DataFrame:
+def placed(docs: DataFrame, position: str, id_col: str = "doc_id", source_col: str = "source", weights: Mapping[str, float | Rational] | None = None) -> DataFrame:
     """docs with the schedule's position in a new column, range-partitioned and sorted by it. Rows of equal
     id have the least position of them."""
     key = unused(docs, "_id")
@@ -155,7 +185,7 @@ def placed(docs: DataFrame, position: str, id_col: str = "doc_id", source_col: s
     return joined.drop(key).orderBy(position)
 
 
-def in_mixed_order(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, float] | None = None) -> DataFrame:
+def in_mixed_order(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: Mapping[str, float | Rational] | None = None) -> DataFrame:
     """docs, all rows and columns as they are, range-partitioned and sorted by the schedule's position:
     read part by part, they come in the mix's order."""
     place = unused(docs, "_position")
