@@ -1,11 +1,13 @@
 """Languages, personal data, tokens, web records, fingerprints, lines, repeats and mixing."""
 
 import collections
+import gzip
 import hashlib
 import json
 import math
 import random
 import re
+import time
 import zlib
 from fractions import Fraction
 from itertools import islice
@@ -393,7 +395,7 @@ def test_odd_rows_follow_the_order(spark, odd, monkeypatch, range_rows):
 def test_records(spark):
     page = '<html lang="fr"><head><title>A &amp; B</title><style>p{}</style></head><body><script>x="</p>"</script><p>One&nbsp;two<br>three</p><!-- no --><div><a href="/x?a=1&amp;b">link</a></div></body></html>'
     assert warc.plain_text(page) == "A & B\nOne two\nthree\nlink"
-    assert warc.describe(page) == {"title": "A & B", "lang": "fr", "outlinks": ["/x?a=1&b"]}
+    assert warc.read_page(page) == {"title": "A & B", "lang": "fr", "outlinks": ["/x?a=1&b"], "text": "A & B\nOne two\nthree\nlink"}
     meta, text = warc.derive("http://h/", "2020-01-01T00:00:00Z", "HTTP/1.1 200 OK\r\n\r\n", page, "<urn:uuid:r>")
     assert meta["refers_to"] == text["refers_to"] == "<urn:uuid:r>" and meta["concurrent_to"] == text["record_id"] and text["concurrent_to"] == meta["record_id"]
     assert text["payload_digest"] == warc.digest(page.encode()) and text["block_digest"] == warc.digest(text["block"].encode())
@@ -407,6 +409,51 @@ def test_records(spark):
     assert warc.derivatives(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("unit", ["<head>", "<title>", "<![CDATA[", "<!--", "<!", "<?", "<a href=\"", "<a href='x", "<script>", "<html lang=", "</title ", "</script ", "<", "<p", "&amp", "&#", " ", "<title>x</title ><head>"])
+def test_long_pages_take_linear_time(unit):
+    page = unit * (1_000_000 // len(unit))
+    began = time.process_time()
+    warc.derive("u", "", "", page)
+    assert time.process_time() - began < 3  # a second or less on an idle machine
+
+
+def test_open_constructs():
+    assert warc.plain_text("a<!-- b <p>c") == warc.plain_text("a<script>c</p>") == warc.plain_text("a<![CDATA[ b") == "a"
+    assert warc.plain_text("a <title>b <p>c") == "a\nb\nc"
+    assert warc.plain_text("1 < 2 <p>3 <4") == "1 < 2\n3 <4"
+    assert warc.plain_text("<head><script>'</head>'</script><title>t</title></head><body>x") == "t\nx"
+    assert warc.read_page("<A HREF=x>1</A><a data-href=y>2</a><a\nhref='z'>3")["outlinks"] == ["x", "z"]
+
+
+def test_responses_are_read_from_files(spark, tmp_path):
+    """A file made by hand: what is read gives the records that its pages give directly."""
+    def record(kind, uri, block, **more):
+        lines = {"WARC-Type": kind, "WARC-Record-ID": f"<urn:uuid:{uri}>", "WARC-Target-URI": uri, "WARC-Date": "2021-02-03T04:05:06Z", "Content-Length": str(len(block)), **more}
+        return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in lines.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
+
+    page = "<title>Zoë</title><p>1 € <a href=/n>n</a>"
+    plain = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+    latin = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=ISO-8859-1\r\n\r\n"
+    chunked = "HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\nContent-Encoding: gzip\r\n\r\n"
+    packed = gzip.compress(page.encode())
+    data = record("warcinfo", "i", b"x: y\r\n") + record("response", "a", plain.encode() + page.encode()) + record("request", "a", b"GET /")
+    data += record("response", "b", latin.encode() + "é".encode("latin-1")) + record("response", "c", chunked.encode() + b"5\r\n" + packed[:5] + b"\r\n%x;e=1\r\n" % (len(packed) - 5) + packed[5:] + b"\r\n0\r\n\r\n")
+    (tmp_path / "one.warc").write_bytes(data)
+    (tmp_path / "two.warc.gz").write_bytes(gzip.compress(record("response", "d", b"")) + gzip.compress(record("response", "e", plain.encode() + page.encode())[:-20]))
+    (tmp_path / "none.warc").write_bytes(b"")
+    found = warc.responses(spark.read.format("binaryFile").load(str(tmp_path)))
+    rows = {r.url: r for r in found.collect()}
+    assert {u: (r.headers, r.html) for u, r in rows.items()} == {"a": (plain, page), "b": (latin, "é"), "c": (chunked, page), "d": ("", "")}
+    derived = warc.derivatives(found, "url", "url", "html", "date", "headers", "response_id").collect()
+    assert len(derived) == 8
+    for r in derived:
+        assert r.refers_to == f"<urn:uuid:{r.url}>" and r.date == "2021-02-03T04:05:06Z" and r.source_headers == rows[r.url].headers
+        (fields, block), = warc.parse_warc(bytes(r.record))
+        assert fields["warc-type"] == r.warc_type and block == r.block.encode() and fields["warc-refers-to"] == r.refers_to
+        assert json.loads(fields["x-source-http-headers"]) == r.source_headers
+    assert warc.responses(spark.createDataFrame([(None,), (b"junk",)], "content binary")).count() == 0
+
+
 def test_text_is_what_a_parser_shows(spark, sf):
     from html.parser import HTMLParser
 
