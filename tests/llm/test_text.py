@@ -60,6 +60,8 @@ def test_code_lengths(documents, monkeypatch):
     want = [[s.bits(t) for s in slow] for t in texts]
     assert np.allclose(model.code_lengths(texts), want, rtol=1e-5, atol=1e-2)
     monkeypatch.setattr(language_id, "CHUNK", 500)
+    monkeypatch.setattr(language_id, "GROUP", 1)
+    assert np.allclose(language_id.PpmModel(samples).code_lengths(texts), want, rtol=1e-5, atol=1e-2)
     assert np.allclose([model._long(t) for t in texts if len(t) > 500], [w for t, w in zip(texts, want, strict=True) if len(t) > 500], rtol=1e-5, atol=1e-2)
 
 
@@ -72,6 +74,21 @@ def test_held_out_accuracy(spark):
     assert sum(r.lang == r.lang_pred for r in held) / len(held) > 0.95
 
 
+def test_every_language_is_learned(spark):
+    """A hundred labels, some with one very long text first: each is predicted for its own words."""
+    r = random.Random(7)
+    words = {f"l{i:03}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(8)] for i in range(100)}
+    rows = [(i, " ".join(r.choice(words[x]) for _ in range(30)), x) for i, x in enumerate(sorted(words) * 8)]
+    rows += [(10_000 + i, " ".join(r.choice(words[x]) for _ in range(90_000)), x) for i, x in enumerate(["l000", "l099"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language_id.PpmModel({x: [" ".join(w)] for x, w in words.items()}).code_lengths([b"abc", b""]).shape == (2, 100)
+    got = {r.doc_id: r for r in language_id.identify(df).collect()}
+    assert sum(got[i].lang_pred == x for i, _, x in rows) >= 0.97 * len(rows)
+    sample = language_id.training_sample(df, "doc_id", "text", "lang", text_bytes=20_000)
+    assert len(sample) == 100 and all(sum(map(len, t)) <= 20_000 and len(t) > 2 for t in sample.values())
+    assert sum(len(x) for t in language_id.training_sample(df, "doc_id", "text", "lang", all_bytes=50_000).values() for x in t) <= 50_000
+
+
 def test_language_of_odd_rows(odd):
     rows = language_id.identify(odd).collect()
     assert len(rows) == odd.count() and all(0 <= r.score <= 1 for r in rows)

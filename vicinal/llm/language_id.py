@@ -21,8 +21,11 @@ from pyspark.sql import types as T
 from vicinal.llm.ranges import unused
 
 ORDER = 4
-#: The training sample: this many rows and bytes of text for a language at most, and this many languages.
-ROWS, TEXT_BYTES, LANGUAGES = 600, 1_500_000, 64
+#: The training sample: rows and bytes of text for a language at most, and bytes for all languages together, which
+#: they share evenly; of one row an EIGHTH of its language's bytes at most. Every language is learned.
+ROWS, TEXT_BYTES, ALL_BYTES, EIGHTH = 600, 1_500_000, 128 << 20, 8
+#: Languages that share a table of costs, so that its size is in proportion to them.
+GROUP = 8
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 #: Before each text, so that its first bytes have contexts too.
@@ -86,8 +89,8 @@ class _Table:
         return found
 
 
-class PpmModel:
-    """Context trees of some languages, tabulated."""
+class _Trees:
+    """Context trees of a few languages, tabulated."""
 
     def __init__(self, samples: dict[str, list[str]]) -> None:
         self.languages = sorted(samples)
@@ -174,6 +177,19 @@ class PpmModel:
             code += data[np.maximum(at - j, 0)].astype(np.int64) << (8 * j)
         return self.table[k].find(code)
 
+
+class PpmModel:
+    """Context trees of any number of languages."""
+
+    def __init__(self, samples: dict[str, list[str]]) -> None:
+        self.languages = sorted(samples)
+        parts = [self.languages[i : i + GROUP] for i in range(0, len(self.languages), GROUP)]
+        self.trees = [_Trees({x: samples[x] for x in part}) for part in parts]
+
+    def code_lengths(self, texts: list[bytes]) -> np.ndarray:
+        """Bits of each text under each language: one row for a text."""
+        return np.hstack([t.code_lengths(texts) for t in self.trees])
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, certainty (its posterior under equal priors) and bits a byte of each text."""
         pick = [UNDETERMINED] * len(texts)
@@ -210,23 +226,27 @@ class PpmModel:
         return total
 
 
-def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int = ROWS, text_bytes: int = TEXT_BYTES) -> dict[str, list[str]]:
-    """Bounded sample of labelled rows: of each of the LANGUAGES most frequent languages the rows of least
-    hash of their id, `rows` of them and `text_bytes` of text at most. Held-out rows are never among them."""
+def training_sample(
+    docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int = ROWS, text_bytes: int = TEXT_BYTES, all_bytes: int = ALL_BYTES
+) -> dict[str, list[str]]:
+    """Bounded sample of labelled rows: of each language the rows of least hash of their id, `rows` of them and
+    `text_bytes` of text at most, and `all_bytes` over all languages. A very long row gives its beginning.
+    Held-out rows are never among them."""
     labelled = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where(
         F.col("t").isNotNull() & F.col("l").isNotNull() & ~held_out(F.col("i")) & F.col("i").isNotNull()
     )
-    counts = labelled.groupBy("l").count().orderBy(F.desc("count"), "l").limit(LANGUAGES).collect()
+    counts = labelled.groupBy("l").count().collect()  # one row a language
     if not counts:
         return {}
+    text_bytes = max(1, min(text_bytes, all_bytes // len(counts)))
     # a few more than wanted pass the threshold, so the exact ranking sees a bounded number of rows
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["l"], min(1.0, 1.5 * rows / r["count"]))])
+    share = docs.sparkSession.createDataFrame([(r["l"], min(1.0, 1.5 * rows / r["count"]) * (1 << 40)) for r in counts], "l string, share double")
     order = F.pmod(F.xxhash64(F.lit("sample"), F.col("i")), F.lit(1 << 40))
-    near = labelled.select("l", "t", "i", order.alias("h")).where(F.col("h") < share[F.col("l")] * (1 << 40))
+    near = labelled.join(F.broadcast(share), "l").select("l", F.substring("t", 1, max(1, text_bytes // EIGHTH)).alias("t"), "i", order.alias("h")).where(order < F.col("share"))
     by = Window.partitionBy("l").orderBy("h", "i", "t")
     ranked = near.select(
         "l", "t", F.row_number().over(by).alias("n"), F.sum(F.octet_length("t")).over(by).alias("bytes")
-    ).where((F.col("n") <= rows) & ((F.col("bytes") <= text_bytes) | (F.col("n") == 1)))
+    ).where((F.col("n") <= rows) & (F.col("bytes") <= text_bytes))
     out: dict[str, list[str]] = {}
     for r in ranked.orderBy("l", "n").collect():
         out.setdefault(r["l"], []).append(r["t"])
