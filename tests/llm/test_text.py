@@ -127,20 +127,70 @@ def test_patterns():
     pii.base_spans("1" * 300000 + "a" * 300000 + "@" * 1000)  # linear
 
 
+def slow_disclosure(texts, disclosure=0.8, support=3):
+    """{(term, entity): (share, general)} by counting every pair of every document."""
+    held = []
+    for t in texts:
+        t = t or ""
+        spans = slow_spans(t)
+        free = "".join(" " if any(s <= i < e for _, s, e in spans) else c for i, c in enumerate(t))
+        # a word that a span cuts is no term
+        terms = {m.group().lower() for m in re.finditer(r"[^\W\d_]{3,}", t) if free[m.start() : m.end()] == m.group()}
+        held.append((terms, {pii.entity(k, t[s:e]) for k, s, e in spans}, {w.lower() for w in re.findall(r"[^\W\d_]{3,}", t)}))
+    out, n = {}, len(texts)
+    for entity in {e for _, es, _ in held for e in es}:
+        n_e = sum(entity in es for _, es, _ in held)
+        shares = {}
+        for term in {t for ts, es, _ in held if entity in es for t in ts}:
+            both, n_t = sum(entity in es and term in ts for ts, es, _ in held), sum(term in ws for _, _, ws in held)
+            if both >= support and n > n_e:
+                shares[term] = (math.log2(both * n / (n_t * n_e)) / math.log2(n / n_e), both)
+        safe = [(-s, t) for t, (s, both) in shares.items() if both >= 0.8 * n_e and s < disclosure / 2]
+        out |= {(t, entity): (s, min(safe)[1] if safe else None) for t, (s, _) in shares.items() if s >= disclosure}
+    return out
+
+
 def leak(n):
-    rows = [(i, f"said Zorbax today about things {'abcdef'[i % 6]} write to zed@mail.example.org or call") for i in range(n)]
+    rows = [(i, f"said Zorbax today about things {'abcdef'[i % 6]}\nwrite to zed@mail.example.org or call\n{'and so on ' * 20}zorbax!") for i in range(n)]
     return rows + [(100 + i, f"other words about things today {i} said nobody") for i in range(200)]
 
 
 @pytest.mark.parametrize("limit", [1000, 0])
 def test_terms_that_disclose(spark, limit):
-    df = spark.createDataFrame(leak(5), "doc_id long, text string")
-    rows = {r.doc_id: r for r in pii.find_pii(df, broadcast_terms=limit).collect()}
-    text = leak(5)[0][1]
-    a = text.index("Zorbax")
-    assert f"term:{a}:{a + 6}" in rows[0].spans and "[Name]" in rows[0].sanitised and "[email]" in rows[0].sanitised
-    assert "said" in rows[0].sanitised and rows[100].spans == "" and rows[0].n_email == 1
-    assert rows[0].base_sha256 == hashlib.sha256(b"email:" + f"{text.index('zed@')}:{text.index(' or')}".encode()).hexdigest()
+    r = random.Random(8)
+    rows = leak(5) + leak(5)[:2] + [(None, leak(1)[0][1]), (300, None)]
+    common, rare = ["apple", "berry", "cherry", "delta"], [f"rare{c}x" for c in "abcdef"]
+    for i in range(120):
+        k = r.randrange(4)
+        at = [f"p{k}@x.org", f"+1 555 000 00{k}{k}"] if r.random() < 0.4 else []
+        rows.append((400 + i, " ".join([r.choice(common), *at, *([r.choice([rare[k], "RARE" + rare[k][4:]])] if at and r.random() < 0.9 else [r.choice(rare[4:])]), "b" * 600, r.choice(common)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = slow_disclosure([t for _, t in rows])
+    table = {(x.term, x.entity): (x.share, x.general) for x in pii.disclosing_terms(df, broadcast_terms=limit).collect()}
+    assert set(table) == set(want) and len({e for _, e in want}) > 3
+    assert all(abs(table[k][0] - s) < 1e-9 and table[k][1] == g for k, (s, g) in want.items())
+    got = pii.find_pii(df, broadcast_terms=limit).collect()
+    by_row = collections.Counter((x.doc_id, x.base_sha256, x.spans, x.sanitised) for x in got)
+    for i, text in rows:
+        text = text or ""
+        base = slow_spans(text)
+        mine = {pii.entity(k, text[s:e]) for k, s, e in base}
+        becomes = {}
+        for (t, e), (_, g) in sorted(want.items(), key=lambda kv: kv[1][1] or "~"):
+            if e in mine:
+                becomes.setdefault(t, g)
+        marks = [(m.start(), m.end(), becomes[m.group().lower()]) for m in re.finditer(r"[^\W\d_]{3,}", text) if m.group().lower() in becomes and not any(s < m.end() and m.start() < e for _, s, e in base)]
+        spans = [*base, *(("term", s, e) for s, e, _ in marks)]
+        clean, at = "", 0
+        for s, e, shown in sorted([*((s, e, k) for k, s, e in base), *marks]):
+            if s >= at:
+                clean += text[at:s] + (f"[{shown}]" if shown else "")
+            at = max(at, e)
+        key = (i, hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in base).encode()).hexdigest(), ",".join(f"{k}:{s}:{e}" for k, s, e in spans), clean + text[at:])
+        assert by_row[key] > 0, key
+    assert sum(by_row.values()) == len(rows)
+    first = next(x for x in got if x.doc_id == 0)
+    assert first.n_terms >= 2 and "orbax" not in first.sanitised and first.n_spans == first.n_terms + 1
     few = pii.find_pii(spark.createDataFrame(leak(2), "doc_id long, text string")).where("doc_id < 100").collect()
     assert all("term" not in r.spans for r in few)
 
@@ -149,6 +199,7 @@ def test_pii_of_odd_rows(odd):
     rows = pii.find_pii(odd).collect()
     assert len(rows) == odd.count() and all(r.spans == "" for r in rows)
     assert pii.find_pii(odd.limit(0)).count() == 0
+    assert pii.find_pii(odd, write=False).columns[-1] == "n_spans"
 
 
 # ---- tokens

@@ -1,11 +1,12 @@
 """Personal data: patterns, and information-theoretic sanitisation of what gives them away.
 
 E-mail addresses, IPv4 addresses, card and phone numbers are found by pattern; they are the protected
-entities. A term near them may reveal them as well: the corpus tells how strongly. With n(e), n(t) the
-documents that hold an entity and a term, n(t, e) those that hold both near each other, and N all
-documents, the term discloses pmi(t, e) = log2(n(t, e) N / (n(t) n(e))) of the entity's information
-log2(N / n(e)) (Sanchez and Batet, 2013). Where the share of the two exceeds a threshold, the term's
-occurrences beside that entity are spans too: generalised (a word becomes its class) or removed.
+entities. Other terms of their documents may reveal them as well: the corpus tells how strongly. With n(e),
+n(t), n(t, e) the documents that hold an entity, a term and both, and N all documents, the term discloses
+pmi(t, e) = log2(n(t, e) N / (n(t) n(e))) of the entity's information log2(N / n(e)) (Sanchez and Batet,
+2013). Where the share of the two reaches a threshold, all of the term's occurrences in documents of that
+entity are spans too. They are generalised to the term of the entity's documents that discloses most among
+those that are safe (in nearly all of them, at less than half the threshold), or removed if there is none.
 """
 
 from __future__ import annotations
@@ -22,11 +23,13 @@ from vicinal.plans.shared import materialize
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-#: Words on each side of an entity that are candidates; least share of its information that a term must
-#: reveal; least documents that must hold both, so that chance meetings of rare words don't count.
-WINDOW, DISCLOSURE, SUPPORT = 8, 0.8, 3
-#: Terms that are broadcast at most (a few MB); beyond it documents and terms meet in a shuffle.
+#: Least share of an entity's information that a term must reveal; least documents that must hold both, so that
+#: chance meetings of rare words don't count; share of an entity's documents that hold its general term.
+DISCLOSURE, SUPPORT, GENERAL = 0.8, 3, 0.8
+#: Terms or entities that are broadcast at most (a few MB); beyond it documents and terms meet in a shuffle.
 BROADCAST_TERMS = 100_000
+#: Counted pairs that a task holds before it passes them on.
+HELD = 1 << 18
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -91,41 +94,64 @@ def entity(kind: str, shown: str) -> str:
     return f"{kind}:{shown.lower() if kind in ('email', 'ip') else ''.join(_DIGITS.findall(shown))}"
 
 
-def near_terms(text: str, spans: list[Span], window: int = WINDOW) -> Iterator[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of the words within `window` words of an entity on its line; a term is
-    three or more letters, in lower case, outside all spans."""
+def words(text: str, spans: list[Span]) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) of all words outside all spans; a term is three or more letters, in lower case."""
     taken = sorted((s, e) for _, s, e in spans)
-    for kind, start, end in spans:
-        name = entity(kind, text[start:end])
-        low = text.rfind("\n", 0, start) + 1
-        high = text.find("\n", end)
-        high = len(text) if high < 0 else high
-        # a window of words is found within a bounded stretch of characters on either side
-        left = [m for m in _WORD.finditer(text, max(low, start - 64 * window), start)][-window:]
-        right = [m for m, _ in zip(_WORD.finditer(text, end, min(high, end + 64 * window)), range(window), strict=False)]
-        for m in [*left, *right]:
-            if not any(s < m.end() and m.start() < e for s, e in taken):
-                yield name, m.group().lower(), m.start(), m.end()
+    at, n, reach = 0, len(taken), 0
+    for m in _WORD.finditer(text):
+        s, e = m.span()
+        while at < n and taken[at][0] < e:
+            reach = max(reach, taken[at][1])
+            at += 1
+        if reach <= s:
+            yield m.group().lower(), s, e
+
+
+def entities(text: str, spans: list[Span]) -> set[str]:
+    return {entity(k, text[s:e]) for k, s, e in spans}
 
 
 def shown(spans: Iterable[Span]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, entity) of each document, once each; a null term stands for the document itself."""
+def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(entity) of each document, once each."""
     for batch in batches:
-        terms, entities = [], []
+        found: list[str] = []
         for text in batch.column(0):
             text = text.as_py() or ""
-            spans = base_spans(text)
-            if not spans:
-                continue
-            found = {(t, e) for e, t, _, _ in near_terms(text, spans)}
-            found |= {(None, entity(k, text[s:e])) for k, s, e in spans}
-            terms += [t for t, _ in found]
-            entities += [e for _, e in found]
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(entities, pa.string())], names=["term", "entity"])
+            found += entities(text, base_spans(text))
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["entity"])
+
+
+def _pairs(wanted):
+    """(term, entity, documents of this task that hold both) for entities of a broadcast set, or all if null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only, counts = wanted.value, {}
+        for batch in batches:
+            for text in batch.column(0):
+                text = text.as_py() or ""
+                if not (spans := base_spans(text)):
+                    continue
+                mine = entities(text, spans)
+                if only is not None:
+                    mine &= only
+                terms = {t for t, _, _ in words(text, spans)} if mine else ()
+                for pair in ((t, e) for e in mine for t in terms):
+                    counts[pair] = counts.get(pair, 0) + 1
+                    if len(counts) >= HELD:
+                        yield _counted(counts)
+                        counts = {}
+        yield _counted(counts)
+
+    return run
+
+
+def _counted(counts: dict[tuple[str, str], int]) -> pa.RecordBatch:
+    columns = [pa.array([t for t, _ in counts], pa.string()), pa.array([e for _, e in counts], pa.string()), pa.array(list(counts.values()), pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=["term", "entity", "n"])
 
 
 def _occurrences(vocabulary):
@@ -153,43 +179,49 @@ def _all_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def disclosing_terms(
     docs: DataFrame, text_col: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT, broadcast_terms: int = BROADCAST_TERMS
 ) -> DataFrame:
-    """(term, entity, share) over all documents: term reveals at least `disclosure` of entity."""
+    """(term, entity, share, general) over all documents: term reveals at least `disclosure` of entity, and
+    general, which may be null, takes its place."""
     texts = docs.select(text_col)
-    pairs = texts.mapInArrow(_pairs, "term string, entity string").groupBy("term", "entity").agg(F.count(F.lit(1)).alias("both"))
-    pairs = materialize(pairs, "pairs")
-    entities = pairs.where("term is null").select("entity", F.col("both").alias("n_entity"))
-    often = materialize(pairs.where(F.col("term").isNotNull() & (F.col("both") >= support)), "often")
-    terms = often.select("term").distinct()
+    share = docs.sparkSession.sparkContext.broadcast
     total = texts.count()
-    size = terms.count()
-    if size <= broadcast_terms:
-        vocabulary = docs.sparkSession.sparkContext.broadcast(frozenset(r["term"] for r in terms.collect()))
-        counted = texts.mapInArrow(_occurrences(vocabulary), "term string, n long")
+    known = texts.mapInArrow(_entities, "entity string").groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    # an entity in fewer documents has no term with that support
+    known = materialize(known.where(F.col("n_entity") >= support), "entities")
+    few = known.count() <= broadcast_terms
+    wanted = share(frozenset(r["entity"] for r in known.select("entity").collect()) if few else None)
+    often = texts.mapInArrow(_pairs(wanted), "term string, entity string, n long").groupBy("term", "entity").agg(F.sum("n").alias("both"))
+    often = materialize(often.where(F.col("both") >= support), "often")
+    terms = materialize(often.select("term").distinct(), "terms")
+    if terms.count() <= broadcast_terms:
+        counted = texts.mapInArrow(_occurrences(share(frozenset(r["term"] for r in terms.collect()))), "term string, n long")
     else:
         counted = texts.mapInArrow(_all_words, "term string, n long").join(terms, "term", "left_semi")
     n_term = counted.groupBy("term").agg(F.sum("n").alias("n_term"))
-    joined = often.join(n_term, "term").join(entities, "entity")
+    joined = often.join(n_term, "term").join(known, "entity")
     information = F.log2(F.lit(float(total)) / F.col("n_entity"))
     pmi = F.log2(F.col("both") * float(total) / (F.col("n_term") * F.col("n_entity")))
-    share = F.when(information > 0, pmi / information).otherwise(F.lit(0.0))
-    return joined.select("term", "entity", share.alias("share")).where(F.col("share") >= disclosure)
+    shares = joined.withColumn("share", F.when(information > 0, pmi / information).otherwise(F.lit(0.0)))
+    shares = materialize(shares, "shares")
+    safe = (F.col("both") >= GENERAL * F.col("n_entity")) & (F.col("share") < disclosure / 2)
+    general = shares.where(safe).groupBy("entity").agg(F.min(F.struct(-F.col("share"), "term")).alias("g")).select("entity", F.col("g.term").alias("general"))
+    return shares.where(F.col("share") >= disclosure).join(general, "entity", "left").select("term", "entity", "share", "general")
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(digest, entity, term, span) for every term near an entity; digest identifies the text."""
+    """(digest, entity, term) for every entity and term of a text; digest identifies the text."""
     for batch in batches:
-        rows = []
-        for digest, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for digest, text in zip(batch.column(0), batch.column(1), strict=True):
             text = text.as_py() or ""
-            if spans := base_spans(text):
-                rows += [(digest, x, t, f"{s}:{e}") for x, t, s, e in near_terms(text, spans)]
-        columns = zip(*rows, strict=True) if rows else [[]] * 4
-        types = [pa.binary(), pa.string(), pa.string(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["digest", "entity", "term", "span"])
+            if not (spans := base_spans(text)):
+                continue
+            terms = sorted({t for t, _, _ in words(text, spans)})
+            for e in sorted(entities(text, spans)):
+                columns = [pa.array([digest.as_py()] * len(terms), pa.binary()), pa.array([e] * len(terms), pa.string()), pa.array(terms, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["digest", "entity", "term"])
 
 
-def _marks(terms, names: list[str], write: bool):
-    """Marks rows (id, text, spans of terms or null); terms: broadcast {entity: terms} for null ones."""
+def _marks(table, names: list[str], write: bool):
+    """Marks rows (id, text, [(term, general)] or null); table: broadcast {entity: {term: general}} for null ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,64 +229,74 @@ def _marks(terms, names: list[str], write: bool):
             for text, known in zip(batch.column(1), batch.column(2), strict=True):
                 text, known = text.as_py() or "", known.as_py()
                 base = base_spans(text)
-                more = {(TERM, *map(int, x.split(":"))) for x in known or ()}
-                if known is None and base and terms.value:
-                    more = {(TERM, s, e) for x, t, s, e in near_terms(text, base) if t in terms.value.get(x, ())}
-                spans = [*base, *sorted(more, key=lambda x: x[1:])]
+                pairs = [(x["term"], x["general"]) for x in known or ()]
+                if known is None and base:
+                    pairs = [x for e in entities(text, base) for x in table.value.get(e, {}).items()]
+                # a term of several entities takes the general term that is first by name
+                becomes: dict[str, str] = {}
+                for t, g in pairs:
+                    if becomes.setdefault(t, g or "") and g:
+                        becomes[t] = min(becomes[t], g)
+                    elif g:
+                        becomes[t] = g
+                more = [(t, s, e) for t, s, e in words(text, base) if t in becomes] if becomes else []
+                spans = [*base, *((TERM, s, e) for _, s, e in more)]
                 count = [sum(k == x for k, _, _ in base) for x in KINDS]
                 digest = hashlib.sha256(shown(base).encode()).hexdigest()
-                rows.append((*count, digest, shown(spans), *([sanitise(text, spans)] if write else [])))
+                clean = [sanitise(text, base, [(becomes[t], s, e) for t, s, e in more])] if write else []
+                rows.append((*count, digest, shown(spans), len(more), len(spans), *clean))
             columns = zip(*rows, strict=True) if rows else [[]] * (len(names) - 1)
-            types = [*[pa.int64()] * len(KINDS), pa.string(), pa.string(), pa.string()]
+            types = [*[pa.int64()] * len(KINDS), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=False))], names=names)
 
     return run
 
 
-def sanitise(text: str, spans: list[Span]) -> str:
-    """Entities become their kind in brackets, disclosing terms the class of their form: [Name] if written
-    with a capital, else [word]. Overlapping spans become one, named by the first."""
+def sanitise(text: str, base: list[Span], terms: list[tuple[str, int, int]]) -> str:
+    """Entities become their kind in brackets, terms (general, start, end) their general term in brackets or
+    nothing. Overlapping spans become one, named by the first."""
     out, at = [], 0
-    for kind, s, e in sorted(spans, key=lambda x: (x[1], -x[2])):
+    for kind, s, e in sorted([*base, *terms], key=lambda x: (x[1], -x[2])):
         if s < at:
             at = max(at, e)
             continue
-        out += [text[at:s], f"[{kind}]" if kind != TERM else "[Name]" if text[s].isupper() else "[word]"]
+        out += [text[at:s], f"[{kind}]" if kind else ""]
         at = e
     return "".join([*out, text[at:]])
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", write: bool = True, **options) -> DataFrame:
-    """One row per row of docs: id_col, n_email, n_ip, n_card, n_phone, base_sha256, spans and, with write,
-    the sanitised text.
+    """One row per row of docs: id_col, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms, n_spans and,
+    with write, the sanitised text.
 
     spans lists kind:start:end in code points, ends exclusive: base kinds in the order of KINDS, then the
     disclosing terms, each by start. Null texts are empty. Repeated rows count as separate documents in
     the co-occurrence. Null ids pass through. An empty table gives no rows. Other columns are not read.
 
-    The table of disclosing terms is broadcast: a term in it has met its entity in `support` documents or
-    more and hardly any others, and only its own entity's occurrences are marked. Its size is checked;
-    beyond BROADCAST_TERMS rows the documents with entities are joined with it instead.
+    Entities and disclosing terms are broadcast where there are at most BROADCAST_TERMS of them; beyond it
+    the pairs of all entities are counted, and the documents with entities are joined with the terms.
     """
     options = {"broadcast_terms": BROADCAST_TERMS} | options
     table = materialize(disclosing_terms(docs, text_col, **options), "disclosing")
     kind = docs.schema[id_col].dataType.simpleString()
-    names = ["id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", *(["sanitised"] if write else [])]
-    schema = f"id {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string" + (", sanitised string" if write else "")
+    names = ["id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_terms", "n_spans", *(["sanitised"] if write else [])]
+    schema = f"id {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_terms long, n_spans long"
+    schema += ", sanitised string" if write else ""
     found = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    terms: dict[str, set[str]] = {}
+    terms: dict[str, dict[str, str | None]] = {}
+    pair = "array<struct<term:string,general:string>>"
     if table.count() <= options["broadcast_terms"]:
         for r in table.collect():
-            terms.setdefault(r["entity"], set()).add(r["term"])
-        found = found.withColumn("known", F.lit(None).cast("array<string>"))
+            terms.setdefault(r["entity"], {})[r["term"]] = r["general"]
+        found = found.withColumn("known", F.lit(None).cast(pair))
     else:
         keyed = found.withColumn("digest", F.unhex(F.sha2("text", 256)))
-        spans = keyed.select("digest", "text").mapInArrow(_candidates, "digest binary, entity string, term string, span string")
-        spans = spans.join(table, ["entity", "term"], "left_semi").groupBy("digest").agg(F.collect_set("span").alias("known"))
-        found = keyed.join(spans, "digest", "left").select("id", "text", F.coalesce("known", F.array().cast("array<string>")).alias("known"))
+        known = keyed.select("digest", "text").mapInArrow(_candidates, "digest binary, entity string, term string")
+        known = known.join(table, ["entity", "term"]).groupBy("digest").agg(F.collect_set(F.struct("term", "general")).alias("known"))
+        found = keyed.join(known, "digest", "left").select("id", "text", F.coalesce("known", F.array().cast(pair)).alias("known"))
     shared = docs.sparkSession.sparkContext.broadcast(terms)
     return found.mapInArrow(_marks(shared, names, write), schema).withColumnRenamed("id", id_col)
 
 
 def op5_pii(spark, sf_dir: str) -> DataFrame:
-    return find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), write=False)
+    return find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
