@@ -552,7 +552,7 @@ def test_text_is_what_a_parser_shows(spark, sf):
 # ---- lines
 
 
-def slow_lines(docs, threshold=2, min_chars=20):
+def slow_lines(docs, threshold=2, min_chars=9):
     def distance(a, b):
         row = list(range(len(b) + 1))
         for i, x in enumerate(a, 1):
@@ -598,17 +598,17 @@ def altered(r, s, n):
     return "".join(b)
 
 
-@pytest.mark.parametrize("limit", [10**6, 0])
-def test_lines(spark, limit, monkeypatch):
+@pytest.mark.parametrize(("limit", "chunk"), [(10**6, 4096), (0, 3)])
+def test_lines(spark, limit, chunk, monkeypatch):
     near = line_dedup.near_lines
-    monkeypatch.setattr(line_dedup, "near_lines", lambda d, t: near(d, t, limit))
+    monkeypatch.setattr(line_dedup, "near_lines", lambda d, t: near(d, t, limit, chunk))
     r = random.Random(2)
-    base = ["".join(r.choice("abcdef é") for _ in range(r.randint(20, 40))) for _ in range(40)]
+    base = ["".join(r.choice("abcdef é") for _ in range(r.choice([8, 9, 10, 13, r.randint(20, 40)]))) for _ in range(40)]
     pick = lambda: r.choice([altered(r, r.choice(base), r.randint(0, 3)), r.choice(base), "short", " ", "", "ab"])
     docs = [(i, "\n".join(pick() for _ in range(r.randint(0, 8)))) for i in range(60)] + [(None, "short\n" + base[0]), (100, None), (101, "")]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("line", F.lit(1)).withColumn("h1", F.lit(1))
     found = line_dedup.line_dedup(df)
-    assert {x[0]: tuple(x[2:]) for x in found.collect()} == slow_lines(docs)
+    assert {x[0]: tuple(x[3:]) for x in found.collect()} == slow_lines(docs)
     kept = {x.doc_id: x.text for x in line_dedup.without_lines(df, found).collect()}
     gone = {x.doc_id: set(x.removed.split(",")) for x in found.collect()}
     assert all(kept[i] == (None if t is None else "\n".join(s for n, s in enumerate(t.split("\n")) if str(n) not in gone[i])) for i, t in docs)
@@ -631,14 +631,26 @@ def test_banded_distance(spark, threshold):
     assert s.where(f"want <= {threshold} and {flips} > {4 * threshold}").count() == 0
 
 
+def test_lines_of_a_template_are_counted_not_paired(spark):
+    """Six hundred lines of one template: every link is counted, and no table of pairs is written."""
+    lines = [f"entry number {i:04} of the common template" for i in range(600)]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r.doc_id: r.n_links for r in line_dedup.line_dedup(df).collect()}
+    table = spark.createDataFrame(list(enumerate(lines)), "a long, x string")
+    pairs = table.join(table.toDF("b", "y"), F.levenshtein("x", "y") <= 2).where("a <> b").groupBy("a").count()
+    assert got == {r.a: r["count"] for r in pairs.collect()}
+
+
 def test_lines_of_odd_rows(odd):
     rows = line_dedup.line_dedup(odd.where("doc_id is not null")).collect()
-    assert sorted(r.doc_id for r in rows) == [1, 3, 7, 8, 9, 10, 11, 12, 13, 13]
-    got = {r[0]: tuple(r[2:]) for r in rows}
-    assert got[3] == (1, 0, 1, 1, "0") and got[1][:4] == (1, 0, 0, 1) and got[9][0] == 2 and got[13] == (1, 0, 0, 0, "")
+    assert sorted(r.doc_id for r in rows) == [1, 3, 3, 7, 8, 9, 10, 11, 12, 13, 13]
+    got = {(r[0], r[2]): tuple(r[3:]) for r in rows}
+    assert got[3, 0] == (1, 0, 1, 1, "0") and got[3, 1] == (1, 1, 0, 0, "0") and got[1, 0][:4] == (1, 0, 0, 1) and got[9, 0][0] == 2 and got[13, 0] == (1, 0, 0, 0, "")
     rows = line_dedup.line_dedup(odd).where("doc_id is null or doc_id = 3").collect()
-    assert sorted((r.doc_id or 0, r.n_exact, r.removed) for r in rows) == [(0, 0, ""), (0, 0, ""), (3, 1, "0")]
-    assert line_dedup.without_lines(odd, line_dedup.line_dedup(odd)).where("text = ''").count() == 4
+    assert sorted((r.doc_id or 0, r.n_exact, r.removed) for r in rows) == [(0, 0, ""), (0, 0, ""), (3, 1, "0"), (3, 1, "0")]
+    clean = line_dedup.without_lines(odd, line_dedup.line_dedup(odd))
+    assert clean.columns == odd.columns and clean.count() == odd.count()
+    assert clean.where("text = ''").count() == 4 and clean.where("doc_id = 3 and text = ''").count() == 2
     assert line_dedup.line_dedup(odd.limit(0)).count() == 0
 
 

@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from vicinal.llm.ranges import unused
 from vicinal.plans.shared import materialize
 
-#: Most edits between near-equal lines; code points from which a line is compared at all.
-THRESHOLD, MIN_CHARS = 2, 20
+#: Most edits between near-equal lines; code points from which a line is compared at all: three to a segment.
+THRESHOLD, MIN_CHARS = 2, 9
+#: Lines on either side of a key that one task compares; a key with more is compared by pairs of chunks.
+CHUNK = 4096
 #: 8-byte keys of segments or lines that met others that are broadcast at most (32 MB); beyond it they are shuffled.
 BROADCAST_LINES = 2_000_000
 
@@ -61,16 +63,23 @@ def probe_keys(line: Column, threshold: int) -> list[Column]:
         for i in range(threshold + 1):
             at, size = _segment(i, threshold + 1, n)
             for shift in range(max(-i, less - (threshold - i)), min(i, less + (threshold - i)) + 1):
-                out.append(F.xxhash64(F.lit(i), n, F.substring(line, at + shift, size)))
+                # a place before the line's start is no place (and would be counted from its end)
+                out.append(F.when(at + shift >= 1, F.xxhash64(F.lit(i), n, F.substring(line, at + shift, size))))
     return out
 
 
+def keys_of(line: Column, threshold: int) -> tuple[Column, Column]:
+    """The keys under which a line is indexed, and those that it probes."""
+    return F.array_distinct(F.array(*index_keys(line, threshold))), F.array_distinct(F.array_compact(F.array(*probe_keys(line, threshold))))
+
+
 def meeting(distinct: DataFrame, threshold: int, broadcast_lines: int) -> tuple[DataFrame, DataFrame]:
     """(key, y) of probes and (key, x) of index entries that meet another line; semi-joins, so a key that
     many lines share gives a row for each line and never one for each pair."""
     compared = distinct.where(F.col("line").isNotNull())
-    index = compared.select(F.col("h1").alias("x"), F.explode(F.array(*index_keys(F.col("line"), threshold))).alias("key"))
-    probe = compared.select(F.col("h1").alias("y"), F.explode(F.array(*probe_keys(F.col("line"), threshold))).alias("key"))
+    entry, probe_ = keys_of(F.col("line"), threshold)
+    index = compared.select(F.col("h1").alias("x"), F.explode(entry).alias("key"))
+    probe = compared.select(F.col("h1").alias("y"), F.explode(probe_).alias("key"))
     other = index.hint("shuffle_hash")
     probes = materialize(probe.join(other, (probe["key"] == other["key"]) & (probe["y"] != other["x"]), "left_semi"), "meeting-probes")
     keys = materialize(probes.select("key").distinct(), "meeting-keys")
@@ -89,14 +98,30 @@ def sketch(line: str) -> Column:
           'hi', IF(h < 64L, s.hi, s.hi ^ shiftleft(1L, CAST(h - 64L AS INT)))))[0]))[0]""")
 
 
-def candidates(probes: DataFrame, entries: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
-    """(a, b), a < b: h1 of lines that share a segment and whose sketches allow the threshold. The sketches
-    are compared inside the join, which is how lines of a common template fall away before they are pairs."""
-    marked = lambda df, c: df.join(texts.select(F.col("h1").alias(c), F.col("sketch").alias(f"{c}_s")), c)
-    flips = F.bit_count(F.col("x_s.lo").bitwiseXOR(F.col("y_s.lo"))) + F.bit_count(F.col("x_s.hi").bitwiseXOR(F.col("y_s.hi")))
-    left, right = marked(probes, "y").withColumnRenamed("key", "k"), marked(entries, "x")
-    met = left.join(right, (F.col("k") == F.col("key")) & (F.col("x") != F.col("y")) & (flips <= 4 * threshold))
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+def candidates(probes: DataFrame, entries: DataFrame, texts: DataFrame, threshold: int, chunk: int) -> DataFrame:
+    """Pairs of lines (y_..., x_...) that share a segment, each once, and whose sketches allow the threshold.
+
+    The sketches are compared inside the join, which is how lines of a common template fall away. A pair that
+    shares several keys is taken under the least. A key with over `chunk` probes or entries is cut: each
+    chunk of probes meets each chunk of entries in a task of its own."""
+    sizes = probes.groupBy("key").agg(F.count(F.lit(1)).alias("p")).join(entries.groupBy("key").agg(F.count(F.lit(1)).alias("e")), "key")
+    large = sizes.where((F.col("p") > chunk) | (F.col("e") > chunk))
+    large = materialize(large.select("key", *(F.ceil(F.col(c) / chunk).cast("int").alias(f"{c}_bins") for c in ("p", "e"))), "large-keys")
+
+    def dealt(df: DataFrame, line: str, own: str, other: str) -> DataFrame:
+        mine = F.pmod(F.xxhash64(F.lit(7), line), F.coalesce(own, F.lit(1))).cast("int")
+        others = F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))
+        return df.join(large, "key", "left").select("key", line, mine.alias(own[0]), others.alias(other[0]))
+
+    def with_text(df: DataFrame, line: str) -> DataFrame:
+        return df.join(texts.select(*[F.col(c).alias(f"{line}_{c}") for c in texts.columns]), F.col(line) == F.col(f"{line}_h1"))
+
+    flips = F.bit_count(F.col("x_sketch.lo").bitwiseXOR(F.col("y_sketch.lo"))) + F.bit_count(F.col("x_sketch.hi").bitwiseXOR(F.col("y_sketch.hi")))
+    less = F.char_length("y_line") - F.char_length("x_line")
+    once = (less > 0) | (less == 0) & (F.col("x") < F.col("y"))
+    first = F.col("key") == F.array_min(F.array_intersect("x_entries", "y_probes"))
+    left, right = with_text(dealt(probes, "y", "p_bins", "e_bins"), "y"), with_text(dealt(entries, "x", "e_bins", "p_bins"), "x")
+    return left.join(right, ["key", "p", "e"]).where((flips <= 4 * threshold) & once & (less <= threshold) & first)
 
 
 def banded_distance(long: str, short: str, threshold: int) -> Column:
@@ -129,34 +154,27 @@ def banded_distance(long: str, short: str, threshold: int) -> Column:
         s0 -> s0.score))[0]""")
 
 
-def near_lines(distinct: DataFrame, threshold: int = THRESHOLD, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
+def near_lines(distinct: DataFrame, threshold: int = THRESHOLD, broadcast_lines: int = BROADCAST_LINES, chunk: int = CHUNK) -> DataFrame:
     """(h1, h2, n_links, n_earlier) of distinct lines with links: lines within threshold edits, and those of
-    them whose first occurrence is earlier."""
+    them whose first occurrence is earlier. Pairs are verified where they meet and leave it as counts."""
     probes, entries = meeting(distinct, threshold, broadcast_lines)
     wanted = probes.select(F.col("y").alias("h1")).union(entries.select("x")).distinct()
     wanted = materialize(wanted, "meeting-lines")
     if wanted.count() <= broadcast_lines:
         wanted = F.broadcast(wanted)
     texts = distinct.where(F.col("line").isNotNull()).join(wanted, "h1", "left_semi")
-    texts = materialize(texts.withColumn("sketch", sketch("line")), "meeting-texts")
-    pairs = materialize(candidates(probes, entries, texts, threshold), "line-pairs")
-    side = lambda c: texts.select(F.col("h1").alias(c), F.struct("h1", "h2", "first").alias(f"{c}_key"), F.col("line").alias(f"{c}_line"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    longer = F.char_length("a_line") >= F.char_length("b_line")
-    both = both.where(F.abs(F.char_length("a_line") - F.char_length("b_line")) <= threshold).select(
-        "a_key", "b_key",
-        F.when(longer, F.col("a_line")).otherwise(F.col("b_line")).alias("long"),
-        F.when(longer, F.col("b_line")).otherwise(F.col("a_line")).alias("short"),
-    )
-    linked = both.where(banded_distance("long", "short", threshold) <= threshold).select("a_key", "b_key")
-    ways = linked.select(F.col("a_key").alias("k"), F.col("b_key").alias("o")).union(linked.select("b_key", "a_key"))
-    return ways.groupBy("k.h1", "k.h2").agg(
-        F.count(F.lit(1)).alias("n_links"), F.count_if(F.col("o.first") < F.col("k.first")).alias("n_earlier")
+    entry, probe = keys_of(F.col("line"), threshold)
+    texts = materialize(texts.withColumns({"sketch": sketch("line"), "entries": entry, "probes": probe}), "meeting-texts")
+    pairs = candidates(probes, entries, texts, threshold, chunk)
+    side = lambda k, o: F.struct(F.col(f"{k}_h1").alias("h1"), F.col(f"{k}_h2").alias("h2"), (F.col(f"{o}_first") < F.col(f"{k}_first")).alias("earlier"))
+    linked = F.when(banded_distance("y_line", "x_line", threshold) <= threshold, F.array(side("x", "y"), side("y", "x")))
+    return pairs.select(F.explode(linked).alias("k")).groupBy("k.h1", "k.h2").agg(
+        F.count(F.lit(1)).alias("n_links"), F.count_if("k.earlier").alias("n_earlier")
     )
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """One row per distinct id and text of docs: id_col, text_key, n_lines, n_exact, n_near, n_links, removed.
+    """One row per row of docs: id_col, text_key, copy, n_lines, n_exact, n_near, n_links, removed.
 
     Lines are what line feeds separate. A line is removed if an equal one stands earlier (by id, then line),
     or if one within `threshold` edits, whose first occurrence is earlier, is among all lines; both are
@@ -164,8 +182,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stay and count in n_lines only. removed: the numbers of removed lines from 0, comma-joined. n_links:
     distinct other lines within the threshold, summed over the document's first occurrences.
     Null texts are empty, with one blank line. text_key is a hash of the text: rows that share an id are
-    separate documents, in order of it; rows that are equal in both are one document. Null ids come before
-    all others. An empty table gives no rows.
+    separate documents, in order of it. Rows that are equal in both are numbered by copy, from 0: the first
+    is judged against all other documents, each line of a further one equals a line of the first. Null ids
+    come before all others. An empty table gives no rows.
     """
     if min_chars < 3 * (threshold + 1):
         raise ValueError("lines must have three code points for each segment")
@@ -181,29 +200,40 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     noted = F.when(exact | F.col("n_links").isNotNull(), F.struct("line_no", what.alias("what"), F.when(is_first, F.col("n_links")).alias("links")))
     per_doc = placed.groupBy("id", "text_key").agg(F.collect_set(noted).alias("noted"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    counts = docs.groupBy(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_key")).agg(F.max(F.size(F.split(text, "\n"))).cast("long").alias("n_lines"))
+    split = F.split(text, "\n")
+    solid = F.filter(F.transform(split, lambda x, i: F.when(F.trim(x) != "", i)), lambda i: i.isNotNull())
+    counts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_key"), F.size(split).alias("n"), F.array_join(solid, ",").alias("solid"))
+    counts = counts.groupBy("id", "text_key").agg(F.max("n").cast("long").alias("n_lines"), F.max("solid").alias("solid"), F.count(F.lit(1)).alias("copies"))
     per_doc = per_doc.withColumnsRenamed({"id": "_id", "text_key": "_key"})
     joined = counts.join(per_doc, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
     noted = F.coalesce("noted", F.array().cast(per_doc.schema["noted"].dataType))
     count = lambda kind: F.size(F.filter(noted, lambda x: x["what"] == kind)).cast("long")
     gone = F.transform(F.filter(noted, lambda x: x["what"].isNotNull()), lambda x: x["line_no"])
+    joined = joined.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    if_first = lambda a, b: F.when(F.col("copy") == 0, a).otherwise(b)
+    none, solid_lines = F.lit(0).cast("long"), F.when(F.col("solid") == "", 0).otherwise(F.size(F.split("solid", ","))).cast("long")
     return joined.select(
-        F.col("id").alias(id_col), "text_key", "n_lines", count("exact").alias("n_exact"), count("near").alias("n_near"),
-        F.aggregate(noted, F.lit(0).cast("long"), lambda s, x: s + F.coalesce(x["links"], F.lit(0))).alias("n_links"),
-        F.array_join(F.array_sort(gone), ",").alias("removed"),
+        F.col("id").alias(id_col), "text_key", "copy", "n_lines", if_first(count("exact"), solid_lines).alias("n_exact"), if_first(count("near"), none).alias("n_near"),
+        if_first(F.aggregate(noted, none, lambda s, x: s + F.coalesce(x["links"], F.lit(0))), none).alias("n_links"),
+        if_first(F.array_join(F.array_sort(gone), ","), F.col("solid")).alias("removed"),
     )
 
 
 def without_lines(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the lines taken out that line_dedup's result lists."""
-    key, mark, lost = (unused(docs, n) for n in ("_id", "_key", "_gone"))
-    gone = removed.where("removed <> ''").select(
-        F.col(id_col).alias(key), F.col("text_key").alias(mark), F.split("removed", ",").cast("array<int>").alias(lost)
+    """docs with the lines taken out that line_dedup's result lists. Of rows equal in id and text one, which the
+    order of partitions decides, is the first copy; docs is written once to number them."""
+    key, mark, lost, place, second = (unused(docs, n) for n in ("_id", "_key", "_gone", "_place", "_second"))
+    text_key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    docs = materialize(docs.withColumns({place: F.monotonically_increasing_id(), mark: text_key}), "numbered")
+    firsts = docs.groupBy(id_col, mark).agg(F.min(place).alias(place)).select(place, F.lit(0).cast("long").alias(second))
+    docs = docs.join(firsts, place, "left").withColumn(second, F.coalesce(second, F.lit(1)))
+    gone = removed.where("removed <> '' and copy <= 1").select(
+        F.col(id_col).alias(key), F.col("text_key").alias(f"{mark}_"), F.col("copy").alias(f"{second}_"), F.split("removed", ",").cast("array<int>").alias(lost)
     )
     none = F.array().cast("array<int>")
     kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains(F.coalesce(F.col(lost), none), i)), "\n")
-    same = docs[id_col].eqNullSafe(F.col(key)) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col(mark))
-    return docs.join(gone, same, "left").withColumn(text_col, kept).drop(key, mark, lost)
+    same = docs[id_col].eqNullSafe(F.col(key)) & (F.col(mark) == F.col(f"{mark}_")) & (F.col(second) == F.col(f"{second}_"))
+    return docs.join(gone, same, "left").withColumn(text_col, kept).drop(key, mark, f"{mark}_", second, f"{second}_", lost, place)
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
