@@ -63,25 +63,18 @@ def probe_keys(line: Column, threshold: int) -> list[Column]:
         for i in range(threshold + 1):
             at, size = _segment(i, threshold + 1, n)
             for shift in range(max(-i, less - (threshold - i)), min(i, less + (threshold - i)) + 1):
-                # a place before the line's start is no place (and would be counted from its end)
-                out.append(F.when(at + shift >= 1, F.xxhash64(F.lit(i), n, F.substring(line, at + shift, size))))
+                out.append(F.xxhash64(F.lit(i), n, F.substring(line, at + shift, size)))
     return out
 
 
-def keys_of(line: Column, threshold: int) -> tuple[Column, Column]:
-    """The keys under which a line is indexed, and those that it probes."""
-    return F.array_distinct(F.array(*index_keys(line, threshold))), F.array_distinct(F.array_compact(F.array(*probe_keys(line, threshold))))
-
-
 def meeting(distinct: DataFrame, threshold: int, broadcast_lines: int) -> tuple[DataFrame, DataFrame]:
     """(key, y) of probes and (key, x) of index entries that meet another line; semi-joins, so a key that
     many lines share gives a row for each line and never one for each pair."""
     compared = distinct.where(F.col("line").isNotNull())
-    entry, probe_ = keys_of(F.col("line"), threshold)
-    index = compared.select(F.col("h1").alias("x"), F.explode(entry).alias("key"))
-    probe = compared.select(F.col("h1").alias("y"), F.explode(probe_).alias("key"))
+    index = compared.select(F.col("h1").alias("x"), F.explode(F.array(*index_keys(F.col("line"), threshold))).alias("key"))
+    probe = compared.select(F.col("h1").alias("y"), F.explode(F.array(*probe_keys(F.col("line"), threshold))).alias("key"))
     other = index.hint("shuffle_hash")
-    probes = materialize(probe.join(other, (probe["key"] == other["key"]) & (probe["y"] != other["x"]), "left_semi"), "meeting-probes")
+    probes = materialize(probe.join(other, (probe["key"] == other["key"]) & (probe["y"] != other["x"]), "left_semi").distinct(), "meeting-probes")
     keys = materialize(probes.select("key").distinct(), "meeting-keys")
     if keys.count() <= broadcast_lines:
         keys = F.broadcast(keys)
@@ -163,7 +156,7 @@ def near_lines(distinct: DataFrame, threshold: int = THRESHOLD, broadcast_lines:
     if wanted.count() <= broadcast_lines:
         wanted = F.broadcast(wanted)
     texts = distinct.where(F.col("line").isNotNull()).join(wanted, "h1", "left_semi")
-    entry, probe = keys_of(F.col("line"), threshold)
+    entry, probe = F.array(*index_keys(F.col("line"), threshold)), F.array(*probe_keys(F.col("line"), threshold))
     texts = materialize(texts.withColumns({"sketch": sketch("line"), "entries": entry, "probes": probe}), "meeting-texts")
     pairs = candidates(probes, entries, texts, threshold, chunk)
     side = lambda k, o: F.struct(F.col(f"{k}_h1").alias("h1"), F.col(f"{k}_h2").alias("h2"), (F.col(f"{o}_first") < F.col(f"{k}_first")).alias("earlier"))
