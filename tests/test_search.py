@@ -1,10 +1,14 @@
 """Joins, neighbours, index and cascade against brute force, and hand-computed cases."""
 
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vicinal.operators import build, cascade, knn, metrics, range_join
+from vicinal import search
+from vicinal.operators import build, cascade, codes, knn, metrics, range_join
+from vicinal.sources.config import parse_config
 
 
 def table(spark, rows, key="id"):
@@ -95,6 +99,152 @@ def index(cloud, spark):
     return cascade.build_index(b, build.stride_seeds(b, 9), 4, 2, 10)
 
 
+def test_stages_only_see_what_is_left(cloud, index):
+    _, _, _, qs = cloud
+    search = cascade.prune(index, qs, 0.8)
+    left = {(r.query_id, r.cluster_id) for r in search.clusters.where("stage is null").collect()}
+    assert {(r.query_id, r.cluster_id) for r in search.cells.collect()} == left
+    assert {r.stage for r in search.clusters.collect()} >= {"prescreen", "slab", None}
+    assert len(left) < 25 * 9 / 2 and set(search.cells.columns) == {"query_id", "cluster_id", "cell_id", "n", "stage"}
+
+
+def test_index_survives_storage(cloud, spark, tmp_path):
+    x, q, b, qs = cloud
+    made = cascade.build_index(b, build.stride_seeds(b, 9), 4, 2, 10, with_codes=True)
+    path = str(tmp_path / "index")
+    cascade.write_index(made, path)
+    found = cascade.load_index(spark, path)
+    assert cascade.check_index(spark, path).count() == 0 and found.meta["k"] == 9
+    for options in (None, cascade.Options(code_filter="rows"), cascade.Options(code_filter="cells", alpha=1.0)):
+        assert pairs(cascade.range_search(found, qs, 0.8, options)) == brute(x, q, 0.8)
+    spark.read.parquet(f"{path}/index_meta").withColumn("schema_version", F.lit(1)).write.parquet(f"{path}/old")
+    spark.read.parquet(f"{path}/old").write.mode("overwrite").parquet(f"{path}/index_meta")
+    with pytest.raises(ValueError, match="version 1"):
+        cascade.load_index(spark, path)
+    with pytest.raises(ValueError):
+        cascade.range_search(cascade.build_index(b, build.stride_seeds(b, 2), 0), qs, 0.8, cascade.Options(code_filter="rows"))
+
+
+def test_large_clusters_in_parts(cloud, spark, monkeypatch):
+    x, q, b, qs = cloud
+    monkeypatch.setattr(build, "CLUSTER_ROWS", 40)
+    made = cascade.build_index(b, build.stride_seeds(b, 3), 2, 2, 10)
+    assert made.models.count() > 3 and made.cells.select("cluster_id", "cell_id").distinct().count() == made.cells.count()
+    assert pairs(cascade.range_search(made, qs, 0.8)) == brute(x, q, 0.8)
+
+
+def test_normalised_index(spark):
+    b = table(spark, [[3, 4], [0, 2], [1, 0]])
+    made = cascade.build_index(b, build.Centers(np.array([[0.6, 0.8], [1.0, 0.0]])), 0, 2, 2, normalize=True)
+    q = table(spark, [[0.6, 0.8], [1, 0]], "query_id")
+    assert pairs(cascade.range_search(made, q, 1e-6)) == {(0, 0), (1, 2)}
+
+
+def test_code_bounds_hold(spark):
+    r = np.random.default_rng(8)
+    x, q = r.normal(size=(3000, 48)), r.normal(size=(20, 48))
+    centers = build.Centers(x[:4].copy())
+    assigned = build.assign(table(spark, x), centers).withColumn("cell_id", F.lit(0))
+    found = codes.one_bit_codes(assigned, centers)
+    asked = build.assign(table(spark, q), centers, 4).select(F.col("id").alias("query_id"), F.col("vec").alias("qv"), "cluster_id")
+    d = ((q[:, None] - x[None]) ** 2).sum(axis=2)
+    widths = []
+    for extra in (False, True):
+        rows = codes.bounds(found, centers, asked, extra).collect()
+        assert len(rows) == 60000
+        assert sum(w.lb > d[w.query_id, w.id] + 1e-9 for w in rows) < 60 and sum(w.ub < d[w.query_id, w.id] - 1e-9 for w in rows) < 60
+        widths.append(np.mean([w.ub - w.lb for w in rows]))
+    assert widths[1] < widths[0] / 20
+
+
+def test_code_classifier_abstains(spark):
+    b = table(spark, [[0.0, 0, 0], [1.0, 0, 0]])
+    centers = build.Centers(np.array([[0.0, 0, 0], [1.0, 0, 0], [9.0, 0, 0]]))
+    found = codes.one_bit_codes(build.assign(b, centers).withColumn("cell_id", F.lit(0)), centers)
+    q = spark.createDataFrame([(0, [0.1, 0.0, 0.0]), (1, [float("nan"), 0.0, 0.0]), (2, [9.0, 0.0, 0.0]), (3, None)], "query_id long, vec array<double>")
+    got = {w.query_id: w.is_empty for w in codes.emptiness(found, centers, q, 0.04, 1).collect()}
+    assert got == {0: False, 1: False, 2: False, 3: False}
+    wide = {w.query_id: w.is_empty for w in codes.emptiness(found, centers, q, 0.04, 3).collect()}
+    assert wide == {0: False, 1: False, 2: True, 3: False}
+
+
+def test_pivot_join(cloud, monkeypatch):
+    x, q, b, qs = cloud
+    assert pairs(range_join.pivot_join(b, qs, 0.8, pivots=7, chunk=20)) == brute(x, q, 0.8)
+    monkeypatch.setattr(range_join, "BLOCK_BYTES", 10)
+    assert pairs(range_join.range_join(b, qs, 0.8)) == brute(x, q, 0.8)
+    assert range_join.pivot_join(b.limit(0), qs, 0.8).count() == 0 and range_join.pivot_join(b, qs.limit(0), 0.8).count() == 0
+
+
+@pytest.mark.parametrize("metric", knn.METRICS)
+def test_knn_by_metric(cloud, metric):
+    x, q, b, qs = cloud
+    d = ((q[:, None] - x[None]) ** 2).sum(axis=2)
+    dots = q @ x.T
+    score = {"l2_sq": d, "neg_l2_sq": -d, "dot": dots, "neg_dot": -dots, "abs_dot": abs(dots), "neg_abs_dot": -abs(dots)}[metric]
+    for r in knn.knn(b, qs, 3, metric).collect():
+        assert np.isclose(r.dist_sq, np.sort(score[r.query_id])[r["rank"] - 1])
+    with pytest.raises(ValueError):
+        knn.knn(b, qs, 3, "cosine")
+
+
+def test_seeds_by_rank(spark):
+    ids = [*range(0, 4000, 3), 1 << 60]
+    b = spark.createDataFrame([(i, [float(k)]) for k, i in enumerate(ids)], "id long, vec array<double>")
+    step = len(ids) // 7
+    assert build.stride_seeds(b, 7).matrix[:, 0].tolist() == [step * i for i in range(7)]
+
+
+CONFIG = "cluster_num 9\nK 4\nmem_budget 1\nmode disk\ngorder_window 0\nslab_count 3\npca_rank 2\ntarget_cell_vecs 10\n"
+
+
+@pytest.mark.parametrize("more", ["", "K 9", "fast_path_enabled true\nfast_path_mode exact\nfast_path_nprobe_N 9", "fast_path_enabled true\nfast_path_nprobe_N 9\nslow_path_rbq_prefilter_enabled true", "data_hnsw_enabled true", "unit_normalize_prebuild true\npartition_objective anisotropic\neta 2"])
+def test_search_by_configuration(cloud, spark, tmp_path, more):
+    x, q, b, qs = cloud
+    text = "\n".join([*(w for w in CONFIG.splitlines() if w.split()[0] not in {m.split()[0] for m in more.splitlines()}), more])
+    config = parse_config(text)
+    if config["unit_normalize_prebuild"]:
+        unit = lambda v: v / np.linalg.norm(v, axis=1)[:, None]
+        x, q = unit(x), unit(q)
+        qs = table(spark, q, "query_id")
+    index = search.build_from(config, b, str(tmp_path / "index"))
+    r_sq = 0.02 if config["unit_normalize_prebuild"] else 0.8
+    want = brute(x, q, r_sq)
+    counts = [sum(int(i == k) for k, _ in want) for i in range(len(q))]
+    truth = {"radius_squared": r_sq, "n_queries": len(q), "total_in_range": sum(counts), "per_query_counts": counts, "per_query_count_stats": {"min": min(counts), "median": float(np.median(counts)), "max": max(counts), "zero_hit_queries": counts.count(0)}}
+    (tmp_path / "gt.json").write_text(json.dumps(truth))
+    found = search.search_by_truth(spark, config, index, qs, str(tmp_path / "gt.json"))
+    figures = found.figures.first()
+    assert pairs(found.hits) <= want and figures.hits == len(want) and figures.n_queries == 25
+    if config["K"] == 9 or "anisotropic" not in more:
+        assert figures.recall > 0.9
+    if more.startswith("K"):
+        assert pairs(found.hits) == want
+    if "fast" in more or "hnsw" in more:
+        assert 0 < figures.n_skipped <= counts.count(0) + figures.n_false_empty
+    assert {r.query_id: r.n_hits for r in found.trace.collect()} == {i: sum(k == i for k, _ in pairs(found.hits)) for i in range(25)}
+    truth["total_in_range"] += 1
+    (tmp_path / "bad.json").write_text(json.dumps(truth))
+    with pytest.raises(ValueError, match="total_in_range"):
+        search.search_by_truth(spark, config, index, qs, str(tmp_path / "bad.json"))
+
+
+def test_command_line(cloud, spark, tmp_path, capsys):
+    from vicinal import __main__
+
+    x, q, b, qs = cloud
+    at = lambda name: str(tmp_path / name)
+    b.write.parquet(at("base"))
+    qs.write.parquet(at("queries"))
+    (tmp_path / "config").write_text(CONFIG.replace("K 4", "K 9"))
+    counts = range_join.count_per_query(qs, range_join.range_join(b, qs, 0.8)).orderBy("query_id")
+    (tmp_path / "gt.json").write_text(metrics.truth_json(counts, 0.8, "cloud", 3, 360).first()["json"])
+    __main__.main(["build", "--config", at("config"), "--index", at("index"), "--base", at("base")])
+    __main__.main(["search", "--config", at("config"), "--index", at("index"), "--queries", at("queries"), "--gt", at("gt.json"), "--dump-range-hits", at("hits")])
+    assert json.loads(capsys.readouterr().out)["recall"] == 1.0
+    assert spark.read.csv(at("hits"), header=True).count() == len(brute(x, q, 0.8))
+
+
 @pytest.mark.parametrize("stages", [cascade.STAGES, ("prescreen",), ("slab", "cell"), ()])
 def test_cascade_is_exact(cloud, index, stages):
     x, q, _, qs = cloud
@@ -103,7 +253,7 @@ def test_cascade_is_exact(cloud, index, stages):
 
 def test_cascade_accounts(cloud, index):
     _, _, _, qs = cloud
-    counters = cascade.prune_counters(cascade.decisions(index, qs, 0.8))
+    counters = cascade.prune_counters(cascade.decisions(cascade.prune(index, qs, 0.8)))
     assert metrics.partition_errors(counters).count() == 0
     r = counters.first()
     assert r.vecs == 25 * 360 and 0 < r.vecs_read < r.vecs
@@ -169,8 +319,10 @@ def test_anisotropic_with_eta_one_is_the_mean(spark):
         build.anisotropic_kmeans(table(spark, x * 3), 3, 2.0)
 
 
-def test_two_choice_balances(spark):
+@pytest.mark.parametrize("held", [2, 1000])
+def test_two_choice_balances(spark, monkeypatch, held):
     x = [[0.49]] * 10
+    monkeypatch.setattr(build, "HELD", held)
     got = [r.cluster_id for r in build.two_choice(table(spark, x), build.Centers(np.array([[0.0], [1.0]]))).orderBy("id").collect()]
     sizes, want = [0, 0], []
     for _ in x:

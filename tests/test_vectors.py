@@ -1,11 +1,12 @@
 """Vector functions and kernels against NumPy."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from vicinal.functions import vectors as V
-from vicinal.operators import codes, kernels
+from vicinal.operators import build, codes, kernels
 
 
 @pytest.fixture(scope="module")
@@ -68,16 +69,18 @@ def test_nearest_breaks_ties_by_id(m):
         assert c[i].tolist() == best and np.allclose(d[i], full[i, best])
 
 
-def test_rotation_keeps_lengths_and_bounds_mostly_hold():
+def test_rotation_keeps_lengths_and_codes_survive_packing():
     r = np.random.default_rng(2)
-    x, q = r.normal(size=(400, 60)), r.normal(size=60)
+    x = r.normal(size=(400, 60))
     assert np.allclose(np.linalg.norm(codes.rotate(x), axis=1), np.linalg.norm(x, axis=1))
-    d = ((x - q) ** 2).sum(axis=1)
-    width = []
-    for extra in (0, 7):
-        est, lb, ub = codes.estimate(q, np.zeros(60), codes.encode(x, np.zeros(60), extra))
-        assert (lb > d).mean() < 0.05 and (ub < d).mean() < 0.05
-        width.append((ub - lb).mean())
-    assert width[1] < width[0] / 20
+    one, more = codes.encode(x, np.zeros(60)), codes.encode(x, np.zeros(60), codes.EXTRA_BITS)
+    bits = codes.unpack(pa.chunked_array([pa.array([b.tobytes() for b in one["levels"]], pa.binary())]), False)
+    assert np.array_equal(bits, np.where(codes.rotate(x) >= 0, 1.0, -1.0))
+    assert np.array_equal(codes.unpack(pa.chunked_array([pa.array(codes.pack(more["levels"]), pa.binary())]), True), more["levels"])
     zero = codes.encode(np.zeros((1, 60)), np.zeros(60))
     assert zero["f_add"][0] == zero["f_rescale"][0] == zero["f_error"][0] == 0
+
+
+def test_quantised_rows():
+    whole, scale = build.quantised(np.array([[2.0, -1.0, 0.5, 0.0], [0.0, 0.0, 0.0, 0.0]]))
+    assert whole.tolist() == [[127, -64, 32, 0], [0, 0, 0, 0]] and scale.tolist() == [2 / 127, 0]

@@ -1,22 +1,26 @@
 """Registered queries of the engine, each with SQL that gives the same rows where SQL can.
 
-All read the whole embeddings table. Searches take the rows whose id is divisible by 50 as queries. Pruning
-works on the first LOW dimensions, where it has power; full width goes through the matrix product.
+All read the whole embeddings table at full width (one query, named so, searches a few dimensions). Searches take
+the rows whose id is divisible by 50 as queries. Queries of an index share a stored one, built once a session.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import struct
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vicinal import search
 from vicinal.functions import vectors as V
 from vicinal.operators import build, cascade, codes, knn, metrics, range_join
+from vicinal.sources import config
 
-LOW, R_FULL, R_LOW, K, CENTERS, SLABS, NPROBE, ETA = 4, 1.5, 0.01, 5, 16, 4, 3, 4.0
+DIM, R_FULL, R_NEAR, K, CENTERS, SLABS, NPROBE, ETA = 64, 1.5, 1.25, 5, 16, 4, 3, 4.0
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -27,17 +31,42 @@ def embeddings(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), V.as_double("embedding").alias("vec"), F.col("label").cast("int").alias("label"))
 
 
-def low(df: DataFrame, dims: int = LOW) -> DataFrame:
-    return df.withColumn("vec", F.slice("vec", 1, dims))
-
-
 def as_queries(base: DataFrame) -> DataFrame:
     return base.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vec")
 
 
-def low_index(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, cascade.Index]:
-    base = low(embeddings(spark, sf))
-    return base, as_queries(base), cascade.build_index(base, build.stride_seeds(base, CENTERS), SLABS, LOW, 24)
+_stored: dict[tuple[str, str], str] = {}
+
+
+def stored_index(spark: SparkSession, sf: str) -> str:
+    """The folder of the index over the embeddings, built and written once a session."""
+    from vicinal.plans.shared import new_path
+
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _stored:
+        base = embeddings(spark, sf)
+        path = new_path(spark, "index")
+        cascade.write_index(cascade.build_index(base, build.stride_seeds(base, CENTERS), SLABS, 32, 24, with_codes=True), path)
+        _stored[key] = path
+    return _stored[key]
+
+
+def indexed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, cascade.Index]:
+    base = embeddings(spark, sf)
+    return base, as_queries(base), cascade.load_index(spark, stored_index(spark, sf))
+
+
+def put_file(spark: SparkSession, name: str, data: bytes) -> str:
+    """Writes a small file by Hadoop's file system, so that it is where tasks look; returns its path."""
+    from vicinal.plans.shared import new_path
+
+    path = new_path(spark, name)
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where)
+    out.write(data)
+    out.close()
+    return path.removeprefix("file://").removeprefix("file:")
 
 
 def integers(df: DataFrame, signed: bool) -> DataFrame:
@@ -73,7 +102,7 @@ def with_tables(dims: int = 64, k: int = CENTERS) -> str:
     c AS (SELECT CAST(rk // step AS INTEGER) AS cluster_id, v FROM ranked WHERE rk % step = 0 AND rk < step * {k})"""
 
 
-def with_assigned(dims: int = LOW, m: int = 1) -> str:
+def with_assigned(dims: int = DIM, m: int = 1) -> str:
     """a: (id, v, cluster_id, d2, rank) of the m nearest centers."""
     return (
         with_tables(dims)
@@ -129,7 +158,7 @@ def q_range_join(spark, sf):
 
 @query("range_join_small_dim", with_hits(8, 0.1) + "SELECT query_id, base_id, round(dist_sq, 6) AS dist_sq FROM hits")
 def q_range_join_small(spark, sf):
-    base = low(embeddings(spark, sf), 8)
+    base = embeddings(spark, sf).withColumn("vec", F.slice("vec", 1, 8))
     return rounded(range_join.range_join(base, as_queries(base), 0.1), "dist_sq")
 
 
@@ -159,15 +188,34 @@ def q_verify(spark, sf):
     return range_join.verify(range_join.range_join(base, queries, R_FULL), base, queries)
 
 
-@query("truth_cross_check", "SELECT CAST(NULL AS VARCHAR) AS what, 0.0::DOUBLE AS stated, 0.0::DOUBLE AS found WHERE false")
+def truth_file(spark, sf, shift: int = 0) -> str:
+    """A truth file from a join by SQL functions alone; its stated total is off by shift."""
+    base = embeddings(spark, sf)
+    pairs = base.join(as_queries(base).select("query_id", F.col("vec").alias("qv"))).where(V.l2_sq("vec", "qv") <= R_FULL)
+    counts = range_join.count_per_query(as_queries(base), pairs.select("query_id", F.col("id").alias("base_id"))).orderBy("query_id")
+    text = metrics.truth_json(counts, R_FULL, "embeddings", DIM, base.count()).first()["json"]
+    found = json.loads(text)
+    found["total_in_range"] += shift
+    return put_file(spark, "truth", json.dumps(found).encode())
+
+
+@query("truth_cross_check", with_hits(64, R_FULL) + "SELECT 'total_in_range' AS what, CAST(count(*) + 3 AS DOUBLE) AS stated, CAST(count(*) AS DOUBLE) AS found FROM hits")
 def q_truth_check(spark, sf):
-    counts = counts_of(spark, sf)
-    return metrics.check_truth(counts, metrics.count_stats(counts))
+    """A truth file whose total is wrong, against the counts of the matrix product: the total alone is named."""
+    return metrics.check_truth(counts_of(spark, sf), config.read_truth(spark, truth_file(spark, sf, 3))[0])
 
 
-@query("truth_json", None)
+@query("truth_file_counts", with_hits(64, R_FULL) + "SELECT CAST(row_number() OVER (ORDER BY query_id) - 1 AS BIGINT) AS query_id, n_hits FROM counts")
+def q_truth_counts(spark, sf):
+    """Counts by the number of the query in the file."""
+    return config.read_truth(spark, truth_file(spark, sf))[1]
+
+
+@query("truth_json", with_hits(64, R_FULL) + "SELECT 'embeddings' AS dataset, count(*) AS n_queries, CAST(sum(n_hits) AS BIGINT) AS total_in_range, median(n_hits) AS median_hits, list(n_hits ORDER BY query_id) AS per_query_counts FROM counts")
 def q_truth_json(spark, sf):
-    return metrics.truth_json(counts_of(spark, sf), R_FULL, "embeddings", 64, embeddings(spark, sf).count())
+    made = metrics.truth_json(counts_of(spark, sf), R_FULL, "embeddings", DIM, embeddings(spark, sf).count())
+    kind = "dataset string, n_queries long, total_in_range long, per_query_count_stats struct<median: double>, per_query_counts array<long>"
+    return made.select(F.from_json("json", kind).alias("j")).select("j.dataset", "j.n_queries", "j.total_in_range", F.col("j.per_query_count_stats.median").alias("median_hits"), "j.per_query_counts")
 
 
 @query("metric_rows", with_hits(64, R_FULL) + f", s AS ({STATS_SQL}) SELECT metric, value FROM (UNPIVOT (SELECT total_in_range::DOUBLE AS total_in_range, min_hits::DOUBLE AS min_hits, median_hits::DOUBLE AS median_hits, max_hits::DOUBLE AS max_hits, zero_hit_queries::DOUBLE AS zero_hit_queries, n_queries::DOUBLE AS n_queries FROM s) ON COLUMNS(*) INTO NAME metric VALUE value)")
@@ -227,65 +275,105 @@ def q_radius(spark, sf):
     return metrics.radius_at(knn.kth_distance(knn.knn(base, queries, K), base, queries, K), 50)
 
 
-@query("self_join_strict", with_tables(LOW) + f"SELECT x.id AS a, y.id AS b, round({l2('x.v', 'y.v')}, 6) AS dist_sq FROM b x, b y WHERE x.id > y.id AND {l2('x.v', 'y.v')} < 0.002")
+@query("self_join_strict", with_tables() + f"SELECT x.id AS a, y.id AS b, round({l2('x.v', 'y.v')}, 6) AS dist_sq FROM b x, b y WHERE x.id > y.id AND {l2('x.v', 'y.v')} < {R_NEAR}")
 def q_self_join(spark, sf):
-    return rounded(range_join.self_join(low(embeddings(spark, sf)), 0.002), "dist_sq")
+    return rounded(range_join.self_join(embeddings(spark, sf), R_NEAR), "dist_sq")
 
 
 # ---- build
 
 
-@query("stride_seeds", with_tables(LOW) + "SELECT cluster_id, list_transform(v, lambda x: round(x, 6)) AS vec FROM c")
+@query("stride_seeds", with_tables() + "SELECT cluster_id, list_transform(v, lambda x: round(x, 6)) AS vec FROM c")
 def q_seeds(spark, sf):
-    base = low(embeddings(spark, sf))
+    base = embeddings(spark, sf)
     return build.stride_seeds(base, CENTERS).table(spark).select("cluster_id", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
 
 
 @query("nearest_centroid", with_assigned() + "SELECT id, cluster_id, round(d2, 6) AS dist_sq FROM a")
 def q_nearest(spark, sf):
-    base = low(embeddings(spark, sf))
+    base = embeddings(spark, sf)
     return rounded(build.assign(base, build.stride_seeds(base, CENTERS)).select("id", "cluster_id", "dist_sq"), "dist_sq")
 
 
 @query("two_nn_assign", with_assigned(m=2) + "SELECT id, cluster_id, round(d2, 6) AS dist_sq, CAST(rank AS INTEGER) AS rank FROM a")
 def q_two_nn(spark, sf):
-    base = low(embeddings(spark, sf))
+    base = embeddings(spark, sf)
     return rounded(build.assign(base, build.stride_seeds(base, CENTERS), 2).select("id", "cluster_id", "dist_sq", "rank"), "dist_sq")
 
 
-@query("two_choice_assign")
+WIDE = """, w AS (SELECT id, max(cluster_id) FILTER (rank = 1) AS c1, max(cluster_id) FILTER (rank = 2) AS c2, max(d2) FILTER (rank = 1) AS d1, max(d2) FILTER (rank = 2) AS dd FROM a GROUP BY id)"""
+
+
+def fold_sql(order: str, pick: str) -> str:
+    """Rows one after the other, with bucket sizes: s.sizes[cluster + 1] before each row."""
+    return f"""WITH RECURSIVE o AS ({with_assigned(m=2)}{WIDE} SELECT *, row_number() OVER (ORDER BY {order}) AS n FROM w),
+    s(n, sizes, id, cluster_id) AS (SELECT 0::BIGINT, list_transform(range({CENTERS}), lambda x: 0::BIGINT), NULL::BIGINT, NULL::INTEGER
+      UNION ALL SELECT o.n, list_transform(sizes, lambda x, i: x + CASE WHEN i = 1 + ({pick}) THEN 1 ELSE 0 END), o.id, CAST({pick} AS INTEGER) FROM s JOIN o ON o.n = s.n + 1)
+    SELECT id, cluster_id FROM s WHERE id IS NOT NULL"""
+
+
+@query("two_choice_assign", fold_sql("id", f"CASE WHEN o.dd < {build.TWO_CHOICE} * o.d1 AND sizes[o.c2 + 1] < sizes[o.c1 + 1] THEN o.c2 ELSE o.c1 END"))
 def q_two_choice(spark, sf):
-    base = low(embeddings(spark, sf))
+    base = embeddings(spark, sf)
     return build.two_choice(base, build.stride_seeds(base, CENTERS))
 
 
-@query("lloyd_step", with_assigned() + f", m AS (SELECT cluster_id, d AS dim, avg(v[d]) AS x FROM a, range(1, {LOW + 1}) t(d) GROUP BY cluster_id, d) SELECT c.cluster_id, list(round(m.x, 6) ORDER BY m.dim) AS vec FROM c JOIN m USING (cluster_id) GROUP BY c.cluster_id")
+@query("balanced_assign", fold_sql("dd - d1, id", "CASE WHEN sizes[o.c2 + 1] < sizes[o.c1 + 1] THEN o.c2 ELSE o.c1 END"))
+def q_balanced(spark, sf):
+    base = embeddings(spark, sf)
+    return build.balanced(base, build.stride_seeds(base, CENTERS))
+
+
+@query("lloyd_step", with_assigned() + f", m AS (SELECT cluster_id, d AS dim, avg(v[d]) AS x FROM a, range(1, {DIM + 1}) t(d) GROUP BY cluster_id, d) SELECT c.cluster_id, list(round(m.x, 6) ORDER BY m.dim) AS vec FROM c JOIN m USING (cluster_id) GROUP BY c.cluster_id")
 def q_lloyd(spark, sf):
-    base = low(embeddings(spark, sf))
+    base = embeddings(spark, sf)
     after, _ = build.lloyd_step(base, build.stride_seeds(base, CENTERS))
     return after.table(spark).select("cluster_id", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
 
 
 @query("clustering_loss", with_assigned() + "SELECT round(sum(d2), 6) AS loss FROM a")
 def q_loss(spark, sf):
-    base = low(embeddings(spark, sf))
+    base = embeddings(spark, sf)
     return spark.createDataFrame([(round(build.lloyd_step(base, build.stride_seeds(base, CENTERS))[1], 6),)], "loss double")
 
 
-@query("kmeans_train")
+STEP = "SELECT cluster_id, list(x ORDER BY d) AS v FROM (SELECT cluster_id, d, avg(v[d]) AS x FROM {a}, range(1, {n}) t(d) GROUP BY cluster_id, d) GROUP BY cluster_id"
+
+
+def step(a: str) -> str:
+    return STEP.format(a=a, n=DIM + 1)
+
+
+@query("kmeans_train", with_assigned() + f", c2 AS ({step('a')}), a2 AS (SELECT id, v, cluster_id FROM (SELECT b.id, b.v, c2.cluster_id, row_number() OVER (PARTITION BY b.id ORDER BY {l2('b.v', 'c2.v')}, c2.cluster_id) AS rank FROM b, c2) WHERE rank = 1), c3 AS ({step('a2')}) SELECT cluster_id, list_transform(v, lambda x: round(x, 6)) AS vec FROM c3")
 def q_kmeans(spark, sf):
-    base = low(embeddings(spark, sf))
-    return build.kmeans(base, CENTERS).table(spark)
+    """Two iterations over a sample that takes in all rows."""
+    base = embeddings(spark, sf)
+    found = build.kmeans(base, CENTERS, iterations=2, per_center=base.count())
+    return found.table(spark).select("cluster_id", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
 
 
-@query("anisotropic_update")
+@query("anisotropic_update", with_tables() + "SELECT cluster_id, true AS solved FROM c")
 def q_anisotropic(spark, sf):
+    """Whether each new center solves (n I + (eta - 1) sum x x' / (|x|^2 + 1e-12)) c = eta sum x over the rows that had
+    the least loss, by SQL functions."""
     base = embeddings(spark, sf)
-    return build.anisotropic_step(base, build.stride_seeds(base, CENTERS), ETA)[0].table(spark)
+    old = build.stride_seeds(base, CENTERS)
+    new = build.anisotropic_step(base, old, ETA)[0].table(spark).select("cluster_id", F.col("vec").alias("c"))
+    olds = old.table(spark).select("cluster_id", F.col("vec").alias("cv"))
+    loss = V.anisotropic_loss("vec", "cv", ETA)
+    best = base.join(F.broadcast(olds)).groupBy("id").agg(F.min(F.struct(loss, "cluster_id")).alias("b")).select("id", "b.cluster_id")
+    rows = base.join(best, "id").join(new, "cluster_id")
+    along = V.dot("vec", "c") / (V.norm_sq("vec") + 1e-12)
+    sums = rows.groupBy("cluster_id").agg(
+        F.count(F.lit(1)).alias("n"), *(F.sum(F.col("vec")[i] * along).alias(f"a{i}") for i in range(DIM)), *(F.sum(F.col("vec")[i]).alias(f"x{i}") for i in range(DIM))
+    )
+    both = sums.join(new, "cluster_id")
+    miss = F.greatest(*[F.abs(F.col("n") * F.col("c")[i] + (ETA - 1) * F.col(f"a{i}") - ETA * F.col(f"x{i}")) for i in range(DIM)])
+    return both.select("cluster_id", (miss < 1e-6).alias("solved"))
 
 
 def assigned_of(spark, sf):
-    base = low(embeddings(spark, sf))
+    base = embeddings(spark, sf)
     centers = build.stride_seeds(base, CENTERS)
     return build.assign(base, centers), centers
 
@@ -300,9 +388,9 @@ def q_offsets(spark, sf):
     return build.offsets(build.cluster_stats(assigned_of(spark, sf)[0]).select("cluster_id", "n"), "cluster_id", "n")
 
 
-@query("centroid_knn", with_tables(LOW) + NEIGHBOURS + "SELECT cluster_id, neighbour_id, round(dist_sq, 6) AS dist_sq, CAST(slot AS INTEGER) AS slot FROM cn")
+@query("centroid_knn", with_tables() + NEIGHBOURS + "SELECT cluster_id, neighbour_id, round(dist_sq, 6) AS dist_sq, CAST(slot AS INTEGER) AS slot FROM cn")
 def q_centroid_knn(spark, sf):
-    centers = build.stride_seeds(low(embeddings(spark, sf)), CENTERS)
+    centers = build.stride_seeds(embeddings(spark, sf), CENTERS)
     return rounded(build.center_neighbours(centers, SLABS, spark), "dist_sq")
 
 
@@ -318,7 +406,7 @@ def q_slab_rank(spark, sf):
     return build.slab_order(build.slabs(assigned, centers, SLABS)).select("cluster_id", "slot", "tightness")
 
 
-@query("seeded_sample")
+@query("seeded_sample", f"SELECT vec_id AS id FROM embeddings ORDER BY md5(concat('{build.SEED}:', vec_id)), vec_id LIMIT 80")
 def q_sample(spark, sf):
     return build.sample(embeddings(spark, sf), 8).select("id")
 
@@ -332,131 +420,245 @@ def q_kd_step(spark, sf):
     return rounded(j.groupBy("cluster_id", "cut").agg(F.count_if(x <= F.col("cut")).alias("n_left"), F.count_if(x > F.col("cut")).alias("n_right")), "cut")
 
 
-@query("cluster_pair_prune", with_assigned() + f", s AS (SELECT a.cluster_id, any_value(c.v) AS v, max(sqrt(d2)) AS radius FROM a JOIN c USING (cluster_id) GROUP BY a.cluster_id) SELECT x.cluster_id AS a, y.cluster_id AS b, round(sqrt({l2('x.v', 'y.v')}), 6) AS dist, NOT (sqrt({l2('x.v', 'y.v')}) >= x.radius + y.radius + 0.01 OR sqrt({l2('x.v', 'y.v')}) / 2 >= x.radius + 0.01) AS kept FROM s x, s y WHERE x.cluster_id < y.cluster_id")
+@query("cluster_pair_prune", with_assigned() + f", s AS (SELECT a.cluster_id, any_value(c.v) AS v, max(sqrt(d2)) AS radius FROM a JOIN c USING (cluster_id) GROUP BY a.cluster_id) SELECT x.cluster_id AS a, y.cluster_id AS b, round(sqrt({l2('x.v', 'y.v')}), 6) AS dist, NOT (sqrt({l2('x.v', 'y.v')}) >= x.radius + y.radius - 1.2 OR sqrt({l2('x.v', 'y.v')}) / 2 >= x.radius - 1.2) AS kept FROM s x, s y WHERE x.cluster_id < y.cluster_id")
 def q_pair_prune(spark, sf):
     assigned, centers = assigned_of(spark, sf)
-    return range_join.cluster_pairs(build.cluster_stats(assigned).join(centers.table(spark), "cluster_id"), 0.01)
+    return range_join.cluster_pairs(build.cluster_stats(assigned).join(centers.table(spark), "cluster_id"), -1.2)
 
 
-@query("assignment_check", "SELECT count(*) AS checked, CAST(0 AS BIGINT) AS mismatched FROM embeddings WHERE vec_id % 7 = 0")
+@query("assignment_check", "SELECT count(*) AS checked, count(*) FILTER (vec_id % 11 = 0) AS mismatched FROM embeddings WHERE vec_id % 7 = 0")
 def q_assignment_check(spark, sf):
-    return metrics.assignment_errors(*assigned_of(spark, sf), 7)
+    """An assignment that gives every eleventh row its second center."""
+    base = embeddings(spark, sf)
+    centers = build.stride_seeds(base, CENTERS)
+    assigned = build.assign(base, centers, 2).where((F.col("id") % 11 == 0) == (F.col("rank") == 2))
+    return metrics.assignment_errors(assigned, centers, 7)
 
 
 # ---- cascade
 
+EPS = R_FULL**0.5
+#: dec: (query_id, cluster_id, n, d2, pre_kept, stage) after prescreen and slab, with pruning radius {eps}.
+STAGED = (
+    NEIGHBOURS + SLAB_SQL + f""", st AS (SELECT cluster_id, count(*) AS n, max(sqrt(d2)) AS radius FROM a GROUP BY cluster_id),
+    qc AS (SELECT q.query_id, q.v, c.cluster_id, {l2("q.v", "c.v")} AS d2, row_number() OVER (PARTITION BY q.query_id ORDER BY {l2("q.v", "c.v")}, c.cluster_id) AS rank FROM q, c),
+    qp AS (SELECT q.query_id, cn.cluster_id, cn.slot, ({dot("q.v", "list_transform(list_zip(cn.yv, cn.xv), lambda x: x[1] - x[2])")} - {dot("cn.xv", "list_transform(list_zip(cn.yv, cn.xv), lambda x: x[1] - x[2])")}) / sqrt(cn.dist_sq) AS pos FROM q, cn),
+    lb AS (SELECT qp.query_id, qp.cluster_id, max(greatest(0.0, sl.lo - pos, pos - sl.hi)) AS slab_lb FROM qp JOIN sl USING (cluster_id, slot) GROUP BY qp.query_id, qp.cluster_id),
+    dec AS (SELECT qc.query_id, qc.v, qc.cluster_id, st.n, qc.rank, qc.d2, CASE WHEN qc.d2 > power({{eps}} + radius, 2) THEN 'prescreen' WHEN slab_lb > {{eps}} THEN 'slab' END AS stage
+      FROM qc JOIN st USING (cluster_id) JOIN lb USING (query_id, cluster_id))"""
+)
+#: Pruning that SQL can follow, at a radius that rejects some clusters.
+COARSE, R_COARSE = ("prescreen", "slab"), 0.2
+
+
+def staged(r_sq: float = R_COARSE, alpha: float = 1.0) -> str:
+    return with_assigned() + STAGED.format(eps=r_sq**0.5 / alpha)
 
-@query("prescreen", with_assigned() + f", s AS (SELECT cluster_id, max(sqrt(d2)) AS radius FROM a GROUP BY cluster_id) SELECT q.query_id, s.cluster_id, {l2('q.v', 'c.v')} <= power({R_LOW ** 0.5} + radius, 2) AS kept FROM q, c JOIN s USING (cluster_id)")
+
+@query("prescreen", staged() + "SELECT query_id, cluster_id, stage IS NULL OR stage <> 'prescreen' AS kept FROM dec")
 def q_prescreen(spark, sf):
-    _, queries, index = low_index(spark, sf)
-    found = cascade.prescreen(cascade.candidates(index, queries, cascade.Options()), index.stats, R_LOW**0.5)
+    _, queries, index = indexed(spark, sf)
+    found = cascade.prescreen(cascade.candidates(index, queries, cascade.Options()), index.stats, R_COARSE**0.5)
     return found.select("query_id", "cluster_id", F.col("pre_kept").alias("kept"))
 
 
-@query("slab_lower_bound", with_assigned() + NEIGHBOURS + SLAB_SQL + f", qp AS (SELECT q.query_id, cn.cluster_id, cn.slot, ({dot('q.v', 'list_transform(list_zip(cn.yv, cn.xv), lambda x: x[1] - x[2])')} - {dot('cn.xv', 'list_transform(list_zip(cn.yv, cn.xv), lambda x: x[1] - x[2])')}) / sqrt(cn.dist_sq) AS pos FROM q, cn) SELECT qp.query_id, qp.cluster_id, round(max(greatest(0.0, sl.lo - pos, pos - sl.hi)), 6) AS slab_lb FROM qp JOIN sl USING (cluster_id, slot) GROUP BY qp.query_id, qp.cluster_id")
+@query("slab_lower_bound", staged() + "SELECT query_id, cluster_id, round(slab_lb, 6) AS slab_lb FROM lb")
 def q_slab_lb(spark, sf):
-    _, queries, index = low_index(spark, sf)
+    _, queries, index = indexed(spark, sf)
     return rounded(cascade.slab_bounds(cascade.candidates(index, queries, cascade.Options()), index), "slab_lb")
 
 
-@query("cascade_exact", with_hits(LOW, R_LOW) + "SELECT query_id, base_id, round(dist_sq, 6) AS dist_sq FROM hits")
+HITS = "SELECT query_id, base_id, round(dist_sq, 6) AS dist_sq FROM hits"
+
+
+@query("cascade_exact", with_hits(DIM, R_FULL) + HITS)
 def q_cascade(spark, sf):
-    _, queries, index = low_index(spark, sf)
-    return rounded(cascade.range_search(index, queries, R_LOW), "dist_sq")
+    _, queries, index = indexed(spark, sf)
+    return rounded(cascade.range_search(index, queries, R_FULL), "dist_sq")
 
 
-@query("cascade_without_cells", with_hits(LOW, R_LOW) + "SELECT query_id, base_id, round(dist_sq, 6) AS dist_sq FROM hits")
+@query("cascade_without_cells", with_hits(DIM, R_FULL) + HITS)
 def q_cascade_toggled(spark, sf):
-    _, queries, index = low_index(spark, sf)
-    return rounded(cascade.range_search(index, queries, R_LOW, cascade.Options(stages=("prescreen", "slab"))), "dist_sq")
+    _, queries, index = indexed(spark, sf)
+    return rounded(cascade.range_search(index, queries, R_FULL, cascade.Options(stages=COARSE)), "dist_sq")
+
+
+@query("cascade_code_rows", with_hits(DIM, R_FULL) + HITS)
+def q_cascade_codes(spark, sf):
+    """Vectors are only read for rows that the one-bit bounds keep."""
+    _, queries, index = indexed(spark, sf)
+    return rounded(cascade.range_search(index, queries, R_FULL, cascade.Options(code_filter="rows")), "dist_sq")
+
 
+@query("cascade_code_cells", with_hits(DIM, R_FULL) + HITS)
+def q_cascade_code_cells(spark, sf):
+    """Cells are only read if a one-bit bound of a member keeps them."""
+    _, queries, index = indexed(spark, sf)
+    return rounded(cascade.range_search(index, queries, R_FULL, cascade.Options(code_filter="cells")), "dist_sq")
 
-@query("prune_counters")
+
+def bytes_index(spark, sf, signed: bool) -> tuple[DataFrame, cascade.Index]:
+    base = integers(embeddings(spark, sf), signed).withColumn("vec", V.as_double("vec"))
+    return as_queries(base), cascade.build_index(base, build.stride_seeds(base, CENTERS), SLABS, 32, 24)
+
+
+@query("prune_counters", staged() + "SELECT CAST(sum(n) AS BIGINT) AS vecs, CAST(coalesce(sum(n) FILTER (stage = 'prescreen'), 0) AS BIGINT) AS vecs_prescreen, CAST(coalesce(sum(n) FILTER (stage = 'slab'), 0) AS BIGINT) AS vecs_slab, CAST(0 AS BIGINT) AS vecs_pca, CAST(0 AS BIGINT) AS vecs_cell, CAST(coalesce(sum(n) FILTER (stage IS NULL), 0) AS BIGINT) AS vecs_read FROM dec")
 def q_counters(spark, sf):
-    _, queries, index = low_index(spark, sf)
-    return cascade.prune_counters(cascade.decisions(index, queries, R_LOW))
+    return coarse_counters(spark, sf)
+
+
+def coarse_counters(spark, sf) -> DataFrame:
+    _, queries, index = indexed(spark, sf)
+    counters = cascade.prune_counters(cascade.decisions(cascade.prune(index, queries, R_COARSE, cascade.Options(stages=COARSE))))
+    return counters.select(*[c for c in counters.columns if c.startswith("vecs")])
 
 
-@query("partition_identity", "SELECT CAST(0 AS BIGINT) AS vecs WHERE false")
+@query("prune_counters_all_stages")
+def q_counters_all(spark, sf):
+    _, queries, index = indexed(spark, sf)
+    return cascade.prune_counters(cascade.decisions(cascade.prune(index, queries, R_COARSE)))
+
+
+@query("later_stages_see_less", "SELECT true AS less")
+def q_less(spark, sf):
+    """Whether cells were only bounded in clusters that earlier stages kept, and only those kept cells were read."""
+    _, queries, index = indexed(spark, sf)
+    search = cascade.prune(index, queries, R_COARSE)
+    kept = search.clusters.where("stage is null").select("query_id", "cluster_id")
+    strays = search.cells.join(kept, ["query_id", "cluster_id"], "left_anti").count()
+    seen, all_ = search.cells.count(), search.clusters.agg(F.sum("n_cells")).first()[0]
+    return spark.createDataFrame([(strays == 0 and seen < all_,)], "less boolean")
+
+
+@query("partition_identity", "SELECT count(*) * (SELECT count(*) FROM embeddings) + 1 AS vecs FROM embeddings WHERE vec_id % 50 = 0")
 def q_identity(spark, sf):
-    _, queries, index = low_index(spark, sf)
-    return metrics.partition_errors(cascade.prune_counters(cascade.decisions(index, queries, R_LOW))).select("vecs")
+    """Counters of a search, and the same with one vector too many: only these don't add up."""
+    counters = coarse_counters(spark, sf)
+    wrong = counters.withColumn("vecs", F.col("vecs") + 1)
+    return metrics.partition_errors(counters.unionByName(wrong)).select("vecs")
 
 
 @query("bound_soundness", "SELECT CAST(0 AS BIGINT) AS query_id, CAST(0 AS BIGINT) AS base_id WHERE false")
 def q_soundness(spark, sf):
     """Pairs that are nearer than a bound of their cluster or cell says."""
-    base, queries, index = low_index(spark, sf)
+    _, queries, index = indexed(spark, sf)
     found = cascade.candidates(index, queries, cascade.Options())
-    slab = cascade.slab_bounds(found, index)
-    bounds = cascade.cell_bounds(found, index).join(slab, ["query_id", "cluster_id"]).withColumn("id", F.explode("ids"))
-    both = bounds.join(base.select("id", F.col("vec").alias("bv")), "id").join(queries, "query_id")
+    boxed = cascade.box_bounds(found, index)
+    pca = boxed.groupBy("query_id", "cluster_id").agg(F.min("pca_lb").alias("pca_lb"))
+    bounds = cascade.cell_bounds(boxed, index).join(pca, ["query_id", "cluster_id"]).join(cascade.slab_bounds(found, index), ["query_id", "cluster_id"])
+    both = bounds.join(index.members.select("cluster_id", "cell_id", "id", F.col("vec").alias("bv")), ["cluster_id", "cell_id"]).join(queries, "query_id")
     bound = F.greatest("pca_lb", "cell_lb", "slab_lb")
     return both.where(bound > V.l2("bv", "vec") + 1e-5).select("query_id", F.col("id").alias("base_id"))
 
 
-@query("io_bytes")
+@query("io_bytes", staged() + f"SELECT CAST(sum(n) * {DIM * 4} AS BIGINT) AS bytes_baseline, CAST(coalesce(sum(n) FILTER (stage IS NULL), 0) * {DIM * 4} AS BIGINT) AS bytes_read, round(1 - coalesce(sum(n) FILTER (stage IS NULL), 0) / sum(n), 6) AS io_reduction FROM dec")
 def q_io(spark, sf):
-    _, queries, index = low_index(spark, sf)
-    return metrics.io_bytes(cascade.decisions(index, queries, R_LOW), LOW)
+    _, queries, index = indexed(spark, sf)
+    return metrics.io_bytes(cascade.decisions(cascade.prune(index, queries, R_COARSE, cascade.Options(stages=COARSE))), DIM)
 
 
-@query("touched_clusters", with_assigned() + f", s AS (SELECT cluster_id, max(sqrt(d2)) AS radius FROM a GROUP BY cluster_id) SELECT q.query_id, count(DISTINCT s.cluster_id) AS n_clusters FROM q, c JOIN s USING (cluster_id) WHERE {l2('q.v', 'c.v')} <= power({R_LOW ** 0.5} + radius, 2) GROUP BY q.query_id")
+@query("touched_clusters", staged() + "SELECT query_id, count(DISTINCT cluster_id) AS n_clusters FROM dec WHERE stage IS NULL OR stage <> 'prescreen' GROUP BY query_id")
 def q_touched(spark, sf):
-    _, queries, index = low_index(spark, sf)
-    found = cascade.prescreen(cascade.candidates(index, queries, cascade.Options()), index.stats, R_LOW**0.5)
+    _, queries, index = indexed(spark, sf)
+    found = cascade.prescreen(cascade.candidates(index, queries, cascade.Options()), index.stats, R_COARSE**0.5)
     return metrics.touched_clusters(found.where("pre_kept"))
 
 
-@query("by_result_class")
+#: tr: a search's trace: (query_id, n_clusters, vecs, vecs_read).
+TRACE = ", tr AS (SELECT query_id, count(*) AS n_clusters, CAST(sum(n) AS BIGINT) AS vecs, CAST(coalesce(sum(n) FILTER (stage IS NULL), 0) AS BIGINT) AS vecs_read FROM dec GROUP BY query_id)"
+
+
+def trace_of(spark, sf) -> DataFrame:
+    _, queries, index = indexed(spark, sf)
+    return metrics.search_trace(cascade.prune(index, queries, R_COARSE, cascade.Options(stages=COARSE)).clusters)
+
+
+@query("by_result_class", staged() + TRACE + f", hc AS (SELECT q.query_id, count(b.id) AS n_hits FROM q LEFT JOIN b ON {l2('q.v', 'b.v')} <= {R_FULL} GROUP BY q.query_id) SELECT n_hits <= 1 AS alone, count(*) AS n_queries, round(avg(n_clusters), 6) AS mean_n_clusters, round(avg(vecs), 6) AS mean_vecs, round(avg(vecs_read), 6) AS mean_vecs_read FROM hc JOIN tr USING (query_id) GROUP BY 1")
 def q_by_class(spark, sf):
-    base, queries, index = low_index(spark, sf)
-    decided = cascade.decisions(index, queries, R_LOW)
-    read = decided.groupBy("query_id").agg(F.count_if(F.col("stage").isNull()).alias("cells_read"), F.count(F.lit(1)).alias("cells"))
-    counts = range_join.count_per_query(queries, range_join.range_join(base, queries, R_LOW))
-    return metrics.by_result_class(counts.join(read, "query_id"))
+    """Traces of queries that find nothing but themselves, and of others."""
+    others = counts_of(spark, sf).withColumn("n_hits", F.col("n_hits") - 1)
+    return metrics.by_result_class(others.withColumn("n_hits", F.greatest("n_hits", F.lit(0))).join(trace_of(spark, sf), "query_id")).withColumnRenamed("no_hits", "alone")
+
+
+def alpha_sql(alpha: float) -> str:
+    found = f"SELECT count(*) FROM dec JOIN a USING (cluster_id) WHERE stage IS NULL AND {l2('dec.v', 'a.v')} <= {R_FULL}"
+    return f"SELECT * FROM ({staged(R_FULL, alpha)}, f AS ({found}), t AS (SELECT count(*) AS n FROM q, b WHERE {l2('q.v', 'b.v')} <= {R_FULL}) SELECT (SELECT * FROM f) AS n_found, n AS n_true, round((SELECT * FROM f) / n, 6) AS count_recall, round((SELECT * FROM f) / n, 6) AS set_recall, CAST({alpha} AS DOUBLE) AS alpha FROM t)"
 
 
-@query("alpha_recall")
+ALPHAS = (1.0, 3.0, 8.0, 20.0)
+
+
+@query("alpha_recall", " UNION ALL ".join(map(alpha_sql, ALPHAS)))
 def q_alpha(spark, sf):
-    base, queries, index = low_index(spark, sf)
-    truth = range_join.range_join(base, queries, R_LOW)
-    return one([metrics.recall(cascade.range_search(index, queries, R_LOW, cascade.Options(alpha=a)), truth).withColumn("alpha", F.lit(a)) for a in (1.0, 2.0, 8.0)])
+    base, queries, index = indexed(spark, sf)
+    truth = range_join.range_join(base, queries, R_FULL)
+    return one([metrics.recall(cascade.range_search(index, queries, R_FULL, cascade.Options(alpha=a, stages=COARSE)), truth).withColumn("alpha", F.lit(a)) for a in ALPHAS])
+
+
+def recall_sql(n: int) -> str:
+    return f"""SELECT {n} AS run, round((SELECT count(*) FROM dec JOIN a USING (cluster_id) WHERE dec.rank <= {n} AND {l2('dec.v', 'a.v')} <= {R_FULL}) / (SELECT count(*) FROM q, b WHERE {l2('q.v', 'b.v')} <= {R_FULL}), 6) AS recall,
+      round(1e6 / (SELECT sum(n) FROM dec WHERE rank <= {n}), 6) AS qps"""
+
+
+#: Searches of some numbers of candidate clusters: (run, recall, qps), with searches for a million vectors read.
+PROBES = (1, 2, 4, 8, 12, 16)
+RUN_SQL = staged(R_FULL) + ", r AS (" + " UNION ALL ".join(map(recall_sql, PROBES)) + " UNION ALL SELECT 99, 0.0, 0.5 UNION ALL SELECT 98, 0.0, 1e9)"
+
+
+def runs_of(spark, sf) -> DataFrame:
+    """Real runs, a run that others beat and one that is fast and finds nothing."""
+    base, queries, index = indexed(spark, sf)
+    truth = range_join.range_join(base, queries, R_FULL)
+    out = [spark.createDataFrame([(99, 0.0, 0.5), (98, 0.0, 1e9)], "run int, recall double, qps double")]
+    for n in PROBES:
+        options = cascade.Options(n_candidates=n, stages=())
+        search = cascade.prune(index, queries, R_FULL, options)
+        found = metrics.recall(cascade.hits(index, search, queries, R_FULL, options), truth).select("set_recall")
+        read = search.clusters.agg(F.round(1e6 / F.sum("n"), 6).alias("qps"))
+        out.append(found.join(read).select(F.lit(n).alias("run"), F.col("set_recall").alias("recall"), "qps"))
+    return one(out)
+
+
+@query("pareto_front", RUN_SQL + "SELECT run, CAST(recall AS DOUBLE) AS recall, CAST(qps AS DOUBLE) AS qps FROM r WHERE NOT EXISTS (SELECT 1 FROM r o WHERE o.recall >= r.recall AND o.qps >= r.qps AND (o.recall > r.recall OR o.qps > r.qps))")
+def q_pareto(spark, sf):
+    return metrics.pareto_front(runs_of(spark, sf))
+
 
+@query("run_medians", staged() + f"SELECT cluster_id, round(median(d2), 6) AS median_value FROM dec WHERE rank <= {NPROBE} GROUP BY cluster_id")
+def q_medians(spark, sf):
+    """Of each cluster the median squared distance of queries that have it among their nearest."""
+    _, queries, index = indexed(spark, sf)
+    return metrics.run_medians(cascade.candidates(index, queries, cascade.Options(n_candidates=NPROBE)), "cluster_id", "dist_sq")
 
-@query("recall_by_candidates", with_assigned() + f", qc AS (SELECT * FROM (SELECT q.query_id, q.v, c.cluster_id, row_number() OVER (PARTITION BY q.query_id ORDER BY {l2('q.v', 'c.v')}, c.cluster_id) AS rank FROM q, c) WHERE rank <= {NPROBE}), f AS (SELECT qc.query_id, a.id FROM qc JOIN a USING (cluster_id) WHERE {l2('qc.v', 'a.v')} <= {R_LOW}), t AS (SELECT count(*) AS n FROM q, b WHERE {l2('q.v', 'b.v')} <= {R_LOW}) SELECT (SELECT count(*) FROM f) AS n_found, n AS n_true, round((SELECT count(*) FROM f) / n, 6) AS count_recall, round((SELECT count(*) FROM f) / n, 6) AS set_recall FROM t")
+
+@query("recall_by_candidates", with_assigned() + f", qc AS (SELECT * FROM (SELECT q.query_id, q.v, c.cluster_id, row_number() OVER (PARTITION BY q.query_id ORDER BY {l2('q.v', 'c.v')}, c.cluster_id) AS rank FROM q, c) WHERE rank <= {NPROBE}), f AS (SELECT qc.query_id, a.id FROM qc JOIN a USING (cluster_id) WHERE {l2('qc.v', 'a.v')} <= {R_FULL}), t AS (SELECT count(*) AS n FROM q, b WHERE {l2('q.v', 'b.v')} <= {R_FULL}) SELECT (SELECT count(*) FROM f) AS n_found, n AS n_true, round((SELECT count(*) FROM f) / n, 6) AS count_recall, round((SELECT count(*) FROM f) / n, 6) AS set_recall FROM t")
 def q_recall(spark, sf):
-    base, queries, index = low_index(spark, sf)
-    found = cascade.range_search(index, queries, R_LOW, cascade.Options(n_candidates=NPROBE))
-    return metrics.recall(found, range_join.range_join(base, queries, R_LOW))
+    base, queries, index = indexed(spark, sf)
+    found = cascade.range_search(index, queries, R_FULL, cascade.Options(n_candidates=NPROBE))
+    return metrics.recall(found, range_join.range_join(base, queries, R_FULL))
 
 
 @query("cluster_scan", with_assigned() + "SELECT id, cluster_id FROM a WHERE cluster_id IN (1, 3)")
 def q_scan(spark, sf):
-    """Some clusters of an index on disk, by partition pruning."""
-    from vicinal.plans.shared import new_path
-
-    _, _, index = low_index(spark, sf)
-    path = new_path(spark, "index")
-    build.write_index(path, index.assigned, index.cells, index.slabs, index.centers, {"k": CENTERS})
-    return spark.read.parquet(f"{path}/base").where("cluster_id in (1, 3)").select("id", F.col("cluster_id").cast("int"))
+    """Some clusters of an index on disk: folders and row groups of others are skipped."""
+    return spark.read.parquet(f"{stored_index(spark, sf)}/base").where("band in (1, 3) and cluster_id in (1, 3)").select("id", F.col("cluster_id").cast("int"))
 
 
 # ---- classifiers
 
 EMPTY_SQL = with_assigned() + f""", qc AS (SELECT * FROM (SELECT q.query_id, q.v, c.cluster_id, row_number() OVER (PARTITION BY q.query_id ORDER BY {l2("q.v", "c.v")}, c.cluster_id) AS rank FROM q, c) WHERE rank <= {NPROBE}),
     e AS (SELECT qc.query_id, min({l2("qc.v", "a.v")}) AS min_dist_sq FROM qc JOIN a USING (cluster_id) WHERE a.id % 50 <> 0 GROUP BY qc.query_id),
-    d AS (SELECT q.query_id, min_dist_sq, coalesce(min_dist_sq > 0.002, false) AS is_empty FROM q LEFT JOIN e USING (query_id)),
-    t AS (SELECT q.query_id, count(b.id) AS n_hits FROM q LEFT JOIN b ON b.id % 50 <> 0 AND {l2("q.v", "b.v")} <= 0.002 GROUP BY q.query_id)"""
+    d AS (SELECT q.query_id, min_dist_sq, coalesce(min_dist_sq > {R_NEAR}, false) AS is_empty FROM q LEFT JOIN e USING (query_id)),
+    t AS (SELECT q.query_id, count(b.id) AS n_hits FROM q LEFT JOIN b ON b.id % 50 <> 0 AND {l2("q.v", "b.v")} <= {R_NEAR} GROUP BY q.query_id)"""
 
 
 def decided_of(spark, sf):
     """A classifier's decisions and the truth, for rows other than the queries."""
-    base = low(embeddings(spark, sf))
+    base = embeddings(spark, sf)
     centers = build.stride_seeds(base, CENTERS)
     queries, rest = as_queries(base), base.where("id % 50 <> 0")
-    decided = metrics.empty_by_probe(build.assign(rest, centers), centers, queries, 0.002, NPROBE)
-    return queries, decided, range_join.count_per_query(queries, range_join.range_join(rest, queries, 0.002))
+    decided = metrics.empty_by_probe(build.assign(rest, centers), centers, queries, R_NEAR, NPROBE)
+    return queries, decided, range_join.count_per_query(queries, range_join.range_join(rest, queries, R_NEAR))
 
 
 @query("emptiness_exact_nprobe", EMPTY_SQL + "SELECT query_id, round(min_dist_sq, 6) AS min_dist_sq, is_empty FROM d")
@@ -464,10 +666,10 @@ def q_empty(spark, sf):
     return rounded(decided_of(spark, sf)[1], "min_dist_sq")
 
 
-@query("emptiness_1nn", with_tables(LOW) + f"SELECT q.query_id, round(sqrt(min({l2('b.v', 'q.v')})), 6) AS dist, sqrt(min({l2('b.v', 'q.v')})) > {0.002 ** 0.5} + 0.001 AS is_empty FROM q, b WHERE b.id % 50 <> 0 GROUP BY q.query_id")
+@query("emptiness_1nn", with_tables() + f"SELECT q.query_id, round(sqrt(min({l2('b.v', 'q.v')})), 6) AS dist, sqrt(min({l2('b.v', 'q.v')})) > {R_NEAR ** 0.5} + 0.001 AS is_empty FROM q, b WHERE b.id % 50 <> 0 GROUP BY q.query_id")
 def q_empty_1nn(spark, sf):
-    base = low(embeddings(spark, sf))
-    return rounded(metrics.empty_by_nearest(knn.one_nn(base.where("id % 50 <> 0"), as_queries(base)), 0.002**0.5, 0.001), "dist")
+    base = embeddings(spark, sf)
+    return rounded(metrics.empty_by_nearest(knn.one_nn(base.where("id % 50 <> 0"), as_queries(base)), R_NEAR**0.5, 0.001), "dist")
 
 
 @query("survivors_semi", EMPTY_SQL + "SELECT query_id FROM d WHERE NOT is_empty")
@@ -494,16 +696,35 @@ def q_confusion(spark, sf):
     return metrics.confusion(decided, truth)
 
 
-@query("recall_at_1", "SELECT 1.0::DOUBLE AS recall_at_1")
-def q_recall_at_1(spark, sf):
+EXACT_SQL = f", x AS (SELECT q.query_id, min({l2('b.v', 'q.v')}) AS least FROM q, b WHERE b.id % 50 <> 0 GROUP BY q.query_id)"
+
+
+def estimated_of(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """(query_id, dist) of the nearest row in a few clusters, and of the nearest of all."""
+    _, decided, _ = decided_of(spark, sf)
     base = embeddings(spark, sf)
-    near = knn.one_nn(base.where("id % 50 <> 0"), as_queries(base)).select("query_id", F.sqrt("dist_sq").alias("dist"))
-    return metrics.recall_at_1(near, near)
+    exact = knn.one_nn(base.where("id % 50 <> 0"), as_queries(base))
+    return decided.select("query_id", F.sqrt("min_dist_sq").alias("dist")), exact.select("query_id", F.sqrt("dist_sq").alias("dist"))
+
+
+@query("recall_at_1", EMPTY_SQL + EXACT_SQL + "SELECT round(avg(CASE WHEN sqrt(min_dist_sq) <= sqrt(least) * 1.0001 + 1e-6 THEN 1.0 ELSE 0.0 END), 6) AS recall_at_1 FROM e JOIN x USING (query_id)")
+def q_recall_at_1(spark, sf):
+    return metrics.recall_at_1(*estimated_of(spark, sf))
+
+
+@query("nearest_bench_csv", EMPTY_SQL + EXACT_SQL + "SELECT query_id, round(sqrt(least), 6) AS dist, round(sqrt(min_dist_sq), 6) AS estimate, sqrt(min_dist_sq) <= sqrt(least) * 1.0001 + 1e-6 AS found FROM e JOIN x USING (query_id)")
+def q_nearest_bench(spark, sf):
+    """The benchmark of a nearest-neighbour estimate, written as CSV and read back."""
+    from vicinal.plans.shared import new_path
+
+    path = new_path(spark, "bench")
+    metrics.write_trace(metrics.nearest_bench(*estimated_of(spark, sf)), path)
+    return rounded(spark.read.csv(path, header=True, schema="query_id long, dist double, estimate double, found boolean"), "dist", "estimate")
 
 
 @query("set_overlap", with_assigned() + f", qc AS (SELECT * FROM (SELECT q.query_id, c.cluster_id, row_number() OVER (PARTITION BY q.query_id ORDER BY {l2('q.v', 'c.v')}, c.cluster_id) AS rank FROM q, c)) SELECT count(*) FILTER (rank <= 3) AS n_a, count(*) FILTER (rank <= 5) AS n_b, count(*) FILTER (rank <= 3) AS n_both, count(*) FILTER (rank IN (4, 5)) AS n_one FROM qc")
 def q_overlap(spark, sf):
-    base = low(embeddings(spark, sf))
+    base = embeddings(spark, sf)
     centers = build.stride_seeds(base, CENTERS)
     near = build.assign(base.where("id % 50 = 0"), centers, 5).select(F.col("id").alias("query_id"), "cluster_id", "rank")
     return metrics.set_overlap(near.where("rank <= 3"), near, ["query_id", "cluster_id"])
@@ -511,30 +732,17 @@ def q_overlap(spark, sf):
 
 @query("hit_set_equality", "SELECT CAST(0 AS BIGINT) AS query_id, CAST(0 AS BIGINT) AS base_id WHERE false")
 def q_set_equality(spark, sf):
-    base, queries, index = low_index(spark, sf)
-    a, b = (x.select("query_id", "base_id") for x in (cascade.range_search(index, queries, R_LOW), range_join.range_join(base, queries, R_LOW)))
+    base, queries, index = indexed(spark, sf)
+    a, b = (x.select("query_id", "base_id") for x in (cascade.range_search(index, queries, R_FULL), range_join.range_join(base, queries, R_FULL)))
     return a.exceptAll(b).unionAll(b.exceptAll(a))
 
 
-RUNS = [(1, 0.9945, 288.0), (2, 0.9995, 214.0), (3, 1.0, 133.0), (4, 0.99, 200.0), (5, 0.9995, 210.0), (6, 1.0, 133.0)]
-
-
-@query("pareto_front", "WITH r(run, recall, qps) AS (VALUES " + ", ".join(map(str, RUNS)) + ") SELECT CAST(run AS BIGINT) AS run, CAST(recall AS DOUBLE) AS recall, CAST(qps AS DOUBLE) AS qps FROM r WHERE NOT EXISTS (SELECT 1 FROM r o WHERE o.recall >= r.recall AND o.qps >= r.qps AND (o.recall > r.recall OR o.qps > r.qps))")
-def q_pareto(spark, sf):
-    return metrics.pareto_front(spark.createDataFrame(RUNS, "run long, recall double, qps double"))
-
-
-@query("run_medians", "WITH r(run, recall, qps) AS (VALUES " + ", ".join(map(str, RUNS)) + ") SELECT CAST(recall AS DOUBLE) AS recall, round(median(CAST(qps AS DOUBLE)), 6) AS median_value FROM r GROUP BY 1")
-def q_medians(spark, sf):
-    return metrics.run_medians(spark.createDataFrame(RUNS, "run long, recall double, qps double"), "recall", "qps")
-
-
 # ---- vector functions
 
 
-@query("l2_normalize", with_tables(LOW) + f"SELECT id, list_transform(v, lambda x: round(x / (sqrt({own('v')}) + 1e-12), 6)) AS vec FROM b")
+@query("l2_normalize", with_tables() + f"SELECT id, list_transform(v, lambda x: round(x / (sqrt({own('v')}) + 1e-12), 6)) AS vec FROM b")
 def q_normalize(spark, sf):
-    return low(embeddings(spark, sf)).select("id", F.transform(V.normalize("vec"), lambda x: F.round(x, 6)).alias("vec"))
+    return embeddings(spark, sf).select("id", F.transform(V.normalize("vec"), lambda x: F.round(x, 6)).alias("vec"))
 
 
 @query("inner_products", with_tables() + f"SELECT q.query_id, b.id AS base_id, round({dot('b.v', 'q.v')}, 6) AS ip, round(-{dot('b.v', 'q.v')}, 6) AS neg_ip, round(abs({dot('b.v', 'q.v')}), 6) AS abs_ip, round(-abs({dot('b.v', 'q.v')}), 6) AS neg_abs_ip, round(-{l2('b.v', 'q.v')}, 6) AS neg_l2 FROM b, q")
@@ -597,6 +805,22 @@ def q_uint8(spark, sf):
     return int_join(spark, sf, False, 25000)
 
 
+def int_cascade(spark, sf, signed: bool) -> DataFrame:
+    queries, index = bytes_index(spark, sf, signed)
+    return cascade.range_search(index, queries, 25000).withColumn("dist_sq", F.col("dist_sq").cast("long"))
+
+
+@query("cascade_int8", int_sql("CAST(x AS DOUBLE) * 127", 25000))
+def q_cascade_int8(spark, sf):
+    """Bytes through the index: sums of squares of whole numbers are exact in doubles."""
+    return int_cascade(spark, sf, True)
+
+
+@query("cascade_uint8", int_sql("(CAST(x AS DOUBLE) + 1) * 127.5", 25000))
+def q_cascade_uint8(spark, sf):
+    return int_cascade(spark, sf, False)
+
+
 @query("byte_sums", "WITH b AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(round((CAST(x AS DOUBLE) + 1) * 127.5) AS BIGINT)) AS v FROM embeddings) SELECT id, CAST(list_sum(v) AS BIGINT) AS byte_sum, CAST(list_sum(list_transform(v, lambda x: x * x)) AS BIGINT) AS byte_norm_sq FROM b")
 def q_byte_sums(spark, sf):
     return integers(embeddings(spark, sf), False).select("id", V.byte_sum("vec").alias("byte_sum"), V.byte_norm_sq("vec").alias("byte_norm_sq"))
@@ -608,9 +832,12 @@ def q_pack(spark, sf):
     return packed.select("id", "packed", V.unpack_group("packed").alias("grp"), V.unpack_local(F.col("packed")).alias("local"))
 
 
-@query("finite_queries", with_tables() + "SELECT query_id, true AS is_finite FROM q")
+@query("finite_queries", with_tables() + "SELECT query_id, query_id % 100 <> 0 AS is_finite FROM q")
 def q_finite(spark, sf):
-    return as_queries(embeddings(spark, sf)).select("query_id", V.is_finite("vec").alias("is_finite"))
+    """Some queries have a component that is infinite or no number."""
+    odd = F.when(F.col("query_id") % 200 == 0, F.lit(float("inf"))).otherwise(F.lit(float("nan")))
+    vec = F.when(F.col("query_id") % 100 == 0, F.transform("vec", lambda x, i: F.when(i == 5, odd).otherwise(x))).otherwise(F.col("vec"))
+    return as_queries(embeddings(spark, sf)).withColumn("vec", vec).select("query_id", V.is_finite("vec").alias("is_finite"))
 
 
 @query("sql_functions", with_tables() + f"SELECT id, round({own('v')}, 6) AS d, round(sqrt({own('v')}), 6) AS n FROM b")
@@ -622,42 +849,106 @@ def q_sql_functions(spark, sf):
 # ---- codes, sources and sinks
 
 
-def low_candidates(spark, sf):
-    base = embeddings(spark, sf)
-    centers = build.stride_seeds(base, 8)
-    assigned = build.assign(base, centers)
-    return assigned, centers, build.assign(base.where("id % 50 = 0"), centers, NPROBE).select(F.col("id").alias("query_id"), "vec", "cluster_id")
+@query("one_bit_codes", with_assigned() + "SELECT id, cluster_id, CAST(8 AS INTEGER) AS n_bytes, CAST(64 AS INTEGER) AS n_bytes8, round(d2, 6) AS f_add FROM a WHERE d2 > 0")
+def q_codes(spark, sf):
+    """A code's first factor is the squared length of the residual, which the rotation keeps."""
+    _, _, index = indexed(spark, sf)
+    found = index.codes.where("f_add > 0").select("id", "cluster_id", F.octet_length("bits").alias("n_bytes"), F.octet_length("bits8").alias("n_bytes8"), "f_add")
+    return rounded(found, "f_add")
 
 
-@query("one_bit_codes")
-def q_codes(spark, sf):
-    assigned, centers, _ = low_candidates(spark, sf)
-    return codes.one_bit_codes(assigned, centers)
+def asked_of(spark, sf) -> tuple[DataFrame, cascade.Index]:
+    """(query_id, qv, cluster_id): the queries and their nearest clusters."""
+    _, queries, index = indexed(spark, sf)
+    found = cascade.candidates(index, queries, cascade.Options(n_candidates=NPROBE))
+    return found.select("query_id", F.col("vec").alias("qv"), "cluster_id"), index
 
 
-@query("code_bounds")
-def q_code_bounds(spark, sf):
-    """One row for one-bit and eight-bit codes: pairs, and how often a bound is wrong."""
-    return one(
-        [
-            codes.code_bounds(*low_candidates(spark, sf), extra).agg(
-                F.lit(extra + 1).alias("bits"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("lb") > F.col("dist_sq") + 1e-9).alias("lb_wrong"),
-                F.count_if(F.col("ub") < F.col("dist_sq") - 1e-9).alias("ub_wrong"), F.round(F.avg(F.col("ub") - F.col("lb")), 6).alias("mean_width"),
-            )
-            for extra in (0, codes.EXTRA_BITS)
-        ]
-    )
+PROBED = with_assigned() + f", qc AS (SELECT * FROM (SELECT q.query_id, q.v, c.cluster_id, row_number() OVER (PARTITION BY q.query_id ORDER BY {l2('q.v', 'c.v')}, c.cluster_id) AS rank FROM q, c) WHERE rank <= {NPROBE}), m AS (SELECT qc.query_id, qc.cluster_id, a.id, {l2('qc.v', 'a.v')} AS dist_sq FROM qc JOIN a USING (cluster_id))"
 
 
-@query("code_row_filter")
+@query("code_bounds", PROBED + "SELECT CAST(bits AS INTEGER) AS bits, (SELECT count(*) FROM m) AS n, true AS lb_holds, true AS ub_holds FROM (VALUES (1), (8)) t(bits)")
+def q_code_bounds(spark, sf):
+    """One row for one-bit and eight-bit codes: pairs, and whether no more than one bound in a thousand is wrong."""
+    asked, index = asked_of(spark, sf)
+    out = []
+    for extra, bits in ((False, 1), (True, 8)):
+        found = codes.bounds(index.codes, index.centers, asked, extra).join(asked, ["query_id", "cluster_id"])
+        found = found.join(index.members.select("id", F.col("vec").alias("bv")), "id").withColumn("d", V.l2_sq("qv", "bv"))
+        few = lambda wrong: F.count_if(wrong) <= F.count(F.lit(1)) / 1000
+        out.append(found.agg(F.lit(bits).alias("bits"), F.count(F.lit(1)).alias("n"), few(F.col("lb") > F.col("d") + 1e-9).alias("lb_holds"), few(F.col("ub") < F.col("d") - 1e-9).alias("ub_holds")))
+    return one(out)
+
+
+@query("code_row_filter", PROBED + f"SELECT query_id, id FROM m WHERE dist_sq <= {R_FULL}")
 def q_code_filter(spark, sf):
-    return codes.row_filter(codes.code_bounds(*low_candidates(spark, sf)), R_FULL).select("query_id", "id", "sure")
+    """Hits among the rows that the codes keep: none is lost."""
+    asked, index = asked_of(spark, sf)
+    kept = codes.row_filter(codes.bounds(index.codes, index.centers, asked), R_FULL).join(asked, ["query_id", "cluster_id"])
+    both = kept.join(index.members.select("id", F.col("vec").alias("bv")), "id")
+    return both.where(V.l2_sq("qv", "bv") <= R_FULL).select("query_id", "id")
+
+
+@query("code_cell_filter", PROBED + f"SELECT DISTINCT query_id, cluster_id FROM m WHERE dist_sq <= {R_FULL}")
+def q_code_cells(spark, sf):
+    """Clusters of cells that the codes keep and that hold a hit: none is lost."""
+    asked, index = asked_of(spark, sf)
+    kept = codes.cell_filter(codes.bounds(index.codes, index.centers, asked), R_FULL).join(asked, ["query_id", "cluster_id"])
+    both = kept.join(index.members.select("cluster_id", "cell_id", F.col("vec").alias("bv")), ["cluster_id", "cell_id"])
+    return both.where(V.l2_sq("qv", "bv") <= R_FULL).select("query_id", "cluster_id").distinct()
+
+
+@query("least_code_bound", PROBED + "SELECT query_id, true AS below FROM m GROUP BY query_id")
+def q_least_bound(spark, sf):
+    """Whether the least eight-bit bound of a query is below its least distance in the same clusters, and by little."""
+    asked, index = asked_of(spark, sf)
+    found = codes.bounds(index.codes, index.centers, asked, True).join(asked, ["query_id", "cluster_id"]).join(index.members.select("id", F.col("vec").alias("bv")), "id")
+    least = found.groupBy("query_id").agg(F.min("lb").alias("lb"), F.min(V.l2_sq("qv", "bv")).alias("d"))
+    return least.select("query_id", F.col("lb").between(F.col("d") - 0.2, F.col("d") + 1e-9).alias("below"))
 
 
-@query("emptiness_codes")
+#: Far from any query's own distance 0, so that near bounds decide.
+@query("emptiness_codes", EMPTY_SQL + "SELECT query_id, is_empty FROM d WHERE abs(min_dist_sq - {R}) > 0.2".replace("{R}", str(R_NEAR)))
 def q_code_emptiness(spark, sf):
-    parts = low_candidates(spark, sf)
-    return codes.emptiness(codes.code_bounds(*parts), codes.code_bounds(*parts, codes.EXTRA_BITS), 1.2)
+    """Decisions by codes, where the nearest distance is not so near the radius that eight bits can't tell."""
+    base = embeddings(spark, sf)
+    queries, rest = as_queries(base), base.where("id % 50 <> 0")
+    centers = build.stride_seeds(base, CENTERS)
+    assigned = build.assign(rest, centers)
+    found = codes.one_bit_codes(assigned.withColumn("cell_id", F.lit(0)), centers)
+    clear = metrics.empty_by_probe(assigned, centers, queries, R_NEAR, NPROBE).where(F.abs(F.col("min_dist_sq") - R_NEAR) > 0.2)
+    return codes.emptiness(found, centers, queries, R_NEAR, NPROBE).join(clear.select("query_id"), "query_id")
+
+
+@query("sparse_center_products", with_tables() + NEIGHBOURS + f"SELECT q.query_id, c.cluster_id, round({dot('q.v', 'c.v')}, 6) AS dot FROM q, c WHERE c.cluster_id = 1 OR c.cluster_id IN (SELECT neighbour_id FROM cn WHERE cluster_id = 1)")
+def q_sparse_products(spark, sf):
+    """Products of the queries with a cluster's center and its slabs' neighbours alone."""
+    _, queries, index = indexed(spark, sf)
+    wanted = index.slabs.where("cluster_id = 1").select(F.explode(F.array("cluster_id", "neighbour_id")).alias("cluster_id"))
+    return rounded(build.center_products(queries, index.centers, queries.select("query_id").join(F.broadcast(wanted))), "dot")
+
+
+def quantised_sql(v: str) -> str:
+    return f"list_transform({v}, lambda x: CAST(round(x / (list_max(list_transform({v}, lambda y: abs(y))) / 127)) AS BIGINT))"
+
+
+@query("quantised_center_products", with_tables() + f", qq AS (SELECT query_id, list_max(list_transform(v, lambda y: abs(y))) / 127 AS s, {quantised_sql('v')} AS v FROM q), cc AS (SELECT cluster_id, list_max(list_transform(v, lambda y: abs(y))) / 127 AS s, {quantised_sql('v')} AS v FROM c) SELECT qq.query_id, cc.cluster_id, round({dot('qq.v', 'cc.v')} * qq.s * cc.s, 6) AS dot FROM qq, cc")
+def q_quantised_products(spark, sf):
+    _, queries, index = indexed(spark, sf)
+    return rounded(build.quantised_products(queries, index.centers), "dot")
+
+
+@query("knn_inner_product", with_tables() + f"SELECT * FROM (SELECT q.query_id, b.id AS base_id, round(-{dot('b.v', 'q.v')}, 6) AS dist_sq, row_number() OVER (PARTITION BY q.query_id ORDER BY -{dot('b.v', 'q.v')}, b.id) AS rank FROM b, q) WHERE rank <= {K}")
+def q_knn_dot(spark, sf):
+    base = embeddings(spark, sf)
+    return rounded(knn.knn(base, as_queries(base), K, "neg_dot"), "dist_sq")
+
+
+@query("pivot_join", with_hits(64, R_FULL) + HITS)
+def q_pivot_join(spark, sf):
+    """The join of tables that are both too large to broadcast."""
+    base = embeddings(spark, sf)
+    return rounded(range_join.pivot_join(base, as_queries(base), R_FULL, chunk=100), "dist_sq")
 
 
 @query("fbin_roundtrip", "SELECT vec_id AS id, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 6)) AS vec FROM embeddings WHERE vec_id >= 100")
@@ -676,38 +967,46 @@ def q_fbin(spark, sf):
     return found.select("id", F.transform("vec", lambda x: F.round(x.cast("double"), 6)).alias("vec"))
 
 
-def index_path(spark, sf) -> tuple[str, cascade.Index]:
-    from vicinal.plans.shared import new_path
+@query("index_check", "SELECT CAST(NULL AS VARCHAR) AS what, CAST(NULL AS INTEGER) AS cluster_id WHERE false")
+def q_index_check(spark, sf):
+    return cascade.check_index(spark, stored_index(spark, sf))
 
-    _, _, index = low_index(spark, sf)
-    path = new_path(spark, "index")
-    build.write_index(path, index.assigned, index.cells, index.slabs, index.centers, {"k": CENTERS})
-    return path, index
 
+@query("index_check_of_faults", "SELECT * FROM (VALUES ('schema version', NULL), ('cluster size', 2), ('cell size', 2), ('model size', 4), ('cell bounds', 5), ('cluster bounds', 6)) t(what, cluster_id)")
+def q_index_faults(spark, sf):
+    """An index with a member of cluster 2 missing, wrong sizes and bounds elsewhere, and an old version."""
+    from vicinal.plans.shared import new_path
 
-@query("index_check", "SELECT CAST(NULL AS VARCHAR) AS what WHERE false")
-def q_index_check(spark, sf):
-    return build.check_index(spark, index_path(spark, sf)[0])
+    good, bad = stored_index(spark, sf), new_path(spark, "bad-index")
+    read = lambda t: spark.read.parquet(f"{good}/{t}")
+    least = read("base").where("cluster_id = 2").agg(F.min("id")).first()[0]
+    at = lambda c, cluster, wrong: F.when(F.col("cluster_id") == cluster, wrong).otherwise(F.col(c)).alias(c)
+    flip = lambda df, cluster: df.withColumns({"lo": at("lo", cluster, F.col("hi")), "hi": at("hi", cluster, F.transform("lo", lambda x: x - 1))})
+    read("base").where(F.col("id") != least).write.parquet(f"{bad}/base")
+    flip(read("cells"), 5).write.parquet(f"{bad}/cells")
+    flip(read("models").withColumn("n", at("n", 4, F.col("n") + 1)), 6).write.parquet(f"{bad}/models")
+    read("clusters").write.parquet(f"{bad}/clusters")
+    read("index_meta").withColumn("schema_version", F.lit(0)).write.parquet(f"{bad}/index_meta")
+    return cascade.check_index(spark, bad)
 
 
-@query("cell_scan", with_assigned() + "SELECT cluster_id, count(*) AS n FROM a WHERE cluster_id IN (0, 2) GROUP BY cluster_id")
+@query("cell_scan", with_assigned() + "SELECT cluster_id, count(*) AS n, round(sum(v[1]), 6) AS payload FROM a WHERE cluster_id IN (0, 2) GROUP BY cluster_id")
 def q_cell_scan(spark, sf):
     """All cells of two clusters of an index on disk, read by (cluster, cell) from a plan of cells to read."""
-    path, _ = index_path(spark, sf)
-    plan = spark.read.parquet(f"{path}/cells").where("cluster_id in (0, 2)").select("cluster_id", "cell_id")
-    rows = spark.read.parquet(f"{path}/base").withColumn("cluster_id", F.col("cluster_id").cast("int"))
-    return rows.join(F.broadcast(plan), ["cluster_id", "cell_id"]).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
+    _, _, index = indexed(spark, sf)
+    plan = index.cells.where("cluster_id in (0, 2)").select("cluster_id", "cell_id")
+    rows = index.members.join(F.broadcast(plan), ["cluster_id", "cell_id"])
+    return rows.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("vec")[0]), 6).alias("payload"))
 
 
 @query("member_order", "SELECT CAST(0 AS BIGINT) AS id WHERE false")
 def q_member_order(spark, sf):
-    """Members of an index on disk that are out of order within a file: by cell, then id."""
+    """Members of an index on disk that are out of order within a file: by cluster, cell and id."""
     from pyspark.sql import Window
 
-    path, _ = index_path(spark, sf)
-    rows = spark.read.parquet(f"{path}/base").select("id", "cluster_id", "cell_id", F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("place"))
-    before = F.lag(F.struct("cell_id", "id")).over(Window.partitionBy("f", "cluster_id").orderBy("place"))
-    return rows.withColumn("before", before).where(F.col("before") > F.struct("cell_id", "id")).select("id")
+    rows = spark.read.parquet(f"{stored_index(spark, sf)}/base").select("id", "cluster_id", "cell_id", F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("place"))
+    before = F.lag(F.struct("cluster_id", "cell_id", "id")).over(Window.partitionBy("f").orderBy("place"))
+    return rows.withColumn("before", before).where(F.col("before") > F.struct("cluster_id", "cell_id", "id")).select("id")
 
 
 @query("hits_csv", with_hits(64, R_FULL) + "SELECT query_id, base_id AS original_base_id, round(dist_sq, 6) AS distance FROM hits")
@@ -728,30 +1027,55 @@ def q_trace_csv(spark, sf):
     return rounded(spark.read.csv(path, header=True, schema="query_id long, min_dist_sq double, is_empty boolean"), "min_dist_sq")
 
 
-@query("confusion_json")
+@query("search_trace_csv", staged() + TRACE + "SELECT * FROM tr")
+def q_search_trace(spark, sf):
+    from vicinal.plans.shared import new_path
+
+    path = new_path(spark, "search-trace")
+    metrics.write_trace(trace_of(spark, sf), path)
+    return spark.read.csv(path, header=True, schema="query_id long, n_clusters long, vecs long, vecs_read long")
+
+
+@query("nearest_trace_csv", with_tables() + EXACT_SQL + f"SELECT query_id, round(sqrt(least), 6) AS dist, sqrt(least) > {R_NEAR ** 0.5} + 0.001 AS is_empty FROM x")
+def q_nearest_trace(spark, sf):
+    from vicinal.plans.shared import new_path
+
+    base, path = embeddings(spark, sf), new_path(spark, "nearest-trace")
+    metrics.write_trace(metrics.empty_by_nearest(knn.one_nn(base.where("id % 50 <> 0"), as_queries(base)), R_NEAR**0.5, 0.001), path)
+    return rounded(spark.read.csv(path, header=True, schema="query_id long, dist double, is_empty boolean"), "dist")
+
+
+@query("confusion_json", EMPTY_SQL + "SELECT count(*) AS n_queries, count(*) FILTER (is_empty) AS n_skipped, count(*) FILTER (is_empty AND n_hits > 0) AS n_false_empty, round(count(*) FILTER (is_empty) / count(*), 6) AS skip_rate FROM d JOIN t USING (query_id)")
 def q_confusion_json(spark, sf):
     _, decided, truth = decided_of(spark, sf)
-    return metrics.confusion_json(metrics.confusion(decided, truth))
+    made = metrics.confusion_json(metrics.confusion(decided, truth))
+    return made.select(F.from_json("json", "n_queries long, n_skipped long, n_false_empty long, skip_rate double").alias("j")).select("j.*")
 
 
-@query("bound_dump")
+@query("bound_dump", staged() + "SELECT query_id, cluster_id, round(slab_lb, 6) AS slab_lb, true AS pca_holds FROM lb WHERE query_id IN (SELECT query_id FROM q ORDER BY query_id LIMIT 4)")
 def q_bound_dump(spark, sf):
-    _, queries, index = low_index(spark, sf)
+    """Bounds of the first queries; the PCA bound is below the least distance to the cluster."""
+    _, queries, index = indexed(spark, sf)
     found = cascade.candidates(index, queries, cascade.Options())
-    bounds = cascade.cell_bounds(found, index, ids=False).groupBy("query_id", "cluster_id").agg(F.first("pca_lb").alias("pca_lb"))
-    return metrics.bound_dump(bounds.join(cascade.slab_bounds(found, index), ["query_id", "cluster_id"]))
+    pca = cascade.box_bounds(found, index).groupBy("query_id", "cluster_id").agg(F.min("pca_lb").alias("pca_lb"))
+    dump = metrics.bound_dump(pca.join(cascade.slab_bounds(found, index), ["query_id", "cluster_id"]), queries, 4)
+    near = dump.join(queries, "query_id").join(index.members.select("cluster_id", F.col("vec").alias("bv")), "cluster_id").groupBy("query_id", "cluster_id").agg(F.min(V.l2("vec", "bv")).alias("d"))
+    both = dump.join(near, ["query_id", "cluster_id"])
+    return both.select("query_id", "cluster_id", F.round("slab_lb", 6).alias("slab_lb"), (F.col("pca_lb") <= F.col("d") + 1e-9).alias("pca_holds"))
 
 
-@query("invalid_candidates", "SELECT CAST(0 AS BIGINT) AS query_id, CAST(0 AS INTEGER) AS cluster_id WHERE false")
+@query("invalid_candidates", with_tables() + f"SELECT query_id, CAST({CENTERS} AS INTEGER) AS cluster_id FROM q WHERE query_id % 100 = 0")
 def q_invalid(spark, sf):
-    _, queries, index = low_index(spark, sf)
-    return metrics.invalid_candidates(cascade.candidates(index, queries, cascade.Options()), CENTERS)
+    """Candidates of which some name a cluster that there isn't."""
+    _, queries, index = indexed(spark, sf)
+    found = cascade.candidates(index, queries, cascade.Options()).withColumn("cluster_id", F.when((F.col("query_id") % 100 == 0) & (F.col("cluster_id") == 0), CENTERS).otherwise(F.col("cluster_id")))
+    return metrics.invalid_candidates(found, CENTERS)
 
 
 @query("probe_overlap", with_assigned() + f", s AS (SELECT cluster_id, count(*) AS n FROM a GROUP BY cluster_id), qc AS (SELECT * FROM (SELECT q.query_id, c.cluster_id, row_number() OVER (PARTITION BY q.query_id ORDER BY {l2('q.v', 'c.v')}, c.cluster_id) AS rank FROM q, c) WHERE rank <= 2) SELECT CAST(sum(n) AS BIGINT) AS shared_vecs FROM qc JOIN s USING (cluster_id)")
 def q_probe_overlap(spark, sf):
     assigned, centers = assigned_of(spark, sf)
-    near = build.assign(low(embeddings(spark, sf)).where("id % 50 = 0"), centers, 5)
+    near = build.assign(embeddings(spark, sf).where("id % 50 = 0"), centers, 5)
     return metrics.probe_overlap(near, build.cluster_stats(assigned), 2, 5)
 
 
@@ -770,36 +1094,103 @@ def q_delete(spark, sf):
     return knn.knn(base.join(deleted, "id", "left_anti"), as_queries(base), K).select("query_id", "base_id", "rank")
 
 
-@query("code_lookup", "SELECT vec_id AS id, vec_id % 50 = 0 AS wanted FROM embeddings WHERE vec_id % 50 = 0")
+@query("code_lookup", with_assigned() + "SELECT id, cluster_id, round(d2, 6) AS f_add FROM a WHERE id % 50 = 0 AND d2 > 0")
 def q_code_lookup(spark, sf):
     """Codes of the query rows, fetched by id."""
-    assigned, centers, _ = low_candidates(spark, sf)
-    wanted = embeddings(spark, sf).where("id % 50 = 0").select("id", F.lit(True).alias("wanted"))
-    return codes.one_bit_codes(assigned, centers).join(wanted, "id").select("id", "wanted")
-
-
-@query("code_cell_filter")
-def q_code_cells(spark, sf):
-    """(query, cluster) that any member's one-bit bound keeps."""
-    bounds = codes.code_bounds(*low_candidates(spark, sf))
-    return bounds.groupBy("query_id", "cluster_id").agg(F.min("lb").alias("least_lb")).where(F.col("least_lb") <= R_FULL)
+    base, _, index = indexed(spark, sf)
+    return rounded(index.codes.join(base.where("id % 50 = 0").select("id"), "id").where("f_add > 0").select("id", "cluster_id", "f_add"), "f_add")
 
 
 @query("pca_projection", "SELECT CAST(0 AS BIGINT) AS id WHERE false")
 def q_projection(spark, sf):
     """Members whose coordinates, taken by the vector functions, lie outside their cluster's box and residual."""
-    base, _, index = low_index(spark, sf)
+    base, _, index = indexed(spark, sf)
     c = index.centers.table(spark).select("cluster_id", F.col("vec").alias("cv"))
-    members = index.cells.withColumn("id", F.explode("ids")).join(base.select("id", "vec"), "id").join(F.broadcast(c), "cluster_id")
+    bounds = index.cells.join(index.models.select("cluster_id", "part", "basis"), ["cluster_id", "part"])
+    members = index.members.select("cluster_id", "cell_id", "id", "vec").join(bounds, ["cluster_id", "cell_id"]).join(F.broadcast(c), "cluster_id")
     t = V.project(F.col("basis"), F.col("vec"), F.col("cv"))
     members = members.withColumn("t", t).withColumn("res", V.residual(F.col("vec"), F.col("cv"), F.col("t")))
     outside = F.exists(F.zip_with("t", "lo", lambda x, y: x < y - 1e-9), lambda x: x) | F.exists(F.zip_with("t", "hi", lambda x, y: x > y + 1e-9), lambda x: x)
     return members.where(outside | ~F.col("res").between(F.col("res_lo") - 1e-6, F.col("res_hi") + 1e-6)).select("id")
 
 
-@query("seeded_noise")
+def uniform_sql(k: int) -> str:
+    return f"((('0x' || substr(md5(concat('{7 + k}:', id)), 1, 10))::BIGINT + 1) / {float((1 << 40) + 1)})"
+
+
+@query("seeded_noise", with_tables() + f"SELECT id, round(sqrt({own('v')}) + 0.01 * sqrt(-2 * ln({uniform_sql(0)})) * cos(2 * pi() * {uniform_sql(1)}), 6) AS value FROM b")
 def q_noise(spark, sf):
-    return metrics.perturbed(embeddings(spark, sf).select("id", V.norm("vec").alias("value")), "value", 0.01, 7)
+    return rounded(metrics.perturbed(embeddings(spark, sf).select("id", V.norm("vec").alias("value")), "value", 0.01, 7), "value")
+
+
+def some_vectors(spark, sf, signed: bool | None = None) -> tuple[list[int], list[list]]:
+    """The rows of ids below 64, on the driver, for files made by hand."""
+    base = embeddings(spark, sf) if signed is None else integers(embeddings(spark, sf), signed)
+    rows = base.where("id < 64").orderBy("id").select("id", "vec").collect()
+    return [r["id"] for r in rows], [r["vec"] for r in rows]
+
+
+FEW = "SELECT vec_id AS id, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 6)) AS vec FROM embeddings WHERE vec_id < 64"
+
+
+def read_file(spark, kind: str, path: str, **options) -> DataFrame:
+    from vicinal.sources import vector_files
+
+    vector_files.register(spark)
+    return spark.read.format(kind).options(path=path, **options).load()
+
+
+@query("fvecs_scan", FEW)
+def q_fvecs(spark, sf):
+    _, rows = some_vectors(spark, sf)
+    path = put_file(spark, "vectors.fvecs", b"".join(struct.pack(f"<i{DIM}f", DIM, *r) for r in rows))
+    return read_file(spark, "fvecs", path, rangeBytes="4096").select("id", F.transform("vec", lambda x: F.round(x.cast("double"), 6)).alias("vec"))
+
+
+@query("f32_scan", "SELECT vec_id AS id, round(CAST(embedding[1] AS DOUBLE), 6) AS value FROM embeddings WHERE vec_id < 64")
+def q_f32(spark, sf):
+    ids, rows = some_vectors(spark, sf)
+    path = put_file(spark, "column.f32", struct.pack(f"<{len(ids)}f", *(r[0] for r in rows)))
+    return read_file(spark, "f32", path).select("id", F.round(F.col("value").cast("double"), 6).alias("value"))
+
+
+@query("knn_ids_scan", with_hits(64, R_FULL) + KNN_SQL + "SELECT query_id // 50 AS row, list(base_id ORDER BY rank) AS ids, list(round(dist_sq, 4) ORDER BY rank) AS dists FROM nn WHERE query_id < 500 GROUP BY query_id")
+def q_knn_ids(spark, sf):
+    """Exact neighbours written as an ids file with distances, and read back."""
+    base = embeddings(spark, sf)
+    lists = knn.as_lists(knn.knn(base, as_queries(base).where("query_id < 500"), K)).orderBy("query_id").collect()
+    ids = b"".join(struct.pack(f"<{K}I", *(x["id"] for x in r["neighbours"])) for r in lists)
+    dists = b"".join(struct.pack(f"<{K}f", *(x["dist_sq"] for x in r["neighbours"])) for r in lists)
+    found = read_file(spark, "knn_ids", put_file(spark, "truth.knn", struct.pack("<2I", len(lists), K) + ids + dists))
+    return found.select(F.col("id").alias("row"), F.col("neighbours").alias("ids"), F.transform("distances", lambda x: F.round(x.cast("double"), 4)).alias("dists"))
+
+
+@query("fbin_bytes", "SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(round(CAST(x AS DOUBLE) * 127) AS BIGINT)) AS vec FROM embeddings WHERE vec_id < 64")
+def q_fbin_bytes(spark, sf):
+    """A file of signed bytes without a type, wrapped anew as one that names its type, with its shape checked."""
+    _, rows = some_vectors(spark, sf, True)
+    bare = put_file(spark, "bytes.fbin", struct.pack("<2I", len(rows), DIM) + b"".join(struct.pack(f"{DIM}b", *r) for r in rows))
+    wrapped = f"{bare}-wrapped"
+    read_file(spark, "fbin", bare, dtype="int8").orderBy("id").write.format("fbin").options(path=wrapped, dtype="int8", version="2").mode("append").save()
+    found = read_file(spark, "fbin", wrapped, expectRows=str(len(rows)), expectDim=str(DIM), expectDtype="int8")
+    return found.select("id", F.col("vec").cast("array<bigint>").alias("vec"))
+
+
+CONFIG = f"cluster_num {CENTERS}\nK {CENTERS}\nmem_budget 1\nmode disk\ngorder_window 0\nslab_count {SLABS}\nfast_path_enabled true\nfast_path_mode exact\nfast_path_nprobe_N {NPROBE}\n"
+
+
+@query("search_by_config", with_assigned() + f""", qc AS (SELECT * FROM (SELECT q.query_id, q.v, c.cluster_id, row_number() OVER (PARTITION BY q.query_id ORDER BY {l2("q.v", "c.v")}, c.cluster_id) AS rank FROM q, c) WHERE rank <= {NPROBE}),
+    e AS (SELECT qc.query_id, min({l2("qc.v", "a.v")}) > {R_NEAR} AS is_empty FROM qc JOIN a USING (cluster_id) GROUP BY qc.query_id),
+    t AS (SELECT q.query_id, count(b.id) AS n FROM q LEFT JOIN b ON {l2("q.v", "b.v")} <= {R_NEAR} GROUP BY q.query_id)
+    SELECT count(*) AS n_queries, count(*) FILTER (is_empty) AS n_skipped, CAST(coalesce(sum(n) FILTER (NOT is_empty), 0) AS BIGINT) AS total_n_hits, CAST(sum(n) AS BIGINT) AS hits,
+      count(*) FILTER (is_empty AND n > 0) AS n_false_empty, round(coalesce(sum(n) FILTER (NOT is_empty), 0) / sum(n), 6) AS recall FROM t JOIN e USING (query_id)""")
+def q_search_by_config(spark, sf):
+    """Configuration and truth file, classifier, skipping and cascade together; every query finds itself, so none may be skipped."""
+    base, queries, index = indexed(spark, sf)
+    truth = range_join.count_per_query(queries, range_join.range_join(base, queries, R_NEAR)).orderBy("query_id")
+    path = put_file(spark, "truth", metrics.truth_json(truth, R_NEAR, "embeddings", DIM, base.count()).first()["json"].encode())
+    found = search.search_by_truth(spark, config.parse_config(CONFIG), index, queries, path)
+    return found.figures.select("n_queries", "n_skipped", "total_n_hits", "hits", "n_false_empty", "recall")
 
 
 @query("batch_center_distances", with_tables() + f"SELECT q.query_id, c.cluster_id, round({l2('q.v', 'c.v')}, 6) AS dist_sq FROM q, c")

@@ -16,10 +16,13 @@ from pyspark.sql import functions as F
 
 from vicinal.functions import vectors as V
 from vicinal.operators import kernels
-from vicinal.plans.shared import materialize
+from vicinal.plans.shared import materialize, new_path
 
-#: Bytes of a center matrix that may be broadcast; rows of a cluster that one task fits or splits in memory.
-CENTER_BYTES, CLUSTER_ROWS = 512 << 20, 2_000_000
+#: Bytes of a center matrix that may be broadcast; rows of a cluster that one task fits or splits in memory; folders
+#: of a stored index's base.
+CENTER_BYTES, CLUSTER_ROWS, BANDS = 512 << 20, 200_000, 256
+#: Rows of a range of ids in which seeds are ranked; moved ids that the driver holds at a time.
+RANGE_ROWS, HELD = 1_000_000, 1_000_000
 #: An alternative center is taken below this ratio of squared distances, if its bucket is smaller;
 #: the seed of training samples.
 TWO_CHOICE, SEED = 1.2, 283
@@ -46,25 +49,26 @@ def stride_seeds(base: DataFrame, k: int, n: int | None = None) -> Centers:
     if not k:
         return Centers(np.zeros((0, 0)))
     step = n // k
-    # ranks within ranges of ids, and the ranges' sizes: no single task orders all rows
-    lo, hi = base.agg(F.min("id"), F.max("id")).first()
-    width = max(1, (hi - lo + 1) // max(1, n // 100_000))
-    part = F.floor((F.col("id") - lo) / width)
-    sizes = {r["p"]: r["count"] for r in base.groupBy(part.alias("p")).count().collect()}
-    before, run = {}, 0
-    for p in sorted(sizes):
-        before[p], run = run, run + sizes[p]
-    start = F.create_map(*[F.lit(x) for p, b in before.items() for x in (p, b)])
-    rank = F.row_number().over(Window.partitionBy("p").orderBy("id")) - 1
-    ranked = base.select("id", part.alias("p")).withColumn("rank", start[F.col("p")] + rank)
-    picked = ranked.where((F.col("rank") % step == 0) & (F.col("rank") < step * k)).select("id", "rank")
+    picked = ranked(base, n).where((F.col("rank") % step == 0) & (F.col("rank") < step * k)).select("id", "rank")
     rows = base.join(F.broadcast(picked), "id").orderBy("rank").select("vec").collect()
     return Centers(np.array([r["vec"] for r in rows], np.float64))
 
 
+def ranked(base: DataFrame, n: int) -> DataFrame:
+    """(id, rank) of n rows, ranks from 0 in order of id. Ids are ranked within ranges, by sampled split points, and
+    the ranges' sizes are added: no single task orders all rows."""
+    cut = base.select("id").repartitionByRange(max(1, n // RANGE_ROWS), "id").withColumn("p", F.spark_partition_id())
+    cut = materialize(cut, "ranges")
+    sizes = sorted((r["p"], r["count"]) for r in cut.groupBy("p").count().collect())
+    starts = np.cumsum([0, *(c for _, c in sizes)]).tolist()
+    before = base.sparkSession.createDataFrame([(p, s) for (p, _), s in zip(sizes, starts, strict=False)], "p int, before long")
+    local = F.row_number().over(Window.partitionBy("p").orderBy("id")) - 1
+    return cut.withColumn("local", local).join(F.broadcast(before), "p").select("id", (F.col("before") + F.col("local")).alias("rank"))
+
+
 def sample(base: DataFrame, k: int, per_center: int = 10, seed: int = SEED) -> DataFrame:
     """min(n, per_center * k) rows of least seeded hash of their id, in order of id."""
-    return base.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(per_center * k).orderBy("id")
+    return base.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), "id").limit(per_center * k).orderBy("id")
 
 
 def _nearest(centers, m: int):
@@ -98,9 +102,11 @@ def assign(base: DataFrame, centers: Centers, m: int = 1) -> DataFrame:
 
 def two_choice(base: DataFrame, centers: Centers, ratio: float = TWO_CHOICE) -> DataFrame:
     """(id, cluster_id): the nearest center, or the second if its squared distance is below ratio times the
-    first's and its bucket is smaller at that point of a scan in order of id. The scan reads 20 bytes a row,
-    streamed to the driver in order; only bucket sizes are held there, and decisions go back in slices."""
+    first's and its bucket is smaller at that point of a scan in order of id. The decision needs all earlier ones,
+    so the scan streams 28 bytes a row through the driver, in order; bucket sizes and HELD moved ids at most are
+    held there, and go to the shared folder in slices."""
     spark = base.sparkSession
+    path, slices = new_path(spark, "moved"), 0
     near = assign(base, centers, 2).select("id", "cluster_id", "dist_sq", "rank")
     wide = near.groupBy("id").agg(
         *(F.max(F.when(F.col("rank") == r, F.col(c))).alias(f"{c}{r}") for r in (1, 2) for c in ("cluster_id", "dist_sq"))
@@ -113,11 +119,37 @@ def two_choice(base: DataFrame, centers: Centers, ratio: float = TWO_CHOICE) ->
             swapped.append((r["id"],))
             first = second
         sizes[first] += 1
-    moved = spark.createDataFrame(swapped, "id long").withColumn("moved", F.lit(True))
+        if len(swapped) >= HELD:
+            spark.createDataFrame(swapped, "id long").write.mode("append").parquet(path)
+            swapped, slices = [], slices + 1
+    moved = spark.createDataFrame(swapped, "id long")
+    if slices:
+        moved = moved.unionByName(spark.read.schema("id long").parquet(path))
+    moved = moved.withColumn("moved", F.lit(True))
     cluster = F.when(F.col("moved"), F.col("cluster_id2")).otherwise(F.col("cluster_id1"))
     return wide.join(moved, "id", "left").select("id", cluster.alias("cluster_id"))
 
 
+def balanced(base: DataFrame, centers: Centers) -> DataFrame:
+    """(id, cluster_id): rows in order of the gap between their two nearest centers' squared distances, ties by id,
+    each to the smaller of the two buckets at that point (the nearer one if equal). The scan is as two_choice's."""
+    near = assign(base, centers, 2)
+    wide = near.groupBy("id").agg(*(F.max(F.when(F.col("rank") == r, F.col(c))).alias(f"{c}{r}") for r in (1, 2) for c in ("cluster_id", "dist_sq")))
+    order = wide.select("id", "cluster_id1", "cluster_id2", (F.col("dist_sq2") - F.col("dist_sq1")).alias("gap")).orderBy("gap", "id")
+    spark, sizes, out = base.sparkSession, [0] * len(centers.matrix), []
+    path, slices = new_path(spark, "balanced"), 0
+    for r in order.toLocalIterator(prefetchPartitions=True):
+        a, b = r["cluster_id1"], r["cluster_id2"]
+        c = b if b is not None and sizes[b] < sizes[a] else a
+        sizes[c] += 1
+        out.append((r["id"], c))
+        if len(out) >= HELD:
+            spark.createDataFrame(out, "id long, cluster_id int").write.mode("append").parquet(path)
+            out, slices = [], slices + 1
+    found = spark.createDataFrame(out, "id long, cluster_id int")
+    return found.unionByName(spark.read.schema(found.schema).parquet(path)) if slices else found
+
+
 def lloyd_step(base: DataFrame, centers: Centers) -> tuple[Centers, float]:
     """Means of the rows nearest to each center, and the total loss. Partitions send sums of k * dim doubles,
     which are added up by cluster in a shuffle. An empty cluster splits the largest: its center is copied,
@@ -247,14 +279,27 @@ def center_neighbours(centers: Centers, m: int, spark: SparkSession) -> DataFram
     k = len(centers.matrix)
     if not 0 <= m < k:
         raise ValueError("fewer neighbours than centers are needed")
-    out = []
-    for i in range(k):
-        c, d = kernels.nearest(centers.matrix[i : i + 1], centers.matrix, min(k, m + 1))
-        keep = [(int(x), float(y)) for x, y in zip(c[0], d[0], strict=True) if x != i][:m]
-        if any(y < 1e-18 for _, y in keep):
-            raise ValueError(f"center {i} coincides with another")
-        out += [(i, x, y, s) for s, (x, y) in enumerate(keep)]
-    return spark.createDataFrame(out, "cluster_id int, neighbour_id int, dist_sq double, slot int")
+    shared = spark.sparkContext.broadcast(centers.matrix)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                ids, d = _others(shared.value, i, m)
+                columns = [pa.array(np.full(len(ids), i, np.int32)), pa.array(ids.astype(np.int32)), pa.array(d), pa.array(np.arange(len(ids), dtype=np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["cluster_id", "neighbour_id", "dist_sq", "slot"])
+
+    tasks = spark.range(0, k, 1, max(1, min(k, spark.sparkContext.defaultParallelism))).select(F.col("id").cast("int"))
+    found = materialize(tasks.mapInArrow(run, "cluster_id int, neighbour_id int, dist_sq double, slot int"), "neighbours")
+    if same := found.where("dist_sq < 1e-18").select("cluster_id").head(1):
+        raise ValueError(f"center {same[0][0]} coincides with another")
+    return found
+
+
+def _others(matrix: np.ndarray, i: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """The m nearest other rows of row i, and their squared distances."""
+    c, d = kernels.nearest(matrix[i : i + 1], matrix, min(len(matrix), m + 1))
+    keep = np.flatnonzero(c[0] != i)[:m]
+    return c[0][keep], d[0][keep]
 
 
 def slabs(assigned: DataFrame, centers: Centers, m: int) -> DataFrame:
@@ -263,29 +308,25 @@ def slabs(assigned: DataFrame, centers: Centers, m: int) -> DataFrame:
     rounding; an empty cluster has (+inf, -inf). Members are projected where they are; only bounds are shuffled."""
     spark = assigned.sparkSession
     near = center_neighbours(centers, m, spark)
-    rows = near.collect()  # k * m rows, bounded with the centers
-    k = len(centers.matrix)
-    ids = np.zeros((k, m), np.int64)
-    for r in rows:
-        ids[r["cluster_id"], r["slot"]] = r["neighbour_id"]
-    shared = spark.sparkContext.broadcast((centers.matrix, ids))
+    shared = spark.sparkContext.broadcast(centers.matrix)
 
     def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matrix, other = shared.value
-        lo, hi, top = np.full(other.shape, np.inf), np.full(other.shape, -np.inf), np.zeros(len(matrix))
+        matrix, held = shared.value, {}  # cluster -> its directions, lowest and highest positions, longest member
         for batch in batches:
             c, x = batch.column(0).to_numpy(), kernels.matrix(batch.column(1))
             for i in np.unique(c).tolist():
                 mine = x[c == i]
-                u = matrix[other[i]] - matrix[i]
-                u /= np.sqrt((u * u).sum(axis=1))[:, None]
+                if i not in held:
+                    u = matrix[_others(matrix, i, m)[0]] - matrix[i]
+                    u /= np.sqrt((u * u).sum(axis=1))[:, None]
+                    held[i] = [u, np.full(len(u), np.inf), np.full(len(u), -np.inf), 0.0]
+                u, lo, hi, top = held[i]
                 p = mine @ u.T - (u @ matrix[i])[None]
-                lo[i], hi[i] = np.minimum(lo[i], p.min(axis=0)), np.maximum(hi[i], p.max(axis=0))
-                top[i] = max(top[i], np.sqrt(np.einsum("ij,ij->i", mine, mine)).max())
-        some = np.flatnonzero(np.isfinite(lo).any(axis=1)) if other.size else np.zeros(0, np.int64)
-        i, s = (a.ravel() for a in np.meshgrid(some, np.arange(other.shape[1]), indexing="ij"))
-        columns = [pa.array(i.astype(np.int32)), pa.array(s.astype(np.int32)), pa.array(lo[i, s]), pa.array(hi[i, s]), pa.array(top[i])]
-        yield pa.RecordBatch.from_arrays(columns, names=["cluster_id", "slot", "lo", "hi", "top"])
+                held[i][1:] = [np.minimum(lo, p.min(axis=0)), np.maximum(hi, p.max(axis=0)), max(top, np.sqrt(np.einsum("ij,ij->i", mine, mine)).max())]
+        for i, (u, lo, hi, top) in held.items():
+            n = len(u)
+            columns = [pa.array(np.full(n, i, np.int32)), pa.array(np.arange(n, dtype=np.int32)), pa.array(lo), pa.array(hi), pa.array(np.full(n, float(top)))]
+            yield pa.RecordBatch.from_arrays(columns, names=["cluster_id", "slot", "lo", "hi", "top"])
 
     dim = centers.matrix.shape[1]
     found = assigned.select("cluster_id", "vec").mapInArrow(bounds, "cluster_id int, slot int, lo double, hi double, top double")
@@ -298,6 +339,45 @@ def slabs(assigned: DataFrame, centers: Centers, m: int) -> DataFrame:
     )
 
 
+def center_products(queries: DataFrame, centers: Centers, wanted: DataFrame) -> DataFrame:
+    """(query_id, cluster_id, dot) of the inner products of queries with those centers alone that wanted(query_id,
+    cluster_id) names, such as candidate clusters and their slabs' neighbours; repeats count once."""
+    shared = queries.sparkSession.sparkContext.broadcast(centers.matrix)
+    lists = wanted.groupBy("query_id").agg(F.sort_array(F.collect_set("cluster_id")).alias("wanted"))  # k numbers at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, q, ids in zip(batch.column(0).to_pylist(), kernels.matrix(batch.column(1)), batch.column(2), strict=True):
+                ids = np.asarray(ids.values)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), key)), pa.array(ids), pa.array(shared.value[ids] @ q)], names=["query_id", "cluster_id", "dot"])
+
+    return queries.select("query_id", "vec").join(lists, "query_id").mapInArrow(run, "query_id long, cluster_id int, dot double")
+
+
+def quantised(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whole numbers from -127 to 127, scale of each row): rows over their largest magnitude, rounded to the
+    nearest, halves away from zero."""
+    scale = np.abs(rows).max(axis=1, initial=0) / 127
+    x = rows / np.where(scale > 0, scale, 1)[:, None]
+    return (np.sign(x) * np.floor(np.abs(x) + 0.5)).astype(np.int32), scale
+
+
+def quantised_products(queries: DataFrame, centers: Centers) -> DataFrame:
+    """(query_id, cluster_id, dot): inner products of queries and all centers, each quantised to a byte a
+    component by its own scale: whole-number products, rescaled."""
+    shared = queries.sparkSession.sparkContext.broadcast(quantised(centers.matrix))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, c_scale = shared.value
+        for batch in batches:
+            q, scale = quantised(kernels.matrix(batch.column(1)))
+            dot = (q @ c.T) * scale[:, None] * c_scale[None]
+            n, k = dot.shape
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(n), k))), pa.array(np.tile(np.arange(k, dtype=np.int32), n)), pa.array(dot.ravel())], names=["query_id", "cluster_id", "dot"])
+
+    return queries.select("query_id", "vec").mapInArrow(run, "query_id long, cluster_id int, dot double")
+
+
 def slab_order(slab: DataFrame) -> DataFrame:
     """slab with `tightness`: rank within the cluster by width, ties by slot."""
     by = Window.partitionBy("cluster_id").orderBy(F.col("hi") - F.col("lo"), "slot")
@@ -348,81 +428,75 @@ def kd_cells(t: np.ndarray, target: int) -> np.ndarray:
     return cell
 
 
-CELLS = "cluster_id int, cell_id int, ids array<bigint>, basis array<array<double>>, lo array<double>, hi array<double>, res_lo double, res_hi double, cluster_lo array<double>, cluster_hi array<double>, cluster_res double"
+LAID_OUT = (
+    "kind string, cluster_id int, part int, cell_id long, id long, vec array<double>, dist_sq double, n long,"
+    " basis array<array<double>>, lo array<double>, hi array<double>, res_lo double, res_hi double"
+)
 
 
-def cells(assigned: DataFrame, centers: Centers, pca_rank: int = 32, target: int = 24) -> DataFrame:
-    """One row a cell: its members and bounds in its cluster's local PCA, with the cluster's own bounds.
+def lay_out(assigned: DataFrame, centers: Centers, pca_rank: int = 32, target: int = 24) -> DataFrame:
+    """The base in clusters and cells: rows of three kinds, from one pass over the shuffled base.
 
-    A cluster is fitted in one task. Clusters are an index's unit of work: choose k so that none exceeds
-    CLUSTER_ROWS; a larger one is cut by a hash of the id and each part is fitted as a cluster of its own
-    cells, which keeps all bounds valid."""
+    member: id, vec, dist_sq, cell_id. cell: n, and its bounds lo, hi, res_lo, res_hi in the cluster's local PCA.
+    model: n, basis and the cluster's own bounds lo, hi, res_hi. A cluster is fitted in one task; one of more
+    than CLUSTER_ROWS rows is cut by a hash of the id into parts, each with a model and cells of its own."""
     shared = assigned.sparkSession.sparkContext.broadcast(centers.matrix)
+    schema = _laid_out_schema()
 
-    def run(table: pa.Table) -> pa.Table:
-        c = table.column("cluster_id")[0].as_py()
-        rows, ids, center = kernels.matrix(table.column("vec")), table.column("id").to_numpy(), shared.value[c]
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        c, part = (k.as_py() for k in key)
+        ids, center = table.column("id").to_numpy(), shared.value[c]
         order = np.argsort(ids, kind="stable")
-        rows, ids = rows[order], ids[order]
+        ids, rows, dist = ids[order], kernels.matrix(table.column("vec"))[order], table.column("dist_sq").to_numpy()[order]
         pca = LocalPca.fit(rows, center, pca_rank)
         t, res = pca.project(rows, center)
-        cell = kd_cells(t, target)
-        out = []
+        cell, n = kd_cells(t, target), len(ids)
+        own = (part << 32) + cell
+        # in order of cell, then id
+        order = np.lexsort((ids, cell))
+        base = {"cluster_id": [c], "part": [part]}
+        out = [_rows(schema, n, kind="member", **base, cell_id=own[order], id=ids[order], vec=pa.array(list(rows[order]), pa.list_(pa.float64())), dist_sq=dist[order])]
         for i in np.unique(cell).tolist():
             m = cell == i
-            out.append(
-                {
-                    "cluster_id": c, "cell_id": i, "ids": ids[m].tolist(), "basis": pca.basis.tolist(),
-                    "lo": t[m].min(axis=0).tolist(), "hi": t[m].max(axis=0).tolist(), "res_lo": float(res[m].min()), "res_hi": float(res[m].max()),
-                    "cluster_lo": t.min(axis=0).tolist(), "cluster_hi": t.max(axis=0).tolist(), "cluster_res": float(res.max()),
-                }
-            )
-        return pa.Table.from_pylist(out, schema=_cells_schema())
+            bounds = {"lo": [t[m].min(axis=0).tolist()], "hi": [t[m].max(axis=0).tolist()], "res_lo": [float(res[m].min())], "res_hi": [float(res[m].max())]}
+            out.append(_rows(schema, 1, kind="cell", **base, cell_id=[(part << 32) + i], n=[int(m.sum())], **bounds))
+        whole = {"lo": [t.min(axis=0).tolist()], "hi": [t.max(axis=0).tolist()], "res_hi": [float(res.max())]}
+        out.append(_rows(schema, 1, kind="model", **base, n=[n], basis=[pca.basis.tolist()], **whole))
+        return pa.concat_tables(out)
 
     parts = assigned.groupBy("cluster_id").agg(F.ceil(F.count(F.lit(1)) / CLUSTER_ROWS).alias("parts"))
-    cut = assigned.select("id", "vec", "cluster_id").join(F.broadcast(parts), "cluster_id")
-    cut = cut.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
-    return cut.groupBy("cluster_id", "part").applyInArrow(run, CELLS)
+    cut = assigned.select("id", "vec", "cluster_id", "dist_sq").join(F.broadcast(parts), "cluster_id")
+    cut = cut.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
+    return cut.groupBy("cluster_id", "part").applyInArrow(run, LAID_OUT)
+
+
+def _rows(schema: pa.Schema, count: int, kind: str, **columns) -> pa.Table:
+    """Some rows of a kind; a column of one value holds it throughout, a missing one is null."""
+    out = []
+    for f in schema:
+        v = [kind] if f.name == "kind" else columns.get(f.name)
+        v = pa.nulls(count, f.type) if v is None else v if isinstance(v, pa.Array) else pa.array(list(v) * count if len(v) == 1 and count > 1 else v, f.type)
+        out.append(v)
+    return pa.Table.from_arrays(out, schema=schema)
 
 
-def _cells_schema() -> pa.Schema:
+def _laid_out_schema() -> pa.Schema:
     f, l = pa.float64(), pa.list_
     return pa.schema(
-        [("cluster_id", pa.int32()), ("cell_id", pa.int32()), ("ids", l(pa.int64())), ("basis", l(l(f))), ("lo", l(f)), ("hi", l(f)), ("res_lo", f), ("res_hi", f), ("cluster_lo", l(f)), ("cluster_hi", l(f)), ("cluster_res", f)]
+        [("kind", pa.string()), ("cluster_id", pa.int32()), ("part", pa.int32()), ("cell_id", pa.int64()), ("id", pa.int64()), ("vec", l(f)), ("dist_sq", f),
+         ("n", pa.int64()), ("basis", l(l(f))), ("lo", l(f)), ("hi", l(f)), ("res_lo", f), ("res_hi", f)]
+    )
+
+
+def kinds(laid: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members, cells and models of lay_out()'s rows."""
+    of = lambda kind, *columns: laid.where(F.col("kind") == kind).select("cluster_id", *columns)
+    return (
+        of("member", "part", "cell_id", "id", "vec", "dist_sq"),
+        of("cell", "part", "cell_id", "n", "lo", "hi", "res_lo", "res_hi"),
+        of("model", "part", "n", "basis", "lo", "hi", "res_hi"),
     )
 
 
-def write_index(path: str, assigned: DataFrame, cell_table: DataFrame, slab: DataFrame, centers: Centers, meta: dict) -> None:
-    """Index tables as Parquet: base by cluster, then cell and id; clusters; cells; slabs; one row of metadata."""
-    spark = assigned.sparkSession
-    members = cell_table.select("cluster_id", "cell_id", F.explode("ids").alias("id"))
-    base = assigned.select("id", "vec", "cluster_id", "dist_sq").join(members, ["cluster_id", "id"])
-    base.repartition("cluster_id").sortWithinPartitions("cluster_id", "cell_id", "id").write.mode("overwrite").partitionBy("cluster_id").parquet(f"{path}/base")
-    cluster_stats(assigned).join(F.broadcast(centers.table(spark)), "cluster_id", "right").write.mode("overwrite").parquet(f"{path}/clusters")
-    cell_table.withColumn("n", F.size("ids")).drop("ids").write.mode("overwrite").parquet(f"{path}/cells")
-    slab.write.mode("overwrite").parquet(f"{path}/slabs")
-    spark.createDataFrame([(SCHEMA_VERSION, str(sorted(meta.items())))], "schema_version int, options string").write.mode("overwrite").parquet(f"{path}/index_meta")
-
-#: Of the tables that write_index writes.
-SCHEMA_VERSION = 6
-
-
-def check_index(spark: SparkSession, path: str) -> DataFrame:
-    """(what) is wrong with an index on disk; empty if nothing is."""
-    meta = spark.read.parquet(f"{path}/index_meta").select("schema_version")
-    base, clusters, cell = (spark.read.parquet(f"{path}/{t}") for t in ("base", "clusters", "cells"))
-    sizes = base.groupBy(F.col("cluster_id").cast("int").alias("c")).agg(F.count(F.lit(1)).alias("rows"))
-    off = clusters.join(sizes, clusters["cluster_id"] == sizes["c"], "full").where(~F.coalesce("n", F.lit(0)).eqNullSafe(F.coalesce("rows", F.lit(0))))
-    in_cells = cell.groupBy("cluster_id").agg(F.sum("n").alias("members")).join(sizes, F.col("cluster_id") == F.col("c"), "full")
-    bounds = cell.where(F.exists(F.zip_with("lo", "hi", lambda a, b: a > b), lambda x: x) | (F.col("res_lo") > F.col("res_hi")))
-    parts = [
-        (meta.where(F.col("schema_version") != SCHEMA_VERSION), "schema version"),
-        (off, "cluster size"),
-        (in_cells.where(~F.col("members").eqNullSafe(F.col("rows"))), "cell sizes"),
-        (bounds, "cell bounds"),
-    ]
-    found = [df.select(F.lit(what).alias("what")) for df, what in parts]
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+#: Of the tables of a stored index.
+SCHEMA_VERSION = 7

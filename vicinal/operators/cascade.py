@@ -1,20 +1,23 @@
 """Range search through clusters and cells: bounds reject what cannot hold a hit, the rest is read and compared.
 
-With every cluster a candidate, alpha 1 and no quantised filter the result equals the plain range join.
-Pruning uses eps = r / alpha; the distance test always uses r.
+With every cluster a candidate, alpha 1 and no code filter the result equals the plain range join. Pruning uses
+eps = r / alpha; the distance test always uses r. Each stage sees what the stages before it kept: prescreen and
+slab are rows of (query, cluster), the PCA box of a cluster meets those that are left, cells those that are left
+then, and only cells that are left meet base rows, in an equi-join on (cluster, cell).
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vicinal.functions import vectors as V
-from vicinal.operators import build, kernels
+from vicinal.operators import build, codes, kernels
 from vicinal.plans.shared import materialize
 
 STAGES = ("prescreen", "slab", "pca", "cell")
@@ -24,13 +27,17 @@ SLACK = 1e-9
 
 @dataclass
 class Index:
-    """assigned(id, vec, cluster_id, dist_sq), cells, slabs, cluster statistics and centers."""
+    """centers; members(cluster_id, part, cell_id, id, vec, dist_sq), cells and models as lay_out() makes them;
+    stats(cluster_id, n, radius, n_cells); slabs and codes, if the index has them."""
 
     centers: build.Centers
-    assigned: DataFrame
-    stats: DataFrame
-    slabs: DataFrame | None
+    members: DataFrame
     cells: DataFrame
+    models: DataFrame
+    stats: DataFrame
+    slabs: DataFrame | None = None
+    codes: DataFrame | None = None
+    meta: dict = field(default_factory=dict)
 
 
 @dataclass
@@ -38,21 +45,105 @@ class Options:
     alpha: float = 1.0
     n_candidates: int | None = None
     stages: tuple[str, ...] = field(default=STAGES)
+    #: Whether codes reject rows ("rows") or whole cells ("cells") before vectors are read; loses hits with a small probability.
+    code_filter: str | None = None
 
     def __post_init__(self) -> None:
         if not (np.isfinite(self.alpha) and self.alpha >= 1):
             raise ValueError("alpha is finite and at least 1")
         if unknown := set(self.stages) - set(STAGES):
             raise ValueError(f"no such stages: {sorted(unknown)}")
+        if self.code_filter not in (None, "rows", "cells"):
+            raise ValueError("code_filter is rows or cells")
 
 
-def build_index(base: DataFrame, centers: build.Centers, slab_count: int = 8, pca_rank: int = 32, target_cell_vecs: int = 24) -> Index:
+def build_index(
+    base: DataFrame, centers: build.Centers, slab_count: int = 8, pca_rank: int = 32, target_cell_vecs: int = 24, with_codes: bool = False, normalize: bool = False, assigned: DataFrame | None = None
+) -> Index:
+    """An index of base(id, vec). normalize: vectors are scaled to length 1 first (centers are taken as they are);
+    assigned(id, vec, cluster_id, dist_sq) replaces the assignment to the nearest center."""
     if target_cell_vecs < 2:
         raise ValueError("a cell has at least two vectors")
-    assigned = materialize(build.assign(base, centers).drop("rank"), "assigned")
-    stats = materialize(build.cluster_stats(assigned), "stats")
-    slab = materialize(build.slabs(assigned, centers, slab_count), "slabs") if slab_count else None
-    return Index(centers, assigned, stats, slab, materialize(build.cells(assigned, centers, pca_rank, target_cell_vecs), "cells"))
+    if normalize:
+        base = base.withColumn("vec", V.normalize("vec"))
+    assigned = build.assign(base, centers).drop("rank") if assigned is None else assigned
+    laid = materialize(build.lay_out(assigned, centers, pca_rank, target_cell_vecs), "laid-out", partition_by="kind")
+    members, cells, models = build.kinds(laid)
+    counts = cells.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n_cells"))
+    stats = materialize(build.cluster_stats(members).join(counts, "cluster_id"), "stats")
+    slab = materialize(build.slabs(members, centers, slab_count), "slabs") if slab_count else None
+    code = materialize(codes.one_bit_codes(members, centers), "codes") if with_codes else None
+    return Index(centers, members, cells, models, stats, slab, code, {"dim": int(centers.matrix.shape[1]), "k": len(centers.matrix), "slab_count": slab_count, "pca_rank": pca_rank, "target_cell_vecs": target_cell_vecs, "normalize": normalize})
+
+
+def write_index(index: Index, path: str) -> None:
+    """The index as Parquet tables: base (in at most BANDS folders of clusters, sorted by cluster, cell and id, so
+    that readers skip what they don't want), cells, models, clusters with centers, slabs, codes and one row of
+    metadata, written last."""
+    spark = index.members.sparkSession
+    k = len(index.centers.matrix)
+    width = max(1, -(-k // build.BANDS))
+    band = F.floor(F.col("cluster_id") / width).cast("int")
+
+    def write(df: DataFrame, name: str, *order: str) -> None:
+        df = df.repartitionByRange(*order).sortWithinPartitions(*order)
+        writer = df.withColumn("band", band).write if name in ("base", "codes") else df.write
+        (writer.partitionBy("band") if name in ("base", "codes") else writer).mode("overwrite").parquet(f"{path}/{name}")
+
+    write(index.members, "base", "cluster_id", "cell_id", "id")
+    write(index.cells, "cells", "cluster_id", "cell_id")
+    write(index.models, "models", "cluster_id", "part")
+    write(index.centers.table(spark).withColumnRenamed("vec", "center").join(index.stats, "cluster_id", "left"), "clusters", "cluster_id")
+    if index.slabs is not None:
+        write(index.slabs, "slabs", "cluster_id", "slot")
+    if index.codes is not None:
+        write(index.codes, "codes", "cluster_id", "cell_id", "id")
+    meta = index.meta | {"k": k, "width": width, "slabs": index.slabs is not None, "codes": index.codes is not None}
+    spark.createDataFrame([(build.SCHEMA_VERSION, json.dumps(meta))], "schema_version int, options string").coalesce(1).write.mode("overwrite").parquet(f"{path}/index_meta")
+
+
+def load_index(spark: SparkSession, path: str) -> Index:
+    """A stored index. Its centers (bounded by contract) come to the driver; a wrong version is an error."""
+    version, options = spark.read.parquet(f"{path}/index_meta").select("schema_version", "options").first()
+    if version != build.SCHEMA_VERSION:
+        raise ValueError(f"index schema version {version}, not {build.SCHEMA_VERSION}")
+    meta = json.loads(options)
+    read = lambda name: spark.read.parquet(f"{path}/{name}")
+    clusters = read("clusters")
+    rows = clusters.select("cluster_id", "center").orderBy("cluster_id").collect()
+    if [r["cluster_id"] for r in rows] != list(range(meta["k"])):
+        raise ValueError("clusters are not numbered from 0")
+    stats = clusters.where("n is not null").select("cluster_id", "n", "radius", "n_cells")
+    slabs = read("slabs") if meta["slabs"] else None
+    return Index(build.Centers(np.array([r["center"] for r in rows], np.float64)), read("base"), read("cells"), read("models"), stats, slabs, read("codes") if meta["codes"] else None, meta)
+
+
+def check_index(spark: SparkSession, path: str) -> DataFrame:
+    """(what, cluster_id) that is wrong with an index on disk; empty if nothing is."""
+    read = lambda name: spark.read.parquet(f"{path}/{name}")
+    meta, base, clusters, cell, model = (read(t) for t in ("index_meta", "base", "clusters", "cells", "models"))
+    k = clusters.count()
+    none = F.lit(None).cast("int")
+    per_cell = base.groupBy("cluster_id", "cell_id").agg(F.count(F.lit(1)).alias("rows")).join(cell.select("cluster_id", "cell_id", "n"), ["cluster_id", "cell_id"], "full")
+    sizes = base.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("rows")).join(clusters.select("cluster_id", "n"), "cluster_id", "full")
+    models = model.groupBy("cluster_id").agg(F.sum("n").alias("m")).join(clusters.select("cluster_id", "n"), "cluster_id", "full")
+    crossed = F.exists(F.zip_with("lo", "hi", lambda a, b: a > b), lambda x: x)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    parts = [
+        (meta.where(F.col("schema_version") != build.SCHEMA_VERSION).select(none.alias("cluster_id")), "schema version"),
+        (sizes.where(zero("n") != zero("rows")), "cluster size"),
+        (per_cell.where(zero("n") != zero("rows")), "cell size"),
+        (models.where(zero("n") != zero("m")), "model size"),
+        (cell.where(crossed | (F.col("res_lo") > F.col("res_hi"))), "cell bounds"),
+        (model.where(crossed), "cluster bounds"),
+        (base.where(~F.col("cluster_id").between(0, k - 1)), "cluster number"),
+        (base.groupBy("id").agg(F.count(F.lit(1)).alias("times"), F.min("cluster_id").alias("cluster_id")).where("times > 1"), "repeated id"),
+    ]
+    out = None
+    for df, what in parts:
+        found = df.select(F.lit(what).alias("what"), F.col("cluster_id").cast("int")).distinct()
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def candidates(index: Index, queries: DataFrame, options: Options) -> DataFrame:
@@ -64,7 +155,7 @@ def candidates(index: Index, queries: DataFrame, options: Options) -> DataFrame:
 
 def prescreen(found: DataFrame, stats: DataFrame, eps: float) -> DataFrame:
     """found with `pre_kept`: the query's distance to the center is at most eps and the radius."""
-    joined = found.join(stats.select("cluster_id", "radius", "n"), "cluster_id")
+    joined = found.join(stats.select("cluster_id", "radius", "n", "n_cells"), "cluster_id")
     return joined.withColumn("pre_kept", F.col("dist_sq") <= (F.col("radius") + eps) * (F.col("radius") + eps) + SLACK)
 
 
@@ -82,80 +173,153 @@ def slab_bounds(found: DataFrame, index: Index) -> DataFrame:
     return joined.groupBy("query_id", "cluster_id").agg(F.max(gap).alias("slab_lb"))
 
 
-BOUNDS = "query_id long, cluster_id int, cell_id int, pca_lb double, cell_lb double, n long, ids array<bigint>"
+def _outside(t: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Squared distance of points to boxes, row by row."""
+    gap = np.maximum(0, np.maximum(lo - t, t - hi))
+    return np.einsum("ij,ij->i", gap, gap)
+
+
+def _lists(column: pa.ChunkedArray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Rows of equal length of a list column, as (row numbers, matrix)."""
+    column = column.combine_chunks()
+    length = np.asarray(pa.compute.list_value_length(column))
+    starts, flat = np.r_[0, np.cumsum(length)], column.flatten().to_numpy(zero_copy_only=False)
+    out = []
+    for n in np.unique(length).tolist():
+        rows = np.flatnonzero(length == n)
+        out.append((rows, flat[starts[rows][:, None] + np.arange(n)]))
+    return out
 
 
-def cell_bounds(found: DataFrame, index: Index, ids: bool = True) -> DataFrame:
-    """(query_id, cluster_id, cell_id, pca_lb, cell_lb, n, ids): lower bounds of the distance to anything in
-    the cluster and in the cell. Queries and cells meet by cluster; a cluster's queries come in Arrow batches."""
+def box_bounds(found: DataFrame, index: Index) -> DataFrame:
+    """(query_id, cluster_id, part, n, t, res, pca_lb): the query in the local PCA of each of its clusters (t, and
+    the length res of what it leaves), and a lower bound of its distance to all in it. A model travels with each
+    (query, cluster) that is left."""
     shared = found.sparkSession.sparkContext.broadcast(index.centers.matrix)
-    kept = index.cells.select("cluster_id", "cell_id", "basis", "lo", "hi", "res_lo", "res_hi", "cluster_lo", "cluster_hi", "cluster_res", (F.col("ids") if ids else F.array().cast("array<bigint>")).alias("ids"), F.size("ids").alias("n"))
-    joined = found.select("query_id", "vec", "cluster_id").join(kept, "cluster_id")
+    joined = found.select("query_id", "vec", "cluster_id").join(index.models, "cluster_id")
+    schema = "query_id long, cluster_id int, part int, n long, t array<double>, res double, pca_lb double"
 
     def run(batches):
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            q, c = kernels.matrix(table.column("vec")), table.column("cluster_id").to_numpy()
-            pca, cell = np.zeros(len(q)), np.zeros(len(q))
-            x = q - shared.value[c]
-            own = np.einsum("ij,ij->i", x, x)
-            columns = {k: table.column(k).to_pylist() for k in ("basis", "lo", "hi", "cluster_lo", "cluster_hi")}
-            scalars = {k: table.column(k).to_numpy() for k in ("res_lo", "res_hi", "cluster_res")}
-            for i in range(len(q)):
-                basis = np.array(columns["basis"][i]).reshape(-1, q.shape[1])
-                t = basis @ x[i]
-                res = np.sqrt(max(0.0, own[i] - t @ t))
-                out = lambda lo, hi, t=t: (np.maximum(0, np.maximum(np.array(lo) - t, t - np.array(hi))) ** 2).sum()
-                pca[i] = np.sqrt(out(columns["cluster_lo"][i], columns["cluster_hi"][i]) + max(0.0, res - scalars["cluster_res"][i]) ** 2)
-                cell[i] = np.sqrt(out(columns["lo"][i], columns["hi"][i]) + max(0.0, scalars["res_lo"][i] - res, res - scalars["res_hi"][i]) ** 2)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("query_id"), batch.column("cluster_id"), batch.column("cell_id"), pa.array(pca), pa.array(cell), batch.column("n").cast(pa.int64()), batch.column("ids")],
-                names=["query_id", "cluster_id", "cell_id", "pca_lb", "cell_lb", "n", "ids"],
-            )
-
-    return joined.mapInArrow(run, BOUNDS)
-
-
-def decisions(index: Index, queries: DataFrame, r_sq: float, options: Options | None = None, ids: bool = False) -> DataFrame:
-    """One row for each query, candidate cluster and cell: the bounds and which stage (if any) rejected it:
-    `stage` is null for a cell that is read."""
+            q, c, part = kernels.matrix(table.column("vec")), table.column("cluster_id").to_numpy(), table.column("part").to_numpy()
+            res_hi, basis, lo, hi = table.column("res_hi").to_numpy(), table.column("basis"), table.column("lo"), table.column("hi")
+            t_out, res, lb = [None] * len(q), np.zeros(len(q)), np.zeros(len(q))
+            _, first, group = np.unique(np.stack([c, part]), axis=1, return_index=True, return_inverse=True)
+            for g, i in enumerate(first.tolist()):
+                rows = np.flatnonzero(group.ravel() == g)
+                b = np.array(basis[i].as_py(), np.float64).reshape(-1, q.shape[1])
+                x = q[rows] - shared.value[c[i]]
+                t = x @ b.T
+                res[rows] = np.sqrt(np.maximum(0, np.einsum("ij,ij->i", x, x) - np.einsum("ij,ij->i", t, t)))
+                box = _outside(t, np.array(lo[i].as_py())[None], np.array(hi[i].as_py())[None])
+                lb[rows] = np.sqrt(box + np.maximum(0, res[rows] - res_hi[i]) ** 2)
+                for r, values in zip(rows.tolist(), t, strict=True):
+                    t_out[r] = values
+            columns = [batch.column(x) for x in ("query_id", "cluster_id", "part", "n")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(t_out, pa.list_(pa.float64())), pa.array(res), pa.array(lb)], names=["query_id", "cluster_id", "part", "n", "t", "res", "pca_lb"])
+
+    return joined.mapInArrow(run, schema)
+
+
+def cell_bounds(boxed: DataFrame, index: Index) -> DataFrame:
+    """(query_id, cluster_id, cell_id, n, cell_lb): lower bounds of the distance to anything in a cell, for the
+    cells of clusters that are left. Nothing of a cell but its bounds travels."""
+    joined = boxed.select("query_id", "cluster_id", "part", "t", "res").join(index.cells, ["cluster_id", "part"])
+    schema = "query_id long, cluster_id int, cell_id long, n long, cell_lb double"
+
+    def run(batches):
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            res, res_lo, res_hi = (table.column(x).to_numpy() for x in ("res", "res_lo", "res_hi"))
+            lb = np.maximum(0, np.maximum(res_lo - res, res - res_hi)) ** 2
+            for (rows, t), (_, lo), (_, hi) in zip(*(_lists(table.column(x)) for x in ("t", "lo", "hi")), strict=True):
+                lb[rows] += _outside(t, lo, hi)
+            columns = [batch.column(x) for x in ("query_id", "cluster_id", "cell_id", "n")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.sqrt(lb))], names=["query_id", "cluster_id", "cell_id", "n", "cell_lb"])
+
+    return joined.mapInArrow(run, schema)
+
+
+@dataclass
+class Search:
+    """What each stage of a search saw: clusters(query_id, vec, cluster_id, n, n_cells, stage), with the stage that
+    rejected them or null, and cells(query_id, cluster_id, cell_id, n, stage) of those that no stage rejected."""
+
+    clusters: DataFrame
+    cells: DataFrame
+
+
+def prune(index: Index, queries: DataFrame, r_sq: float, options: Options | None = None) -> Search:
+    """The stages in turn. Rejected rows go no further; each stage's rows are written once, as the next stage and
+    the counters read them."""
     options = options or Options()
     eps = float(np.sqrt(r_sq)) / options.alpha
+    on, limit = set(options.stages), eps + SLACK
     found = prescreen(candidates(index, queries, options), index.stats, eps)
-    on = set(options.stages)
-    limit = eps + SLACK
-    if "prescreen" not in on:
-        found = found.withColumn("pre_kept", F.lit(True))
-    found = materialize(found, "candidates")
-    slab = slab_bounds(found.where("pre_kept"), index) if index.slabs is not None and "slab" in on else None
-    bounds = cell_bounds(found, index, ids)
-    all_ = found.select("query_id", "cluster_id", "pre_kept").join(bounds, ["query_id", "cluster_id"])
-    all_ = all_.join(slab, ["query_id", "cluster_id"], "left") if slab is not None else all_.withColumn("slab_lb", F.lit(0.0))
-    stage = F.when(~F.col("pre_kept"), F.lit("prescreen")).when(F.col("slab_lb") > limit, F.lit("slab"))
+    stage = F.when(~F.col("pre_kept"), F.lit("prescreen")) if "prescreen" in on else F.lit(None).cast("string")
+    found = found.select("query_id", "vec", "cluster_id", "n", "n_cells", stage.alias("stage"))
+    left = lambda df: df.where(F.col("stage").isNull())
+    if "slab" in on and index.slabs is not None:
+        found = materialize(found, "prescreened")
+        missed = slab_bounds(left(found), index).where(F.col("slab_lb") > limit)
+        missed = missed.select("query_id", "cluster_id", F.lit("slab").alias("missed"))
+        found = found.join(missed, ["query_id", "cluster_id"], "left").withColumn("stage", F.coalesce("stage", "missed")).drop("missed")
+    found = materialize(found, "clusters")
+    if not on & {"pca", "cell"}:
+        cells = left(found).select("query_id", "cluster_id").join(index.cells.select("cluster_id", "cell_id", "n"), "cluster_id")
+        return Search(found, cells.withColumn("stage", F.lit(None).cast("string")))
+    boxed = materialize(box_bounds(left(found), index), "boxes")
     if "pca" in on:
-        stage = stage.when(F.col("pca_lb") > limit, F.lit("pca"))
-    if "cell" in on:
-        stage = stage.when(F.col("cell_lb") > limit, F.lit("cell"))
-    return all_.withColumn("stage", stage)
+        # a cluster in parts is rejected if all of them are
+        missed = boxed.groupBy("query_id", "cluster_id").agg(F.min("pca_lb").alias("lb")).where(F.col("lb") > limit)
+        missed = missed.select("query_id", "cluster_id", F.lit("pca").alias("missed"))
+        found = found.join(missed, ["query_id", "cluster_id"], "left").withColumn("stage", F.coalesce("stage", "missed")).drop("missed")
+        boxed = boxed.join(missed, ["query_id", "cluster_id"], "left_anti")
+    if "cell" not in on:
+        cells = boxed.select("query_id", "cluster_id", "part").join(index.cells.select("cluster_id", "part", "cell_id", "n"), ["cluster_id", "part"]).drop("part")
+        return Search(found, cells.withColumn("stage", F.lit(None).cast("string")))
+    stage = F.when(F.col("cell_lb") > limit, F.lit("cell"))
+    return Search(found, materialize(cell_bounds(boxed, index).withColumn("stage", stage).drop("cell_lb"), "cells"))
+
+
+def decisions(search: Search) -> DataFrame:
+    """(query_id, cluster_id, stage, cells, vecs): cells and vectors of each candidate cluster by the stage that
+    rejected them; stage is null for those that are read."""
+    clusters = search.clusters.where(F.col("stage").isNotNull()).select("query_id", "cluster_id", "stage", F.col("n_cells").alias("cells"), F.col("n").alias("vecs"))
+    cells = search.cells.groupBy("query_id", "cluster_id", "stage").agg(F.count(F.lit(1)).alias("cells"), F.sum("n").alias("vecs"))
+    return clusters.unionByName(cells)
+
+
+def hits(index: Index, search: Search, queries: DataFrame, r_sq: float, options: Options | None = None) -> DataFrame:
+    """(query_id, base_id, dist_sq) from the cells that are left."""
+    options = options or Options()
+    read = search.cells.where(F.col("stage").isNull()).select("query_id", "cluster_id", "cell_id")
+    asked = queries.select("query_id", F.col("vec").alias("qv"))
+    keys = ["cluster_id", "cell_id"]
+    if options.code_filter:
+        if index.codes is None:
+            raise ValueError("the index has no codes")
+        bounds = codes.bounds(index.codes, index.centers, read.join(asked, "query_id")).where(F.col("lb") <= r_sq)
+        if options.code_filter == "rows":
+            read, keys = bounds.select("query_id", "cluster_id", "cell_id", "id"), ["cluster_id", "cell_id", "id"]
+        else:
+            read = bounds.select("query_id", "cluster_id", "cell_id").distinct()
+    rows = read.join(index.members.select("cluster_id", "cell_id", "id", F.col("vec").alias("bv")), keys)
+    both = rows.join(asked, "query_id")
+    return both.select("query_id", F.col("id").alias("base_id"), V.l2_sq("bv", "qv").alias("dist_sq")).where(F.col("dist_sq") <= r_sq)
 
 
 def range_search(index: Index, queries: DataFrame, r_sq: float, options: Options | None = None) -> DataFrame:
-    """(query_id, base_id, dist_sq). Surviving cells name their members, which meet base rows in one
-    equi-join on cluster and id; queries meet them by id."""
-    read = decisions(index, queries, r_sq, options, ids=True).where(F.col("stage").isNull())
-    wanted = read.select("query_id", "cluster_id", F.explode("ids").alias("id")).distinct()
-    rows = wanted.join(index.assigned.select("cluster_id", "id", F.col("vec").alias("bv")), ["cluster_id", "id"])
-    both = rows.join(queries.select("query_id", F.col("vec").alias("qv")), "query_id")
-    return both.select("query_id", F.col("id").alias("base_id"), V.l2_sq("bv", "qv").alias("dist_sq")).where(F.col("dist_sq") <= r_sq)
+    """(query_id, base_id, dist_sq)."""
+    return hits(index, prune(index, queries, r_sq, options), queries, r_sq, options)
 
 
 def prune_counters(decided: DataFrame) -> DataFrame:
     """One row: cells and vectors that were candidates, that each stage rejected, and that were read."""
-    at = [*STAGES, None]
-    name = lambda s: s or "read"
-    is_ = lambda s: F.col("stage").isNull() if s is None else F.col("stage") == s
+    is_ = lambda s: F.col("stage").isNull() if s == "read" else F.col("stage").eqNullSafe(s)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
     return decided.agg(
-        F.count(F.lit(1)).alias("cells"), F.coalesce(F.sum("n"), F.lit(0)).alias("vecs"),
-        *(F.count_if(F.coalesce(is_(s), F.lit(False))).alias(f"cells_{name(s)}") for s in at),
-        *(F.coalesce(F.sum(F.when(is_(s), F.col("n"))), F.lit(0)).alias(f"vecs_{name(s)}") for s in at),
+        total("cells").alias("cells"), total("vecs").alias("vecs"),
+        *(total(F.when(is_(s), F.col(c))).alias(f"{c}_{s}") for c in ("cells", "vecs") for s in (*STAGES, "read")),
     )

@@ -3,7 +3,8 @@
 A vector's residual to its center is rotated by a seeded orthogonal transform; the code keeps the signs of
 its coordinates. The inner product of a query's residual with the sign vector then estimates its inner
 product with the residual itself, with an error that shrinks as 1/sqrt(dim). Bounds
-hold with high probability, not always, and are off by default in searches.
+hold with high probability, not always, and are off by default in searches. Codes are made once, with the
+index; a filter by codes reads them and no vector.
 """
 
 from __future__ import annotations
@@ -15,11 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vicinal.operators import kernels
+from vicinal.functions import vectors as V
+from vicinal.operators import build, kernels
 from vicinal.operators.build import Centers
 
-#: Standard errors that a bound allows for; magnitude bits beyond the sign.
-CONFIDENCE, EXTRA_BITS = 1.9, 7
+#: Standard errors that a bound allows for: a normal error passes one side of it once in 8000 rows (the error of
+#: a code is nearly normal). Fixed value: magnitude bits beyond the sign.
+CONFIDENCE, EXTRA_BITS = 3.66, 7
 
 
 def padded(dim: int) -> int:
@@ -71,62 +74,94 @@ def encode(rows: np.ndarray, center: np.ndarray, extra_bits: int = 0) -> dict[st
     }
 
 
-def estimate(query: np.ndarray, center: np.ndarray, code: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(estimate, lower, upper) of squared distances of one query to coded rows of one center."""
-    q = rotate((query - center)[None])[0]
-    q_sq = float(q @ q)
-    u = code["levels"] if code["levels"].dtype == np.float32 else np.unpackbits(code["levels"], axis=1)[:, : len(q)] * 2.0 - 1
-    est = code["f_add"] + q_sq - 2 * code["f_rescale"] * (u @ q)
-    err = code["f_error"] * math.sqrt(q_sq)
-    return est, est - err, est + err
+def pack(levels: np.ndarray) -> list[bytes]:
+    """Signed levels k + 1/2 as a byte each: the sign above the 7 bits of k."""
+    return [x.tobytes() for x in (np.abs(levels) - 0.5).astype(np.uint8) | (levels < 0).astype(np.uint8) << 7]
 
 
-CODES = "cluster_id int, id long, bits binary, f_add double, f_rescale double, f_error double"
+def unpack(column: pa.ChunkedArray, extra: bool) -> np.ndarray:
+    """Levels of rows of codes; one bit stands for -1 or 1. Rows come padded to the rotation's dimensions."""
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+    if extra:
+        return ((raw & 127) + 0.5) * np.where(raw & 128, -1.0, 1.0)
+    return np.unpackbits(raw, axis=1) * 2.0 - 1
 
 
-def one_bit_codes(assigned: DataFrame, centers: Centers) -> DataFrame:
-    """The table of codes of assigned(id, vec, cluster_id), in one pass without a shuffle."""
-    shared = assigned.sparkSession.sparkContext.broadcast(centers.matrix)
+CODES = (
+    "cluster_id int, cell_id long, id long, bits binary, f_add double, f_rescale double, f_error double,"
+    " bits8 binary, f_rescale8 double, f_error8 double"
+)
 
-    def run(batches):
-        for batch in batches:
-            c, ids, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy(), kernels.matrix(batch.column(2))
-            for i in np.unique(c).tolist():
-                m = c == i
-                code = encode(rows[m], shared.value[i])
-                columns = [pa.array(c[m]), pa.array(ids[m]), pa.array([x.tobytes() for x in code["levels"]], pa.binary())]
-                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(code[k]) for k in ("f_add", "f_rescale", "f_error"))], names=["cluster_id", "id", "bits", "f_add", "f_rescale", "f_error"])
-
-    return assigned.select("cluster_id", "id", "vec").mapInArrow(run, CODES)
 
-
-def code_bounds(assigned: DataFrame, centers: Centers, found: DataFrame, extra_bits: int = 0) -> DataFrame:
-    """(query_id, cluster_id, id, dist_sq, lb, ub) for found(query_id, qv, cluster_id): bounds beside the exact
-    squared distance, for candidate clusters' members."""
-    shared = assigned.sparkSession.sparkContext.broadcast(centers.matrix)
-    joined = found.select("query_id", F.col("vec").alias("qv"), "cluster_id").join(assigned.select("cluster_id", "id", "vec"), "cluster_id")
+def one_bit_codes(members: DataFrame, centers: Centers) -> DataFrame:
+    """The codes, of one bit and of eight, of members(cluster_id, cell_id, id, vec), in one pass without a shuffle."""
+    shared = members.sparkSession.sparkContext.broadcast(centers.matrix)
+    names = [f.strip().split()[0] for f in CODES.split(",")]
 
     def run(batches):
         for batch in batches:
-            qid, c, ids = (batch.column(k).to_numpy() for k in ("query_id", "cluster_id", "id"))
-            q, rows = kernels.matrix(batch.column("qv")), kernels.matrix(batch.column("vec"))
-            lb, ub, d = np.zeros(len(q)), np.zeros(len(q)), kernels.exact_l2_sq(q, rows)
-            pair = np.unique(np.stack([qid, c], axis=1), axis=0)
-            for a, b in pair.tolist():
-                m = np.flatnonzero((qid == a) & (c == b))
-                _, lb[m], ub[m] = estimate(q[m[0]], shared.value[b], encode(rows[m], shared.value[b], extra_bits))
-            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("cluster_id"), batch.column("id"), pa.array(d), pa.array(lb), pa.array(ub)], names=["query_id", "cluster_id", "id", "dist_sq", "lb", "ub"])
-
-    return joined.mapInArrow(run, "query_id long, cluster_id int, id long, dist_sq double, lb double, ub double")
+            c, rows = batch.column(0).to_numpy(), kernels.matrix(batch.column(3))
+            if not len(rows):
+                continue
+            # rotation is linear, so all rows of a batch are coded together
+            one, more = encode(rows, shared.value[c]), encode(rows, shared.value[c], EXTRA_BITS)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array([x.tobytes() for x in one["levels"]], pa.binary()), *(pa.array(one[k]) for k in ("f_add", "f_rescale", "f_error")),
+                 pa.array(pack(more["levels"]), pa.binary()), *(pa.array(more[k]) for k in ("f_rescale", "f_error"))], names=names,
+            )
+
+    return members.select("cluster_id", F.col("cell_id").cast("long"), "id", "vec").mapInArrow(run, CODES)
+
+
+def bounds(codes: DataFrame, centers: Centers, asked: DataFrame, extra: bool = False) -> DataFrame:
+    """(query_id, cluster_id, cell_id, id, lb, ub): bounds of squared distances for the codes that asked(query_id,
+    qv, cluster_id and, if it has them, cell_id and id) names. No vector of the base is read."""
+    turned = rotate(centers.matrix) if len(centers.matrix) else centers.matrix
+    shared = asked.sparkSession.sparkContext.broadcast(turned)
+    keys = [k for k in ("cluster_id", "cell_id", "id") if k in asked.columns]
+    columns = ["bits8", "f_rescale8", "f_error8"] if extra else ["bits", "f_rescale", "f_error"]
+    stored = codes.select("cluster_id", "cell_id", "id", "f_add", *(F.col(c).alias(n) for c, n in zip(columns, ("bits", "f_rescale", "f_error"), strict=True)))
+    joined = asked.select("query_id", "qv", *keys).join(stored, keys)
+    joined = joined.select("query_id", "qv", "cluster_id", "cell_id", "id", "bits", "f_add", "f_rescale", "f_error")
 
-
-def row_filter(bounds: DataFrame, r_sq: float) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            q, c = table.column("query_id").to_numpy(), table.column("cluster_id").to_numpy()
+            _, first, of = np.unique(q, return_index=True, return_inverse=True)
+            r = rotate(kernels.matrix(table.column("qv").take(pa.array(first))))[of] - shared.value[c]
+            q_sq = np.einsum("ij,ij->i", r, r)
+            add, rescale, error = (table.column(k).to_numpy() for k in ("f_add", "f_rescale", "f_error"))
+            u = unpack(table.column("bits"), extra)[:, : r.shape[1]]
+            est, err = add + q_sq - 2 * rescale * np.einsum("ij,ij->i", u, r), error * np.sqrt(q_sq)
+            # a row at its center has no code; its distance is known
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("query_id", "cluster_id", "cell_id", "id")), pa.array(est - err), pa.array(est + err)], names=["query_id", "cluster_id", "cell_id", "id", "lb", "ub"])
+
+    return joined.mapInArrow(run, "query_id long, cluster_id int, cell_id long, id long, lb double, ub double")
+
+
+def row_filter(found: DataFrame, r_sq: float) -> DataFrame:
     """Rows that a search would still compare, with `sure`: the upper bound alone makes it a hit."""
-    return bounds.where(F.col("lb") <= r_sq).withColumn("sure", F.col("ub") <= r_sq)
-
-
-def emptiness(bounds: DataFrame, refined: DataFrame, r_sq: float) -> DataFrame:
-    """(query_id, is_empty): no refined bound within the radius, among rows whose one-bit bound is."""
-    near = bounds.where(F.col("lb") <= r_sq).select("query_id", "id")
-    close = refined.join(near, ["query_id", "id"], "left_semi").where(F.col("lb") <= r_sq).select("query_id").distinct()
-    return bounds.select("query_id").distinct().join(close.withColumn("hit", F.lit(True)), "query_id", "left").select("query_id", F.col("hit").isNull().alias("is_empty"))
+    return found.where(F.col("lb") <= r_sq).withColumn("sure", F.col("ub") <= r_sq)
+
+
+def cell_filter(found: DataFrame, r_sq: float) -> DataFrame:
+    """(query_id, cluster_id, cell_id, least_lb) of cells with a member that the codes keep."""
+    least = found.groupBy("query_id", "cluster_id", "cell_id").agg(F.min("lb").alias("least_lb"))
+    return least.where(F.col("least_lb") <= r_sq)
+
+
+def emptiness(codes: DataFrame, centers: Centers, queries: DataFrame, r_sq: float, nprobe: int) -> DataFrame:
+    """(query_id, is_empty) of every query: in its nprobe nearest clusters no eight-bit bound is within the radius
+    among the rows whose one-bit bound is. A query that met no row, or is not finite, is never called empty."""
+    good = queries.where(F.col("vec").isNotNull() & V.is_finite("vec"))
+    near = build.assign(good.select(F.col("query_id").alias("id"), "vec"), centers, nprobe)
+    asked = near.select(F.col("id").alias("query_id"), F.col("vec").alias("qv"), "cluster_id")
+    one = bounds(codes, centers, asked)
+    met = one.groupBy("query_id").agg(F.count(F.lit(1)).alias("met"))
+    close = one.where(F.col("lb") <= r_sq).select("query_id", "cluster_id", "id").join(asked, ["query_id", "cluster_id"])
+    hit = bounds(codes, centers, close, True).where(F.col("lb") <= r_sq).select("query_id").distinct().withColumn("hit", F.lit(True))
+    joined = queries.select("query_id").join(met, "query_id", "left").join(hit, "query_id", "left")
+    return joined.select("query_id", (F.col("met").isNotNull() & F.col("hit").isNull()).alias("is_empty"))

@@ -17,7 +17,25 @@ from vicinal.operators.range_join import ROWS, query_blocks, spread
 PAIRS = "query_id long, base_id long, dist_sq double"
 
 
-def _best(block, k: int):
+#: Scores by which neighbours may be ranked, smallest first, as in the vector functions of these names.
+METRICS = ("l2_sq", "neg_dot", "neg_abs_dot", "dot", "abs_dot", "neg_l2_sq")
+
+
+def _score(queries: np.ndarray, rows: np.ndarray, metric: str, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, score) of each query's k rows of least score; ties by row."""
+    if metric == "l2_sq":
+        return kernels.nearest(queries, rows, k)
+    if metric == "neg_l2_sq":
+        score = -np.stack([kernels.exact_l2_sq(np.broadcast_to(q, rows.shape), rows) for q in queries])
+    else:
+        score = queries @ rows.T
+        score = np.abs(score) if "abs" in metric else score
+        score = -score if metric.startswith("neg") else score
+    order = np.argsort(score, axis=1, kind="stable")[:, :k]
+    return order, np.take_along_axis(score, order, 1)
+
+
+def _best(block, k: int, metric: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = block.value
         held_id = np.zeros((len(ids), 0), np.int64)
@@ -27,7 +45,7 @@ def _best(block, k: int):
             order = np.argsort(key, kind="stable")  # ties go to the smaller id
             key, rows = key[order], rows[order]
             for at in range(0, len(key), ROWS):
-                near, d = kernels.nearest(matrix, rows[at : at + ROWS], k)
+                near, d = _score(matrix, rows[at : at + ROWS], metric, k)
                 held_id, held_d = np.hstack([held_id, key[at + near]]), np.hstack([held_d, d])
                 order = np.lexsort((held_id, held_d), axis=1)[:, :k]
                 held_id, held_d = np.take_along_axis(held_id, order, 1), np.take_along_axis(held_d, order, 1)
@@ -39,12 +57,14 @@ def _best(block, k: int):
     return run
 
 
-def knn(base: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def knn(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2_sq") -> DataFrame:
     """(query_id, base_id, dist_sq, rank): each query's k nearest, ties by base id. A task keeps k rows a query;
-    only those are shuffled. Labels are filtered on base beforehand."""
+    only those are shuffled. Labels are filtered on base beforehand. dist_sq holds the metric's score."""
+    if metric not in METRICS:
+        raise ValueError(f"no such metric: {metric}")
     spark = base.sparkSession
     rows = spread(base.select(F.col("id").cast("long").alias("id"), "vec").where(F.col("vec").isNotNull()))
-    parts = [rows.mapInArrow(_best(spark.sparkContext.broadcast(b), k), PAIRS) for b in query_blocks(queries)]
+    parts = [rows.mapInArrow(_best(spark.sparkContext.broadcast(b), k, metric), PAIRS) for b in query_blocks(queries)]
     found = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], PAIRS)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("dist_sq", "base_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)

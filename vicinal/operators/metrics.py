@@ -83,6 +83,18 @@ def recall(found: DataFrame, truth: DataFrame) -> DataFrame:
     return both.agg(a.alias("n_found"), b.alias("n_true"), F.round(F.when(b > 0, a / b), 6).alias("count_recall"), F.round(F.when(b > 0, c / b), 6).alias("set_recall"))
 
 
+def search_trace(clusters: DataFrame) -> DataFrame:
+    """(query_id, n_clusters, vecs, vecs_read) of a search's candidate clusters(query_id, n, stage)."""
+    read = F.coalesce(F.sum(F.when(F.col("stage").isNull(), F.col("n"))), F.lit(0))
+    return clusters.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_clusters"), F.sum("n").alias("vecs"), read.alias("vecs_read"))
+
+
+def nearest_bench(estimated: DataFrame, exact: DataFrame) -> DataFrame:
+    """(query_id, dist, estimate, found): whether the estimated nearest distance is the exact one, within a tolerance."""
+    j = exact.join(estimated.withColumnRenamed("dist", "estimate"), "query_id")
+    return j.select("query_id", "dist", "estimate", (F.col("estimate") <= F.col("dist") * 1.0001 + 1e-6).alias("found"))
+
+
 def by_result_class(traces: DataFrame) -> DataFrame:
     """Mean of each figure of traces(query_id, n_hits, ...) for queries with and without hits."""
     figures = [c for c in traces.columns if c not in ("query_id", "n_hits")]
@@ -111,7 +123,7 @@ def pareto_front(runs: DataFrame) -> DataFrame:
 
 def io_bytes(decided: DataFrame, dim: int, bytes_per_component: int = 4) -> DataFrame:
     """One row of a cascade's decisions: bytes of candidate cells, of cells read, and the share saved."""
-    size = F.col("n") * dim * bytes_per_component
+    size = F.col("vecs") * dim * bytes_per_component
     total, read = F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.sum(F.when(F.col("stage").isNull(), size)), F.lit(0))
     return decided.agg(total.alias("bytes_baseline"), read.alias("bytes_read"), F.round(F.when(total > 0, 1 - read / total), 6).alias("io_reduction"))
 
@@ -184,9 +196,9 @@ def write_trace(trace: DataFrame, path: str) -> None:
     trace.repartitionByRange("query_id").sortWithinPartitions("query_id").write.mode("overwrite").csv(path, header=True)
 
 
-def bound_dump(bounds: DataFrame, queries: int = 100) -> DataFrame:
-    """Lower bounds by query and cluster for the first queries by id, for plotting."""
-    return bounds.where(F.col("query_id") < queries)
+def bound_dump(bounds: DataFrame, asked: DataFrame, queries: int = 100) -> DataFrame:
+    """Lower bounds by query and cluster for the first queries of asked(query_id) by id, for plotting."""
+    return bounds.join(F.broadcast(asked.select("query_id").orderBy("query_id").limit(queries)), "query_id", "left_semi")
 
 
 def invalid_candidates(found: DataFrame, n_clusters: int) -> DataFrame:
@@ -203,6 +215,7 @@ def probe_overlap(found: DataFrame, sizes: DataFrame, a: int, b: int) -> DataFra
 def perturbed(df: DataFrame, column: str, scale: float, seed: int) -> DataFrame:
     """df with seeded Gaussian noise added to a column: the same row gets the same noise wherever it is
     computed (Box-Muller over two hashes of its id)."""
-    u = lambda k: (F.pmod(F.xxhash64(F.lit(seed + k), "id"), F.lit(1 << 40)) + 1) / F.lit(float((1 << 40) + 1))
+    digits = lambda k: F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed + k}:"), F.col("id").cast("string"))), 1, 10), 16, 10)
+    u = lambda k: (digits(k).cast("double") + 1) / F.lit(float((1 << 40) + 1))
     noise = F.sqrt(-2 * F.log(u(0))) * F.cos(2 * 3.141592653589793 * u(1))
     return df.withColumn(column, F.col(column) + F.lit(scale) * noise)

@@ -1,7 +1,8 @@
 """Range joins: every (query, base) pair with squared distance at most r_sq.
 
-Base rows never move: queries are broadcast in blocks of checked size, and each Arrow batch of base rows is
-one matrix product. base(id, vec) and queries(query_id, vec) hold array<double>; rows with a null or
+Up to BLOCKS blocks of queries, base rows don't move: queries are broadcast block by block, and each Arrow batch of
+base rows is one matrix product. Beyond them both sides are dealt to the cells of pivots, and chunks of cells near
+enough meet in tasks of bounded size. base(id, vec) and queries(query_id, vec) hold array<double>; rows with a null or
 non-finite vector have no pairs.
 """
 
@@ -19,8 +20,8 @@ from vicinal.functions import vectors as V
 from vicinal.operators import kernels
 from vicinal.plans.shared import materialize
 
-#: Bytes of queries that are broadcast at once.
-BLOCK_BYTES = 64 << 20
+#: Bytes of queries that are broadcast at once, and so many blocks at most (together what the driver may hold).
+BLOCK_BYTES, BLOCKS = 64 << 20, 8
 PAIRS = "query_id long, base_id long, dist_sq double"
 #: Base rows of one product, so that its result stays small.
 ROWS = 4096
@@ -34,7 +35,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def query_blocks(queries: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, matrix) of finite queries, block by block: the driver holds one block at a time."""
+    """(ids, matrix) of finite queries, block by block."""
     good = queries.select("query_id", "vec").where(F.col("vec").isNotNull() & V.is_finite("vec")).orderBy("query_id")
     ids, rows, size = [], [], 0
     for r in good.toLocalIterator(prefetchPartitions=True):
@@ -60,9 +61,16 @@ def _scan(block, r_sq: float, strict: bool):
     return run
 
 
+def finite(df: DataFrame, key: str = "id") -> DataFrame:
+    return df.select(F.col(key).cast("long").alias("id"), "vec").where(F.col("vec").isNotNull() & V.is_finite("vec"))
+
+
 def range_join(base: DataFrame, queries: DataFrame, r_sq: float, strict: bool = False) -> DataFrame:
     """(query_id, base_id, dist_sq) of all pairs within the radius, inclusive unless strict."""
     spark = base.sparkSession
+    held = queries.agg(F.sum(8 * F.size("vec") + 8)).first()[0] or 0
+    if held > BLOCKS * BLOCK_BYTES:
+        return pivot_join(base, queries, r_sq, strict)
     rows = spread(base.select(F.col("id").cast("long").alias("id"), "vec").where(F.col("vec").isNotNull()))
     parts = [rows.mapInArrow(_scan(spark.sparkContext.broadcast(b), r_sq, strict), PAIRS) for b in query_blocks(queries)]
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], PAIRS)
@@ -82,52 +90,107 @@ def verify(pairs: DataFrame, base: DataFrame, queries: DataFrame) -> DataFrame:
     return again.where(F.coalesce(F.abs(V.l2_sq("bv", "qv") - F.col("dist_sq")) > 1e-9, F.lit(True))).select("query_id", "base_id", "dist_sq")
 
 
-def self_join(base: DataFrame, r_sq: float, pivots: int | None = None, chunk: int = 2048) -> DataFrame:
-    """(a, b, dist_sq), a > b, of all pairs strictly within the radius.
+#: Rows of one side of a task of a pivot join, and pivots at most.
+CHUNK, PIVOTS = 2048, 4096
 
-    Rows are dealt to their nearest of some pivots; two cells meet unless their centers are further apart
-    than both radii and the join's. A cell with more than `chunk` rows is cut, so no task holds more than
-    two chunks whatever the spread.
-    """
+
+def _placed(df: DataFrame, centers, name: str) -> DataFrame:
     from vicinal.operators import build
 
-    r = float(np.sqrt(r_sq))
-    good = base.select(F.col("id").cast("long").alias("id"), "vec").where(F.col("vec").isNotNull() & V.is_finite("vec"))
-    n = good.count()
-    k = pivots or max(1, min(4096, int(np.sqrt(n) / 2)))
-    centers = build.stride_seeds(good, k, n)
-    placed = materialize(build.assign(good, centers, 1).select("id", "vec", "cluster_id", F.sqrt("dist_sq").alias("d")), "placed")
-    cells = placed.groupBy("cluster_id").agg(F.max("d").alias("radius"), F.count(F.lit(1)).alias("n")).collect()  # one row a pivot
-    matrix = centers.matrix
-    ids = [c["cluster_id"] for c in cells]
-    gap = np.sqrt(np.maximum(0, ((matrix[ids][:, None] - matrix[ids][None]) ** 2).sum(axis=2)))
-    radius = np.array([c["radius"] for c in cells])
-    i, j = np.nonzero((gap <= radius[:, None] + radius[None, :] + r + 1e-9) & (np.arange(len(ids))[:, None] <= np.arange(len(ids))[None, :]))
-    parts = [-(-c["n"] // chunk) for c in cells]
-    tasks = [(ids[x], p, ids[y], q) for x, y in zip(i.tolist(), j.tolist(), strict=True) for p in range(parts[x]) for q in range(parts[y]) if x != y or p <= q]
-    sides = [(t, c, p, left) for t, (a, p1, b, p2) in enumerate(tasks) for c, p, left in ((a, p1, True), (b, p2, False))]
-    spark = base.sparkSession
-    plan = spark.createDataFrame(sides or [(0, -1, 0, True)], "task long, cluster_id int, part int, is_left boolean")
-    cut = F.create_map(*[F.lit(x) for c, p in zip(ids, parts, strict=True) for x in (c, p)]) if ids else F.create_map(F.lit(0), F.lit(1))
-    split = placed.withColumn("part", F.pmod(F.xxhash64("id"), cut[F.col("cluster_id")]).cast("int"))
-    dealt = split.join(plan, ["cluster_id", "part"]).select("task", "is_left", "id", "vec")
-    return dealt.groupBy("task").applyInArrow(_cell_pairs(r_sq), "a long, b long, dist_sq double")
+    return materialize(build.assign(df, centers, 1).select("id", "vec", "cluster_id", F.sqrt("dist_sq").alias("d")), name)
+
 
+def _near_cells(left: DataFrame, right: DataFrame, centers, r: float) -> DataFrame:
+    """(a, b) of cells of left(cluster_id, radius) and right whose members may be within r of each other: the
+    centers are no further apart than both radii and r. Both are one row a pivot."""
+    spark = left.sparkSession
+    other = [(x["cluster_id"], x["radius"]) for x in right.collect()]
+    ids, radius = np.array([i for i, _ in other], np.int32), np.array([x for _, x in other])
+    shared = spark.sparkContext.broadcast((centers.matrix, ids, radius))
 
-def _cell_pairs(r_sq: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrix, ids, radius = shared.value
+        own = np.einsum("ij,ij->i", matrix, matrix)
+        for batch in batches:
+            for a, ra in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                gap = np.sqrt(np.maximum(0, own[a] + own[ids] - 2 * (matrix[ids] @ matrix[a])))
+                near = ids[gap <= radius + ra + r + 1e-6 * (1 + gap)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), a, np.int32)), pa.array(near)], names=["a", "b"])
+
+    return left.select("cluster_id", "radius").repartition(spark.sparkContext.defaultParallelism).mapInArrow(run, "a int, b int")
+
+
+def _pivot_pairs(left: DataFrame, right: DataFrame, centers, r_sq: float, strict: bool, same: bool, chunk: int) -> DataFrame:
+    """(l, r, dist_sq) of placed rows. Chunks of cells meet in tasks; the list of tasks is a table, and no task holds
+    more than two chunks."""
+    size = lambda df: df.groupBy("cluster_id").agg(F.max("d").alias("radius"), F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("parts"))
+    ls = materialize(size(left), "left-cells")
+    rs = ls if same else materialize(size(right), "right-cells")
+    parts = lambda df, c, n: df.select(F.col("cluster_id").alias(c), F.col("parts").alias(n))
+    near = _near_cells(ls, rs, centers, float(np.sqrt(r_sq)))
+    near = near.where("a <= b") if same else near
+    tasks = near.join(parts(ls, "a", "n"), "a").join(parts(rs, "b", "m"), "b")
+    tasks = tasks.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    tasks = (tasks.where("a <> b or p <= q") if same else tasks).select(F.xxhash64("a", "p", "b", "q").alias("task"), "a", "p", "b", "q")
+    tasks = materialize(tasks, "tasks")
+
+    def side(df: DataFrame, counts: DataFrame, c: str, p: str, is_left: bool) -> DataFrame:
+        cut = df.join(counts.select("cluster_id", "parts"), "cluster_id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+        plan = tasks.select("task", F.col(c).alias("cluster_id"), F.col(p).alias("part"))
+        return cut.join(plan, ["cluster_id", "part"]).select("task", F.lit(is_left).alias("is_left"), "id", "vec")
+
+    dealt = side(left, ls, "a", "p", True).unionByName(side(right, rs, "b", "q", False))
+    return dealt.groupBy("task").applyInArrow(_cell_pairs(r_sq, strict, same), "l long, r long, dist_sq double")
+
+
+def _cell_pairs(r_sq: float, strict: bool, same: bool):
     def run(table: pa.Table) -> pa.Table:
         side = table.column("is_left").to_numpy(zero_copy_only=False)
         ids, rows = table.column("id").to_numpy(), kernels.matrix(table.column("vec"))
-        i, j, d = kernels.within_radius(rows[side], rows[~side], r_sq, strict=True)
+        i, j, d = kernels.within_radius(rows[side], rows[~side], r_sq, strict)
         a, b = ids[side][i], ids[~side][j]
-        # a cell with itself gives each pair twice; two cells give it once
-        once = a > b if np.array_equal(np.sort(ids[side]), np.sort(ids[~side])) else a != b
-        a, b, d = a[once], b[once], d[once]
-        return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b), "dist_sq": d})
+        if same:
+            # a chunk with itself gives each pair twice; two chunks give it once
+            once = a > b if np.array_equal(np.sort(ids[side]), np.sort(ids[~side])) else a != b
+            a, b, d = a[once], b[once], d[once]
+            a, b = np.maximum(a, b), np.minimum(a, b)
+        return pa.table({"l": a, "r": b, "dist_sq": d})
 
     return run
 
 
+def pivot_join(base: DataFrame, queries: DataFrame, r_sq: float, strict: bool = False, pivots: int | None = None, chunk: int = CHUNK) -> DataFrame:
+    """As range_join, for two tables of any size."""
+    from vicinal.operators import build
+
+    b, q = finite(base), finite(queries, "query_id")
+    n = b.count()
+    if not n:
+        return base.sparkSession.createDataFrame([], PAIRS)
+    centers = build.stride_seeds(b, pivots or max(1, min(PIVOTS, int(np.sqrt(n) / 2))), n)
+    found = _pivot_pairs(_placed(q, centers, "queries"), _placed(b, centers, "base"), centers, r_sq, strict, False, chunk)
+    return found.select(F.col("l").alias("query_id"), F.col("r").alias("base_id"), "dist_sq")
+
+
+def self_join(base: DataFrame, r_sq: float, pivots: int | None = None, chunk: int = CHUNK) -> DataFrame:
+    """(a, b, dist_sq), a > b, of all pairs strictly within the radius.
+
+    Rows are dealt to their nearest of some pivots; two cells meet unless their centers are further apart
+    than both radii and the join's. A cell with more than `chunk` rows is cut, so no task holds more than
+    two chunks whatever the spread.
+    """
+    from vicinal.operators import build
+
+    good = finite(base)
+    n = good.count()
+    if not n:
+        return base.sparkSession.createDataFrame([], "a long, b long, dist_sq double")
+    centers = build.stride_seeds(good, pivots or max(1, min(PIVOTS, int(np.sqrt(n) / 2))), n)
+    placed = _placed(good, centers, "placed")
+    found = _pivot_pairs(placed, placed, centers, r_sq, True, True, chunk)
+    return found.select(F.col("l").alias("a"), F.col("r").alias("b"), "dist_sq")
+
+
 def cluster_pairs(clusters: DataFrame, eps: float) -> DataFrame:
     """(a, b, kept) of cluster pairs a < b: not kept if the centers are at least both radii and eps apart,
     or half their distance is at least a's radius and eps. clusters(cluster_id, vec, radius), a small table."""

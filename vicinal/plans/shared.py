@@ -7,16 +7,19 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the cluster names no folder, as in local tests.
+#: Used only where the session is local and names no folder, as in tests.
 LOCAL_DEFAULT = "/tmp/checkpoints"
 
 _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where unset, it is set to a local default."""
+    """The folder of spark.checkpoint.dir. A cluster must name it; a local session gets a default."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = LOCAL_DEFAULT
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
