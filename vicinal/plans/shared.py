@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Used only where the session is local and names no folder, as in tests.
 LOCAL_DEFAULT = "/tmp/checkpoints"
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -33,13 +35,19 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: it cuts the lineage, and a lost
-    executor costs no more than the tasks it was running. Unlike checkpoint(), the plan runs once."""
+    executor costs no more than the tasks it was running. Unlike checkpoint(), the plan runs once; the files of
+    its shuffles, which no later plan reads, go when it has run."""
     spark = df.sparkSession
     path = new_path(spark, name)
     writer = df.write.mode("overwrite").option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
