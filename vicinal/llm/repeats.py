@@ -7,16 +7,14 @@ hashes that more than one document has; only their strings move.
 
 In a bucket the distinct strings form shards of bounded size. Each shard's transform is built alone. The
 transforms are then merged as by Holt and McMillan (2014): an interleave of the shards' suffixes, in order
-of their first h bytes, is refined to a greater h until it is in order of `length` bytes. A refinement
-reads the transforms only: the block of a suffix and the block of the one h places on, which the
-transform's own mapping gives. Suffixes are never sorted again; since every shard is in order already, a
-step merges runs. The step at which neighbours part gives their common prefix, and blocks that are left
-at the end are the repeated intervals. A block's least document id decides which windows go.
+of their first h symbols, is refined to h + 2 by dealing its suffixes, in their present order, to the
+symbols that the transforms hold before them. Suffixes are never compared or sorted again. A refinement
+that parts two neighbours gives their common prefix, and runs of neighbours with `length` symbols in common
+are the repeated intervals. An interval's least document id decides which windows go.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -32,8 +30,9 @@ LENGTH, GRAM = 50, 16
 #: Bytes of text to a bucket and to a group of documents, on average; positions of a shard
 #: (few, so that its arrays fit a core's cache) and of shards merged at once, unless one hash alone has more.
 BUCKET_BYTES, GROUP_BYTES, SHARD, MERGED = 4 << 20, 32 << 20, 1 << 16, 1 << 18
-#: Bytes of a group's texts whose strings are sorted out at a time.
-TOGETHER = 8 << 20
+#: Bytes of a group's texts whose strings are sorted out at a time; windows of occurrences judged at a time; bytes of
+#: text to a partition at most, on average.
+TOGETHER, JUDGED, PART_BYTES = 8 << 20, 1 << 19, 64 << 20
 #: Bytes whose hashes are made at a time; the arrays should fit a core's cache.
 _CHUNK = 1 << 18
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -407,64 +406,48 @@ def merge(transforms: list[np.ndarray], length: int) -> tuple[np.ndarray, np.nda
     """Merges transforms: (interleave, block, common).
 
     interleave: suffixes, numbered shard by shard in each shard's order, in merged order; block: numbers
-    from 0 of equal prefixes of `length` symbols, by suffix; common: for each merged place a lower bound of
-    the prefix it has in common with the place before, from the refinement at which the two parted.
+    from 0 of equal prefixes of `length` symbols, by suffix; common: for each merged place the symbols that
+    its prefix has in common with the place before: `length`, or less and at most one too few.
+
+    The interleave starts as it is numbered. Of suffixes in order of h symbols, those that are one symbol
+    longer are in order of h + 1 when they are dealt by that symbol and keep their order within it; the
+    transform has the symbol, and its mapping names the longer suffix. Two symbols are dealt at a time,
+    by a counting sort of their numbers among those that occur.
     """
-    keys, ahead, shift = [], {n: [] for n in _jumps(length)}, 0
+    longer, shift = [], 0
     for bwt in transforms:
-        step, front = next_in_order(bwt), np.sort(bwt).astype(np.int64)
-        # the first seven symbols of a suffix, read off the transform
-        key, at = front, step
-        for _ in range(6):
-            key = (key << 9) | front[at]
-            at = step[at]
-        keys.append(key)
-        known = {7: at}
-        for n, out in ahead.items():
-            if n not in known:
-                known[n] = _leap(step, known, n)
-            out.append(known[n] + np.int32(shift))
+        shorter = next_in_order(bwt)
+        own = np.empty(len(bwt), np.int32)
+        own[shorter] = np.arange(len(bwt), dtype=np.int32)
+        longer.append(own + np.int32(shift))
         shift += len(bwt)
-    key, far = np.concatenate(keys), {n: np.concatenate(x) for n, x in ahead.items()}
-    common, h = np.zeros(len(key), np.int32), 7
-    order, block = _refine(key, common, h)
-    while h < length:
-        n = min(h, length - h)
-        h += n
-        order, block = _refine(block.astype(np.int64) * len(key) + block[far[n]], common, h)
-    return order, block, common
-
-
-def _jumps(length: int) -> list[int]:
-    """How far ahead the refinements look."""
-    out, h = [], 7
+    lf, symbol = np.concatenate(longer), np.concatenate(transforms)
+    seen, number = np.unique(symbol, return_inverse=True)
+    number = number.astype(np.uint16)
+    lf2, pair = lf[lf], number[lf] * np.uint16(len(seen)) + number  # at most 257 symbols occur
+    if len(seen) * len(seen) > 1 << 16:
+        lf2, pair = lf, number
+    wide = 2 if pair is not number else 1
+    n = len(symbol)
+    order, block, common, h = np.arange(n, dtype=np.int32), np.zeros(n, np.int32), np.zeros(n, np.int32), 0
+    parted = np.ones(n, bool)
     while h < length:
-        out.append(min(h, length - h))
-        h += out[-1]
-    return sorted(set(out))
-
-
-def _leap(step: np.ndarray, known: dict[int, np.ndarray], far: int) -> np.ndarray:
-    """Where `far` steps lead, by leaps that are known."""
-    at, left = None, far
-    for n in sorted(known, reverse=True):
-        while left >= n:
-            at, left = (known[n] if at is None else known[n][at]), left - n
-    for _ in range(left):
-        at = step if at is None else step[at]
-    return at
-
-
-def _refine(key: np.ndarray, common: np.ndarray, h: int) -> tuple[np.ndarray, np.ndarray]:
-    """The interleave in order of h symbols, and the block of each suffix. Every shard's keys ascend
-    already, so the stable sort merges runs."""
-    order = np.argsort(key, kind="stable")
-    ordered = key[order]
-    same = np.r_[False, ordered[1:] == ordered[:-1]]
-    common[same] = h
-    block = np.empty(len(key), np.int32)
-    block[order] = np.cumsum(~same, dtype=np.int32) - np.int32(1)
-    return order, block
+        if h + wide > length:
+            lf2, pair, wide = lf, number, 1
+        first = pair.take(order)
+        dealt = np.argsort(first, kind="stable")  # of 16 bits: a counting sort
+        first, before = first.take(dealt), block.take(dealt)
+        order = lf2.take(order.take(dealt))
+        np.not_equal(before[1:], before[:-1], out=parted[1:])
+        parted[1:] |= first[1:] != first[:-1]
+        h += wide
+        # neighbours that part do so for good: places keep their blocks
+        common += np.where(parted, 0, wide).astype(np.int8)
+        block = np.cumsum(parted, dtype=np.int32)
+    block -= 1
+    by_suffix = np.empty(n, np.int32)
+    by_suffix[order] = block
+    return order, by_suffix, common
 
 
 def least_owners(strings: list[bytes], owner: np.ndarray, length: int) -> np.ndarray:
@@ -477,17 +460,20 @@ def least_owners(strings: list[bytes], owner: np.ndarray, length: int) -> np.nda
         size += len(s) + 1
     cut.append(len(strings))
     shards = [ShardBwt(strings[a:b], length) for a, b in zip(cut, cut[1:], strict=False) if b > a]
-    order, block, _ = merge([s.bwt for s in shards], length)
+    order, _, common = merge([s.bwt for s in shards], length)
+    # an interval goes on where a suffix has the whole length in common with the one before
+    interval = np.empty(len(order), np.int32)
+    interval[order] = np.cumsum(common < length, dtype=np.int32) - np.int32(1)
     sizes = np.array([len(s) for s in strings])
     string = np.concatenate([(s.string + a)[s.suffixes] for s, a in zip(shards, cut, strict=False)])
     offset = np.concatenate([s.offset[s.suffixes] for s in shards])
     window = np.flatnonzero(offset + length <= sizes[string])
-    string, block = string[window], block[window]
+    string, interval = string[window], interval[window]
     least = np.full(len(order), _LAST)
-    np.minimum.at(least, block, owner[string])
+    np.minimum.at(least, interval, owner[string])
     out = np.empty(int((sizes - length + 1).sum()), np.int64)
     base = np.cumsum(sizes - length + 1) - (sizes - length + 1)
-    out[base[string] + offset[window]] = least[block]
+    out[base[string] + offset[window]] = least[interval]
     return out
 
 
@@ -523,8 +509,8 @@ def _unpack_heads(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _spans(strings: list[bytes], keys: np.ndarray, uses: np.ndarray, length: int, groups: int) -> Iterator[pa.RecordBatch]:
-    """uses: string, id, mark and place of each occurrence. Occurrences in later documents than a string's
-    first go as a whole; of those in its first one the windows go that an even earlier document has."""
+    """uses: string, id, mark and place of each occurrence. Of every occurrence the windows go whose interval has
+    an earlier document; a string's rows in the transform have the least of its documents."""
     which, ids, marks, at = uses
     least = np.full(len(strings), _LAST)
     np.minimum.at(least, which, ids)
@@ -547,22 +533,23 @@ def _spans(strings: list[bytes], keys: np.ndarray, uses: np.ndarray, length: int
     first = np.concatenate(parts)
     base = np.empty(len(strings), np.int64)
     base[order] = np.cumsum(windows[order]) - windows[order]
-    whole = np.flatnonzero(ids > least[which])
-    own = np.flatnonzero(ids == least[which])
-    # every window of the occurrences in first documents, and the runs of those that go
-    n = windows[which[own]]
-    of = np.repeat(np.arange(len(own)), n)
-    k = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-    gone = first[base[which[own]][of] + k] < ids[own][of]
-    begin = np.flatnonzero(gone & np.r_[True, ~gone[:-1] | (of[1:] != of[:-1])]) if len(of) else np.zeros(0, np.int64)
-    end = np.flatnonzero(gone & np.r_[~gone[1:] | (of[1:] != of[:-1]), True]) if len(of) else begin
-    use = own[of[begin]]
-    use_all = np.concatenate([whole, use])
-    start = np.concatenate([at[whole], at[use] + k[begin]])
-    size = np.concatenate([sizes[which[whole]], end - begin + length])
-    out = _span_rows(ids[use_all], marks[use_all], start, size, groups)
-    for s in range(0, len(out), 256):
-        yield _moved(out[s : s + 256])
+    # the windows of some occurrences at a time, and the runs of those that go
+    n = windows[which]
+    cuts = np.searchsorted(np.cumsum(n), np.arange(JUDGED, int(n.sum()) + JUDGED, JUDGED))
+    for s, e in zip([0, *(cuts + 1).tolist()], [*(cuts + 1).tolist(), len(which)], strict=True):
+        use = np.arange(s, min(e, len(which)))
+        if not len(use):
+            continue
+        of = np.repeat(np.arange(len(use)), n[use])
+        k = np.arange(len(of)) - np.repeat(np.cumsum(n[use]) - n[use], n[use])
+        gone = first[base[which[use]][of] + k] < ids[use][of]
+        edge = np.r_[True, of[1:] != of[:-1]]
+        begin = np.flatnonzero(gone & (edge | np.r_[True, ~gone[:-1]]))
+        end = np.flatnonzero(gone & np.r_[edge[1:] | ~gone[1:], True])
+        mine = use[of[begin]]
+        out = _span_rows(ids[mine], marks[mine], at[mine] + k[begin], end - begin + length, groups)
+        for x in range(0, len(out), 256):
+            yield _moved(out[x : x + 256])
 
 
 # ---- step 4: what is left of the documents
@@ -593,7 +580,7 @@ def _kept(write: bool):
                     start, end = union_of(*found)
                     gone, n = int((end - start).sum()), len(start)
                     left = b"".join(data[s:e] for s, e in zip([0, *end.tolist()], [*start.tolist(), len(data)], strict=True))
-                out.append((None if key == _LAST else key, len(data), gone, n, hashlib.sha256(left).hexdigest(), left))
+                out.append((None if key == _LAST and mark & 1 else key, len(data), gone, n, hashlib.sha256(left).hexdigest(), left))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t, _ in zip(zip(*out, strict=True), types, names, strict=False)], names=names)
 
     return run
@@ -614,35 +601,29 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A byte goes if `length` bytes that cover it also start in a document of smaller id; n_spans counts
     maximal runs that go. Null texts are empty. Rows of one id are not smaller than each other; null ids
-    are larger than all others. Texts shorter than `length` stay whole. An empty table gives no rows.
+    are larger than all others (and as large as 2^63 - 1). Texts shorter than `length` stay whole. An empty table gives no rows.
     """
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    found = docs.select(key.alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    # the mark tells rows of one id apart; its last bit, which rows have no id
+    mark = F.xxhash64(text).bitwiseAND(F.lit(-2)).bitwiseOR(F.col(id_col).isNull().cast("long"))
+    found = docs.select(key.alias("id"), mark.alias("mark"), text.alias("text"))
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets, groups = max(8, total // BUCKET_BYTES), max(8, total // GROUP_BYTES)
+    conf = docs.sparkSession.conf
+    parts = int(conf.get("spark.sql.shuffle.partitions"))
+    to = [max(parts, total // PART_BYTES), "to"] if total // PART_BYTES > parts else ["to"]
     asked = found.mapInArrow(_ask(length, buckets, groups), _SQL)
-    answers = materialize(asked.repartition("to").sortWithinPartitions("to").mapInArrow(_answer(groups), _SQL), "repeated-keys")
-    del asked
-    release_shuffles(docs)
+    answers = materialize(asked.repartition(*to).sortWithinPartitions("to").mapInArrow(_answer(groups), _SQL), "repeated-keys")
     dealt = found.mapInArrow(_deal(groups), _SQL)
-    together = lambda said: dealt.unionByName(said).repartition("to").sortWithinPartitions("to", F.desc("kind"))
+    together = lambda said: dealt.unionByName(said).repartition(*to).sortWithinPartitions("to", F.desc("kind"))
     strings = together(answers).mapInArrow(_strings(length, buckets, groups), _SQL)
-    spans = materialize(strings.repartition("to").sortWithinPartitions("to").mapInArrow(_intervals(length, groups), _SQL), "spans")
-    del strings
+    spans = materialize(strings.repartition(*to).sortWithinPartitions("to").mapInArrow(_intervals(length, groups), _SQL), "spans")
     discard(docs.sparkSession, answers)
-    release_shuffles(docs)
     both = together(spans)
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if write else "")
     return both.mapInArrow(_kept(write), schema).withColumn("id", F.col("id").cast(docs.schema[id_col].dataType)).withColumnRenamed("id", id_col)
 
 
-def release_shuffles(df: DataFrame) -> None:
-    """Spark deletes the files of shuffles that no plan can read again once the driver collects its garbage,
-    which may be long after; here it is now, before the texts move a second time."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
 def op10_repeats(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), write=False)
