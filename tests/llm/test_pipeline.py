@@ -2,6 +2,7 @@
 
 import re
 
+import duckdb
 import pytest
 from tokenizers import Tokenizer
 import public_tokenizers
@@ -54,3 +55,15 @@ def test_run_is_in_mixed_order(spark, sf):
 @pytest.mark.parametrize("n", range(1, 11))
 def test_registered(n):
     assert sum(k.startswith(f"op{n}_") for k in registry.QUERIES) == 1
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
+def test_sql_gives_the_same(spark, sf, name):
+    con = duckdb.connect()
+    for table in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{sf}/{table}.parquet')")
+    want = con.execute(registry.ORACLE_SQL[name])
+    names = [d[0] for d in want.description]
+    df = registry.QUERIES[name](spark, sf)
+    assert sorted(df.columns) == sorted(names)
+    assert sorted(map(str, (tuple(r[c] for c in names) for r in df.collect()))) == sorted(map(str, want.fetchall()))

@@ -241,3 +241,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def op3_merkle(spark, sf_dir: str) -> DataFrame:
     return fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+def merkle_edited_texts(spark, sf_dir: str) -> DataFrame:
+    """Of op3's columns those that SQL can make too."""
+    return op3_merkle(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+EDITED_SQL = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER (ORDER BY doc_id) AS place, count(*) OVER () AS n FROM documents),
+    e AS (SELECT a.doc_id, length(a.t) AS n_chars, left(a.t, length(a.t) - length(a.t) // 4) || left(b.t, length(a.t) // 4) AS edited FROM d a JOIN d b ON b.place = a.place % a.n + 1)
+    SELECT doc_id, n_chars, sha256(edited) AS edited_sha256 FROM e"""

@@ -300,3 +300,20 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wr
 
 def op5_pii(spark, sf_dir: str) -> DataFrame:
     return find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+def pii_base_counts(spark, sf_dir: str) -> DataFrame:
+    """Of op5's columns those that SQL can make too."""
+    return op5_pii(spark, sf_dir).select("doc_id", *(f"n_{k}" for k in KINDS))
+
+
+BASE_COUNTS_SQL = r"""WITH m AS (SELECT doc_id,
+      regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS email,
+      regexp_extract_all(text, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS ip,
+      list_transform(regexp_extract_all(text, '[0-9]([ -]?[0-9])+'), lambda x: regexp_replace(x, '[ -]', '', 'g')) AS card,
+      list_transform(regexp_extract_all(text, '\+[0-9][ ().0-9-]+[0-9]'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS phone FROM documents)
+    SELECT doc_id, coalesce(len(email), 0) AS n_email,
+      coalesce(len(list_filter(ip, lambda x: list_max(list_transform(string_split(x, '.'), lambda y: coalesce(TRY_CAST(y AS HUGEINT), 999))) <= 255)), 0) AS n_ip,
+      coalesce(len(list_filter(card, lambda x: len(x) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, len(x) + 1),
+        lambda i: CASE WHEN i % 2 = 1 THEN CAST(x[-i] AS INTEGER) WHEN CAST(x[-i] AS INTEGER) < 5 THEN 2 * CAST(x[-i] AS INTEGER) ELSE 2 * CAST(x[-i] AS INTEGER) - 9 END)) % 10 = 0)), 0) AS n_card,
+      coalesce(len(list_filter(phone, lambda x: len(x) BETWEEN 9 AND 15)), 0) AS n_phone FROM m"""

@@ -627,3 +627,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def op10_repeats(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), write=False)
+
+
+#: Every window of every text, with the least document that holds it; a byte goes if one of the 50 windows that
+#: end at it or later, and start at it or earlier, goes.
+OP10_SQL = f"""WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    b AS (SELECT doc_id, k, substr(h, 2 * k + 1, 2) AS byte, CASE WHEN 2 * k + {2 * LENGTH} <= length(h) THEN md5(substr(h, 2 * k + 1, {2 * LENGTH})) END AS w
+      FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS k FROM d)),
+    f AS (SELECT w, min(doc_id) AS least FROM b WHERE w IS NOT NULL GROUP BY w),
+    g AS (SELECT b.doc_id, b.k, b.byte, max(CASE WHEN f.least < b.doc_id THEN b.k END) OVER (PARTITION BY b.doc_id ORDER BY b.k ROWS UNBOUNDED PRECEDING) AS last FROM b LEFT JOIN f USING (w)),
+    r AS (SELECT doc_id, k, byte, coalesce(k - last < {LENGTH}, false) AS gone FROM g),
+    e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY k), false) AS begins FROM r),
+    o AS (SELECT doc_id, count(*) AS n_bytes, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans, coalesce(string_agg(byte, '' ORDER BY k) FILTER (NOT gone), '') AS kept FROM e GROUP BY doc_id)
+    SELECT doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN o USING (doc_id)"""

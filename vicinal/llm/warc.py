@@ -296,3 +296,15 @@ def responses(files: DataFrame, content_col: str = "content") -> DataFrame:
 
 def op8_warc(spark, sf_dir: str) -> DataFrame:
     return derivatives(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+
+
+def warc_payloads(spark, sf_dir: str) -> DataFrame:
+    """Of op8's records what SQL can make too: the payload's digest in hexadecimal, block sizes and links."""
+    found = op8_warc(spark, sf_dir)
+    hexadecimal = F.pandas_udf(lambda s: s.map(lambda d: base64.b32decode(d[5:]).hex()), "string")
+    linked = (F.col("record_id") != F.col("concurrent_to")) & (F.octet_length(F.encode("block", "UTF-8")) == F.col("n_bytes"))
+    return found.select("page_id", "warc_type", "target_uri", hexadecimal("payload_digest").alias("payload_sha1"), linked.alias("linked"))
+
+
+PAYLOADS_SQL = """SELECT page_id, warc_type, coalesce(url, '') AS target_uri, sha1(coalesce(html, '')) AS payload_sha1, true AS linked
+    FROM pages, (VALUES ('metadata'), ('conversion')) t(warc_type)"""
