@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vicinal import search
-from vicinal.operators import build, cascade, codes, knn, metrics, range_join
+from vicinal.operators import build, cascade, codes, graph, knn, metrics, range_join
 from vicinal.sources.config import parse_config
 
 
@@ -359,3 +359,47 @@ def test_truth_that_lies(spark):
     stated = metrics.count_stats(counts)
     assert metrics.check_truth(counts, stated).count() == 0
     assert [r.what for r in metrics.check_truth(counts, stated.withColumn("total_in_range", F.lit(3))).collect()] == ["total_in_range"]
+
+
+@pytest.mark.parametrize("part_rows", [90, 1000])
+def test_graph_search_finds_most(cloud, spark, tmp_path, part_rows):
+    x, q, b, qs = cloud
+    path = str(tmp_path / "graph")
+    graph.write_graph(graph.build_graph(b, 8, part_rows), path)
+    found = graph.load_graph(spark, path)
+    exact = knn.knn(b, qs, 5)
+    assert metrics.recall(graph.search_graph(found, qs, 5, 40), exact).first().set_recall >= 0.9
+    some = b.where("id % 3 = 0")
+    got = graph.search_graph(found, qs, 4, 60, some).collect()
+    assert all(r.base_id % 3 == 0 for r in got) and len(got) == 100
+    assert graph.search_graph(found, qs.limit(0), 5).count() == 0
+
+
+def test_graph_that_is_none(spark, tmp_path):
+    with pytest.warns(UserWarning, match="no graph"):
+        assert graph.load_graph(spark, str(tmp_path / "missing")) is None
+    spark.range(3).write.parquet(str(tmp_path / "other"))
+    with pytest.warns(UserWarning, match="no graph"):
+        assert graph.load_graph(spark, str(tmp_path / "other")) is None
+
+
+def test_tiny_graphs(spark):
+    q = table(spark, [[0.0, 0.0]], "query_id")
+    for rows in ([], [[1.0, 1.0]], [[1.0, 1.0]] * 3):
+        b = spark.createDataFrame([(i, v) for i, v in enumerate(rows)], "id long, vec array<double>")
+        assert graph.search_graph(graph.build_graph(b), q, 2).count() == min(2, len(rows))
+
+
+@pytest.mark.parametrize("window", [1, 3, 20])
+def test_locality_order_is_greedy(window):
+    r = np.random.default_rng(window)
+    links = graph.link(r.normal(size=(40, 2)), 4, 8)
+    order = graph.locality_order(links, window)
+    assert sorted(order) == list(range(40)) and len(links[order[0]]) == max(map(len, links))
+    for n in range(1, 40):
+        score = {}
+        for v in set(range(40)) - set(order[:n]):
+            score[v] = sum((v in links[u]) + (u in links[v]) + sum(1 for c in range(40) if u in links[c] and v in links[c] and u != v) for u in order[max(0, n - window) : n])
+        best = max(score.values())
+        assert order[n] == min(v for v, s in score.items() if s == best)
+    assert graph.locality_order([], window) == []

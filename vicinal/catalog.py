@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from vicinal import search
 from vicinal.functions import vectors as V
-from vicinal.operators import build, cascade, codes, knn, metrics, range_join
+from vicinal.operators import build, cascade, codes, graph, knn, metrics, range_join
 from vicinal.sources import config
 
 DIM, R_FULL, R_NEAR, K, CENTERS, SLABS, NPROBE, ETA = 64, 1.5, 1.25, 5, 16, 4, 3, 4.0
@@ -228,6 +228,15 @@ def q_histogram(spark, sf):
     return metrics.histogram(counts_of(spark, sf))
 
 
+@query("histogram_csv", with_hits(64, R_FULL) + "SELECT CAST(floor(log10(n_hits) * 5 + 1e-9) AS INTEGER) AS bin, count(*) AS n FROM counts WHERE n_hits > 0 GROUP BY 1")
+def q_histogram_csv(spark, sf):
+    from vicinal.plans.shared import new_path
+
+    path = new_path(spark, "histogram")
+    metrics.write_rows(metrics.histogram(counts_of(spark, sf)), path, "bin")
+    return spark.read.csv(path, header=True, schema="bin int, n long")
+
+
 @query("count_quantiles", with_hits(64, R_FULL) + "SELECT min(n_hits) AS min_hits, median(n_hits) AS median_hits, round(quantile_cont(n_hits, 0.95), 6) AS p95_hits, max(n_hits) AS max_hits FROM counts WHERE n_hits > 0")
 def q_count_quantiles(spark, sf):
     return metrics.count_quantiles(counts_of(spark, sf))
@@ -624,6 +633,15 @@ def q_pareto(spark, sf):
     return metrics.pareto_front(runs_of(spark, sf))
 
 
+@query("pareto_csv", RUN_SQL + "SELECT run, CAST(recall AS DOUBLE) AS recall, CAST(qps AS DOUBLE) AS qps FROM r WHERE NOT EXISTS (SELECT 1 FROM r o WHERE o.recall >= r.recall AND o.qps >= r.qps AND (o.recall > r.recall OR o.qps > r.qps))")
+def q_pareto_csv(spark, sf):
+    from vicinal.plans.shared import new_path
+
+    path = new_path(spark, "pareto")
+    metrics.write_rows(metrics.pareto_front(runs_of(spark, sf)), path, "recall")
+    return spark.read.csv(path, header=True, schema="run int, recall double, qps double")
+
+
 @query("run_medians", staged() + f"SELECT cluster_id, round(median(d2), 6) AS median_value FROM dec WHERE rank <= {NPROBE} GROUP BY cluster_id")
 def q_medians(spark, sf):
     """Of each cluster the median squared distance of queries that have it among their nearest."""
@@ -1198,3 +1216,73 @@ def q_center_matrix(spark, sf):
     base = embeddings(spark, sf)
     found = build.assign(base.where("id % 50 = 0"), build.stride_seeds(base, CENTERS), CENTERS)
     return rounded(found.select(F.col("id").alias("query_id"), "cluster_id", "dist_sq"), "dist_sq")
+
+
+# ---- graphs
+
+
+_graphs: dict[tuple[str, str], str] = {}
+
+
+def stored_graph(spark, sf) -> DataFrame:
+    """The graph over the embeddings, in a few parts, built and written once a session."""
+    from vicinal.plans.shared import new_path
+
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _graphs:
+        path = new_path(spark, "graph")
+        graph.write_graph(graph.build_graph(embeddings(spark, sf), part_rows=700), path)
+        _graphs[key] = path
+    return graph.load_graph(spark, _graphs[key])
+
+
+@query("graph_edges", "SELECT vec_id AS id, true AS linked, true AS both_ways FROM embeddings")
+def q_graph_edges(spark, sf):
+    """Whether every vertex has edges, all to vertices of its part that have one back."""
+    g = stored_graph(spark, sf)
+    edges = g.select("part", "id", F.explode("neighbours").alias("other"))
+    back = edges.select(F.col("part").alias("p"), F.col("other").alias("i"), F.col("id").alias("o"))
+    met = edges.join(back, (F.col("part") == F.col("p")) & (F.col("id") == F.col("i")) & (F.col("other") == F.col("o")), "left")
+    ways = met.groupBy("id").agg(F.bool_and(F.col("p").isNotNull()).alias("both_ways"))
+    return g.join(ways, "id").select("id", (F.size("neighbours") > 0).alias("linked"), "both_ways")
+
+
+def graph_recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """One row: pairs that there are, and whether nine in ten were found."""
+    return metrics.recall(found, exact).select("n_true", (F.col("set_recall") >= 0.9).alias("found"))
+
+
+@query("graph_search_recall", f"SELECT count(*) * {K} AS n_true, true AS found FROM embeddings WHERE vec_id % 50 = 0")
+def q_graph_search(spark, sf):
+    base = embeddings(spark, sf)
+    queries = as_queries(base)
+    return graph_recall(graph.search_graph(stored_graph(spark, sf), queries, K), knn.knn(base, queries, K))
+
+
+@query("graph_search_label", with_tables() + f"SELECT CAST(sum(least({K}, n)) AS BIGINT) AS n_true, true AS found FROM q, (SELECT count(*) AS n FROM b WHERE label = 3)")
+def q_graph_label(spark, sf):
+    """Only rows of one label may be results."""
+    base = embeddings(spark, sf)
+    queries = as_queries(base)
+    mine = base.where("label = 3")
+    return graph_recall(graph.search_graph(stored_graph(spark, sf), queries, K, 200, mine), knn.knn(mine, queries, K))
+
+
+@query("graph_search_after_delete", with_tables() + f"SELECT count(*) * {K} AS n_true, true AS found FROM q")
+def q_graph_delete(spark, sf):
+    """Deleted rows are passed through and never found."""
+    base = embeddings(spark, sf)
+    queries, left = as_queries(base), base.where("label <> 7")
+    found = graph.search_graph(stored_graph(spark, sf), queries, K, 200, left)
+    wrong = found.join(base.where("label = 7"), F.col("base_id") == F.col("id"), "left_semi").count()
+    return graph_recall(found, knn.knn(left, queries, K)).withColumn("found", F.col("found") & F.lit(wrong == 0))
+
+
+@query("graph_candidates", with_tables() + f"SELECT count(*) * {NPROBE} AS n_true, true AS found FROM q")
+def q_graph_candidates(spark, sf):
+    """Candidate clusters by the graph of the centers, against exact ones."""
+    _, queries, index = indexed(spark, sf)
+    centers = index.centers.table(spark).select(F.col("cluster_id").alias("id"), "vec")
+    found = graph.search_graph(graph.build_graph(centers, 4), queries, NPROBE, 8)
+    exact = cascade.candidates(index, queries, cascade.Options(n_candidates=NPROBE)).select("query_id", F.col("cluster_id").alias("base_id"))
+    return graph_recall(found, exact)

@@ -191,9 +191,14 @@ def confusion_json(one_row: DataFrame) -> DataFrame:
     return one_row.select(F.to_json(F.struct("*")).alias("json"))
 
 
+def write_rows(df: DataFrame, path: str, order: str) -> None:
+    """CSV with a header, in an order."""
+    df.repartitionByRange(order).sortWithinPartitions(order).write.mode("overwrite").csv(path, header=True)
+
+
 def write_trace(trace: DataFrame, path: str) -> None:
     """CSV with a header, in order of query."""
-    trace.repartitionByRange("query_id").sortWithinPartitions("query_id").write.mode("overwrite").csv(path, header=True)
+    write_rows(trace, path, "query_id")
 
 
 def bound_dump(bounds: DataFrame, asked: DataFrame, queries: int = 100) -> DataFrame:

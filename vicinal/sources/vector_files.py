@@ -110,9 +110,8 @@ class _Ranges(DataSourceReader):
             yield self.batch(a, min(part.last, a + BATCH))
 
     def slice(self, offset: int, count: int, dtype: str) -> np.ndarray:
-        with open(self.path, "rb") as f:
-            f.seek(offset)
-            return np.fromfile(f, dtype, count)
+        """Components of the file, mapped into memory: only the pages that are used are read."""
+        return np.asarray(np.memmap(self.path, dtype, "r", offset, (count,))) if count else np.zeros(0, dtype)
 
 
 def _vectors(first: int, rows: np.ndarray, kind: pa.DataType) -> pa.RecordBatch:
