@@ -8,9 +8,10 @@ hashes that more than one document has; only their strings move.
 In a bucket the distinct strings form shards of bounded size. Each shard's transform is built alone. The
 transforms are then merged as by Holt and McMillan (2014): an interleave of the shards' suffixes, in order
 of their first h symbols, is refined to h + 2 by dealing its suffixes, in their present order, to the
-symbols that the transforms hold before them. Suffixes are never compared or sorted again. A refinement
-that parts two neighbours gives their common prefix, and runs of neighbours with `length` symbols in common
-are the repeated intervals. An interval's least document id decides which windows go.
+symbols that the transforms hold before them. Suffixes are never compared or sorted again, and of each
+string only the suffixes take part that a window needs. The refinements also tell which neighbours have a
+common prefix of `length` symbols; runs of them are the repeated intervals. An interval's least document id
+decides which windows go.
 """
 
 from __future__ import annotations
@@ -358,7 +359,7 @@ def _span_rows(ids: np.ndarray, marks: np.ndarray, at: np.ndarray, size: np.ndar
 class ShardBwt:
     """Burrows-Wheeler transform of some strings, each followed by a separator."""
 
-    def __init__(self, strings: list[bytes], length: int) -> None:
+    def __init__(self, strings: list[bytes]) -> None:
         sizes = np.array([len(s) + 1 for s in strings])
         n = int(sizes.sum())
         text = np.zeros(n, np.int64)  # 0 separates; bytes count from 1
@@ -368,31 +369,34 @@ class ShardBwt:
         text[inside] = np.frombuffer(b"".join(strings), np.uint8).astype(np.int64) + 1
         self.string = np.repeat(np.arange(len(strings)), sizes)
         self.offset = np.arange(n) - np.repeat(ends - sizes, sizes)
-        self.suffixes = self._sort(text, length + 6)
+        self.suffixes = self._sort(text, np.repeat(sizes, sizes) - self.offset)
         #: the byte before each suffix, in the order of suffixes
         self.bwt = text[self.suffixes - 1].astype(np.uint16)
 
     @staticmethod
-    def _sort(text: np.ndarray, depth: int) -> np.ndarray:
-        """Suffixes in order of their first `depth` symbols or more, by doubling; a place's number is part of
-        the key, so plain sorts do. Depth beyond `length` keeps the transform's mapping right within it."""
+    def _sort(text: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """Suffixes in order of what is left of their strings, equal ones by string, by doubling; a place's number
+        is part of the key, so plain sorts do. In this order the transform's mapping is exact. left: symbols up
+        to the separator, itself included."""
         n, place = len(text), np.arange(len(text))
         bits = max(1, int(n).bit_length())
         if 3 * bits > 63 or 36 + bits > 63:
             raise ValueError("shard too large")
         key = text << 27
         for k in range(1, 4):
-            key[:-k] |= text[k:] << (9 * (3 - k))
-        h = 4
+            key[:-k] |= np.where(left[:-k] > k, text[k:] << (9 * (3 - k)), 0)
+        h, longest = 4, int(left.max())
         while True:
             both = np.sort((key << bits) | place)
             order, pair = both & ((1 << bits) - 1), both >> bits
+            if h >= longest:
+                return order
             rank = np.empty(n, np.int64)
             rank[order] = np.cumsum(np.r_[0, pair[1:] != pair[:-1]])
-            if h >= depth or rank[order[-1]] == n - 1:
+            if rank[order[-1]] == n - 1:
                 return order
             key = rank << bits
-            key[:-h] |= rank[h:] + 1
+            key[:-h] |= np.where(left[:-h] > h, rank[h:] + 1, 0)
             h *= 2
 
 
@@ -402,17 +406,18 @@ def next_in_order(bwt: np.ndarray) -> np.ndarray:
     return np.argsort(bwt, kind="stable").astype(np.int32)
 
 
-def merge(transforms: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Merges transforms: (interleave, block, common).
+def merge(transforms: list[np.ndarray], length: int, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Merges transforms: (interleave, common), of the windows of `length` symbols that end before `ends`.
 
-    interleave: suffixes, numbered shard by shard in each shard's order, in merged order; block: numbers
-    from 0 of equal prefixes of `length` symbols, by suffix; common: for each merged place the symbols that
-    its prefix has in common with the place before: `length`, or less and at most one too few.
+    ends: suffixes, numbered shard by shard in each shard's order, in ascending order. interleave: the
+    suffixes `length` symbols longer, in merged order of these symbols; common: whether a window's prefix
+    in common with the one before it in the interleave is `length`, so it belongs to the same interval.
 
     The interleave starts as it is numbered. Of suffixes in order of h symbols, those that are one symbol
     longer are in order of h + 1 when they are dealt by that symbol and keep their order within it; the
     transform has the symbol, and its mapping names the longer suffix. Two symbols are dealt at a time,
-    by a counting sort of their numbers among those that occur.
+    by a counting sort of their numbers among those that occur. Neighbours have h + 2 symbols in common if
+    they were dealt to one place, from places with h in common.
     """
     longer, shift = [], 0
     for bwt in transforms:
@@ -428,9 +433,8 @@ def merge(transforms: list[np.ndarray], length: int) -> tuple[np.ndarray, np.nda
     if len(seen) * len(seen) > 1 << 16:
         lf2, pair = lf, number
     wide = 2 if pair is not number else 1
-    n = len(symbol)
-    order, block, common, h = np.arange(n, dtype=np.int32), np.zeros(n, np.int32), np.zeros(n, np.int32), 0
-    parted = np.ones(n, bool)
+    order, n, h = ends.astype(np.int32), len(ends), 0
+    block, parted = np.zeros(n, np.int32), np.ones(n, bool)
     while h < length:
         if h + wide > length:
             lf2, pair, wide = lf, number, 1
@@ -441,13 +445,8 @@ def merge(transforms: list[np.ndarray], length: int) -> tuple[np.ndarray, np.nda
         np.not_equal(before[1:], before[:-1], out=parted[1:])
         parted[1:] |= first[1:] != first[:-1]
         h += wide
-        # neighbours that part do so for good: places keep their blocks
-        common += np.where(parted, 0, wide).astype(np.int8)
         block = np.cumsum(parted, dtype=np.int32)
-    block -= 1
-    by_suffix = np.empty(n, np.int32)
-    by_suffix[order] = block
-    return order, by_suffix, common
+    return order, ~parted
 
 
 def least_owners(strings: list[bytes], owner: np.ndarray, length: int) -> np.ndarray:
@@ -459,21 +458,17 @@ def least_owners(strings: list[bytes], owner: np.ndarray, length: int) -> np.nda
             size = 0
         size += len(s) + 1
     cut.append(len(strings))
-    shards = [ShardBwt(strings[a:b], length) for a, b in zip(cut, cut[1:], strict=False) if b > a]
-    order, _, common = merge([s.bwt for s in shards], length)
-    # an interval goes on where a suffix has the whole length in common with the one before
-    interval = np.empty(len(order), np.int32)
-    interval[order] = np.cumsum(common < length, dtype=np.int32) - np.int32(1)
+    shards = [ShardBwt(strings[a:b]) for a, b in zip(cut, cut[1:], strict=False) if b > a]
     sizes = np.array([len(s) for s in strings])
     string = np.concatenate([(s.string + a)[s.suffixes] for s, a in zip(shards, cut, strict=False)])
     offset = np.concatenate([s.offset[s.suffixes] for s in shards])
-    window = np.flatnonzero(offset + length <= sizes[string])
-    string, interval = string[window], interval[window]
-    least = np.full(len(order), _LAST)
-    np.minimum.at(least, interval, owner[string])
-    out = np.empty(int((sizes - length + 1).sum()), np.int64)
+    order, common = merge([s.bwt for s in shards], length, np.flatnonzero(offset >= length))
+    string, offset = string[order], offset[order]
+    first = np.flatnonzero(~common)
+    least = np.minimum.reduceat(owner[string], first) if len(first) else np.zeros(0, np.int64)
     base = np.cumsum(sizes - length + 1) - (sizes - length + 1)
-    out[base[string] + offset[window]] = least[interval]
+    out = np.empty(int((sizes - length + 1).sum()), np.int64)
+    out[base[string] + offset] = np.repeat(least, np.diff(np.r_[first, len(order)]))
     return out
 
 
