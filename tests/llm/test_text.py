@@ -707,7 +707,9 @@ def test_merge_gives_least_owners_and_common_prefixes(shard, monkeypatch):
     assert [*common.tolist()] == [False, *(a == b for a, b in zip(windows, windows[1:]))]
 
 
-def test_repeats(documents, odd, spark):
+@pytest.mark.parametrize("hot", [1, 50_000])
+def test_repeats(documents, odd, spark, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)
     rows = [(r.doc_id, r.text.encode()) for r in documents.select("doc_id", "text").collect()]
     assert sorted(tuple(x) for x in repeats.remove_repeats(documents, write=False).collect()) == slow_repeats(rows)
     r = random.Random(9)
@@ -723,6 +725,27 @@ def test_repeats(documents, odd, spark):
     assert repeats.remove_repeats(odd.limit(0)).count() == 0
 
 
+def test_largest_id_is_not_null(spark):
+    text = "".join(random.Random(1).choice("abcdef") for _ in range(80))
+    df = spark.createDataFrame([((1 << 63) - 1, text), (None, text), (5, text), ((1 << 63) - 1, None)], "doc_id long, text string")
+    got = sorted((x.doc_id or 0, x.n_bytes, x.n_removed) for x in repeats.remove_repeats(df).collect())
+    assert got == [(0, 80, 80), (5, 80, 0), ((1 << 63) - 1, 0, 0), ((1 << 63) - 1, 80, 80)]
+
+
+def test_hot_keys_are_dealt_again():
+    r = random.Random(4)
+    texts = [bytes(r.choice(b"abc") for _ in range(300)) for _ in range(20)] + [b"x" * 200]
+    for d, a, n, k in repeats.runs(texts, 50):
+        e, b, m, both = repeats._dealt_again(texts, d, a, n, k, 50)
+        windows = lambda d, a, n: [texts[i][p + q : p + q + 50] for i, p, c in zip(d, a, n, strict=True) for q in range(c)]
+        assert sorted(windows(e, b, m)) == sorted(windows(d, a, n))
+        keys = collections.defaultdict(set)
+        for i, p, c, y in zip(e, b, m, both, strict=True):
+            for q in range(c):
+                keys[texts[i][p + q : p + q + 50]].add(int(y))
+        assert all(len(x) == 1 for x in keys.values()) and len(set(both.tolist())) > len(set(k.tolist()))
+
+
 # ---- mixing
 
 

@@ -31,6 +31,9 @@ LENGTH, GRAM = 50, 16
 #: Bytes of text to a bucket and to a group of documents, on average; positions of a shard
 #: (few, so that its arrays fit a core's cache) and of shards merged at once, unless one hash alone has more.
 BUCKET_BYTES, GROUP_BYTES, SHARD, MERGED = 4 << 20, 32 << 20, 1 << 16, 1 << 18
+#: A key that more documents ask for than the greater of these numbers, the second a share of all bytes, has its
+#: strings dealt by a second hash too. So few keys are that they can be broadcast (6 bytes each, 20 MB at most).
+HOT, HOT_SHARE = 50_000, 50_000_000
 #: Bytes of a group's texts whose strings are sorted out at a time; windows of occurrences judged at a time; bytes of
 #: text to a partition at most, on average.
 TOGETHER, JUDGED, PART_BYTES = 8 << 20, 1 << 19, 64 << 20
@@ -177,10 +180,12 @@ def _ask(length: int, buckets: int, groups: int):
             doc, key = doc[new], key[new]
             first = np.r_[True, key[1:] != key[:-1]]
             alone = first & np.r_[first[1:], True]
+            times = np.zeros(len(key), np.int64)
+            times[first] = np.diff(np.r_[np.flatnonzero(first), len(key)])
             rows = []
             by_doc = np.flatnonzero(first)[np.argsort(doc[first], kind="stable")]
-            for to, k, d, one in _by(_bucket_of(key[by_doc], buckets), key[by_doc], doc[by_doc], alone[by_doc]):
-                rows.append((to, 0, _pack_keys(k), *_pack_runs(uid[d]), np.packbits(one).tobytes()))
+            for to, k, d, n in _by(_bucket_of(key[by_doc], buckets), key[by_doc], doc[by_doc], times[by_doc]):
+                rows.append((to, 0, _pack_keys(k), *_pack_runs(uid[d]), _pack(n, "<u4")))
             known = np.flatnonzero(~alone)
             known = known[np.argsort(doc[known], kind="stable")]
             for to, k, d in _by(_group_of(uid[doc[known]], groups), key[known], doc[known]):
@@ -204,8 +209,9 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tupl
         yield at, held
 
 
-def _answer(groups: int):
-    """Keys of a bucket -> for each group of documents the (document, key) whose key others have."""
+def _answer(groups: int, hot: int):
+    """Keys of a bucket -> for each group of documents the (document, key) whose key others have; and, as rows of
+    kind 2, the keys that more than `hot` documents have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for to, rows in _grouped(batches):
@@ -214,10 +220,16 @@ def _answer(groups: int):
                 continue
             parts = [_unpack_keys(r[2]) for r in rows]
             key, uid = np.concatenate(parts), np.concatenate([_unpack_runs(r[3], r[4]) for r in rows])
-            asks = np.concatenate([np.unpackbits(np.frombuffer(r[5], np.uint8))[: len(k)] for r, k in zip(rows, parts, strict=True)])
+            times = np.concatenate([_unpack(r[5], "<u4") for r in rows])
             order = np.argsort(key, kind="stable")
-            key, uid, asks = key[order], uid[order], asks[order].astype(bool)
+            key, uid, times = key[order], uid[order], times[order]
             same = key[1:] == key[:-1]
+            asks = times == 1
+            if len(key):
+                first = np.flatnonzero(np.r_[True, ~same])
+                many = key[first][np.add.reduceat(times.astype(np.int64), first) > hot]
+                if len(many):
+                    yield _moved([(0, 2, _pack_keys(many), None, None, None)])
             yes = (np.r_[False, same] | np.r_[same, False]) & asks
             key, uid = key[yes], uid[yes]
             order = np.argsort(uid, kind="stable")
@@ -272,8 +284,8 @@ def _by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple],
 # ---- step 2: the strings of those keys
 
 
-def _strings(length: int, buckets: int, groups: int):
-    """A group's answers, then its documents -> strings for the buckets. Of equal strings in a batch only
+def _strings(length: int, buckets: int, groups: int, hot):
+    """A group's answers, then its documents -> strings for the buckets. hot: broadcast keys, in order. Of equal strings in a batch only
     those of the least document go there; the others are repeats as a whole, and that is known here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,7 +294,7 @@ def _strings(length: int, buckets: int, groups: int):
         def flush() -> Iterator[pa.RecordBatch]:
             if parts and len(wanted):
                 ids, marks = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
-                yield from _emit([t for p in parts for t in p[0]], ids, marks, wanted, length, buckets, groups)
+                yield from _emit([t for p in parts for t in p[0]], ids, marks, wanted, length, buckets, groups, hot.value)
 
         for held, row in _by_group(batches):
             if held is not last or size > TOGETHER:
@@ -303,13 +315,20 @@ def _asked(uid: np.ndarray, key: np.ndarray) -> np.ndarray:
     return (uid ^ key * _M1) * _M2
 
 
-def _emit(texts: list[bytes], ids: np.ndarray, marks: np.ndarray, wanted: np.ndarray, length: int, buckets: int, groups: int) -> Iterator[pa.RecordBatch]:
+def _emit(texts: list[bytes], ids: np.ndarray, marks: np.ndarray, wanted: np.ndarray, length: int, buckets: int, groups: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     uid = _uid(ids, marks)
     found = []
     for d, a, w, k in runs(texts, length):
         q = _asked(uid[d], _short(k))
         ok = wanted[np.minimum(np.searchsorted(wanted, q), len(wanted) - 1)] == q
-        found.append((d[ok], a[ok], w[ok], k[ok]))
+        d, a, w, k = d[ok], a[ok], w[ok], k[ok]
+        if len(hot) and len(k):
+            many = hot[np.minimum(np.searchsorted(hot, _short(k)), len(hot) - 1)] == _short(k)
+            if many.any():
+                d, a, w, k = (np.concatenate(x) for x in zip((d[~many], a[~many], w[~many], k[~many]), _dealt_again(texts, d[many], a[many], w[many], k[many], length), strict=True))
+                order = np.lexsort((a, d))
+                d, a, w, k = d[order], a[order], w[order], k[order]
+        found.append((d, a, w, k))
     if not found:
         return
     doc, at, n, key = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -337,6 +356,22 @@ def _emit(texts: list[bytes], ids: np.ndarray, marks: np.ndarray, wanted: np.nda
         yield _moved(out[s : s + 256])
 
 
+def _dealt_again(texts: list[bytes], doc: np.ndarray, at: np.ndarray, n: np.ndarray, key: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Runs of windows of one key as runs of one key and one least hash among the grams of other hashes. Equal
+    windows have both in common."""
+    sizes = n + length - 1
+    data = np.frombuffer(b"".join([texts[d][a:e] for d, a, e in zip(doc.tolist(), at.tolist(), (at + sizes).tolist(), strict=True)]), np.uint8)
+    run, start = np.repeat(np.arange(len(doc)), sizes), np.cumsum(sizes) - sizes
+    h = gram_hashes(data)
+    h[h == key[run[: len(h)]]] = np.uint64((1 << 64) - 1)
+    second = sliding_least(h, length - GRAM + 1)
+    place = np.flatnonzero(np.arange(len(second)) - start[run[: len(second)]] < n[run[: len(second)]])
+    both = (key[run[place]] ^ second[place] * _M1) * _M2
+    begin = np.flatnonzero(np.r_[True, (both[1:] != both[:-1]) | (run[place][1:] != run[place][:-1])])
+    r = run[place[begin]]
+    return doc[r], at[r] + place[begin] - start[r], np.diff(np.r_[begin, len(place)]), both[begin]
+
+
 def _joined(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spans of documents in order, those that touch as one: a copied document is one span, not one a string."""
     if not len(doc):
@@ -609,10 +644,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = int(conf.get("spark.sql.shuffle.partitions"))
     to = [max(parts, total // PART_BYTES), "to"] if total // PART_BYTES > parts else ["to"]
     asked = found.mapInArrow(_ask(length, buckets, groups), _SQL)
-    answers = materialize(asked.repartition(*to).sortWithinPartitions("to").mapInArrow(_answer(groups), _SQL), "repeated-keys")
+    answers = materialize(asked.repartition(*to).sortWithinPartitions("to").mapInArrow(_answer(groups, max(HOT, total // HOT_SHARE)), _SQL), "repeated-keys")
+    hot = np.sort(np.concatenate([np.zeros(0, np.uint64), *(_unpack_keys(r["a"]) for r in answers.where("kind = 2").select("a").collect())]))
     dealt = found.mapInArrow(_deal(groups), _SQL)
     together = lambda said: dealt.unionByName(said).repartition(*to).sortWithinPartitions("to", F.desc("kind"))
-    strings = together(answers).mapInArrow(_strings(length, buckets, groups), _SQL)
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
+    strings = together(answers.where("kind = 1")).mapInArrow(_strings(length, buckets, groups, shared), _SQL)
     spans = materialize(strings.repartition(*to).sortWithinPartitions("to").mapInArrow(_intervals(length, groups), _SQL), "spans")
     discard(docs.sparkSession, answers)
     both = together(spans)
