@@ -59,10 +59,14 @@ def test_range_join(cloud, spark):
     assert range_join.verify(wrong, b, qs).count() == 1
 
 
-def test_range_join_in_blocks(cloud, spark, monkeypatch):
+@pytest.mark.parametrize("blocks", [1, 1000])
+def test_range_join_in_blocks(cloud, spark, monkeypatch, blocks):
+    """Blocks of a few queries, that come to the driver at once or one by one."""
     x, q, b, qs = cloud
-    blocks = range_join.query_blocks
-    monkeypatch.setattr(range_join, "query_blocks", lambda queries: blocks(queries, 100))
+    made = range_join.query_blocks
+    monkeypatch.setattr(range_join, "BLOCKS", 1000)
+    monkeypatch.setattr(range_join, "query_blocks", lambda queries, held: made(queries, 100, held if blocks == 1000 else 10**9))
+    assert len(list(made(qs, 100))) > 3
     assert pairs(range_join.range_join(b, qs, 0.8)) == brute(x, q, 0.8)
 
 

@@ -34,11 +34,27 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(n) if df._jdf.queryExecution().toRdd().getNumPartitions() < n else df
 
 
-def query_blocks(queries: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, matrix) of finite queries, block by block."""
-    good = queries.select("query_id", "vec").where(F.col("vec").isNotNull() & V.is_finite("vec")).orderBy("query_id")
+def query_bytes(queries: DataFrame) -> int:
+    return queries.agg(F.sum(8 * F.size("vec") + 8)).first()[0] or 0
+
+
+def query_blocks(queries: DataFrame, block_bytes: int | None = None, held: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, matrix) of finite queries, block by block in order of id. Up to BLOCKS blocks come to the driver at once,
+    more of them one at a time."""
+    block_bytes = block_bytes or BLOCK_BYTES
+    good = queries.select(F.col("query_id").cast("long").alias("query_id"), "vec").where(F.col("vec").isNotNull() & V.is_finite("vec"))
+    if (query_bytes(queries) if held is None else held) <= BLOCKS * block_bytes:
+        found = good.toArrow()
+        if found.num_rows:
+            ids, matrix = found.column("query_id").to_numpy(), kernels.matrix(found.column("vec"))
+            order = np.argsort(ids, kind="stable")
+            ids, matrix = ids[order], matrix[order]
+            step = max(1, block_bytes // (8 * matrix.shape[1] + 8))
+            for at in range(0, len(ids), step):
+                yield ids[at : at + step], matrix[at : at + step]
+        return
     ids, rows, size = [], [], 0
-    for r in good.toLocalIterator(prefetchPartitions=True):
+    for r in good.orderBy("query_id").toLocalIterator(prefetchPartitions=True):
         ids.append(r["query_id"])
         rows.append(r["vec"])
         size += 8 * len(r["vec"]) + 8
@@ -68,11 +84,11 @@ def finite(df: DataFrame, key: str = "id") -> DataFrame:
 def range_join(base: DataFrame, queries: DataFrame, r_sq: float, strict: bool = False) -> DataFrame:
     """(query_id, base_id, dist_sq) of all pairs within the radius, inclusive unless strict."""
     spark = base.sparkSession
-    held = queries.agg(F.sum(8 * F.size("vec") + 8)).first()[0] or 0
+    held = query_bytes(queries)
     if held > BLOCKS * BLOCK_BYTES:
         return pivot_join(base, queries, r_sq, strict)
     rows = spread(base.select(F.col("id").cast("long").alias("id"), "vec").where(F.col("vec").isNotNull()))
-    parts = [rows.mapInArrow(_scan(spark.sparkContext.broadcast(b), r_sq, strict), PAIRS) for b in query_blocks(queries)]
+    parts = [rows.mapInArrow(_scan(spark.sparkContext.broadcast(b), r_sq, strict), PAIRS) for b in query_blocks(queries, held=held)]
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], PAIRS)
 
 
