@@ -12,6 +12,7 @@ import struct
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -1218,6 +1219,73 @@ def q_center_matrix(spark, sf):
     return rounded(found.select(F.col("id").alias("query_id"), "cluster_id", "dist_sq"), "dist_sq")
 
 
+# ---- streams, configuration, and cases that data rarely show
+
+
+@query("range_stream", with_hits(DIM, R_FULL) + HITS)
+def q_stream(spark, sf):
+    """Queries that arrive file by file, each micro-batch written by its epoch."""
+    from vicinal.plans.shared import new_path
+    from vicinal.streaming.range_stream import range_search_stream
+
+    base, path, out = embeddings(spark, sf), new_path(spark, "stream-in"), new_path(spark, "stream-out")
+    as_queries(base).repartition(3).write.parquet(path)
+    queries = spark.readStream.schema("query_id long, vec array<double>").option("maxFilesPerTrigger", 1).parquet(path)
+    running = range_search_stream(base, queries, R_FULL, lambda found, epoch: found.write.mode("overwrite").parquet(f"{out}/epoch={epoch}"), new_path(spark, "stream-state"), availableNow=True)
+    running.awaitTermination()
+    return rounded(spark.read.parquet(out).select("query_id", "base_id", "dist_sq"), "dist_sq")
+
+
+@query("config_values", f"SELECT * FROM (VALUES ('K', '{CENTERS}'), ('approx_alpha', '1.0'), ('cell_filter_enabled', 'True'), ('cluster_num', '{CENTERS}'), ('fast_path_mode', 'exact'), ('fast_path_nprobe_N', '{NPROBE}'), ('pca_rank', '32'), ('slab_count', '{SLABS}'), ('target_cell_vecs', '24')) t(key, value)")
+def q_config(spark, sf):
+    """A configuration file's values and defaults that bear on results."""
+    path = put_file(spark, "config", CONFIG.encode())
+    found = config.parse_config("\n".join(r["value"] for r in spark.read.text(path).collect()))
+    keys = ("K", "approx_alpha", "cell_filter_enabled", "cluster_num", "fast_path_mode", "fast_path_nprobe_N", "pca_rank", "slab_count", "target_cell_vecs")
+    return spark.createDataFrame([(k, str(found[k])) for k in keys], "key string, value string")
+
+
+@query("code_sentinels", with_assigned() + "SELECT id, cluster_id, true AS is_zero FROM a WHERE d2 = 0")
+def q_sentinels(spark, sf):
+    """Rows at their centers have no code: all factors are 0."""
+    _, _, index = indexed(spark, sf)
+    factors = [F.col(c) == 0 for c in ("f_rescale", "f_error", "f_rescale8", "f_error8")]
+    return index.codes.where("f_add = 0").select("id", "cluster_id", (factors[0] & factors[1] & factors[2] & factors[3]).alias("is_zero"))
+
+
+@query("pca_bases", with_tables() + "SELECT cluster_id, true AS orthonormal, true AS falls FROM c")
+def q_pca_bases(spark, sf):
+    """Whether a cluster's axes are orthonormal and its members' spread along them falls."""
+    _, _, index = indexed(spark, sf)
+    identity = F.expr("forall(transform(basis, (x, i) -> forall(transform(basis, (y, j) -> abs(aggregate(zip_with(x, y, (s, t) -> s * t), 0D, (s, t) -> s + t) - IF(i = j, 1, 0)) < 1e-9), z -> z)), z -> z)")
+    c = index.centers.table(spark).select("cluster_id", F.col("vec").alias("cv"))
+    members = index.members.select("cluster_id", "vec").join(index.models.select("cluster_id", "basis"), "cluster_id").join(F.broadcast(c), "cluster_id")
+    t = members.select("cluster_id", F.posexplode(V.project(F.col("basis"), F.col("vec"), F.col("cv"))).alias("axis", "t"))
+    spread = t.groupBy("cluster_id", "axis").agg(F.sum(F.col("t") * F.col("t")).alias("s")).groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("axis", "s"))), lambda x: x["s"]).alias("s"))
+    falls = F.expr("forall(sequence(1, size(s)), i -> get(s, i) IS NULL OR get(s, i) <= s[i - 1] + 1e-9)")
+    return index.models.select("cluster_id", identity.alias("orthonormal")).join(spread, "cluster_id").select("cluster_id", "orthonormal", falls.alias("falls"))
+
+
+def with_far_center(spark, sf) -> tuple[DataFrame, build.Centers]:
+    base = embeddings(spark, sf)
+    return base, build.Centers(np.vstack([build.stride_seeds(base, CENTERS).matrix, np.full((1, DIM), 50.0)]))
+
+
+@query("empty_slab", f"SELECT CAST({CENTERS} AS INTEGER) AS cluster_id, CAST(unnest(range({SLABS})) AS INTEGER) AS slot")
+def q_empty_slab(spark, sf):
+    """Slabs that hold nothing: those of a cluster without members."""
+    base, centers = with_far_center(spark, sf)
+    return build.slabs(build.assign(base, centers), centers, SLABS).where("lo > hi").select("cluster_id", "slot")
+
+
+@query("empty_repair", with_assigned() + f", big AS (SELECT cluster_id FROM a GROUP BY cluster_id ORDER BY count(*) DESC, cluster_id LIMIT 1) SELECT d AS dim, round(avg(v[d]) * (1 - CASE WHEN d % 2 = 1 THEN 1 ELSE -1 END / 1024.0), 6) AS x FROM a JOIN big USING (cluster_id), range(1, {DIM + 1}) t(d) GROUP BY d")
+def q_repair(spark, sf):
+    """Where an empty cluster's center goes: beside the largest cluster's mean."""
+    base, centers = with_far_center(spark, sf)
+    after = build.lloyd_step(base, centers)[0].matrix[CENTERS]
+    return spark.createDataFrame([(d + 1, round(float(x), 6)) for d, x in enumerate(after)], "dim long, x double")
+
+
 # ---- graphs
 
 
