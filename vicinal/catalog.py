@@ -523,10 +523,12 @@ def coarse_counters(spark, sf) -> DataFrame:
     return counters.select(*[c for c in counters.columns if c.startswith("vecs")])
 
 
-@query("prune_counters_all_stages")
+@query("prune_counters_all_stages", staged() + "SELECT CAST(sum(n) AS BIGINT) AS vecs, CAST(coalesce(sum(n) FILTER (stage = 'prescreen'), 0) AS BIGINT) AS vecs_prescreen, CAST(coalesce(sum(n) FILTER (stage = 'slab'), 0) AS BIGINT) AS vecs_slab, CAST(coalesce(sum(n) FILTER (stage IS NULL), 0) AS BIGINT) AS vecs_later FROM dec")
 def q_counters_all(spark, sf):
+    """The stages that SQL can't follow share what the first two leave."""
     _, queries, index = indexed(spark, sf)
-    return cascade.prune_counters(cascade.decisions(cascade.prune(index, queries, R_COARSE)))
+    counters = cascade.prune_counters(cascade.decisions(cascade.prune(index, queries, R_COARSE)))
+    return counters.select("vecs", "vecs_prescreen", "vecs_slab", (F.col("vecs_pca") + F.col("vecs_cell") + F.col("vecs_read")).alias("vecs_later"))
 
 
 @query("later_stages_see_less", "SELECT true AS less")
@@ -623,7 +625,7 @@ def runs_of(spark, sf) -> DataFrame:
     for n in PROBES:
         options = cascade.Options(n_candidates=n, stages=())
         search = cascade.prune(index, queries, R_FULL, options)
-        found = metrics.recall(cascade.hits(index, search, queries, R_FULL, options), truth).select("set_recall")
+        found = metrics.recall(cascade.hits(index, search.cells, queries, R_FULL, options), truth).select("set_recall")
         read = search.clusters.agg(F.round(1e6 / F.sum("n"), 6).alias("qps"))
         out.append(found.join(read).select(F.lit(n).alias("run"), F.col("set_recall").alias("recall"), "qps"))
     return one(out)

@@ -159,18 +159,26 @@ def prescreen(found: DataFrame, stats: DataFrame, eps: float) -> DataFrame:
     return joined.withColumn("pre_kept", F.col("dist_sq") <= (F.col("radius") + eps) * (F.col("radius") + eps) + SLACK)
 
 
-def slab_bounds(found: DataFrame, index: Index) -> DataFrame:
-    """(query_id, cluster_id, slab_lb): how far outside the widest-missed slab of the cluster the query is."""
+def with_slab_bounds(found: DataFrame, index: Index) -> DataFrame:
+    """found(.., vec, cluster_id) with slab_lb: how far outside the widest-missed slab of the cluster the query is. The
+    slabs of a cluster meet its queries as one row."""
     c = index.centers.table(found.sparkSession)
     own = c.select("cluster_id", F.col("vec").alias("cv"))
     other = c.select(F.col("cluster_id").alias("neighbour_id"), F.col("vec").alias("nv"))
-    directions = index.slabs.join(own, "cluster_id").join(other, "neighbour_id")
     u = F.zip_with("nv", "cv", lambda x, y: x - y)
-    directions = directions.select("cluster_id", "norm", "lo", "hi", u.alias("u"), V.dot(u, F.col("cv")).alias("at"))
-    p = (V.dot("vec", "u") - F.col("at")) / F.col("norm")
-    joined = found.select("query_id", "vec", "cluster_id").join(directions, "cluster_id")
-    gap = F.greatest(F.lit(0.0), F.col("lo") - p, p - F.col("hi"))
-    return joined.groupBy("query_id", "cluster_id").agg(F.max(gap).alias("slab_lb"))
+    directions = index.slabs.join(own, "cluster_id").join(other, "neighbour_id").select("cluster_id", F.struct("norm", "lo", "hi", u.alias("u"), V.dot(u, F.col("cv")).alias("at")).alias("s"))
+    slabs = directions.groupBy("cluster_id").agg(F.collect_list("s").alias("slabs"))
+
+    def gap(s):
+        p = (V.dot(F.col("vec"), s["u"]) - s["at"]) / s["norm"]
+        return F.greatest(F.lit(0.0), s["lo"] - p, p - s["hi"])
+
+    return found.join(slabs, "cluster_id").withColumn("slab_lb", F.array_max(F.transform("slabs", gap))).drop("slabs")
+
+
+def slab_bounds(found: DataFrame, index: Index) -> DataFrame:
+    """(query_id, cluster_id, slab_lb)."""
+    return with_slab_bounds(found, index).select("query_id", "cluster_id", "slab_lb")
 
 
 def _outside(t: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -250,22 +258,28 @@ class Search:
     cells: DataFrame
 
 
+def _candidates(index: Index, queries: DataFrame, options: Options, eps: float) -> DataFrame:
+    """Candidate clusters with `stage`, after prescreen and slab."""
+    on = set(options.stages)
+    found = prescreen(candidates(index, queries, options), index.stats, eps)
+    none = F.lit(None).cast("string")
+    found = found.withColumn("stage", F.when(~F.col("pre_kept"), F.lit("prescreen")) if "prescreen" in on else none)
+    found = found.select("query_id", "vec", "cluster_id", "n", "n_cells", "stage")
+    if "slab" not in on or index.slabs is None:
+        return found
+    left = with_slab_bounds(found.where(F.col("stage").isNull()), index)
+    left = left.withColumn("stage", F.when(F.col("slab_lb") > eps + SLACK, F.lit("slab"))).drop("slab_lb")
+    return left.unionByName(found.where(F.col("stage").isNotNull())) if "prescreen" in on else left
+
+
 def prune(index: Index, queries: DataFrame, r_sq: float, options: Options | None = None) -> Search:
-    """The stages in turn. Rejected rows go no further; each stage's rows are written once, as the next stage and
-    the counters read them."""
+    """The stages in turn, with an account of what each rejected. Rejected rows go no further; what several readers
+    of the account need is written once."""
     options = options or Options()
     eps = float(np.sqrt(r_sq)) / options.alpha
     on, limit = set(options.stages), eps + SLACK
-    found = prescreen(candidates(index, queries, options), index.stats, eps)
-    stage = F.when(~F.col("pre_kept"), F.lit("prescreen")) if "prescreen" in on else F.lit(None).cast("string")
-    found = found.select("query_id", "vec", "cluster_id", "n", "n_cells", stage.alias("stage"))
     left = lambda df: df.where(F.col("stage").isNull())
-    if "slab" in on and index.slabs is not None:
-        found = materialize(found, "prescreened")
-        missed = slab_bounds(left(found), index).where(F.col("slab_lb") > limit)
-        missed = missed.select("query_id", "cluster_id", F.lit("slab").alias("missed"))
-        found = found.join(missed, ["query_id", "cluster_id"], "left").withColumn("stage", F.coalesce("stage", "missed")).drop("missed")
-    found = materialize(found, "clusters")
+    found = materialize(_candidates(index, queries, options, eps), "clusters")
     if not on & {"pca", "cell"}:
         cells = left(found).select("query_id", "cluster_id").join(index.cells.select("cluster_id", "cell_id", "n"), "cluster_id")
         return Search(found, cells.withColumn("stage", F.lit(None).cast("string")))
@@ -283,6 +297,22 @@ def prune(index: Index, queries: DataFrame, r_sq: float, options: Options | None
     return Search(found, materialize(cell_bounds(boxed, index).withColumn("stage", stage).drop("cell_lb"), "cells"))
 
 
+def surviving_cells(index: Index, queries: DataFrame, r_sq: float, options: Options | None = None) -> DataFrame:
+    """(query_id, cluster_id, cell_id) that no stage rejects: as prune, in one plan without an account."""
+    options = options or Options()
+    eps = float(np.sqrt(r_sq)) / options.alpha
+    on, limit = set(options.stages), eps + SLACK
+    found = _candidates(index, queries, options, eps).where(F.col("stage").isNull())
+    if not on & {"pca", "cell"}:
+        return found.select("query_id", "cluster_id").join(index.cells.select("cluster_id", "cell_id"), "cluster_id")
+    boxed = box_bounds(found, index)
+    if "pca" in on:
+        boxed = boxed.where(F.col("pca_lb") <= limit)
+    if "cell" not in on:
+        return boxed.select("query_id", "cluster_id", "part").join(index.cells.select("cluster_id", "part", "cell_id"), ["cluster_id", "part"]).drop("part")
+    return cell_bounds(boxed, index).where(F.col("cell_lb") <= limit).select("query_id", "cluster_id", "cell_id")
+
+
 def decisions(search: Search) -> DataFrame:
     """(query_id, cluster_id, stage, cells, vecs): cells and vectors of each candidate cluster by the stage that
     rejected them; stage is null for those that are read."""
@@ -291,10 +321,10 @@ def decisions(search: Search) -> DataFrame:
     return clusters.unionByName(cells)
 
 
-def hits(index: Index, search: Search, queries: DataFrame, r_sq: float, options: Options | None = None) -> DataFrame:
-    """(query_id, base_id, dist_sq) from the cells that are left."""
+def hits(index: Index, read: DataFrame, queries: DataFrame, r_sq: float, options: Options | None = None) -> DataFrame:
+    """(query_id, base_id, dist_sq) from the cells of read(query_id, cluster_id, cell_id)."""
     options = options or Options()
-    read = search.cells.where(F.col("stage").isNull()).select("query_id", "cluster_id", "cell_id")
+    read = read.select("query_id", "cluster_id", "cell_id")
     asked = queries.select("query_id", F.col("vec").alias("qv"))
     keys = ["cluster_id", "cell_id"]
     if options.code_filter:
@@ -311,8 +341,8 @@ def hits(index: Index, search: Search, queries: DataFrame, r_sq: float, options:
 
 
 def range_search(index: Index, queries: DataFrame, r_sq: float, options: Options | None = None) -> DataFrame:
-    """(query_id, base_id, dist_sq)."""
-    return hits(index, prune(index, queries, r_sq, options), queries, r_sq, options)
+    """(query_id, base_id, dist_sq), in one plan."""
+    return hits(index, surviving_cells(index, queries, r_sq, options), queries, r_sq, options)
 
 
 def prune_counters(decided: DataFrame) -> DataFrame:

@@ -75,7 +75,7 @@ def search(config: Config, index: cascade.Index, queries: DataFrame, r_sq: float
     decided = materialize(decided, "decided")
     asked = materialize(metrics.survivors(queries, decided), "asked")
     pruned = cascade.prune(index, asked, r_sq, options)
-    hits = materialize(cascade.hits(index, pruned, asked, r_sq, options), "hits")
+    hits = materialize(cascade.hits(index, pruned.cells.where(F.col("stage").isNull()), asked, r_sq, options), "hits")
     trace = range_join.count_per_query(decided.select("query_id"), hits).join(decided, "query_id")
     read = pruned.cells.where(F.col("stage").isNull()).groupBy("query_id").agg(F.sum("n").alias("vecs_read"))
     met = pruned.clusters.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_clusters"), F.sum("n").alias("vecs"))
