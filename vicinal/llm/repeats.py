@@ -630,7 +630,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per row of docs: id_col, n_bytes, n_removed, n_spans, kept_sha256 and, with write, the bytes kept.
 
     A byte goes if `length` bytes that cover it also start in a document of smaller id; n_spans counts
-    maximal runs that go. Null texts are empty. Rows of one id are not smaller than each other; null ids
+    maximal runs that go. Ids are integers. Null texts are empty. Rows of one id are not smaller than each other; null ids
     are larger than all others (and as large as 2^63 - 1). Texts shorter than `length` stay whole. An empty table gives no rows.
     """
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
