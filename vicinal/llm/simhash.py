@@ -375,6 +375,8 @@ STAGE_WORDS, STAGE_SIMILARITY, STAGE_N, STAGE_RECALL, BROADCAST_IDS = 5, 0.8, 8,
 #: Standard deviations beyond the mean distance at that similarity up to which links are proposed; pairs of
 #: sets of which one has at most SHORT shingles are found without fingerprints.
 STAGE_SIGMAS, SHORT = 4, 64
+#: Rows of a key that one task of the stage compares; a key with more is compared by pairs of chunks.
+STAGE_CHUNK = 512
 #: Members of the shingle sets that one task compares pair by pair on either side (some 8 bytes each, and as
 #: much again for each of a few arrays), about; a group with more goes by pairs of bins.
 SET_CHUNK = 1 << 18
@@ -586,7 +588,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     radius = round(bits * (1 - p) + STAGE_SIGMAS * math.sqrt(bits * p * (1 - p)))
     prints = materialize(set_prints(docs, id_col, text_col, similarity), "fingerprints")
     classes = materialize(prints.drop("id").dropDuplicates(["node"]), "classes")
-    found = links(classes, STAGE_N, radius, sampled_tables(bits, p, classes.count(), STAGE_RECALL), shortest=True)
+    found = links(classes, STAGE_N, radius, sampled_tables(bits, p, classes.count(), STAGE_RECALL), STAGE_CHUNK, shortest=True)
     first = classes.select(F.explode("first").alias("group"), "node")
     found = similar(docs, id_col, text_col, similarity)(prints.select("id", "node"), found, first)
     found = materialize(connected_components(found), "components")
