@@ -1,10 +1,12 @@
 """Vector functions and kernels against NumPy."""
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from vicinal import catalog
 from vicinal.functions import vectors as V
 from vicinal.operators import build, codes, kernels
 
@@ -84,3 +86,19 @@ def test_rotation_keeps_lengths_and_codes_survive_packing():
 def test_quantised_rows():
     whole, scale = build.quantised(np.array([[2.0, -1.0, 0.5, 0.0], [0.0, 0.0, 0.0, 0.0]]))
     assert whole.tolist() == [[127, -64, 32, 0], [0, 0, 0, 0]] and scale.tolist() == [2 / 127, 0]
+
+
+def test_rounding_keeps_the_sign_of_zero(spark):
+    xs = [-1e-9, 1e-9, -0.0, 0.0, -1.5e-6, 0.0000005, -0.0000005, -2.25, float("-inf"), float("nan"), None]
+    want = [r[0] for r in duckdb.connect().execute("SELECT round(x, 6) FROM (SELECT unnest(?::DOUBLE[]) AS x)", [xs]).fetchall()]
+    got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i long, x double").orderBy("i").select(V.rounded(F.col("x"))).collect()]
+    assert list(map(repr, got)) == list(map(repr, want))
+    assert repr(got[0]) == "-0.0"
+
+
+def test_normalised_vectors_as_sql_has_them_to_the_sign(spark, tmp_path):
+    duckdb.sql(f"COPY (SELECT 0::BIGINT AS vec_id, [0.6, -1e-8, -0.8, 1e-8]::FLOAT[] AS embedding, 1 AS label) TO '{tmp_path}/embeddings.parquet'")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    want = con.execute(catalog.ORACLE_SQL["l2_normalize"]).fetchall()
+    assert [repr(tuple(r)) for r in catalog.QUERIES["l2_normalize"](spark, str(tmp_path)).collect()] == list(map(repr, want))

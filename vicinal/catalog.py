@@ -296,7 +296,7 @@ def q_self_join(spark, sf):
 @query("stride_seeds", with_tables() + "SELECT cluster_id, list_transform(v, lambda x: round(x, 6)) AS vec FROM c")
 def q_seeds(spark, sf):
     base = embeddings(spark, sf)
-    return build.stride_seeds(base, CENTERS).table(spark).select("cluster_id", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
+    return build.stride_seeds(base, CENTERS).table(spark).select("cluster_id", F.transform("vec", lambda x: V.rounded(x)).alias("vec"))
 
 
 @query("nearest_centroid", with_assigned() + "SELECT id, cluster_id, round(d2, 6) AS dist_sq FROM a")
@@ -338,7 +338,7 @@ def q_balanced(spark, sf):
 def q_lloyd(spark, sf):
     base = embeddings(spark, sf)
     after, _ = build.lloyd_step(base, build.stride_seeds(base, CENTERS))
-    return after.table(spark).select("cluster_id", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
+    return after.table(spark).select("cluster_id", F.transform("vec", lambda x: V.rounded(x)).alias("vec"))
 
 
 @query("clustering_loss", with_assigned() + "SELECT round(sum(d2), 6) AS loss FROM a")
@@ -359,7 +359,7 @@ def q_kmeans(spark, sf):
     """Two iterations over a sample that takes in all rows."""
     base = embeddings(spark, sf)
     found = build.kmeans(base, CENTERS, iterations=2, per_center=base.count())
-    return found.table(spark).select("cluster_id", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
+    return found.table(spark).select("cluster_id", F.transform("vec", lambda x: V.rounded(x)).alias("vec"))
 
 
 @query("anisotropic_update", with_tables() + "SELECT cluster_id, true AS solved FROM c")
@@ -763,7 +763,7 @@ def q_set_equality(spark, sf):
 
 @query("l2_normalize", with_tables() + f"SELECT id, list_transform(v, lambda x: round(x / (sqrt({own('v')}) + 1e-12), 6)) AS vec FROM b")
 def q_normalize(spark, sf):
-    return embeddings(spark, sf).select("id", F.transform(V.normalize("vec"), lambda x: F.round(x, 6)).alias("vec"))
+    return embeddings(spark, sf).select("id", F.transform(V.normalize("vec"), lambda x: V.rounded(x)).alias("vec"))
 
 
 @query("inner_products", with_tables() + f"SELECT q.query_id, b.id AS base_id, round({dot('b.v', 'q.v')}, 6) AS ip, round(-{dot('b.v', 'q.v')}, 6) AS neg_ip, round(abs({dot('b.v', 'q.v')}), 6) AS abs_ip, round(-abs({dot('b.v', 'q.v')}), 6) AS neg_abs_ip, round(-{l2('b.v', 'q.v')}, 6) AS neg_l2 FROM b, q")

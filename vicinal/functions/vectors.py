@@ -68,6 +68,12 @@ def normalize(v: Vector) -> Column:
     return F.transform(_c(v), lambda x: x / n)
 
 
+def rounded(x: Column, digits: int = 6) -> Column:
+    """x to some decimals, halves away from zero, with the sign of x even where nothing but zero is left, as SQL engines
+    on IEEE doubles round (Spark's own round gives 0.0 for -1e-9, not -0.0)."""
+    return F.when(x == 0, x).when(x < 0, -F.round(-x, digits)).otherwise(F.round(x, digits))
+
+
 def l2_sq_via_norms(norm_sq_a: Column, norm_sq_b: Column, dot_ab: Column) -> Column:
     return norm_sq_a + norm_sq_b - 2 * dot_ab
 
