@@ -3,9 +3,11 @@
 import json
 import struct
 
+import duckdb
 import numpy as np
 import pytest
 
+from vicinal import catalog
 from vicinal.sources import config, vector_files
 from vicinal.streaming.range_stream import range_search_stream
 
@@ -107,3 +109,11 @@ def test_stream(spark, tmp_path):
     q = range_search_stream(base, stream, 1.0, lambda df, epoch: got.extend((r.query_id, r.base_id) for r in df.collect()), str(tmp_path / "cp"), availableNow=True)
     q.awaitTermination(60)
     assert got == [(7, 1)]
+
+
+def test_components_that_round_to_zero_keep_their_sign(spark, tmp_path):
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT i::BIGINT AS vec_id, [0.25, -1e-8, 1e-8]::FLOAT[] AS embedding FROM range(120) t(i)) TO '{tmp_path}/embeddings.parquet'")
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    want = con.execute(catalog.ORACLE_SQL["fbin_roundtrip"]).fetchall()
+    assert sorted(repr(tuple(r)) for r in catalog.QUERIES["fbin_roundtrip"](spark, str(tmp_path)).collect()) == sorted(map(repr, want))

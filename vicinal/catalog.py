@@ -985,7 +985,7 @@ def q_fbin(spark, sf):
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     rows.orderBy("id").write.format("fbin").option("path", path).mode("append").save()
     found = spark.read.format("fbin").option("path", path).option("rangeBytes", "65536").load().where("id >= 100")
-    return found.select("id", F.transform("vec", lambda x: F.round(x.cast("double"), 6)).alias("vec"))
+    return found.select("id", F.transform("vec", lambda x: V.rounded(x.cast("double"))).alias("vec"))
 
 
 @query("index_check", "SELECT CAST(NULL AS VARCHAR) AS what, CAST(NULL AS INTEGER) AS cluster_id WHERE false")
@@ -1165,7 +1165,7 @@ def read_file(spark, kind: str, path: str, **options) -> DataFrame:
 def q_fvecs(spark, sf):
     _, rows = some_vectors(spark, sf)
     path = put_file(spark, "vectors.fvecs", b"".join(struct.pack(f"<i{DIM}f", DIM, *r) for r in rows))
-    return read_file(spark, "fvecs", path, rangeBytes="4096").select("id", F.transform("vec", lambda x: F.round(x.cast("double"), 6)).alias("vec"))
+    return read_file(spark, "fvecs", path, rangeBytes="4096").select("id", F.transform("vec", lambda x: V.rounded(x.cast("double"))).alias("vec"))
 
 
 @query("f32_scan", "SELECT vec_id AS id, round(CAST(embedding[1] AS DOUBLE), 6) AS value FROM embeddings WHERE vec_id < 64")
