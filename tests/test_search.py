@@ -3,11 +3,12 @@
 import json
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from vicinal import search
-from vicinal.operators import build, cascade, codes, graph, knn, metrics, range_join
+from vicinal.operators import build, cascade, codes, graph, knn, metrics, range_join, tasks
 from vicinal.sources.config import parse_config
 
 
@@ -407,3 +408,40 @@ def test_locality_order_is_greedy(window):
         best = max(score.values())
         assert order[n] == min(v for v, s in score.items() if s == best)
     assert graph.locality_order([], window) == []
+
+
+@pytest.fixture(scope="module")
+def wide_index(spark, tmp_path_factory):
+    """Directions in 64 dimensions, where one-bit bounds of 3.66 standard errors are wrong for some of a million pairs,
+    rows that are all equal in a cell that has to be cut, and the index of both."""
+    r = np.random.default_rng(11)
+    x = r.normal(size=(3000, 64))
+    x = np.concatenate([x / np.linalg.norm(x, axis=1)[:, None], np.tile(x[:1] / np.linalg.norm(x[0]), (300, 1))])
+    b = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    q = b.where("id < 700").withColumnRenamed("id", "query_id")
+    path = str(tmp_path_factory.mktemp("wide") / "index")
+    cascade.write_index(cascade.build_index(b, build.stride_seeds(b, 4), 2, 8, 24, with_codes=True), path)
+    d = ((x[:700, None] - x[None]) ** 2).sum(axis=2)
+    return cascade.load_index(spark, path), q, d
+
+
+def test_rows_that_codes_keep(wide_index):
+    """All hits, little else, and nothing called sure that is none; bounds() alone would lose some."""
+    index, q, d = wide_index
+    read = q.select("query_id").join(index.cells.select("cluster_id", "cell_id"))
+    kept = codes.filtered(index.codes, index.centers, tasks.deal(read, q, index.stats, index.cells, 500), 1.7).collect()
+    pairs, hits = {(r.query_id, r.id) for r in kept}, set(zip(*(x.tolist() for x in np.nonzero(d <= 1.7)), strict=True))
+    assert len(pairs) == len(kept) and hits <= pairs and len(pairs) < 1.2 * len(hits)
+    assert {(r.query_id, r.id) for r in kept if r.sure} <= hits
+
+
+def test_sound_bounds_hold_without_exception():
+    r = np.random.default_rng(5)
+    for x in (r.normal(size=(400, 60)), r.normal(size=(400, 60)) * 1e-7 + 1, np.zeros((3, 60))):
+        q = np.vstack([r.normal(size=(200, 60)), x[:50]])
+        for extra in (0, codes.EXTRA_BITS):
+            c = codes.encode(x, np.full(60, 0.1), extra)
+            u = c["levels"].astype(float) if extra else codes.unpack(pa.chunked_array([pa.array([b.tobytes() for b in c["levels"]], pa.binary())]), False)
+            lb, ub = codes.sound_bounds(codes.rotate(q - 0.1), u, c["f_add"], c["f_rescale"])
+            d = ((x[:, None] - q[None]) ** 2).sum(axis=2)
+            assert (lb <= d).all() and (d <= ub).all()

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from vicinal import search
 from vicinal.functions import vectors as V
-from vicinal.operators import build, cascade, codes, graph, knn, metrics, range_join
+from vicinal.operators import build, cascade, codes, graph, knn, metrics, range_join, tasks
 from vicinal.sources import config
 
 DIM, R_FULL, R_NEAR, K, CENTERS, SLABS, NPROBE, ETA = 64, 1.5, 1.25, 5, 16, 4, 3, 4.0
@@ -904,9 +904,11 @@ def q_code_bounds(spark, sf):
 @query("code_row_filter", PROBED + f"SELECT query_id, id FROM m WHERE dist_sq <= {R_FULL}")
 def q_code_filter(spark, sf):
     """Hits among the rows that the codes keep: none is lost."""
-    asked, index = asked_of(spark, sf)
-    kept = codes.row_filter(codes.bounds(index.codes, index.centers, asked), R_FULL).join(asked, ["query_id", "cluster_id"])
-    both = kept.join(index.members.select("id", F.col("vec").alias("bv")), "id")
+    _, queries, index = indexed(spark, sf)
+    asked = cascade.candidates(index, queries, cascade.Options(n_candidates=NPROBE)).select("query_id", "cluster_id")
+    read = asked.join(index.cells.select("cluster_id", "cell_id"), "cluster_id")
+    kept = codes.filtered(index.codes, index.centers, tasks.deal(read, queries, index.stats, index.cells), R_FULL)
+    both = kept.join(queries.select("query_id", F.col("vec").alias("qv")), "query_id").join(index.members.select("id", F.col("vec").alias("bv")), "id")
     return both.where(V.l2_sq("qv", "bv") <= R_FULL).select("query_id", "id")
 
 

@@ -2,9 +2,9 @@
 
 A vector's residual to its center is rotated by a seeded orthogonal transform; the code keeps the signs of
 its coordinates. The inner product of a query's residual with the sign vector then estimates its inner
-product with the residual itself, with an error that shrinks as 1/sqrt(dim). Bounds
-hold with high probability, not always, and are off by default in searches. Codes are made once, with the
-index; a filter by codes reads them and no vector.
+product with the residual itself, with an error that shrinks as 1/sqrt(dim). Bounds from that error (bounds())
+hold with high probability, not always; those of a search's filters (sound_bounds()) always do, and are wider.
+Codes are made once, with the index; a filter by codes reads them and no vector.
 """
 
 from __future__ import annotations
@@ -17,12 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vicinal.functions import vectors as V
-from vicinal.operators import build, kernels
+from vicinal.operators import build, kernels, tasks
 from vicinal.operators.build import Centers
 
 #: Standard errors that a bound allows for: a normal error passes one side of it once in 8000 rows (the error of
 #: a code is nearly normal). Fixed value: magnitude bits beyond the sign.
 CONFIDENCE, EXTRA_BITS = 3.66, 7
+#: Rounding of a sound bound, as a multiple of the squared lengths.
+SLACK = 1e-9
 
 
 def padded(dim: int) -> int:
@@ -142,6 +144,78 @@ def bounds(codes: DataFrame, centers: Centers, asked: DataFrame, extra: bool = F
     return joined.mapInArrow(run, "query_id long, cluster_id int, cell_id long, id long, lb double, ub double")
 
 
+def sound_bounds(r: np.ndarray, u: np.ndarray, f_add: np.ndarray, f_rescale: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, query): bounds of squared distances that hold without exception. r: rotated residuals of queries; u: levels.
+
+    Of a row's residual x the code tells <u, x> and |x|. What of x is not along u is across it, so its product with the
+    query's residual is at most (Cauchy, Schwarz) its length times the length of what of the query is across u."""
+    length, q_sq = np.einsum("ij,ij->i", u, u), np.einsum("ij,ij->i", r, r)
+    inner = np.divide(f_add, f_rescale, out=np.zeros(len(u)), where=f_rescale > 0)
+    p = u @ r.T
+    across = np.sqrt(np.maximum(0, f_add - inner * inner / length) + 1e-12 * f_add)
+    off = np.sqrt(np.maximum(0, q_sq[None] - p * p / length[:, None]) + 1e-12 * q_sq[None])
+    both = f_add[:, None] + q_sq[None]
+    near, err = both - 2 * (inner / length)[:, None] * p, 2 * across[:, None] * off + SLACK * both
+    return near - err, near + err
+
+
+def _kept(centers, r_sq: float, form: str):
+    """For Dealt.meet, on rows of codes: those that may be within the radius of a query of the task, by one bit and then by
+    eight. form: "rows" or "cells" (with a bit for each of the task's queries, in order of id), or "pairs"."""
+    names = {"rows": ["cluster_id", "slice", "piece", "chunk", "cell_id", "id", "kept"], "cells": ["cluster_id", "slice", "piece", "chunk", "cell_id", "kept"], "pairs": ["query_id", "cluster_id", "cell_id", "id", "sure"]}[form]
+
+    def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        out = {n: [np.zeros(0, bool if n == "sure" else object if n == "kept" else np.int64)] for n in names}
+        if queries.num_rows and rows.num_rows:
+            task = {n: queries.column(n)[0].as_py() for n in tasks.TASK}
+            r = rotate(kernels.matrix(queries.column("vec")) - centers.value[task["cluster_id"]])
+            may, cell, ids, asked = tasks.mask(queries, rows), rows.column("cell_id").to_numpy(), rows.column("id").to_numpy(), queries.column("id").to_numpy()
+            add, one, more = (rows.column(c).to_numpy() for c in ("f_add", "f_rescale", "f_rescale8"))
+            for at in range(0, len(ids), tasks.STEP):
+                i = np.arange(at, min(len(ids), at + tasks.STEP))
+                u = unpack(rows.column("bits").slice(at, len(i)), False)[:, : r.shape[1]]
+                keep = may[i] & (sound_bounds(r, u, add[i], one[i])[0] <= r_sq)
+                some = keep.any(axis=1)
+                i, keep = i[some], keep[some]
+                if not len(i):
+                    continue
+                lb, ub = sound_bounds(r, unpack(rows.column("bits8").take(pa.array(i)), True), add[i], more[i])
+                keep &= lb <= r_sq
+                if form == "pairs":
+                    x, q = np.nonzero(keep)
+                    found = {"query_id": asked[q], "cell_id": cell[i[x]], "id": ids[i[x]], "sure": ub[x, q] <= r_sq}
+                else:
+                    i, keep = i[keep.any(axis=1)], keep[keep.any(axis=1)]
+                    bits = np.packbits(keep, axis=1)
+                    found = {"cell_id": cell[i], "id": ids[i], "kept": np.fromiter((x.tobytes() for x in bits), object, len(bits))}
+                for n in found.keys() & out.keys():
+                    out[n].append(found[n])
+            held = {n: np.concatenate(x) for n, x in out.items()}
+            if form == "cells" and len(held["cell_id"]):
+                order = np.argsort(held["cell_id"], kind="stable")
+                cells, first = np.unique(held["cell_id"][order], return_index=True)
+                bits = np.frombuffer(b"".join(held["kept"][order]), np.uint8).reshape(len(order), -1)
+                held |= {"cell_id": cells, "kept": np.fromiter((x.tobytes() for x in np.bitwise_or.reduceat(bits, first, axis=0)), object, len(cells))}
+            n = len(held["cell_id"])
+            held |= {k: np.full(n, v) for k, v in task.items() if k in held}
+        else:
+            held = {n: x[0] for n, x in out.items()}
+        kind = {"sure": pa.bool_(), "kept": pa.binary()} | dict.fromkeys(tasks.TASK, pa.int32())
+        return pa.table({n: pa.array(held[n], kind.get(n, pa.int64())) for n in names})
+
+    kinds = {"sure": "boolean", "kept": "binary"} | dict.fromkeys(tasks.TASK, "int")
+    return run, ", ".join(f"{n} {kinds.get(n, 'long')}" for n in names)
+
+
+def filtered(codes: DataFrame, centers: Centers, dealt: tasks.Dealt, r_sq: float, form: str = "pairs") -> DataFrame:
+    """What codes cannot reject of the rows that dealt names: (query_id, cluster_id, cell_id, id, sure), where sure means
+    that the bounds alone make it a hit, or for each task its rows or cells with the queries that they are kept for. The
+    bounds hold without exception, so no hit is lost. No vector of the base is read."""
+    run, schema = _kept(codes.sparkSession.sparkContext.broadcast(centers.matrix), r_sq, form)
+    rows = dealt.rows(codes.select("cluster_id", "cell_id", "id", "bits", "f_add", "f_rescale", "bits8", "f_rescale8"), dealt.wanted())
+    return dealt.meet(rows, run, schema)
+
+
 def row_filter(found: DataFrame, r_sq: float) -> DataFrame:
     """Rows that a search would still compare, with `sure`: the upper bound alone makes it a hit."""
     return found.where(F.col("lb") <= r_sq).withColumn("sure", F.col("ub") <= r_sq)

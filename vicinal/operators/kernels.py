@@ -31,12 +31,13 @@ def _approximate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:
     return na[:, None] + nb[None, :] - 2 * (a @ b.T), SLACK * (1 + na.max(initial=0) + nb.max(initial=0))
 
 
-def within_radius(queries: np.ndarray, base: np.ndarray, r_sq: float, strict: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, base, squared distance) of pairs within the radius."""
+def within_radius(queries: np.ndarray, base: np.ndarray, r_sq: float, strict: bool = False, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, base, squared distance) of pairs within the radius; allowed(query, base): pairs that are compared."""
     if not len(queries) or not len(base):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     rough, slack = _approximate(queries, base)
-    i, j = np.nonzero(~(rough > r_sq + slack))
+    near = ~(rough > r_sq + slack)
+    i, j = np.nonzero(near if allowed is None else near & allowed)
     d = exact_l2_sq(queries[i], base[j])
     ok = d < r_sq if strict else d <= r_sq
     return i[ok], j[ok], d[ok]
