@@ -3,7 +3,7 @@
 With every cluster a candidate, alpha 1 and no code filter the result equals the plain range join. Pruning uses
 eps = r / alpha; the distance test always uses r. Each stage sees what the stages before it kept: prescreen and
 slab are rows of (query, cluster), the PCA box of a cluster meets those that are left, cells those that are left
-then, and only cells that are left meet base rows, in an equi-join on (cluster, cell).
+then, and only cells that are left meet base rows, in tasks of bounded size.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vicinal.functions import vectors as V
-from vicinal.operators import build, codes, kernels
+from vicinal.operators import build, codes, kernels, tasks
 from vicinal.plans.shared import materialize
 
 STAGES = ("prescreen", "slab", "pca", "cell")
@@ -45,7 +45,7 @@ class Options:
     alpha: float = 1.0
     n_candidates: int | None = None
     stages: tuple[str, ...] = field(default=STAGES)
-    #: Whether codes reject rows ("rows") or whole cells ("cells") before vectors are read; loses hits with a small probability.
+    #: Whether codes reject rows ("rows") or whole cells ("cells") before vectors are read; no hit is lost.
     code_filter: str | None = None
 
     def __post_init__(self) -> None:
@@ -324,24 +324,18 @@ def decisions(search: Search) -> DataFrame:
 def hits(index: Index, read: DataFrame, queries: DataFrame, r_sq: float, options: Options | None = None) -> DataFrame:
     """(query_id, base_id, dist_sq) from the cells of read(query_id, cluster_id, cell_id)."""
     options = options or Options()
-    read = read.select("query_id", "cluster_id", "cell_id")
-    asked = queries.select("query_id", F.col("vec").alias("qv"))
-    keys = ["cluster_id", "cell_id"]
+    dealt = tasks.deal(read, queries, index.stats, index.cells)
+    wanted = dealt.wanted()
     if options.code_filter:
         if index.codes is None:
             raise ValueError("the index has no codes")
-        bounds = codes.bounds(index.codes, index.centers, read.join(asked, "query_id")).where(F.col("lb") <= r_sq)
-        if options.code_filter == "rows":
-            read, keys = bounds.select("query_id", "cluster_id", "cell_id", "id"), ["cluster_id", "cell_id", "id"]
-        else:
-            read = bounds.select("query_id", "cluster_id", "cell_id").distinct()
-    rows = read.join(index.members.select("cluster_id", "cell_id", "id", F.col("vec").alias("bv")), keys)
-    both = rows.join(asked, "query_id")
-    return both.select("query_id", F.col("id").alias("base_id"), V.l2_sq("bv", "qv").alias("dist_sq")).where(F.col("dist_sq") <= r_sq)
+        wanted = materialize(codes.filtered(index.codes, index.centers, dealt, r_sq, options.code_filter), "kept")
+    rows = dealt.rows(index.members.select("cluster_id", F.col("cell_id").cast("long").alias("cell_id"), "id", "vec"), wanted)
+    return dealt.meet(rows, tasks.pairs(r_sq), "query_id long, base_id long, dist_sq double")
 
 
 def range_search(index: Index, queries: DataFrame, r_sq: float, options: Options | None = None) -> DataFrame:
-    """(query_id, base_id, dist_sq), in one plan."""
+    """(query_id, base_id, dist_sq)."""
     return hits(index, surviving_cells(index, queries, r_sq, options), queries, r_sq, options)
 
 
