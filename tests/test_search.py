@@ -455,3 +455,19 @@ def test_sound_bounds_hold_without_exception():
             lb, ub = codes.sound_bounds(codes.rotate(q - 0.1), u, c["f_add"], c["f_rescale"])
             d = ((x[:, None] - q[None]) ** 2).sum(axis=2)
             assert (lb <= d).all() and (d <= ub).all()
+
+
+@pytest.mark.parametrize("share", [1.0, 0.1])
+def test_walks_in_step_find_what_single_walks_find(share):
+    r = np.random.default_rng(9)
+    x, q = r.normal(size=(700, 16)), r.normal(size=(150, 16))
+    links = graph.link(x)
+    allowed, entries = r.random(700) < share, np.arange(4)
+    flat = np.r_[0, np.cumsum([len(y) for y in links])], np.concatenate(links)
+    exact = np.where(allowed[None], ((q[:, None] - x[None]) ** 2).sum(axis=2), np.inf)
+    best, single, step = np.sort(exact, axis=1)[:, :5], 0, 0
+    for i, found, d in graph.beams(x, flat, q, 5, 30, entries, allowed):
+        assert len(found) == 5 and allowed[found].all() and np.allclose(d, exact[i, found]) and (np.diff(d) >= 0).all()
+        step += (d <= best[i, -1] + 1e-9).sum()
+        single += (graph.beam(x, links, q[i], 5, 30, entries, allowed)[1] <= best[i, -1] + 1e-9).sum()
+    assert i == 149 and step >= single and step >= 0.9 * best.size

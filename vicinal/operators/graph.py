@@ -4,12 +4,14 @@ A graph is a table (part, node, neighbours): rows of a part are the vertices of
 built and searched in one task. A small set, such as an index's centers, is one part; a base is cut into parts of
 at most PART_ROWS rows by a hash of the id, every part is searched, and the parts' results are merged. A query walks from seeded entry
 points to whichever known vertex is nearest, and stops when the pool of the `ef` nearest has no vertex left to open.
+The walks of many queries go in step.
 """
 
 from __future__ import annotations
 
 import heapq
 import warnings
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,8 @@ from vicinal.operators.range_join import query_blocks
 
 #: Edges that a vertex keeps, vertices that are considered for them, size of the pool, rows of a part, entry points.
 DEGREE, CONSIDERED, EF, PART_ROWS, ENTRIES = 16, 48, 100, 20_000, 4
+#: Walks that go in step, and vertices that each opens in a step.
+BLOCK, WAVE = 64, 32
 
 
 def spread_out(rows: np.ndarray, near: np.ndarray, d: np.ndarray, degree: int) -> np.ndarray:
@@ -85,6 +89,57 @@ def beam(rows: np.ndarray, links: list[np.ndarray], query: np.ndarray, k: int, e
     return np.array([i for _, i in best], np.int64), np.array([x for x, _ in best])
 
 
+def beams(rows: np.ndarray, links: tuple[np.ndarray, np.ndarray], queries: np.ndarray, k: int, ef: int, entries: np.ndarray, allowed: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """As beam, of many queries in step: (query, rows, squared distances). links: where each vertex's edges start, and all
+    edges. In a step every walk opens the nearest of its vertices that its pool does not rule out, WAVE of them at most;
+    it has seen what beam sees, and somewhat more."""
+    n, (start, edges) = len(rows), links
+    own = np.einsum("ij,ij->i", rows, rows)
+    for at in range(0, len(queries), BLOCK):
+        q = queries[at : at + BLOCK]
+        m, mine = len(q), np.einsum("ij,ij->i", q, q)
+        seen, last = np.zeros(m * n, bool), np.zeros(m * n, np.int32)
+        who, what = np.repeat(np.arange(m), len(entries)), np.tile(entries, m)
+        seen[who * n + what] = True
+        d, v, todo = np.zeros((m, 0)), np.zeros((m, 0), np.int64), np.zeros((m, 0), bool)
+        while len(who):
+            # what is new, a row a walk, padded
+            count = np.bincount(who, minlength=m)
+            ends = np.cumsum(count)
+            place = np.arange(len(who)) - (ends - count)[who]
+            new_d, new_v, new = np.full((m, count.max()), np.inf), np.zeros((m, count.max()), np.int64), np.zeros((m, count.max()), bool)
+            x = np.concatenate([rows[what[e - c : e]] @ q[i] for i, (c, e) in enumerate(zip(count.tolist(), ends.tolist(), strict=True))])
+            new_d[who, place], new_v[who, place], new[who, place] = own[what] + mine[who] - 2 * x, what, True
+            d, v, todo = np.hstack([d, new_d]), np.hstack([v, new_v]), np.hstack([todo, new])
+            pool = np.where(allowed[v], d, np.inf)
+            edge = np.partition(pool, ef - 1, axis=1)[:, ef - 1] if pool.shape[1] >= ef else np.full(m, np.inf)
+            todo &= d <= edge[:, None]
+            left = np.where(todo, d, np.inf)
+            wide = min(WAVE, left.shape[1])
+            best = np.argpartition(left, wide - 1, axis=1)[:, :wide]
+            walk, column = np.nonzero(np.take_along_axis(todo, best, 1))
+            column = best[walk, column]
+            todo[walk, column] = False
+            opened = v[walk, column]
+            size = start[opened + 1] - start[opened]
+            who = np.repeat(walk, size)
+            what = edges[np.arange(len(who)) + np.repeat(start[opened] - (np.cumsum(size) - size), size)] if len(who) else edges[:0]
+            key = who * n + what
+            fresh = np.flatnonzero(~seen[key])
+            last[key[fresh]] = fresh  # of those that several vertices lead to, one stays
+            fresh = fresh[last[key[fresh]] == fresh]
+            seen[key[fresh]] = True
+            who, what = who[fresh], what[fresh]
+        pool = np.where(allowed[v] & np.isfinite(d), d, np.inf)
+        take = min(pool.shape[1], k + 8)
+        best = np.argpartition(pool, take - 1, axis=1)[:, :take] if take else np.zeros((m, 0), np.int64)
+        for i in range(m):
+            found = v[i, best[i]][np.isfinite(pool[i, best[i]])]
+            exact = kernels.exact_l2_sq(rows[found], np.broadcast_to(q[i], (len(found), q.shape[1])))
+            order = np.lexsort((found, exact))[:k]
+            yield at + i, found[order], exact[order]
+
+
 class Scores:
     """A heap of vertices by score, highest first, ties by number, whose scores may change: an entry that a later one
     has overtaken is dropped when it comes up."""
@@ -178,16 +233,15 @@ def _walk(block, k: int, ef: int):
         order = np.argsort(ids, kind="stable")
         table, ids = table.take(pa.array(order)), ids[order]
         rows, allowed = kernels.matrix(table.column("vec")), table.column("ok").to_numpy(zero_copy_only=False)
-        links = []
-        for x in table.column("neighbours"):
-            wanted = np.asarray(x.values.to_numpy(zero_copy_only=False), np.int64)
-            at = np.minimum(np.searchsorted(ids, wanted), len(ids) - 1)
-            links.append(at[ids[at] == wanted])
+        lists = table.column("neighbours").combine_chunks()
+        size, wanted = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False), lists.flatten().to_numpy(zero_copy_only=False)
+        of = np.minimum(np.searchsorted(ids, wanted), len(ids) - 1)
+        known = ids[of] == wanted
+        start = np.r_[0, np.cumsum(np.bincount(np.repeat(np.arange(len(ids)), size)[known], minlength=len(ids)))]
         entries = np.random.default_rng(5).permutation(len(ids))[:ENTRIES]
         out: list[list] = [[], [], []]
-        for q, v in zip(asked.tolist(), matrix, strict=True):
-            i, d = beam(rows, links, v, k, ef, entries, allowed)
-            out[0] += [q] * len(i)
+        for q, i, d in beams(rows, (start, of[known]), matrix, k, ef, entries, allowed):
+            out[0] += [int(asked[q])] * len(i)
             out[1] += ids[i].tolist()
             out[2] += d.tolist()
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "base_id": pa.array(out[1], pa.int64()), "dist_sq": pa.array(out[2], pa.float64())})
