@@ -471,3 +471,20 @@ def test_walks_in_step_find_what_single_walks_find(share):
         step += (d <= best[i, -1] + 1e-9).sum()
         single += (graph.beam(x, links, q[i], 5, 30, entries, allowed)[1] <= best[i, -1] + 1e-9).sum()
     assert i == 149 and step >= single and step >= 0.9 * best.size
+
+
+def test_walks_in_step_are_fast():
+    """A part of the size that the catalogue's graph has, with every tenth row allowed: single walks are many times slower."""
+    import time
+
+    r = np.random.default_rng(2)
+    x, q = (y / np.linalg.norm(y, axis=1)[:, None] for y in (r.normal(size=(700, 64)), r.normal(size=(256, 64))))
+    links = graph.link(x)
+    flat = np.r_[0, np.cumsum([len(y) for y in links])], np.concatenate(links)
+    allowed = r.random(700) < 0.1
+    took = []
+    for walk in (lambda: [graph.beam(x, links, v, 5, 200, np.arange(4), allowed) for v in q[:32]], lambda: list(graph.beams(x, flat, q, 5, 200, np.arange(4), allowed))):
+        began = time.process_time()
+        took.append((len(walk()), time.process_time() - began))
+    (a, s), (b, t) = took
+    assert t / b < s / a / 2
