@@ -1,13 +1,14 @@
 """Joins, neighbours, index and cascade against brute force, and hand-computed cases."""
 
 import json
+import uuid
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from vicinal import search
+from vicinal import catalog, search
 from vicinal.operators import build, cascade, codes, graph, knn, metrics, range_join, tasks
 from vicinal.sources.config import parse_config
 
@@ -488,3 +489,25 @@ def test_walks_in_step_are_fast():
         took.append((len(walk()), time.process_time() - began))
     (a, s), (b, t) = took
     assert t / b < s / a / 2
+
+
+def counting(function, folder):
+    """function(*args), which makes a function of a table, such that each call of that leaves a file."""
+
+    def made(*args):
+        run = function(*args)
+
+        def counted(table):
+            (folder / uuid.uuid4().hex).touch()
+            return run(table)
+
+        return counted
+
+    return made
+
+
+def test_search_after_delete_walks_once(spark, sf, tmp_path, monkeypatch):
+    """Its smallest graph is one part."""
+    monkeypatch.setattr(graph, "_walk", counting(graph._walk, tmp_path))
+    assert catalog.QUERIES["graph_search_after_delete"](spark, sf).first().found
+    assert len(list(tmp_path.iterdir())) == 1

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from vicinal import search
 from vicinal.functions import vectors as V
 from vicinal.operators import build, cascade, codes, graph, knn, metrics, range_join, tasks
+from vicinal.plans.shared import materialize
 from vicinal.sources import config
 
 DIM, R_FULL, R_NEAR, K, CENTERS, SLABS, NPROBE, ETA = 64, 1.5, 1.25, 5, 16, 4, 3, 4.0
@@ -1345,7 +1346,7 @@ def q_graph_delete(spark, sf):
     """Deleted rows are passed through and never found."""
     base = embeddings(spark, sf)
     queries, left = as_queries(base), base.where("label <> 7")
-    found = graph.search_graph(stored_graph(spark, sf), queries, K, 200, left)
+    found = materialize(graph.search_graph(stored_graph(spark, sf), queries, K, 200, left), "found")  # read twice
     wrong = found.join(base.where("label = 7"), F.col("base_id") == F.col("id"), "left_semi").count()
     return graph_recall(found, knn.knn(left, queries, K)).withColumn("found", F.col("found") & F.lit(wrong == 0))
 
