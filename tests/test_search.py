@@ -511,3 +511,24 @@ def test_search_after_delete_walks_once(spark, sf, tmp_path, monkeypatch):
     monkeypatch.setattr(graph, "_walk", counting(graph._walk, tmp_path))
     assert catalog.QUERIES["graph_search_after_delete"](spark, sf).first().found
     assert len(list(tmp_path.iterdir())) == 1
+
+
+def test_runs_of_the_front_are_made_once(spark, sf, tmp_path, monkeypatch):
+    """The front reads its runs twice, and writing it in an order twice again."""
+    real = tasks.pairs
+
+    def counted(r_sq):
+        run = real(r_sq)
+
+        def both(queries, rows):
+            (tmp_path / uuid.uuid4().hex).touch()
+            return run(queries, rows)
+
+        return both
+
+    monkeypatch.setattr(tasks, "pairs", counted)
+    runs = catalog.runs_of(spark, sf)
+    first = sorted(map(tuple, runs.collect()))
+    made = len(list(tmp_path.iterdir()))
+    assert made and len(first) == 8 and sorted(map(tuple, runs.collect())) == first
+    assert len(list(tmp_path.iterdir())) == made

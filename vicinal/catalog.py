@@ -619,9 +619,9 @@ RUN_SQL = staged(R_FULL) + ", r AS (" + " UNION ALL ".join(map(recall_sql, PROBE
 
 
 def runs_of(spark, sf) -> DataFrame:
-    """Real runs, a run that others beat and one that is fast and finds nothing."""
+    """Real runs, a run that others beat and one that is fast and finds nothing. Each is made once, however often read."""
     base, queries, index = indexed(spark, sf)
-    truth = range_join.range_join(base, queries, R_FULL)
+    truth = materialize(range_join.range_join(base, queries, R_FULL), "true-pairs")
     out = [spark.createDataFrame([(99, 0.0, 0.5), (98, 0.0, 1e9)], "run int, recall double, qps double")]
     for n in PROBES:
         options = cascade.Options(n_candidates=n, stages=())
@@ -629,7 +629,7 @@ def runs_of(spark, sf) -> DataFrame:
         found = metrics.recall(cascade.hits(index, search.cells, queries, R_FULL, options), truth).select("set_recall")
         read = search.clusters.agg(F.round(1e6 / F.sum("n"), 6).alias("qps"))
         out.append(found.join(read).select(F.lit(n).alias("run"), F.col("set_recall").alias("recall"), "qps"))
-    return one(out)
+    return materialize(one(out), "runs")
 
 
 @query("pareto_front", RUN_SQL + "SELECT run, CAST(recall AS DOUBLE) AS recall, CAST(qps AS DOUBLE) AS qps FROM r WHERE NOT EXISTS (SELECT 1 FROM r o WHERE o.recall >= r.recall AND o.qps >= r.qps AND (o.recall > r.recall OR o.qps > r.qps))")
