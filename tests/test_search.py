@@ -532,3 +532,35 @@ def test_runs_of_the_front_are_made_once(spark, sf, tmp_path, monkeypatch):
     made = len(list(tmp_path.iterdir()))
     assert made and len(first) == 8 and sorted(map(tuple, runs.collect())) == first
     assert len(list(tmp_path.iterdir())) == made
+
+
+@pytest.mark.parametrize("chunk", [40, 2048])
+def test_least_distances_in_tasks(spark, chunk):
+    """Of a query to the rows of its clusters, where many are copies: no row stands for a pair."""
+    r = np.random.default_rng(12)
+    x, q = np.vstack([r.normal(size=(200, 8)), np.repeat(r.normal(size=(1, 8)), 300, axis=0)]), r.normal(size=(90, 8))
+    q[:3] = x[-1]
+    c, of = r.integers(0, 3, 500), r.integers(0, 4, (90, 2))  # cluster 3 is empty
+    rows = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, c, strict=True))], "id long, vec array<double>, cluster_id int")
+    near = spark.createDataFrame([(i, q[i].tolist(), int(k)) for i in range(90) for k in set(of[i].tolist())], "query_id long, vec array<double>, cluster_id int")
+    found = tasks.least(near, rows, chunk)
+    met = {i: np.isin(c, of[i]) for i in range(90)}
+    want = {i: ((x[m] - q[i]) ** 2).sum(axis=1).min() for i, m in met.items() if m.any()}
+    got = {row.query_id: row.min_dist_sq for row in found.collect()}
+    assert got.keys() == want.keys() and len(want) < 90 and all(abs(got[i] - want[i]) < 1e-12 for i in want)
+
+
+@pytest.mark.parametrize("part_rows, chunk", [(200_000, 2048), (200_000, 30), (40, 25), (40, 5)])
+def test_cells_left_as_lists(cloud, spark, monkeypatch, part_rows, chunk):
+    """The same cells and vectors as the account has, in few rows, and the same hits, also with parts, slices and cut cells."""
+    x, q, b, qs = cloud
+    monkeypatch.setattr(build, "CLUSTER_ROWS", part_rows)
+    monkeypatch.setattr(tasks, "CHUNK", chunk)
+    monkeypatch.setattr(tasks, "STEP", 7)
+    made = cascade.build_index(b, build.stride_seeds(b, 3), 2, 2, 10)
+    rows = cascade.prune(made, qs, 0.8).cells.where("stage is null").collect()
+    lists = cascade.prune(made, qs, 0.8, account=False).cells
+    got = lists.collect()
+    assert sorted((r.query_id, r.cluster_id, c) for r in got for c in r.cells) == sorted((r.query_id, r.cluster_id, r.cell_id) for r in rows)
+    assert sum(r.n for r in got) == sum(r.n for r in rows) and len(got) < len(rows)
+    assert pairs(cascade.hits(made, lists, qs, 0.8)) == brute(x, q, 0.8)

@@ -21,8 +21,8 @@ from vicinal.operators import build, codes, kernels, tasks
 from vicinal.plans.shared import materialize
 
 STAGES = ("prescreen", "slab", "pca", "cell")
-#: Absolute slack of a bound in double precision.
-SLACK = 1e-9
+#: Absolute slack of a bound in double precision; slices of a part of a cluster at most.
+SLACK, PART_SLICES = 1e-9, 4096
 
 
 @dataclass
@@ -249,10 +249,43 @@ def cell_bounds(boxed: DataFrame, index: Index) -> DataFrame:
     return joined.mapInArrow(run, schema)
 
 
+def cell_lists(boxed: DataFrame, index: Index, limit: float) -> DataFrame:
+    """(query_id, cluster_id, slice, cells, n): the cells whose bounds are at most limit, a row a slice of a cluster, and
+    how many vectors they hold. The cells of a part, in slices of about CHUNK rows by number, meet its queries in
+    tasks of STEP queries; no row stands for a query and a cell."""
+    key, step = ["cluster_id", "part"], tasks.STEP
+    chunks = F.broadcast(boxed.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / step).cast("int").alias("chunks")))  # a row a part
+    null = lambda c, kind="double": F.lit(None).cast(kind).alias(c)
+    own = ("lo", "hi", "res_lo", "res_hi")
+    asked = boxed.join(chunks, key).select(*key, F.pmod(F.xxhash64("query_id"), F.col("chunks")).cast("int").alias("chunk"), F.col("query_id").alias("id"), "t", "res", null("n", "long"), *(null(c, "array<double>" if c in ("lo", "hi") else "double") for c in own))
+    cells = index.cells.join(chunks, key).select(*key, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("cell_id").cast("long").alias("id"), null("t", "array<double>"), null("res"), "n", *own)
+
+    def run(table: pa.Table) -> pa.Table:
+        cluster, part = table.column("cluster_id")[0].as_py(), table.column("part")[0].as_py()
+        is_cell = pa.compute.is_valid(table.column("n"))
+        q, c = table.filter(pa.compute.invert(is_cell)), table.filter(is_cell)
+        c = c.take(pa.array(np.argsort(c.column("id").to_numpy(), kind="stable")))
+        asked, names, n, res = q.column("id").to_numpy(), c.column("id").to_numpy(), c.column("n").to_numpy(), q.column("res").to_numpy()
+        t, lo, hi = kernels.matrix(q.column("t")), kernels.matrix(c.column("lo")), kernels.matrix(c.column("hi"))
+        lb = np.maximum(0, np.maximum(c.column("res_lo").to_numpy()[None] - res[:, None], res[:, None] - c.column("res_hi").to_numpy()[None])) ** 2
+        for k in range(t.shape[1]):
+            lb += np.maximum(0, np.maximum(lo[None, :, k] - t[:, k, None], t[:, k, None] - hi[None, :, k])) ** 2
+        i, j = np.nonzero(~(np.sqrt(lb) > limit))
+        cut = np.minimum((np.cumsum(n) - n) // tasks.CHUNK, PART_SLICES - 1)
+        start = np.flatnonzero(np.r_[True, (np.diff(i) != 0) | (np.diff(cut[j]) != 0)]) if len(i) else i
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[start, len(i)], pa.int32()), pa.array(names[j], pa.int64()))
+        held = np.add.reduceat(n[j], start) if len(i) else n[:0]
+        columns = [pa.array(asked[i[start]]), pa.array(np.full(len(start), cluster, np.int32)), pa.array((part * PART_SLICES + cut[j[start]]).astype(np.int32)), lists, pa.array(held)]
+        return pa.table(columns, names=["query_id", "cluster_id", "slice", "cells", "n"])
+
+    return asked.unionByName(cells).groupBy(*key, "chunk").applyInArrow(run, "query_id long, cluster_id int, slice int, cells array<bigint>, n long")
+
+
 @dataclass
 class Search:
     """What each stage of a search saw: clusters(query_id, vec, cluster_id, n, n_cells, stage), with the stage that
-    rejected them or null, and cells(query_id, cluster_id, cell_id, n, stage) of those that no stage rejected."""
+    rejected them or null, and cells(query_id, cluster_id, cell_id, n, stage) of those that no stage rejected, or what
+    cell_lists() makes of them."""
 
     clusters: DataFrame
     cells: DataFrame
@@ -272,9 +305,9 @@ def _candidates(index: Index, queries: DataFrame, options: Options, eps: float)
     return left.unionByName(found.where(F.col("stage").isNotNull())) if "prescreen" in on else left
 
 
-def prune(index: Index, queries: DataFrame, r_sq: float, options: Options | None = None) -> Search:
+def prune(index: Index, queries: DataFrame, r_sq: float, options: Options | None = None, account: bool = True) -> Search:
     """The stages in turn, with an account of what each rejected. Rejected rows go no further; what several readers
-    of the account need is written once."""
+    of the account need is written once. Without an account of cells, the cell stage gives lists of those it leaves."""
     options = options or Options()
     eps = float(np.sqrt(r_sq)) / options.alpha
     on, limit = set(options.stages), eps + SLACK
@@ -293,6 +326,8 @@ def prune(index: Index, queries: DataFrame, r_sq: float, options: Options | None
     if "cell" not in on:
         cells = boxed.select("query_id", "cluster_id", "part").join(index.cells.select("cluster_id", "part", "cell_id", "n"), ["cluster_id", "part"]).drop("part")
         return Search(found, cells.withColumn("stage", F.lit(None).cast("string")))
+    if not account:
+        return Search(found, materialize(cell_lists(boxed, index, limit), "cells"))
     stage = F.when(F.col("cell_lb") > limit, F.lit("cell"))
     return Search(found, materialize(cell_bounds(boxed, index).withColumn("stage", stage).drop("cell_lb"), "cells"))
 
@@ -322,7 +357,7 @@ def decisions(search: Search) -> DataFrame:
 
 
 def hits(index: Index, read: DataFrame, queries: DataFrame, r_sq: float, options: Options | None = None) -> DataFrame:
-    """(query_id, base_id, dist_sq) from the cells of read(query_id, cluster_id, cell_id)."""
+    """(query_id, base_id, dist_sq) from the cells of read(query_id, cluster_id, cell_id), or of lists of cells."""
     options = options or Options()
     dealt = tasks.deal(read, queries, index.stats, index.cells)
     wanted = dealt.wanted()

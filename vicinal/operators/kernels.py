@@ -6,8 +6,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-#: Rounding of |q|^2 + |x|^2 - 2qx, as a multiple of the largest norms.
-SLACK = 1e-9
+#: Rounding of |q|^2 + |x|^2 - 2qx, as a multiple of the largest norms; pairs that are summed again at a time.
+SLACK, PAIRS = 1e-9, 65_536
 
 
 def matrix(column) -> np.ndarray:
@@ -43,6 +43,14 @@ def within_radius(queries: np.ndarray, base: np.ndarray, r_sq: float, strict: bo
     return i[ok], j[ok], d[ok]
 
 
+def least(queries: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """Squared distance of each query to its nearest base row, of which there is one at least."""
+    rough, slack = _approximate(queries, base)
+    i, j = np.nonzero(rough <= rough.min(axis=1)[:, None] + 2 * slack)
+    d = [exact_l2_sq(queries[i[at : at + PAIRS]], base[j[at : at + PAIRS]]) for at in range(0, len(i), PAIRS)]
+    return np.minimum.reduceat(np.concatenate(d), np.searchsorted(i, np.arange(len(queries)))) if d else np.zeros(0)
+
+
 def nearest(rows: np.ndarray, centers: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
     """(center, squared distance) of the m nearest centers of each row; ties by center."""
     m = min(m, len(centers))

@@ -6,17 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vicinal.functions import vectors as V
-from vicinal.operators import build
+from vicinal.operators import build, tasks
 
 
 def empty_by_probe(assigned: DataFrame, centers: build.Centers, queries: DataFrame, r_sq: float, nprobe: int) -> DataFrame:
-    """(query_id, min_dist_sq, is_empty): no vector of the nprobe nearest clusters is within the radius. A query
-    that is not finite, or that met no vector, is never called empty."""
+    """(query_id, min_dist_sq, is_empty): no vector of the nprobe nearest clusters of assigned(id, vec, cluster_id) is
+    within the radius. A query that is not finite, or that met no vector, is never called empty."""
     good = queries.where(V.is_finite("vec"))
-    near = build.assign(good.select(F.col("query_id").alias("id"), "vec"), centers, nprobe).select(F.col("id").alias("query_id"), F.col("vec").alias("qv"), "cluster_id")
-    met = near.join(assigned.select("cluster_id", F.col("vec").alias("bv")), "cluster_id")
-    least = met.groupBy("query_id").agg(F.min(V.l2_sq("qv", "bv")).alias("min_dist_sq"))
-    joined = queries.select("query_id").join(least, "query_id", "left")
+    near = build.assign(good.select(F.col("query_id").alias("id"), "vec"), centers, nprobe).select(F.col("id").alias("query_id"), "vec", "cluster_id")
+    rows = assigned.select("id", "vec", "cluster_id").where(F.col("vec").isNotNull() & V.is_finite("vec"))
+    joined = queries.select("query_id").join(tasks.least(near, rows), "query_id", "left")
     return joined.select("query_id", "min_dist_sq", F.coalesce(F.col("min_dist_sq") > r_sq, F.lit(False)).alias("is_empty"))
 
 

@@ -62,12 +62,19 @@ class Dealt:
 
 
 def deal(read: DataFrame, queries: DataFrame, stats: DataFrame, cells: DataFrame, chunk: int | None = None) -> Dealt:
-    """Tasks for read(query_id, cluster_id, cell_id), with stats(cluster_id, n) and cells(cluster_id, cell_id, n)."""
+    """Tasks for read(query_id, cluster_id, cell_id), with stats(cluster_id, n) and cells(cluster_id, cell_id, n). read
+    may have lists of cells in slices already, as read(query_id, cluster_id, slice, cells); without a cell that is cut
+    they are the queries' side as they are."""
     chunk = chunk or CHUNK
     parts = F.broadcast(stats.select("cluster_id", F.ceil(F.col("n") / chunk).alias("parts")))  # a row a cluster
     chunks = max(1, -(-queries.count() // chunk))
     big = cells.where(F.col("n") > chunk).select("cluster_id", "cell_id", F.ceil(F.col("n") / chunk).alias("pieces"))
     big = big if big.head(1) else None
+    if "cells" in read.columns:
+        if big is None:
+            name = F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int").alias("chunk")
+            return Dealt(read.select("query_id", "cluster_id", "slice", F.lit(0).alias("piece"), name, "cells"), queries, None)
+        read = read.select("query_id", "cluster_id", F.explode("cells").alias("cell_id"))
     cut = read.select("query_id", "cluster_id", F.col("cell_id").cast("long").alias("cell_id")).join(parts, "cluster_id")
     cut = cut.withColumn("slice", F.pmod(F.xxhash64("cell_id"), F.col("parts")).cast("int"))
     piece = F.lit(0)
@@ -79,6 +86,32 @@ def deal(read: DataFrame, queries: DataFrame, stats: DataFrame, cells: DataFrame
     return Dealt(materialize(asked, "asked-cells"), queries, big)
 
 
+def least(near: DataFrame, rows: DataFrame, chunk: int | None = None) -> DataFrame:
+    """(query_id, min_dist_sq) of near(query_id, vec, cluster_id) and rows(id, vec, cluster_id), finite vectors: each
+    query's least squared distance to rows of its clusters. Slices of a cluster's rows meet chunks of its queries; a
+    number a query leaves a task. Queries whose clusters are empty are left out."""
+    chunk = chunk or CHUNK
+    count = lambda df, name: df.groupBy("cluster_id").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias(name))
+    parts = materialize(count(near, "chunks").join(count(rows, "slices"), "cluster_id"), "sides")  # a row a cluster
+
+    def side(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
+        cut = df.join(F.broadcast(parts), "cluster_id").withColumn(own, F.pmod(F.xxhash64(key), F.col(f"{own}s")).cast("int"))
+        cut = cut.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1)))
+        return cut.select("cluster_id", "slice", "chunk", F.lit(key == "query_id").alias("is_query"), F.col(key).alias("id"), "vec")
+
+    def run(table: pa.Table) -> pa.Table:
+        of = table.column("is_query").to_numpy(zero_copy_only=False)
+        asked, x = table.filter(pa.array(of)), kernels.matrix(table.filter(pa.array(~of)).column("vec"))
+        q = kernels.matrix(asked.column("vec"))
+        d = [kernels.least(q[at : at + STEP], x) for at in range(0, len(q), STEP)] if len(x) else []
+        ids = asked.column("id") if d else asked.column("id")[:0]
+        return pa.table({"query_id": ids, "min_dist_sq": pa.array(np.concatenate(d) if d else np.zeros(0))})
+
+    both = side(near, "query_id", "chunk", "slice").unionByName(side(rows, "id", "slice", "chunk"))
+    found = both.groupBy("cluster_id", "slice", "chunk").applyInArrow(run, "query_id long, min_dist_sq double")
+    return found.groupBy("query_id").agg(F.min("min_dist_sq").alias("min_dist_sq"))
+
+
 def mask(queries: pa.Table, rows: pa.Table) -> np.ndarray:
     """(row, query): whether the query reads the row's cell."""
     names, of = np.unique(rows.column("cell_id").to_numpy(), return_inverse=True)

@@ -74,10 +74,11 @@ def search(config: Config, index: cascade.Index, queries: DataFrame, r_sq: float
     decided = queries.select("query_id", F.lit(False).alias("is_empty")) if decided is None else decided
     decided = materialize(decided, "decided")
     asked = materialize(metrics.survivors(queries, decided), "asked")
-    pruned = cascade.prune(index, asked, r_sq, options)
-    hits = materialize(cascade.hits(index, pruned.cells.where(F.col("stage").isNull()), asked, r_sq, options), "hits")
+    pruned = cascade.prune(index, asked, r_sq, options, account=False)
+    left = pruned.cells.where(F.col("stage").isNull()) if "stage" in pruned.cells.columns else pruned.cells
+    hits = materialize(cascade.hits(index, left, asked, r_sq, options), "hits")
     trace = range_join.count_per_query(decided.select("query_id"), hits).join(decided, "query_id")
-    read = pruned.cells.where(F.col("stage").isNull()).groupBy("query_id").agg(F.sum("n").alias("vecs_read"))
+    read = left.groupBy("query_id").agg(F.sum("n").alias("vecs_read"))
     met = pruned.clusters.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_clusters"), F.sum("n").alias("vecs"))
     trace = trace.join(met, "query_id", "left").join(read, "query_id", "left").na.fill(0, ["n_clusters", "vecs", "vecs_read"])
     trace = materialize(trace.select("query_id", "is_empty", "n_clusters", "vecs", "vecs_read", "n_hits"), "trace")
