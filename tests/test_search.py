@@ -564,3 +564,51 @@ def test_cells_left_as_lists(cloud, spark, monkeypatch, part_rows, chunk):
     assert sorted((r.query_id, r.cluster_id, c) for r in got for c in r.cells) == sorted((r.query_id, r.cluster_id, r.cell_id) for r in rows)
     assert sum(r.n for r in got) == sum(r.n for r in rows) and len(got) < len(rows)
     assert pairs(cascade.hits(made, lists, qs, 0.8)) == brute(x, q, 0.8)
+
+
+def linked_one_by_one(rows, degree, considered):
+    """Neighbours as single vertices choose them."""
+    out = [set() for _ in rows]
+    for i, v in enumerate(rows):
+        d = ((rows - v) ** 2).sum(axis=1)
+        near, kept = [x for x in np.argsort(d, kind="stable")[: considered + 1].tolist() if x != i], []
+        for x in near:
+            if len(kept) < degree and (((rows[kept] - rows[x]) ** 2).sum(axis=1) >= d[x]).all():
+                kept.append(x)
+        for x in [*kept, *[x for x in near if x not in kept][: degree - len(kept)]]:
+            out[i].add(x)
+            out[x].add(i)
+    return [sorted(x) for x in out]
+
+
+@pytest.mark.parametrize("n, degree", [(2, 16), (30, 16), (600, 6)])
+def test_links_in_step_are_those_of_single_vertices(n, degree):
+    x = np.random.default_rng(5).normal(size=(n, 12))
+    assert [y.tolist() for y in graph.link(x, degree, 20)] == linked_one_by_one(x, degree, 20)
+
+
+def test_copies_are_linked():
+    """So many that a vertex may not be among its own nearest."""
+    x = np.repeat(np.random.default_rng(6).normal(size=(4, 8)), 80, axis=0)
+    links = graph.link(x)
+    assert all(len(y) >= graph.DEGREE and i not in y and (np.diff(y) > 0).all() for i, y in enumerate(links))
+    assert all(i in links[j] for i, y in enumerate(links) for j in y.tolist())
+
+
+@pytest.mark.parametrize("few", [0, 1, 40, 60])
+def test_few_allowed_rows_are_found_without_walks(monkeypatch, few):
+    """A pool that can hold all of them never fills: single walks find the same, also where edges lead to a part only."""
+    r = np.random.default_rng(13)
+    x, q = r.normal(size=(400, 8)), r.normal(size=(30, 8))
+    x[200:] += 1000  # out of reach
+    links = graph.link(x)
+    flat = np.r_[0, np.cumsum([len(y) for y in links])], np.concatenate(links)
+    allowed, entries = np.zeros(400, bool), np.arange(4)
+    allowed[r.choice(400, few, replace=False)] = True
+    monkeypatch.setattr(np, "partition", None)  # walks need it
+    monkeypatch.setattr(graph.kernels, "nearest", lambda a, b, k: (lambda d: (np.argsort(d, axis=1, kind="stable")[:, :k], np.sort(d, axis=1)[:, :k]))(np.stack([graph.kernels.exact_l2_sq(np.broadcast_to(v, b.shape), b) for v in a])))
+    found = list(graph.beams(x, flat, q, 5, 60, entries, allowed))
+    assert [i for i, _, _ in found] == list(range(30))
+    for i, v, d in found:
+        want, far = graph.beam(x, links, q[i], 5, 60, entries, allowed)
+        assert v.tolist() == want.tolist() and np.array_equal(d, far) and (v < 200).all()

@@ -25,21 +25,24 @@ from vicinal.operators.range_join import query_blocks
 
 #: Edges that a vertex keeps, vertices that are considered for them, size of the pool, rows of a part, entry points.
 DEGREE, CONSIDERED, EF, PART_ROWS, ENTRIES = 16, 48, 100, 20_000, 4
-#: Walks that go in step, and vertices that each opens in a step.
-BLOCK, WAVE = 64, 32
-
-
-def spread_out(rows: np.ndarray, near: np.ndarray, d: np.ndarray, degree: int) -> np.ndarray:
-    """Of a vertex's neighbours, in order of distance d, those that no kept one is nearer to than the vertex is;
-    then the nearest of the others, until there are `degree`."""
-    kept: list[int] = []
-    for k, x in enumerate(near.tolist()):
-        if len(kept) == degree:
-            break
-        if not kept or (((rows[kept] - rows[x]) ** 2).sum(axis=1) >= d[k]).all():
-            kept.append(x)
-    rest = [x for x in near.tolist() if x not in set(kept)]
-    return np.array([*kept, *rest[: degree - len(kept)]], np.int32)
+#: Walks that go in step, and vertices that each opens in a step; vertices that are linked in step, and queries that are
+#: compared at once; distances that differ by less are equal, for norms of 1.
+BLOCK, WAVE, LINKED, COMPARED, TIE = 64, 32, 256, 2048, 1e-12
+
+
+def spread_out(rows: np.ndarray, near: np.ndarray, d: np.ndarray, valid: np.ndarray, degree: int) -> np.ndarray:
+    """Which neighbours some vertices keep. Of a vertex's valid neighbours, a row of near in order of distance d: those
+    that no kept one is nearer to than the vertex is; then the nearest of the others, until there are `degree`. The
+    vertices go in step, a place in the order at a time."""
+    x = rows[near]
+    own = np.einsum("ijk,ijk->ij", x, x)
+    nearer = own[:, :, None] + own[:, None] - 2 * (x @ x.transpose(0, 2, 1)) < d[:, :, None] - TIE * (1 + own.max(initial=0))
+    kept, count = np.zeros(near.shape, bool), np.zeros(len(near), np.int64)
+    for k in range(near.shape[1]):
+        kept[:, k] = valid[:, k] & (count < degree) & ~(kept & nearer[:, k]).any(axis=1)
+        count += kept[:, k]
+    rest = valid & ~kept
+    return kept | (rest & (np.cumsum(rest, axis=1) <= degree - count[:, None]))
 
 
 def link(rows: np.ndarray, degree: int = DEGREE, considered: int = CONSIDERED) -> list[np.ndarray]:
@@ -48,15 +51,15 @@ def link(rows: np.ndarray, degree: int = DEGREE, considered: int = CONSIDERED) -
     n = len(rows)
     if n < 2:
         return [np.zeros(0, np.int32)] * n
-    out: list[set[int]] = [set() for _ in range(n)]
-    for at in range(0, n, 1024):
-        c, d = kernels.nearest(rows[at : at + 1024], rows, min(n, considered + 1))
-        for i in range(len(c)):
-            other = c[i] != at + i
-            for x in spread_out(rows, c[i][other], d[i][other], degree).tolist():
-                out[at + i].add(x)
-                out[x].add(at + i)
-    return [np.array(sorted(x), np.int32) for x in out]
+    edges = []
+    for at in range(0, n, LINKED):
+        c, d = kernels.nearest(rows[at : at + LINKED], rows, min(n, considered + 1))
+        own = np.arange(at, at + len(c))
+        i, j = np.nonzero(spread_out(rows, c, d, c != own[:, None], degree))
+        one, other = own[i], c[i, j].astype(np.int64)
+        edges += [one * n + other, other * n + one]
+    one, other = np.divmod(np.unique(np.concatenate(edges)), n)
+    return np.split(other.astype(np.int32), np.searchsorted(one, np.arange(1, n)))
 
 
 def beam(rows: np.ndarray, links: list[np.ndarray], query: np.ndarray, k: int, ef: int, entries: np.ndarray, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -92,8 +95,16 @@ def beam(rows: np.ndarray, links: list[np.ndarray], query: np.ndarray, k: int, e
 def beams(rows: np.ndarray, links: tuple[np.ndarray, np.ndarray], queries: np.ndarray, k: int, ef: int, entries: np.ndarray, allowed: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """As beam, of many queries in step: (query, rows, squared distances). links: where each vertex's edges start, and all
     edges. In a step every walk opens the nearest of its vertices that its pool does not rule out, WAVE of them at most;
-    it has seen what beam sees, and somewhat more."""
+    it has seen what beam sees, and somewhat more. Where a pool can hold all rows that may be results, it never rules a
+    vertex out, and the walk sees all it can reach: then these are compared without walking."""
     n, (start, edges) = len(rows), links
+    may = np.flatnonzero(allowed & reached(links, entries)) if np.count_nonzero(allowed) <= ef else None
+    if may is not None:
+        for at in range(0, len(queries), COMPARED):
+            q = queries[at : at + COMPARED]
+            best, d = kernels.nearest(q, rows[may], k) if len(may) else (np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0)))
+            yield from zip(range(at, at + len(q)), may[best], d, strict=True)
+        return
     own = np.einsum("ij,ij->i", rows, rows)
     for at in range(0, len(queries), BLOCK):
         q = queries[at : at + BLOCK]
@@ -140,6 +151,18 @@ def beams(rows: np.ndarray, links: tuple[np.ndarray, np.ndarray], queries: np.nd
             yield at + i, found[order], exact[order]
 
 
+def reached(links: tuple[np.ndarray, np.ndarray], entries: np.ndarray) -> np.ndarray:
+    """Whether edges lead to each vertex from some entry."""
+    start, edges = links
+    seen, new = np.zeros(len(start) - 1, bool), np.unique(entries)
+    while len(new):
+        seen[new] = True
+        size = start[new + 1] - start[new]
+        to = np.unique(edges[np.arange(size.sum()) + np.repeat(start[new] - (np.cumsum(size) - size), size)])
+        new = to[~seen[to]]
+    return seen
+
+
 class Scores:
     """A heap of vertices by score, highest first, ties by number, whose scores may change: an entry that a later one
     has overtaken is dropped when it comes up."""
