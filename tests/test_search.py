@@ -612,3 +612,17 @@ def test_few_allowed_rows_are_found_without_walks(monkeypatch, few):
     for i, v, d in found:
         want, far = graph.beam(x, links, q[i], 5, 60, entries, allowed)
         assert v.tolist() == want.tolist() and np.array_equal(d, far) and (v < 200).all()
+
+
+def test_products_of_many_queries_stay_small(monkeypatch):
+    """Of a block of many queries and a batch of base rows."""
+    from types import SimpleNamespace
+
+    r, sizes, real = np.random.default_rng(14), [], range_join.kernels.within_radius
+    x, q = r.normal(size=(3000, 4)), r.normal(size=(5000, 4))
+    monkeypatch.setattr(range_join.kernels, "within_radius", lambda a, b, *more: (sizes.append(len(a) * len(b)), real(a, b, *more))[1])
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(3000)), pa.array(list(x), pa.list_(pa.float64()))], names=["id", "vec"])
+    found = pa.Table.from_batches(range_join._scan(SimpleNamespace(value=(np.arange(5000), q)), 0.01, False)(iter([batch])))
+    assert max(sizes) <= range_join.PRODUCT and sum(sizes) == 3000 * 5000
+    i, j, _ = real(q, x, 0.01)
+    assert set(zip(found["query_id"].to_pylist(), found["base_id"].to_pylist(), strict=True)) == set(zip(i.tolist(), j.tolist(), strict=True))

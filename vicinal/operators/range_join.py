@@ -23,8 +23,8 @@ from vicinal.plans.shared import materialize
 #: Bytes of queries that are broadcast at once, and so many blocks at most (together what the driver may hold).
 BLOCK_BYTES, BLOCKS = 64 << 20, 8
 PAIRS = "query_id long, base_id long, dist_sq double"
-#: Base rows of one product, so that its result stays small.
-ROWS = 4096
+#: Base rows of one product at most, and pairs in it, about, so that its result stays small.
+ROWS, PRODUCT = 4096, 1 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -68,10 +68,11 @@ def query_blocks(queries: DataFrame, block_bytes: int | None = None, held: int |
 def _scan(block, r_sq: float, strict: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = block.value
+        step = max(64, min(ROWS, PRODUCT // len(ids)))
         for batch in batches:
             key, rows = kernels.finite(batch.column(0).to_numpy(), kernels.matrix(batch.column(1)))
-            for at in range(0, len(key), ROWS):
-                i, j, d = kernels.within_radius(matrix, rows[at : at + ROWS], r_sq, strict)
+            for at in range(0, len(key), step):
+                i, j, d = kernels.within_radius(matrix, rows[at : at + step], r_sq, strict)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(key[at + j]), pa.array(d)], names=["query_id", "base_id", "dist_sq"])
 
     return run
