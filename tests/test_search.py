@@ -626,3 +626,14 @@ def test_products_of_many_queries_stay_small(monkeypatch):
     assert max(sizes) <= range_join.PRODUCT and sum(sizes) == 3000 * 5000
     i, j, _ = real(q, x, 0.01)
     assert set(zip(found["query_id"].to_pylist(), found["base_id"].to_pylist(), strict=True)) == set(zip(i.tolist(), j.tolist(), strict=True))
+
+
+def test_cells_of_tasks_are_united(spark):
+    """As unfolding all lists gives them, without a row a query and a cell."""
+    r = np.random.default_rng(15)
+    rows = [(i, int(c), int(s), 0, int(k), sorted(set(r.integers(0, 30, n).tolist()))) for i, (c, s, k, n) in enumerate(r.integers(0, 4, (300, 4)) * [1, 1, 1, 10])]
+    asked = spark.createDataFrame(rows, "query_id long, cluster_id int, slice int, piece int, chunk int, cells array<bigint>")
+    wanted = tasks.Dealt(asked, None, None).wanted()
+    assert "Generate" not in wanted._jdf.queryExecution().optimizedPlan().toString()
+    got = wanted.collect()
+    assert sorted(map(tuple, got)) == sorted({(*x[1:5], c) for x in rows for c in x[5]})

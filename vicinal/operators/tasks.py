@@ -6,6 +6,7 @@ A task gets its queries once, each with the list of its cells, and each of its r
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,8 +31,9 @@ class Dealt:
     big: DataFrame | None
 
     def wanted(self) -> DataFrame:
-        """(cell_id, *TASK) of the cells that some query of the task reads."""
-        return self.asked.select(*TASK, F.explode("cells").alias("cell_id")).distinct()
+        """(*TASK, cell_id) of the cells that some query of the task reads. The lists of a batch are united first: no row
+        stands for a query and a cell."""
+        return self.asked.select(*TASK, "cells").mapInArrow(_united, "cluster_id int, slice int, piece int, chunk int, cell_id long").distinct()
 
     def rows(self, table: DataFrame, wanted: DataFrame) -> DataFrame:
         """Rows of table(cluster_id, cell_id, id, ..) in the tasks of wanted(*TASK, cell_id and, if it has them, id and
@@ -61,6 +63,19 @@ class Dealt:
         return left.unionByName(right).groupBy(*TASK).applyInArrow(both, schema)
 
 
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = batch.column(len(TASK))
+        names, which = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+        if not len(names):
+            continue
+        found, of = np.unique(np.stack([batch.column(c).to_numpy() for c in range(len(TASK))], axis=1), axis=0, return_inverse=True)
+        who = np.repeat(of.ravel(), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
+        pair = np.unique(who * len(names) + which.ravel())
+        own = found[pair // len(names)].astype(np.int32)
+        yield pa.RecordBatch.from_arrays([*(pa.array(own[:, c].copy()) for c in range(len(TASK))), pa.array(names[pair % len(names)])], names=[*TASK, "cell_id"])
+
+
 def deal(read: DataFrame, queries: DataFrame, stats: DataFrame, cells: DataFrame, chunk: int | None = None) -> Dealt:
     """Tasks for read(query_id, cluster_id, cell_id), with stats(cluster_id, n) and cells(cluster_id, cell_id, n). read
     may have lists of cells in slices already, as read(query_id, cluster_id, slice, cells); without a cell that is cut
